@@ -35,7 +35,7 @@ from ledgerline.llm.exchange import by_bucket, joined
 
 ANCHOR = 5
 NO_ID = np.iinfo(np.int64).max
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def _windows(col: pa.Array, window: int, anchor: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
