@@ -177,7 +177,7 @@ def _fit_machine(words: list[str], y: np.ndarray, hardest: np.ndarray, landmarks
     marks = dense([words[i] for i in np.concatenate([draw(pos, landmarks // 2), hardest[: landmarks // 4], draw(neg, landmarks // 4)])])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float) + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    z = np.concatenate([(dense(words[a : a + 512]) @ marks.T) for a in range(0, len(words), 512)]) @ root
+    z = np.concatenate([(dense(words[a : a + 128]) @ marks.T) for a in range(0, len(words), 128)]) @ root
     z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     weight = np.where(y > 0, (neg.size / max(1, pos.size)) ** 0.5, 1.0)
     w, mean, step, lam = np.zeros(z.shape[1]), np.zeros(z.shape[1]), 0, 1 / (c * len(y))
@@ -193,7 +193,7 @@ def _fit_machine(words: list[str], y: np.ndarray, hardest: np.ndarray, landmarks
     return (marks.T @ (root @ mean[:-1])).astype(float), float(mean[-1])
 
 
-def train_toxicity(labelled: DataFrame, max_texts: int = 1500, max_words: int = 500, landmarks: int = 400, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
+def train_toxicity(labelled: DataFrame, max_texts: int = 1200, max_words: int = 500, landmarks: int = 400, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
     """A model from labelled(text, toxic 0/1); None without both classes.
 
     Bad forms are first those that occur in toxic texts oftener than chance explains; the machine
@@ -207,16 +207,21 @@ def train_toxicity(labelled: DataFrame, max_texts: int = 1500, max_words: int =
     rng = np.random.default_rng(seed)
     known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h"))
     short = known.where((F.length("text") <= 10 * max_words) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) <= max_words))
-    sample = [(t, y) for c in (0, 1) for t, y, _ in short.where(F.col("toxic") == c).orderBy("h", "text").limit(max_texts * (1 if c else 3)).collect()]
+    sample = []
+    for c in (0, 1):
+        chosen = _lowest(short.where(F.col("toxic") == c), "h", max_texts * (1 if c else 3))
+        sample += [(t, c) for _, t in sorted((r["h"], r["text"]) for r in chosen.select("h", "text").toLocalIterator())]
     y = np.array([c for _, c in sample])
     if not (y == 1).any() or not (y == 0).any():
         return None
-    bags = [{w for t in set(sentences(text)[0]) for w in forms(t)} for text, _ in sample]
-    vocabulary = sorted(set().union(*bags))
-    index = {w: i for i, w in enumerate(vocabulary)}
+    index: dict[str, int] = {}
+    bags = [np.array([index.setdefault(w, len(index)) for w in sorted({w for t in set(sentences(text)[0]) for w in forms(t)})], np.int64) for text, _ in sample]
+    del sample
+    vocabulary = list(index)
     count = np.zeros((2, len(vocabulary)))
     for bag, c in zip(bags, y, strict=True):
-        count[c, [index[w] for w in bag]] += 1
+        count[c, bag] += 1
+    del bags, index
     total = np.array([[(y == 0).sum()], [(y == 1).sum()]])
     part = [_pieces(w)[0] for w in vocabulary]
     model = ToxicModel(np.zeros(SLOTS), 0.0, np.zeros(6))
@@ -248,13 +253,19 @@ def train_toxicity(labelled: DataFrame, max_texts: int = 1500, max_words: int =
                 part = batch.slice(a, 256)
                 yield pa.record_batch([pa.array(list(reader(part.column("text").to_pylist())), pa.list_(pa.float64())), part.column("toxic")], names=["x", "toxic"])
 
-    rows = known.orderBy(F.col("h").desc(), "text").limit(curve_rows).select("text", "toxic").repartition(16).mapInArrow(read, "x array<double>, toxic int").collect()
+    rows = _lowest(known.withColumn("h", -F.col("h")), "h", curve_rows).select("text", "toxic").repartition(16).mapInArrow(read, "x array<double>, toxic int").collect()
     x, hit = np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
     order = np.lexsort(x.T)  # the same sums in the same order, whichever task was first
     model.curve = _logistic(x[order], hit[order])
     return model
 
 
+def _lowest(rows: DataFrame, h: str, n: int) -> DataFrame:
+    """The rows with the n lowest hashes, one per hash; only hashes are sorted and reach the driver."""
+    cut = rows.select(h).distinct().orderBy(h).limit(n).agg(F.max(h)).first()[0]
+    return rows.where(F.col(h) <= cut if cut is not None else F.lit(False)).dropDuplicates([h])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Coefficients by Newton steps."""
     w = np.zeros(x.shape[1])
