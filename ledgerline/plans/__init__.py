@@ -1 +1,3 @@
 """Registered queries by family; importing this package registers them."""
+
+from ledgerline.plans import catalogue, docking, evidence, models, retrieval, structures  # noqa: F401
