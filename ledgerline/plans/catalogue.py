@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.expressions import contains_any
+from ledgerline.plans.structures import _BASE, _VERDICT, assessed
 from ledgerline.registry import query
 from ledgerline.sources.tables import read
 
@@ -64,3 +66,94 @@ def induced_subgraph(spark, d):
 @query("b14_first_per_id", "SELECT l_partkey, min_by(l_suppkey, row(l_orderkey, l_linenumber, l_suppkey)) AS first_source FROM lineitem GROUP BY 1")
 def first_per_id(spark, d):
     return read(spark, d, "lineitem").groupBy("l_partkey").agg(F.min_by("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("first_source"))
+
+
+#: Other names of a formulation.
+ALIASES = {"rush": "1-URGENT", "urgent": "1-URGENT"}
+
+
+@query("b3_formulation_filter", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def formulation_filter(spark, d, asked: str = " Rush "):
+    """An alias stands for a fixed list of formulations; other names stand for themselves."""
+    name = ALIASES.get(asked.strip().lower(), asked.strip())
+    wanted = ["1-URGENT", "2-HIGH"] if name == "1-URGENT" else [name]
+    return read(spark, d, "orders").where(F.col("o_orderpriority").isin(*wanted)).select("o_orderkey")
+
+
+@query("b4_limit_and_count", "WITH m AS (SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a')) SELECT p_partkey, p_name, (SELECT count(*) FROM m)::BIGINT AS total FROM m ORDER BY p_name, p_partkey LIMIT 20")
+def limit_and_count(spark, d):
+    """The first twenty matches, each with the number of all matches."""
+    m = read(spark, d, "part").where(F.contains("p_name", F.lit("a"))).select("p_partkey", "p_name")
+    total = m.agg(F.count("*").alias("total"))
+    return m.orderBy("p_name", "p_partkey").limit(20).crossJoin(F.broadcast(total))  # one row
+
+
+@query("b6_compounds_with_fallback", """WITH n AS (SELECT n_nationkey, lower(n_name) AS name FROM nation), e AS (SELECT DISTINCT s_nationkey AS n_nationkey, l_partkey AS p_partkey FROM supplier JOIN lineitem ON s_suppkey = l_suppkey WHERE s_nationkey % 2 = 0),
+    f AS (SELECT n_nationkey, p_partkey FROM n JOIN part ON contains(p_partkey::VARCHAR, regexp_extract(name, '[0-9]+')) WHERE n_nationkey NOT IN (SELECT n_nationkey FROM e)) SELECT n_nationkey, count(*)::BIGINT AS compounds FROM (SELECT * FROM e UNION ALL SELECT * FROM f) GROUP BY 1""")
+def compounds_with_fallback(spark, d):
+    """Compounds by equality of the source (even nations); a source without any takes the keys that contain its number."""
+    nations = read(spark, d, "nation").select("n_nationkey", F.regexp_extract("n_name", "[0-9]+", 0).alias("digits"))
+    lines = read(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    equal = lines.join(read(spark, d, "supplier").where("s_nationkey % 2 = 0"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("n_nationkey"), F.col("l_partkey").alias("p_partkey")).distinct()
+    rest = nations.join(equal.select("n_nationkey").distinct(), "n_nationkey", "left_anti")
+    contained = read(spark, d, "part").select("p_partkey").join(F.broadcast(rest), F.contains(F.col("p_partkey").cast("string"), F.col("digits")))  # at most 25 nations
+    return equal.unionByName(contained.select("n_nationkey", "p_partkey")).groupBy("n_nationkey").agg(F.count("*").alias("compounds"))
+
+
+@query("b7_compounds_described", f"WITH {_BASE}, {_VERDICT}, l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT l_suppkey, count(*)::BIGINT AS compounds, round(avg(qed), 6) AS qed FROM l JOIN w ON p_partkey = l_partkey WHERE verdict <> 'FAIL_PAINS' AND passed >= 1 GROUP BY 1")
+def compounds_described(spark, d):
+    """Compounds of each source with their descriptors, drug-like ones only."""
+    kept = assessed(spark, d).where("verdict <> 'FAIL_PAINS' AND passed >= 1").select("p_partkey", "qed")
+    lines = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    return lines.join(kept, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.count("*").alias("compounds"), F.round(F.avg("qed"), 6).alias("qed"))
+
+
+@query("b9_record_search", "SELECT c_custkey FROM customer WHERE contains(lower(c_custkey || ' ' || c_name || ' ' || c_nationkey || ' ' || c_mktsegment), 'furn')")
+def record_search(spark, d):
+    """A record matches when any of its fields contains the text."""
+    row = F.lower(F.to_json(F.struct("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+    return read(spark, d, "customer").where(F.contains(row, F.lit("furn"))).select("c_custkey")
+
+
+@query("b10_point_lookup", "SELECT p_partkey, p_name FROM part WHERE p_partkey = 42 OR p_brand = 'CID42' ORDER BY p_partkey LIMIT 1")
+def point_lookup(spark, d):
+    return read(spark, d, "part").where((F.col("p_partkey") == 42) | (F.col("p_brand") == "CID42")).orderBy("p_partkey").limit(1).select("p_partkey", "p_name")
+
+
+@query("b12_formulation_names", """WITH f AS (SELECT o_orderpriority, p_name, min((o_orderkey, l_linenumber)) AS first FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
+    SELECT o_orderpriority, string_agg(p_name, ';' ORDER BY first, p_name) AS names FROM f GROUP BY 1""")
+def formulation_names(spark, d):
+    """Distinct compound names of each formulation in the order of their first sight."""
+    lines = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("l_orderkey", "p_name").agg(F.min("l_linenumber").alias("line"))
+    first = lines.join(read(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority", "p_name").agg(F.min(F.struct("o_orderkey", "line")).alias("first"))
+    names = F.array_sort(F.collect_list(F.struct("first", "p_name")))
+    return first.groupBy("o_orderpriority").agg(F.array_join(names["p_name"], ";").alias("names"))
+
+
+@query("b15_formulation_detail", """WITH l AS (SELECT DISTINCT o_orderpriority, l_suppkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+    SELECT o_orderpriority, count(DISTINCT l_suppkey)::BIGINT AS plants, count(DISTINCT s_suppkey)::BIGINT AS known, count(DISTINCT l_partkey)::BIGINT AS compounds FROM l LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey GROUP BY 1""")
+def formulation_detail(spark, d):
+    """Constituents of each formulation, how many are known plants, and their distinct compounds."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    l = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", "l_suppkey", "l_partkey").distinct()  # noqa: E741
+    known = read(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")
+    plants = l.groupBy("o_orderpriority", "l_suppkey").agg(F.lit(1).alias("one")).join(known, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    by_plant = plants.groupBy("o_orderpriority").agg(F.count("*").alias("plants"), F.count("s_suppkey").alias("known"))
+    by_compound = l.select("o_orderpriority", "l_partkey").distinct().groupBy("o_orderpriority").agg(F.count("*").alias("compounds"))
+    return by_plant.join(by_compound, "o_orderpriority")
+
+
+@query("b17_lookup_tables", """WITH t AS (SELECT 'name' AS kind, lower(p_name) AS key, p_partkey AS id FROM part UNION ALL SELECT 'alternate', lower(p_brand), p_partkey FROM part UNION ALL SELECT 'use', lower(unnest(string_split(p_name, ' '))), p_partkey FROM part)
+    SELECT kind, key, count(DISTINCT id)::BIGINT AS ids, min(id) AS first FROM t GROUP BY 1, 2""")
+def lookup_tables(spark, d):
+    """Inverted index as long rows (kind, key, id), summed per key."""
+    rows = inverted(read(spark, d, "part")).distinct()
+    return rows.groupBy("kind", "key").agg(F.count("*").alias("ids"), F.min("id").alias("first"))
+
+
+def inverted(parts: DataFrame) -> DataFrame:
+    """Long rows of the lookup tables; one pass, to be written partitioned by kind and clustered by key."""
+    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.lower(key).alias("key"))
+    uses = F.transform(F.split("p_name", " "), lambda u: entry("use", u))
+    both = F.concat(F.array(entry("name", F.col("p_name")), entry("alternate", F.col("p_brand"))), uses)
+    return parts.select(F.explode(both).alias("e"), F.col("p_partkey").alias("id")).select("e.kind", "e.key", "id")
