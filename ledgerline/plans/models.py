@@ -1,11 +1,19 @@
-"""Feature matrices, splits and metrics over `lineitem` joined with `part`; the prediction is a fixed linear formula."""
+"""Feature matrices, splits, models and metrics over `lineitem` joined with `part`.
+
+Where a prediction is needed but no fit, it is quantity times retail price; fits regress the extended price.
+"""
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.running import average_ranks, running
+from ledgerline.plans.structures import _QSAR, qsar, structures
 from ledgerline.registry import query
 from ledgerline.sources.tables import read
 
@@ -30,10 +38,265 @@ def group_folds(spark, d):
     return per.groupBy(fold).agg(F.sum("k").alias("n"), F.count("*").alias("groups"))
 
 
-@query("e10_regression_metrics", f"WITH {_P}, m AS (SELECT avg(y) AS my FROM p) SELECT round(sqrt(avg((y - f) ^ 2)), 3) AS rmse, round(avg(abs(y - f)), 3) AS mae, round(corr(y, f), 6) AS pearson, round(1 - avg((y - f) ^ 2) / var_pop(y), 6) AS r2 FROM p")
+@query("e1_fused_features", f"WITH {_QSAR} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -4 - 80 * l_discount AS affinity, round((-4 - 80 * l_discount) / coalesce(heavy, 20), 6) AS efficiency, round(coalesce(mw, 0), 5) AS mw, round(coalesce(logp, 0), 5) AS logp, coalesce(hbd, 0) AS hbd, round(coalesce(qed, 0), 5) AS qed FROM lineitem LEFT JOIN qsar ON p_partkey = l_partkey AND p_partkey % 9 <> 0")
+def fused_features(spark, d):
+    """Docking and structure features in one row, missing ones 0 (parts divisible by 9 have no structure)."""
+    q = qsar(structures(spark, d).where("p_partkey % 9 <> 0").select("p_partkey", "s"))
+    t = read(spark, d, "lineitem").join(q, F.col("p_partkey") == F.col("l_partkey"), "left")
+    affinity = -4 - 80 * F.col("l_discount")
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 5).alias(c)
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", affinity.alias("affinity"), F.round(affinity / F.coalesce("heavy", F.lit(20)), 6).alias("efficiency"), zero("mw"), zero("logp"), F.coalesce("hbd", F.lit(0)).cast("long").alias("hbd"), zero("qed"))
+
+
+@query("e2_finite_values", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN -10 ELSE value END::DOUBLE AS x FROM events")
+def finite_values(spark, d):
+    """NaN becomes 0, the infinities 10 and -10. Three of four rows are made such on purpose."""
+    special = F.when(F.col("event_id") % 4 == 0, float("nan")).when(F.col("event_id") % 4 == 1, float("inf")).when(F.col("event_id") % 4 == 2, float("-inf")).otherwise(F.col("value"))
+    x = F.col("x")
+    return read(spark, d, "events").select("event_id", special.alias("x")).select("event_id", F.when(F.isnan(x), 0.0).when(x == float("inf"), 10.0).when(x == float("-inf"), -10.0).otherwise(x).alias("x"))
+
+
+@query("e4_class_label", "SELECT doc_id, coalesce(quality, (n_chars / 300.0 >= 6.5)::INT)::BIGINT AS label FROM documents LEFT JOIN labels USING (doc_id)")
+def class_label(spark, d):
+    """A given label wins over the one that follows from the value."""
+    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", (F.col("n_chars") / 300 >= 6.5).cast("int")).cast("long").alias("label"))
+
+
+def held_groups(groups: DataFrame, key: str, share: float, seed: str) -> DataFrame:
+    """A share of the distinct groups, at least one, by the order of a seeded hash."""
+    distinct = groups.select(key).distinct()
+    n = max(1, int(distinct.count() * share))
+    return distinct.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(n)
+
+
+@query("e5_group_holdout", "WITH g AS (SELECT DISTINCT l_partkey FROM lineitem), t AS (SELECT l_partkey FROM g ORDER BY md5(l_partkey || 's1'), l_partkey LIMIT (SELECT greatest(1, floor(count(*) * 0.2))::BIGINT FROM g)) SELECT l_partkey IN (SELECT * FROM t) AS test, count(*)::BIGINT AS n, count(DISTINCT l_partkey)::BIGINT AS groups FROM lineitem GROUP BY 1")
+def group_holdout(spark, d):
+    t = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    test = held_groups(t, "l_partkey", 0.2, "s1").withColumn("test", F.lit(True))
+    return t.join(test, "l_partkey", "left").groupBy(F.coalesce("test", F.lit(False)).alias("test")).agg(F.sum("n").alias("n"), F.count("*").alias("groups"))
+
+
+@query("e7_random_split", "SELECT CAST('0x' || substr(md5(event_id || '_7'), 1, 8) AS BIGINT) % 5 = 0 AS test, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def random_split(spark, d):
+    h = F.conv(F.substring(F.md5(F.concat(F.col("event_id").cast("string"), F.lit("_7"))), 1, 8), 16, 10).cast("long")
+    return read(spark, d, "events").groupBy((h % 5 == 0).alias("test")).agg(F.count("*").alias("n"))
+
+
+_RANKS = "SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry, rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0 AS rf FROM p"
+
+
+@query("e10_regression_metrics", f"WITH {_P}, r AS ({_RANKS}) SELECT round(sqrt(avg((y - f) ^ 2)), 3) AS rmse, round(avg(abs(y - f)), 3) AS mae, round(corr(y, f), 6) AS pearson, round(corr(ry, rf), 6) AS spearman, round(1 - avg((y - f) ^ 2) / var_pop(y), 6) AS r2 FROM r")
 def regression_metrics(spark, d):
     e = F.col("y") - F.col("f")
-    return predictions(spark, d).agg(F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"), F.round(F.avg(F.abs(e)), 3).alias("mae"), F.round(F.corr("y", "f"), 6).alias("pearson"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"))
+    t = average_ranks(average_ranks(predictions(spark, d), "y", "ry"), "f", "rf")
+    return t.agg(F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"), F.round(F.avg(F.abs(e)), 3).alias("mae"), F.round(F.corr("y", "f"), 6).alias("pearson"), F.round(F.corr("ry", "rf"), 6).alias("spearman"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"))
+
+
+_CLS = "cl AS (SELECT l_extendedprice >= 30000 AS y, l_quantity * p_retailprice AS f, l_quantity >= 25 AS g FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query("e11_classification_metrics", f"""WITH {_CLS}, c AS (SELECT count(*) FILTER (y AND g)::DOUBLE AS tp, count(*) FILTER (y AND NOT g)::DOUBLE AS fn, count(*) FILTER (NOT y AND g)::DOUBLE AS fp, count(*) FILTER (NOT y AND NOT g)::DOUBLE AS tn FROM cl),
+    k AS (SELECT f, count(*) FILTER (y) AS pos, count(*) AS n FROM cl GROUP BY 1), u AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn FROM k WINDOW w AS (ORDER BY f)),
+    v AS (SELECT sum(pos * (cn - cp - (n - pos) / 2.0)) AS wins, sum(pos * (tp + fn - cp + pos) / (tp + fn + fp + tn - cn + n)) AS ap FROM u, c)
+    SELECT round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(wins / ((tp + fn) * (tn + fp)), 6) AS roc_auc, round(ap / (tp + fn), 6) AS pr_auc FROM c, v""")
+def classification_metrics(spark, d):
+    """Counts in one pass; both areas from cumulative counts per distinct score."""
+    t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    t = t.select((F.col("l_extendedprice") >= 30000).alias("y"), (F.col("l_quantity") * F.col("p_retailprice")).alias("f"), (F.col("l_quantity") >= 25).alias("g"))
+    y, g = F.col("y"), F.col("g")
+    n = lambda c: F.count_if(c).cast("double")
+    c = t.agg(n(y & g).alias("tp"), n(y & ~g).alias("fn"), n(~y & g).alias("fp"), n(~y & ~g).alias("tn"))  # one row
+    k = running(t.groupBy("f").agg(F.count_if(y).alias("pos"), F.count("*").alias("n")), "f", ("pos", "n")).crossJoin(F.broadcast(c))
+    wins = F.sum(F.col("pos") * (F.col("up_to_n") - F.col("up_to_pos") - (F.col("n") - F.col("pos")) / 2))
+    ap = F.sum(F.expr("pos * (tp + fn - up_to_pos + pos) / (tp + fn + fp + tn - up_to_n + n)"))
+    k = k.groupBy("tp", "fn", "fp", "tn").agg(wins.alias("wins"), ap.alias("ap"))
+    r = lambda x, name: F.round(F.expr(x), 6).alias(name)
+    return k.select(r("(tp + tn) / (tp + tn + fp + fn)", "accuracy"), r("(tp / (tp + fn) + tn / (tn + fp)) / 2", "balanced"), r("2 * tp / (2 * tp + fp + fn)", "f1"), r("wins / ((tp + fn) * (tn + fp))", "roc_auc"), r("ap / (tp + fn)", "pr_auc"))
+
+
+@query("e19_affinity_units", "WITH k AS (SELECT event_id, least(11, greatest(3, value / 10)) AS pkd FROM events) SELECT event_id, round(pkd, 6) AS pkd, round(-1.3633 * pkd, 9) AS dg, round(10 ^ (9 - pkd), 3) AS kd FROM k")
+def affinity_units(spark, d):
+    pkd = F.least(F.lit(11.0), F.greatest(F.lit(3.0), F.col("value") / 10))
+    return read(spark, d, "events").select("event_id", F.round(pkd, 6).alias("pkd"), F.round(-1.3633 * pkd, 9).alias("dg"), F.round(F.pow(F.lit(10.0), 9 - pkd), 3).alias("kd"))
+
+
+_DOMAIN = """t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 50 AS x, l_discount * 10 AS y FROM lineitem), m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_samp(x, x) + 1e-6 AS a, covar_samp(x, y) AS b, covar_samp(y, y) + 1e-6 AS c FROM t),
+    e AS (SELECT *, sqrt((x - mx) ^ 2 + (y - my) ^ 2) AS eu, sqrt(((x - mx) ^ 2 * c - 2 * b * (x - mx) * (y - my) + (y - my) ^ 2 * a) / (a * c - b * b)) AS ma FROM t, m), q AS (SELECT quantile_cont(eu, 0.95) AS edge, avg(eu) AS mean FROM e)"""
+
+
+@query("e21_applicability_domain", f"WITH {_DOMAIN} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ma, 5) AS distance, round(ma / (edge + 1e-8), 5) AS leverage, CASE WHEN ma <= mean THEN 'high' WHEN ma <= edge THEN 'medium' WHEN ma <= 1.5 * edge THEN 'low' ELSE 'out_of_domain' END AS label FROM e, q")
+def applicability_domain(spark, d):
+    """Mahalanobis distance to the mean of two features against the 95th percentile of Euclidean ones."""
+    t = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") / 50).alias("x"), (F.col("l_discount") * 10).alias("y"))
+    m = t.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.covar_samp("x", "x") + 1e-6).alias("a"), F.covar_samp("x", "y").alias("b"), (F.covar_samp("y", "y") + 1e-6).alias("c"))
+    u, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    e = t.crossJoin(F.broadcast(m)).withColumns({"eu": F.sqrt(u * u + v * v), "ma": F.sqrt((u * u * c - 2 * b * u * v + v * v * a) / (a * c - b * b))})  # m is one row
+    q = e.agg(F.percentile("eu", 0.95).alias("edge"), F.avg("eu").alias("mean"))
+    ma = F.col("ma")
+    label = F.when(ma <= F.col("mean"), "high").when(ma <= F.col("edge"), "medium").when(ma <= 1.5 * F.col("edge"), "low").otherwise("out_of_domain")
+    return e.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("ma", 5).alias("distance"), F.round(ma / (F.col("edge") + 1e-8), 5).alias("leverage"), label.alias("label"))
+
+
+@query("e22_domain_ranking", "SELECT event_id, round(value / 10 * CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.8 WHEN 'signup' THEN 0.5 ELSE 0.1 END, 6) AS score FROM events ORDER BY score DESC, event_id LIMIT 50")
+def domain_ranking(spark, d):
+    kind = F.col("event_type")
+    w = F.when(kind == "view", 1.0).when(kind == "click", 0.8).when(kind == "signup", 0.5).otherwise(0.1)
+    return read(spark, d, "events").select("event_id", F.round(F.col("value") / 10 * w, 6).alias("score")).orderBy(F.desc("score"), "event_id").limit(50)
+
+
+@query("e24_split_leaks", """WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS w FROM documents),
+    a AS (SELECT item_id, count(*) AS a FROM q GROUP BY 1), b AS (SELECT doc_id, count(*) AS b FROM t GROUP BY 1), i AS (SELECT item_id, doc_id, count(*) AS i FROM q JOIN t USING (w) GROUP BY 1, 2)
+    SELECT item_id, round(max(i::DOUBLE / (a + b - i)), 6) AS most, count(*) FILTER (i > 0.9 * (a + b - i))::BIGINT AS leaks FROM i JOIN a USING (item_id) JOIN b USING (doc_id) GROUP BY 1""")
+def split_leaks(spark, d):
+    """The greatest Jaccard similarity of each held-out text to any document, and pairs above 0.9."""
+    words = lambda: F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0))).alias("w")
+    q, t = read(spark, d, "benchmark").select("item_id", words()), read(spark, d, "documents").select("doc_id", words())
+    i = q.join(t, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("i"))
+    i = i.join(q.groupBy("item_id").agg(F.count("*").alias("a")), "item_id").join(t.groupBy("doc_id").agg(F.count("*").alias("b")), "doc_id")
+    union = F.col("a") + F.col("b") - F.col("i")
+    return i.groupBy("item_id").agg(F.round(F.max(F.col("i") / union), 6).alias("most"), F.count_if(F.col("i") > 0.9 * union).alias("leaks"))
+
+
+# ---- fits
+
+
+INPUTS = ["l_quantity", "p_retailprice", "p_size", "l_discount"]
+
+
+def training(spark, d) -> DataFrame:
+    """Rows with a feature vector x, the target y, a class and the fold of their order."""
+    t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    t = t.select("l_orderkey", *INPUTS, F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") >= 30000).cast("double").alias("active"), F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).alias("fold"))
+    return VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip").transform(t)
+
+
+def regressors() -> dict:
+    """The models that are compared; all with features x and target y."""
+    both = {"featuresCol": "x", "labelCol": "y"}
+    return {
+        "ridge": LinearRegression(**both, regParam=1.0, elasticNetParam=0.0),
+        "lasso": LinearRegression(**both, regParam=1.0, elasticNetParam=1.0),
+        "elastic_net": LinearRegression(**both, regParam=1.0, elasticNetParam=0.5),
+        "tree": DecisionTreeRegressor(**both, maxDepth=5, seed=7),
+        "forest": RandomForestRegressor(**both, numTrees=10, maxDepth=5, seed=7),
+        "boosted": GBTRegressor(**both, maxIter=5, maxDepth=3, seed=7),
+    }
+
+
+def scored(t: DataFrame, *names: str | Column) -> DataFrame:
+    e = F.col("y") - F.col("prediction")
+    return t.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.avg(e * e) / F.var_pop("y")).alias("r2")).select(*names, "n", "rmse", "r2")
+
+
+@query("e6_cluster_holdout")
+def cluster_holdout(spark, d):
+    """Whole clusters of the feature space are held out."""
+    x = training(spark, d)
+    model = KMeans(k=5, featuresCol="x", predictionCol="cluster", seed=7, maxIter=10).fit(x)
+    t = model.transform(x).groupBy("cluster").agg(F.count("*").alias("n"))
+    test = held_groups(t, "cluster", 0.2, "s1").withColumn("test", F.lit(True))
+    return t.join(test, "cluster", "left").select("cluster", "n", F.coalesce("test", F.lit(False)).alias("test"))
+
+
+@query("e9_cross_validation")
+def cross_validation(spark, d):
+    """Five folds by order: each is predicted by a model of the rest; mean and spread of the metrics."""
+    x = training(spark, d)
+    folds = None
+    for k in range(5):
+        m = scored(regressors()["ridge"].fit(x.where(F.col("fold") != k)).transform(x.where(F.col("fold") == k)), F.lit(k).alias("fold"))
+        folds = m if folds is None else folds.unionByName(m)
+    return folds.agg(F.sum("n").alias("n"), F.avg("rmse").alias("rmse"), F.stddev_pop("rmse").alias("rmse_spread"), F.avg("r2").alias("r2"), F.stddev_pop("r2").alias("r2_spread"))
+
+
+@query("e12_model_benchmark")
+def model_benchmark(spark, d):
+    """Hold-out metrics of every regressor."""
+    x = training(spark, d)
+    out = None
+    for name, model in regressors().items():
+        m = scored(model.fit(x.where("fold > 0")).transform(x.where("fold = 0")), F.lit(name).alias("model"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("e13_best_model")
+def best_model(spark, d):
+    """The model with the greatest r2 and the one with the least error."""
+    return model_benchmark(spark, d).agg(F.max_by("model", F.struct("r2", "model")).alias("by_r2"), F.min_by("model", F.struct("rmse", "model")).alias("by_rmse"))
+
+
+@query("e15_classifiers")
+def classifiers(spark, d):
+    """Balanced by weight: each class has half of the total weight."""
+    x = training(spark, d)
+    share = x.agg(F.avg("active").alias("share"))  # one row
+    x = x.crossJoin(F.broadcast(share)).withColumn("w", F.when(F.col("active") == 1, 0.5 / F.col("share")).otherwise(0.5 / (1 - F.col("share"))))
+    both = {"featuresCol": "x", "labelCol": "active", "weightCol": "w"}
+    out = None
+    for name, model in {"logistic": LogisticRegression(**both, maxIter=20), "forest": RandomForestClassifier(**both, numTrees=10, maxDepth=4, seed=7)}.items():
+        t = model.fit(x.where("fold > 0")).transform(x.where("fold = 0"))
+        right = F.avg((F.col("prediction") == F.col("active")).cast("double"))
+        m = t.agg(F.count("*").alias("n"), right.alias("accuracy")).select(F.lit(name).alias("model"), "n", "accuracy")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("e16_stacking")
+def stacking(spark, d):
+    """Out-of-fold predictions of two base models are the features of a ridge model."""
+    x = training(spark, d)
+    parts = None
+    for k in range(1, 3):
+        rest, fold = x.where(F.col("fold") % 2 + 1 != k), x.where(F.col("fold") % 2 + 1 == k)
+        for name in ("ridge", "tree"):
+            fold = regressors()[name].fit(rest).transform(fold).withColumnRenamed("prediction", name)
+        parts = fold if parts is None else parts.unionByName(fold)
+    z = VectorAssembler(inputCols=["ridge", "tree"], outputCol="z").transform(parts)
+    meta = LinearRegression(featuresCol="z", labelCol="y", regParam=1.0).fit(z.where("fold > 0"))
+    return scored(meta.transform(z.where("fold = 0")))
+
+
+@query("e17_batch_predict")
+def batch_predict(spark, d):
+    """Every row of the table: rows that have no valid features keep a sentinel and an error."""
+    t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    t = t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") < 7, F.col("l_quantity")).alias("l_quantity"), *INPUTS[1:])
+    model = regressors()["ridge"].fit(training(spark, d))
+    whole = F.lit(True)
+    for c in INPUTS:
+        whole = whole & F.col(c).isNotNull()
+    filled = t.withColumn("whole", whole).fillna(0, INPUTS)
+    p = model.transform(VectorAssembler(inputCols=INPUTS, outputCol="x").transform(filled))
+    return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("whole"), F.col("prediction")).otherwise(0.0).alias("prediction"), F.when(~F.col("whole"), "missing feature").alias("error"))
+
+
+@query("e18_ensemble_uncertainty")
+def ensemble_uncertainty(spark, d):
+    """Spread of the predictions of three models for each held-out row, plus 0.2."""
+    x = training(spark, d)
+    t, names = x.where("fold = 0"), ("ridge", "tree", "forest")
+    for name in names:
+        t = regressors()[name].fit(x.where("fold > 0")).transform(t).withColumnRenamed("prediction", name)
+    p = F.array(*names)
+    mean = F.aggregate(p, F.lit(0.0), lambda a, b: a + b) / len(names)
+    spread = F.sqrt(F.aggregate(F.transform(p, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, b: a + b) / len(names))
+    return t.select("l_orderkey", mean.alias("mean"), (spread + 0.2).alias("uncertainty"))
+
+
+@query("e25_forest_rescoring")
+def forest_rescoring(spark, d):
+    """Prediction of a small forest, and a confidence from the variance over its trees."""
+    x = training(spark, d)
+    model = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=5, maxDepth=4, seed=7).fit(x.where("fold > 0"))
+    t = x.where("fold = 0")
+    for i, tree in enumerate(model.trees):
+        t = tree.setPredictionCol(f"t{i}").transform(t)
+    p = F.array(*(f"t{i}" for i in range(len(model.trees))))
+    mean = F.aggregate(p, F.lit(0.0), lambda a, b: a + b) / len(model.trees)
+    variance = F.aggregate(F.transform(p, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, b: a + b) / len(model.trees)
+    return t.select("l_orderkey", mean.alias("rescored"), (1 / (1 + F.sqrt(variance) / 1000)).alias("confidence"))
 
 
 @query("e20_activity_class", f"WITH {_P} SELECT CASE WHEN f >= 45000 THEN 'active' WHEN f >= 15000 THEN 'moderate' ELSE 'inactive' END AS class, count(*)::BIGINT AS n FROM p GROUP BY 1")
@@ -45,9 +308,15 @@ def activity_class(spark, d):
 @query("e14_forest_fit")
 def forest_fit(spark, d):
     """A random forest on a hold-out split by order; returns its hold-out metrics."""
-    t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    x = VectorAssembler(inputCols=["l_quantity", "p_retailprice", "p_size", "l_discount"], outputCol="x", handleInvalid="skip").transform(t.select("l_orderkey", "l_quantity", "p_retailprice", "p_size", "l_discount", F.col("l_extendedprice").alias("y")))
-    held = F.pmod(F.xxhash64("l_orderkey"), F.lit(5)) == 0
-    model = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=10, maxDepth=5, seed=7).fit(x.where(~held))
-    e = F.col("y") - F.col("prediction")
-    return model.transform(x.where(held)).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.avg(e * e) / F.var_pop("y")).alias("r2"))
+    x = training(spark, d)
+    return scored(regressors()["forest"].fit(x.where("fold > 0")).transform(x.where("fold = 0")))
+
+
+@query("f6_global_importance")
+def global_importance(spark, d):
+    """Importances of the forest, one row per feature; equal shares when the model has none."""
+    model = regressors()["forest"].fit(training(spark, d))
+    weights = [float(v) for v in model.featureImportances.toArray()]
+    if not sum(weights):
+        weights = [1 / len(INPUTS)] * len(INPUTS)
+    return spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(v).alias("importance")) for n, v in zip(INPUTS, weights, strict=True)))).alias("t")).select("t.*")

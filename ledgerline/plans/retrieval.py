@@ -1,11 +1,16 @@
-"""Literature retrieval: `documents` is the corpus, `benchmark.text` the questions."""
+"""Literature retrieval: `documents` is the corpus, `benchmark.text` the questions.
+
+A document's title is its first sentence, its category `lang`, its journal `source`, its year 2015 + doc_id mod 10.
+Questions are keyed by item_id throughout, so that a batch of them is one job.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.expressions import significant_words
+from ledgerline.plans.evidence import _ANS, answers
 from ledgerline.registry import query
 from ledgerline.sources.tables import read
 
@@ -21,12 +26,15 @@ def document_frequency(spark, d):
     return t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
 
 
-@query("g3_tfidf_top", """WITH n AS (SELECT count(*) AS n FROM documents), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents)
+_TFIDF = """n AS (SELECT count(*) AS n FROM documents), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents)
     , tf AS (SELECT doc_id, term, count(*) AS f FROM t GROUP BY 1, 2), df AS (SELECT term, ln((1 + n) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf, n GROUP BY term, n)
     , w AS (SELECT doc_id, term, f * idf AS w FROM tf JOIN df USING (term)), norm AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1)
     , q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark)
     , s AS (SELECT item_id, doc_id, round(sum(w.w * idf) / max(norm.s), 6) AS score FROM q JOIN df USING (term) JOIN w USING (term) JOIN norm USING (doc_id) GROUP BY 1, 2)
-    , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5""")
+    , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s WHERE score > 0), hits AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5)"""
+
+
+@query("g3_tfidf_top", f"WITH {_TFIDF} SELECT * FROM hits")
 def tfidf_top(spark, d):
     docs = read(spark, d, "documents")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), 0)
@@ -38,17 +46,230 @@ def tfidf_top(spark, d):
     q = read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(words("text"))).alias("term"))
     s = q.join(w, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("idf")).alias("dot")).join(norm, "doc_id")
     s = s.select("item_id", "doc_id", F.round(F.col("dot") / F.col("s"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return s.withColumn("rank", rank).where("rank <= 5").select("item_id", "doc_id", "score", "rank")
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")).cast("long")
+    return s.where("score > 0").withColumn("rank", rank).where("rank <= 5").select("item_id", "doc_id", "score", "rank")
+
+
+#: Stop words of the index; a parameter.
+STOP = ("the", "and", "of", "to", "in", "is", "that", "it", "for", "on", "as", "with", "at", "by", "an", "be", "this", "are", "from", "or")
+#: Categories that a word of the question favours, and the pair that holds without such a word; a parameter.
+INTENT = {"that": ("en", "de"), "the": ("en",), "der": ("de",), "que": ("es", "fr"), "les": ("fr",), "los": ("es",)}
+DEFAULT_INTENT = ("en", "fr")
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+WORDS = r"[\p{L}\p{N}_]+"
+
+
+def words_of(c: Column, longer: int) -> Column:
+    """Distinct lower-cased words of more than so many characters."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(WORDS), 0), lambda w: F.length(w) > longer))
+
+
+def _words(c, longer):
+    return f"list_distinct(list_filter(regexp_extract_all(lower({c}), '{WORDS}'), lambda w: length(w) > {longer}))"
+
+
+@query("g1_index_text", "SELECT doc_id, md5(concat_ws(' ', regexp_extract(text, '^[^.]*'), text, substr(text, 1, 2000), lang, source)) AS h FROM documents")
+def index_text(spark, d):
+    """The text that is embedded: title, abstract (the whole text), its first 2000 characters, keywords."""
+    joined = F.concat_ws(" ", F.regexp_extract("text", r"^[^.]*", 0), "text", F.substring("text", 1, 2000), "lang", "source")
+    return read(spark, d, "documents").select("doc_id", F.md5(joined).alias("h"))
+
+
+@query("g2_tfidf_index", f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM documents),
+    t AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), tf AS (SELECT doc_id, term, count(*) AS f FROM t GROUP BY 1, 2),
+    n AS (SELECT count(*) AS n FROM documents), v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf, n GROUP BY 1 HAVING count(*) <= 0.9 * max(n) ORDER BY sum(f) DESC, term LIMIT 10000)
+    SELECT doc_id, count(*)::BIGINT AS terms, round(sqrt(sum((f * idf) ^ 2)), 5) AS norm FROM tf JOIN v USING (term) GROUP BY 1""")
+def tfidf_index(spark, d):
+    """Terms and norm of each document in the index of single words and pairs, the 10,000 most frequent ones."""
+    docs = read(spark, d, "documents")
+    w = docs.select("doc_id", F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), lambda x: ~x.isin(*STOP)).alias("w"))
+    pairs = F.zip_with(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda b, a: F.concat(a, F.lit(" "), b))
+    tf = w.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    v = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("cf")).crossJoin(F.broadcast(n)).where("df <= 0.9D * n")
+    v = v.orderBy(F.desc("cf"), "term").limit(10000).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    x = F.col("f") * F.col("idf")
+    return tf.join(F.broadcast(v), "term").groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(x * x)), 5).alias("norm"))  # at most 10,000 terms
+
+
+@query("g4_dense_top", """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2), q AS (SELECT label AS query, list(x ORDER BY i) AS q FROM c GROUP BY 1),
+    s AS (SELECT query, vec_id, round(list_inner_product(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::BIGINT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+def dense_top(spark, d):
+    """The five nearest vectors to the mean vector of each label, by inner product; a scan of all vectors per query."""
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    q = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("q")).withColumnRenamed("label", "query")
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    s = q.crossJoin(e.select("vec_id", "v")).select("query", "vec_id", F.round(dot, 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")).cast("long")
+    return s.withColumn("rank", rank).where("rank <= 5")
+
+
+_KEY = f"""qw AS (SELECT item_id, unnest({_words('text', 3)}) AS word FROM benchmark), titles AS (SELECT doc_id, lower(regexp_extract(text, '^[^.]*')) AS title FROM documents WHERE text IS NOT NULL),
+    qn AS (SELECT item_id, count(*) AS words FROM qw GROUP BY 1), ks AS (SELECT item_id, doc_id, round(count(*)::DOUBLE / max(words), 6) AS score FROM qw JOIN titles ON contains(title, word) JOIN qn USING (item_id) GROUP BY 1, 2)"""
+
+
+def keyword_scores(spark, d) -> DataFrame:
+    """Share of a question's words that occur within a title. Containment is decided once per distinct pair of words."""
+    qw = read(spark, d, "benchmark").select("item_id", F.explode(words_of(F.col("text"), 3)).alias("word"))
+    title = F.lower(F.regexp_extract("text", r"^[^.]*", 0))
+    tokens = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split(title, r"\s+"))).alias("token"))
+    pairs = tokens.select("token").distinct().join(qw.select("word").distinct(), F.contains("token", "word"))
+    hits = tokens.join(pairs, "token").select("doc_id", "word").distinct().join(qw, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    return hits.join(qw.groupBy("item_id").agg(F.count("*").alias("words")), "item_id").select("item_id", "doc_id", F.round(F.col("n") / F.col("words"), 6).alias("score"))
+
+
+@query("g6_keyword_fallback", f"WITH {_KEY} SELECT item_id, doc_id, score FROM ks")
+def keyword_fallback(spark, d):
+    return keyword_scores(spark, d)
+
+
+@query("g5_hybrid_merge", f"WITH {_TFIDF}, {_KEY}, p AS (SELECT * FROM ks WHERE score >= 0.2), few AS (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM p GROUP BY 1 HAVING count(*) >= 2)) SELECT item_id, doc_id, score FROM p UNION ALL SELECT item_id, doc_id, round(score * 0.8, 6) FROM hits WHERE item_id IN (SELECT * FROM few) AND (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM p)")
+def hybrid_merge(spark, d):
+    """The first method's hits (score of 0.2 or more); where it has under two, unseen TF-IDF hits at 0.8 of their score."""
+    p = keyword_scores(spark, d).where("score >= 0.2")
+    enough = p.groupBy("item_id").agg(F.count("*").alias("n")).where("n >= 2")
+    more = tfidf_top(spark, d).join(enough, "item_id", "left_anti").join(p, ["item_id", "doc_id"], "left_anti")
+    return p.unionByName(more.select("item_id", "doc_id", F.round(F.col("score") * 0.8, 6).alias("score")))
+
+
+_INTENT = "intent AS (SELECT item_id, text, list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN {list(v)} ELSE [] END" for k, v in INTENT.items()) + f"]))) AS found FROM benchmark), cats AS (SELECT item_id, text, CASE WHEN len(found) = 0 THEN {list(DEFAULT_INTENT)} ELSE found END AS cats FROM intent)"
+
+
+def intents(t: DataFrame) -> DataFrame:
+    """Adds cats, the categories that a question favours."""
+    low = F.lower("text")
+    none = F.array().cast("array<string>")
+    favoured = F.concat(*(F.when(F.contains(low, F.lit(k)), F.array(*(F.lit(x) for x in v))).otherwise(none) for k, v in INTENT.items()))
+    distinct = F.array_sort(F.array_distinct(favoured))
+    return t.withColumn("cats", F.when(F.size(distinct) == 0, F.array(*(F.lit(x) for x in DEFAULT_INTENT))).otherwise(distinct))
+
+
+@query("g10_query_intent", f"WITH {_INTENT} SELECT item_id, array_to_string(cats, ';') AS cats FROM cats")
+def query_intent(spark, d):
+    return intents(read(spark, d, "benchmark")).select("item_id", F.array_join("cats", ";").alias("cats"))
+
+
+_RERANK = f"""{_TFIDF}, {_INTENT}, full_ AS (SELECT h.item_id, h.doc_id, h.score, b.text AS q, d.text AS t, d.lang, d.source, 2015 + h.doc_id % 10 AS year, b.cats FROM hits h JOIN cats b USING (item_id) JOIN documents d USING (doc_id)),
+    rs AS (SELECT *, round(0.6 * score + 0.2 * len(list_intersect({_words('q', 2)}, {_words('t', 2)})) / greatest(1, len({_words('q', 2)})) + CASE WHEN year >= 2020 THEN least(0.2, 0.05 * (year - 2019)) ELSE 0 END + CASE WHEN list_contains(cats, lang) THEN 0.15 ELSE 0 END, 6)::DOUBLE AS final FROM full_),
+    reranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id)::BIGINT AS place FROM rs)"""
 
 
-@query("g13_citations", "SELECT conv_id, count(DISTINCT c)::BIGINT AS cited FROM (SELECT conv_id, unnest(regexp_extract_all(text || ' [REF_' || conv_id || ']', '\\[REF_[0-9]+\\]')) AS c FROM conversations WHERE role = 'assistant') GROUP BY 1")
+def reranked(spark, d) -> DataFrame:
+    """TF-IDF hits with their texts and a final score from score, word overlap, recency and category; place is the rank."""
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("t"), "lang", "source", (2015 + F.col("doc_id") % 10).alias("year"))
+    t = tfidf_top(spark, d).drop("rank").join(intents(read(spark, d, "benchmark")).withColumnRenamed("text", "q"), "item_id").join(docs, "doc_id")
+    q, w = words_of(F.col("q"), 2), words_of(F.col("t"), 2)
+    overlap = F.size(F.array_intersect(q, w)) / F.greatest(F.lit(1), F.size(q))
+    recency = F.when(F.col("year") >= 2020, F.least(F.lit(0.2), 0.05 * (F.col("year") - 2019))).otherwise(0.0)
+    final = 0.6 * F.col("score") + 0.2 * overlap + recency + F.when(F.array_contains("cats", F.col("lang")), 0.15).otherwise(0.0)
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("final"), "doc_id")).cast("long")
+    return t.withColumn("final", F.round(final, 6)).withColumn("place", place)
+
+
+@query("g7_rerank", f"WITH {_RERANK} SELECT item_id, doc_id, final, place FROM reranked")
+def rerank(spark, d):
+    return reranked(spark, d).select("item_id", "doc_id", "final", "place")
+
+
+_HIGH = f"""{_RERANK}, sents AS (SELECT item_id, doc_id, place, final, unnest(string_split(regexp_replace(t, '([.!?])[ \t\n\r]+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(t, '([.!?])[ \t\n\r]+', '\\1' || chr(1), 'g'), chr(1)), 1) AS pos, {_words('q', 3)} AS kw FROM reranked),
+    scored AS (SELECT *, len(list_filter(kw, lambda k: contains(lower(s), k))) AS n FROM sents), best AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n DESC, pos)::BIGINT AS nth FROM scored WHERE n > 0), lights AS (SELECT * FROM best WHERE nth <= 2)"""
+
+
+def highlights(spark, d) -> DataFrame:
+    """The two sentences of each hit with most of the question's words, in order of hits, then of place in the text."""
+    pieces = F.split("t", r"(?<=[.!?])[ \t\n\r]+")
+    s = reranked(spark, d).select("item_id", "doc_id", "place", "final", words_of(F.col("q"), 3).alias("kw"), F.posexplode(pieces).alias("pos", "s"))
+    s = s.withColumn("n", F.size(F.filter("kw", lambda k: F.contains(F.lower("s"), k)))).where("n > 0")
+    nth = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(F.desc("n"), "pos")).cast("long")
+    return s.withColumn("nth", nth).where("nth <= 2")
+
+
+@query("g8_highlights", f"WITH {_HIGH} SELECT item_id, doc_id, nth, n::BIGINT AS hits, s AS sentence FROM lights")
+def highlight_rows(spark, d):
+    return highlights(spark, d).select("item_id", "doc_id", "nth", F.col("n").cast("long").alias("hits"), F.col("s").alias("sentence"))
+
+
+@query("g9_batch_retrieval", f"WITH {_TFIDF} SELECT item_id, count(*)::BIGINT AS hits, max(score) AS best FROM hits GROUP BY 1")
+def batch_retrieval(spark, d):
+    return tfidf_top(spark, d).groupBy("item_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+
+
+@query("g11_context_blocks", f"WITH {_RERANK} SELECT item_id, md5(string_agg('[REF_' || doc_id || '] ' || lang || ', ' || year || chr(10) || t, chr(10) || chr(10) ORDER BY place)) AS h FROM reranked GROUP BY 1")
+def context_blocks(spark, d):
+    """One context text per question: its hits in order, each with its id. At most five texts a question."""
+    block = F.concat(F.lit("[REF_"), F.col("doc_id").cast("string"), F.lit("] "), "lang", F.lit(", "), F.col("year").cast("string"), F.lit("\n"), "t")
+    blocks = reranked(spark, d).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", block.alias("block")))).alias("b"))
+    return blocks.select("item_id", F.md5(F.array_join("b.block", "\n\n")).alias("h"))
+
+
+@query("g12_extractive_answer", f"WITH {_HIGH} SELECT item_id, string_agg(s || ' [REF_' || doc_id || ']', ' ' ORDER BY place) || ' See [REF_0].' AS answer FROM lights WHERE nth = 1 AND place <= 4 GROUP BY 1")
+def extractive_answer(spark, d):
+    part = F.concat("s", F.lit(" [REF_"), F.col("doc_id").cast("string"), F.lit("]"))
+    a = highlights(spark, d).where("nth = 1 AND place <= 4").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("p")))).alias("a"))
+    return a.select("item_id", F.concat(F.array_join("a.p", " "), F.lit(" See [REF_0].")).alias("answer"))
+
+
+_CITE = f"{_ANS}, refs AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(answer || ' [REF_' || (conv_id * 37) || ']', '\\[REF_([0-9]+)\\]', 1))::BIGINT AS ref FROM answers), corpus AS (SELECT doc_id, any_value(source) AS source FROM documents GROUP BY 1), checked AS (SELECT conv_id, turn, ref, source, doc_id IS NOT NULL AS valid FROM refs LEFT JOIN corpus ON doc_id = ref)"
+
+
+def checked(spark, d) -> DataFrame:
+    """Distinct citations of each answer, with whether the corpus has them."""
+    text = F.concat("answer", F.lit(" [REF_"), (F.col("conv_id") * 37).cast("string"), F.lit("]"))
+    refs = answers(spark, d).select("conv_id", "turn", F.explode(F.regexp_extract_all(text, F.lit(r"\[REF_([0-9]+)\]"), 1)).alias("ref")).withColumn("ref", F.col("ref").cast("long")).distinct()
+    corpus = read(spark, d, "documents").groupBy(F.col("doc_id").alias("ref")).agg(F.min("source").alias("source"), F.lit(True).alias("known"))
+    return refs.join(corpus, "ref", "left").select("conv_id", "turn", "ref", "source", F.col("known").isNotNull().alias("valid"))
+
+
+@query("g13_citations", f"WITH {_CITE} SELECT conv_id, turn, count(*)::BIGINT AS cited FROM checked GROUP BY 1, 2")
 def citations(spark, d):
-    t = read(spark, d, "conversations").where("role = 'assistant'")
-    text = F.concat("text", F.lit(" [REF_"), F.col("conv_id").cast("string"), F.lit("]"))
-    return t.select("conv_id", F.explode(F.regexp_extract_all(text, F.lit(r"\[REF_[0-9]+\]"), 0)).alias("c")).groupBy("conv_id").agg(F.count_distinct("c").alias("cited"))
+    return checked(spark, d).groupBy("conv_id", "turn").agg(F.count("*").alias("cited"))
+
+
+@query("g14_citation_check", f"WITH {_CITE} SELECT conv_id, turn, coalesce(string_agg(ref::VARCHAR, ';' ORDER BY ref) FILTER (valid), '') AS valid, coalesce(string_agg(ref::VARCHAR, ';' ORDER BY ref) FILTER (NOT valid), '') AS invalid, bool_and(valid) AS passed FROM checked GROUP BY 1, 2")
+def citation_check(spark, d):
+    ids = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("ref")))).cast("array<string>"), ";")
+    return checked(spark, d).groupBy("conv_id", "turn").agg(ids(F.col("valid")).alias("valid"), ids(~F.col("valid")).alias("invalid"), F.bool_and("valid").alias("passed"))
+
+
+@query("g15_bibliography", f"WITH {_CITE} SELECT conv_id, turn, ref, source AS journal, 2015 + ref % 10 AS year FROM checked WHERE valid")
+def bibliography(spark, d):
+    return checked(spark, d).where("valid").select("conv_id", "turn", "ref", F.col("source").alias("journal"), (2015 + F.col("ref") % 10).alias("year"))
+
+
+@query("g16_answer_confidence", f"WITH {_RERANK} SELECT item_id, round(least(0.95, 0.6 * avg(final) + 0.4 * count(*) FILTER (doc_id % 2 = 0) / count(*)), 5) AS confidence FROM reranked GROUP BY 1")
+def answer_confidence(spark, d):
+    """From the mean score and the share of hits that the answer cites (here those with an even id)."""
+    c = 0.6 * F.avg("final") + 0.4 * F.count_if(F.col("doc_id") % 2 == 0) / F.count("*")
+    return reranked(spark, d).groupBy("item_id").agg(F.round(F.least(F.lit(0.95), c), 5).alias("confidence"))
+
+
+@query("g17_abstention", f"WITH {_KEY} SELECT item_id, CASE WHEN count(doc_id) = 0 THEN 'no evidence' ELSE 'answered' END AS state FROM benchmark LEFT JOIN (SELECT * FROM ks WHERE score >= 0.2) USING (item_id) GROUP BY 1")
+def abstention(spark, d):
+    """Questions without any hit of 0.2 or more are answered by an abstention."""
+    n = keyword_scores(spark, d).where("score >= 0.2").groupBy("item_id").agg(F.count("*").alias("n"))
+    return read(spark, d, "benchmark").select("item_id").join(n, "item_id", "left").select("item_id", F.when(F.col("n").isNull(), "no evidence").otherwise("answered").alias("state"))
+
+
+@query("g18_corpus_filters", "SELECT doc_id FROM documents WHERE lang = 'en' AND len(list_filter([lower(source)], lambda s: contains(s, 'e'))) > 0")
+def corpus_filters(spark, d):
+    return read(spark, d, "documents").where(F.col("lang") == "en").where(F.exists(F.array(F.lower("source")), lambda s: F.contains(s, F.lit("e")))).select("doc_id")
+
+
+@query("g20_word_overlap", f"""WITH q AS (SELECT DISTINCT item_id, unnest({_words('text', 0)}) AS w FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest({_words('text', 0)}) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*)::BIGINT AS n FROM q JOIN t USING (w) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id)::BIGINT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+def word_overlap(spark, d):
+    """The five documents that share most distinct words with each question."""
+    q = read(spark, d, "benchmark").select("item_id", F.explode(words_of(F.col("text"), 0)).alias("w"))
+    t = read(spark, d, "documents").select("doc_id", F.explode(words_of(F.col("text"), 0)).alias("w"))
+    s = q.join(t, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id")).cast("long")
+    return s.withColumn("rank", rank).where("rank <= 5")
 
 
-@query("j2_significant_words", "SELECT page_id, len(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(url), '[^a-z ]', '', 'g'), ' +'), lambda w: length(w) >= 4)))::BIGINT AS n FROM pages")
-def page_words(spark, d):
-    return read(spark, d, "pages").select("page_id", F.size(significant_words(F.col("url"))).cast("long").alias("n"))
+@query("g21_query_table", "WITH c AS (SELECT 'evidence for ' || p_name || ' ' || p_partkey AS question, 2 AS part, p_retailprice, p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 3) SELECT question FROM (SELECT 'mechanism of action' AS question UNION ALL SELECT 'safety profile' UNION ALL SELECT 'binding affinity' UNION ALL SELECT question FROM c)")
+def query_table(spark, d):
+    """Three default questions and one for each of the three best candidates, six at most."""
+    default = spark.range(1).select(F.explode(F.array(*(F.lit(q) for q in ("mechanism of action", "safety profile", "binding affinity")))).alias("question"))
+    top = read(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(3)
+    return default.unionByName(top.select(F.concat(F.lit("evidence for "), "p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("question")))
