@@ -251,9 +251,9 @@ def abstention(spark, d):
     return read(spark, d, "benchmark").select("item_id").join(n, "item_id", "left").select("item_id", F.when(F.col("n").isNull(), "no evidence").otherwise("answered").alias("state"))
 
 
-@query("g18_corpus_filters", "SELECT doc_id FROM documents WHERE lang = 'en' AND len(list_filter([lower(source)], lambda s: contains(s, 'e'))) > 0")
+@query("g18_corpus_filters", "SELECT doc_id FROM documents WHERE lang = 'en' AND len(list_filter([lower(source)], lambda s: contains(s, '1'))) > 0")
 def corpus_filters(spark, d):
-    return read(spark, d, "documents").where(F.col("lang") == "en").where(F.exists(F.array(F.lower("source")), lambda s: F.contains(s, F.lit("e")))).select("doc_id")
+    return read(spark, d, "documents").where(F.col("lang") == "en").where(F.exists(F.array(F.lower("source")), lambda s: F.contains(s, F.lit("1")))).select("doc_id")
 
 
 @query("g20_word_overlap", f"""WITH q AS (SELECT DISTINCT item_id, unnest({_words('text', 0)}) AS w FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest({_words('text', 0)}) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*)::BIGINT AS n FROM q JOIN t USING (w) GROUP BY 1, 2),
