@@ -13,7 +13,8 @@ from ledgerline.sources.tables import read
 
 #: Feature, its expression, group, coefficient and importance; parameters.
 FEATURES = (("discount", "l_discount * 10", "docking", -10.0, 0.2), ("price", "p_retailprice / 100", "qsar", 5.0, 0.3), ("quantity", "l_quantity / 10", "docking", 20.0, 0.4), ("size", "p_size / 10", "class", 5.0, 0.1))
-KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: The first four are not always unique; with the price they are.
+KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 _K = ", ".join(KEY)
 
 _WIDE = f"wide AS (SELECT {_K}, " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e, *_ in FEATURES) + " FROM lineitem JOIN part ON p_partkey = l_partkey), pred AS (SELECT *, " + " + ".join(f"{c}::DOUBLE * {n}" for n, _, _, c, _ in FEATURES) + " AS p FROM wide), st AS (SELECT avg(p) AS base, " + ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n, *_ in FEATURES) + " FROM pred)"
@@ -46,26 +47,26 @@ def long(spark, d) -> DataFrame:
     return contributions(spark, d).select(*KEY, F.explode("items").alias("i")).select(*KEY, "i.*")
 
 
-@query("f1_importance_deviation", f"WITH {_LONG} SELECT {_K}, feature, round(c1, 5) AS c FROM con")
+@query("f1_importance_deviation", f"WITH {_LONG} SELECT {_K}, feature, round(c1, 9) AS c FROM con")
 def importance_deviation(spark, d):
-    return long(spark, d).select(*KEY, "feature", F.round("c1", 5).alias("c"))
+    return long(spark, d).select(*KEY, "feature", F.round("c1", 9).alias("c"))
 
 
-@query("f2_occlusion", f"WITH {_LONG} SELECT {_K}, feature, round(c2, 5) AS c FROM con")
+@query("f2_occlusion", f"WITH {_LONG} SELECT {_K}, feature, round(c2, 9) AS c FROM con")
 def occlusion(spark, d):
-    return long(spark, d).select(*KEY, "feature", F.round("c2", 5).alias("c"))
+    return long(spark, d).select(*KEY, "feature", F.round("c2", 9).alias("c"))
 
 
-@query("f3_baseline", f"WITH {_WIDE} SELECT count(*)::BIGINT AS n, round(avg(p), 5) AS base FROM pred")
+@query("f3_baseline", f"WITH {_WIDE} SELECT count(*)::BIGINT AS n, round(avg(p), 9) AS base FROM pred")
 def baseline(spark, d):
-    return predicted(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("p"), 5).alias("base"))
+    return predicted(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("p"), 9).alias("base"))
 
 
-@query("f4_background_sample", f"WITH {_WIDE} SELECT {_K}, round(p, 5) AS p FROM pred ORDER BY md5(concat_ws('-', {_K}) || 's'), {_K} LIMIT 200")
+@query("f4_background_sample", f"WITH {_WIDE} SELECT {_K}, round(p, 9) AS p FROM pred ORDER BY md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) || 's'), {_K} LIMIT 200")
 def background_sample(spark, d):
     """Two hundred rows by the order of a seeded hash; a rerun takes the same."""
-    key = F.md5(F.concat(F.concat_ws("-", *(F.col(k).cast("string") for k in KEY)), F.lit("s")))
-    return predicted(spark, d).orderBy(key, *KEY).limit(200).select(*KEY, F.round("p", 5).alias("p"))
+    key = F.md5(F.concat(F.concat_ws("-", *(F.col(k).cast("string") for k in KEY[:4])), F.lit("s")))
+    return predicted(spark, d).orderBy(key, *KEY).limit(200).select(*KEY, F.round("p", 9).alias("p"))
 
 
 def noise(seed: Column, name: str) -> Column:
@@ -108,9 +109,9 @@ def groups(spark, d) -> DataFrame:
     return long(spark, d).groupBy(*KEY, "grp").agg(F.sum("c1").alias("s"), F.avg(F.abs("c1")).alias("m"))
 
 
-@query("f7_group_contributions", f"WITH {_LONG}, {_GROUPS} SELECT {_K}, grp, round(s, 5) AS total, round(m, 5) AS mean FROM grp")
+@query("f7_group_contributions", f"WITH {_LONG}, {_GROUPS} SELECT {_K}, grp, round(s, 9) AS total, round(m, 9) AS mean FROM grp")
 def group_contributions(spark, d):
-    return groups(spark, d).select(*KEY, "grp", F.round("s", 5).alias("total"), F.round("m", 5).alias("mean"))
+    return groups(spark, d).select(*KEY, "grp", F.round("s", 9).alias("total"), F.round("m", 9).alias("mean"))
 
 
 def top_features(field: str, k: int = 2) -> Column:
@@ -153,15 +154,22 @@ def interpretation(spark, d):
     return agreement(spark, d).select(*KEY, F.concat(band, F.lit(" prediction led by "), F.col("s1")[0], named).alias("text"))
 
 
-@query("f11_comparison", f"WITH {_LONG}, {_TOPS}, c AS (SELECT agr.*, p FROM agr JOIN pred USING ({_K})) SELECT {_K}, round(p, 5) AS p, s2[1] AS leading FROM c ORDER BY round(p, 5) DESC, {_K} LIMIT 25")
+@query("f11_comparison", f"WITH {_LONG}, {_TOPS}, c AS (SELECT agr.*, p FROM agr JOIN pred USING ({_K})) SELECT {_K}, round(p, 9) AS p, s2[1] AS leading FROM c ORDER BY round(p, 9) DESC, {_K} LIMIT 25")
 def comparison(spark, d):
     """The twenty-five greatest predictions and their leading features."""
-    t = agreement(spark, d).select(*KEY, F.round("p", 5).alias("p"), F.col("s2")[0].alias("leading"))
+    t = agreement(spark, d).select(*KEY, F.round("p", 9).alias("p"), F.col("s2")[0].alias("leading"))
     return t.orderBy(F.desc("p"), *KEY).limit(25)
 
 
-@query("f12_batch_explain", f"WITH {_LONG}, b AS (SELECT {_K} FROM pred ORDER BY {_K} LIMIT 5) SELECT {_K}, feature, round(c1, 5) AS c1, round(c2, 5) AS c2, round(c3, 5) AS c3 FROM con JOIN b USING ({_K})")
+@query("f12_batch_explain", f"WITH {_LONG}, b AS (SELECT {_K} FROM pred ORDER BY {_K} LIMIT 5) SELECT {_K}, feature, round(c1, 9) AS c1, round(c2, 9) AS c2, round(c3, 9) AS c3 FROM con JOIN b USING ({_K})")
 def batch_explain(spark, d):
     """All three methods for the first five rows."""
     t = contributions(spark, d).orderBy(*KEY).limit(5).select(*KEY, F.explode("items").alias("i"))
-    return t.select(*KEY, "i.feature", *(F.round(f"i.{c}", 5).alias(c) for c in ("c1", "c2", "c3")))
+    return t.select(*KEY, "i.feature", *(F.round(f"i.{c}", 9).alias(c) for c in ("c1", "c2", "c3")))
+
+
+@query("e23_top_features", f"WITH {_LONG} SELECT {_K}, list(feature ORDER BY round(abs(c3), 9) DESC, feature)[1] AS first, count(*)::BIGINT AS features FROM con GROUP BY ALL")
+def top_contributors(spark, d):
+    """Features by importance times value, eight at most; the first of them."""
+    t = contributions(spark, d).withColumn("top", top_features("c3", 8))
+    return t.select(*KEY, F.col("top")[0].alias("first"), F.size("top").cast("long").alias("features"))

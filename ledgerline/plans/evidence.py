@@ -126,11 +126,11 @@ def compliance(spark, d):
     return outputs(spark, d).select("event_id", (F.col("tier").isNotNull() & ((F.col("tier_no") != 5) | (F.col("k") % 4 > 0))).alias("compliant"))
 
 
-@query("h8_tier_summary", f"WITH {_OUT} SELECT t.tier, count(o.event_id)::BIGINT AS n, round(coalesce(avg(o.confidence), 0), 6) AS mean FROM tiers t LEFT JOIN outputs o ON o.tier = t.tier AND o.k > 5 GROUP BY 1")
+@query("h8_tier_summary", f"WITH {_OUT} SELECT t.tier, count(o.event_id)::BIGINT AS n, round(coalesce(avg(o.confidence), 0), 10) AS mean FROM tiers t LEFT JOIN outputs o ON o.tier = t.tier AND o.k > 5 GROUP BY 1")
 def tier_summary(spark, d):
     """All five tiers, zero-filled."""
     sums = outputs(spark, d).where("k > 5").groupBy("tier").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"))
-    return tiers(spark).join(sums, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"))
+    return tiers(spark).join(sums, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("mean", F.lit(0.0)), 10).alias("mean"))
 
 
 _ISSUES = """issues AS (SELECT event_id, 'critical' AS severity, 'literature_citations' AS check_name FROM outputs WHERE tier_no = 5 AND k % 4 = 0
@@ -199,10 +199,10 @@ def pose_quality(spark, d):
     return outputs(spark, d).where("tier_no = 2").select("event_id", pose_class().alias("quality"))
 
 
-@query("h14_confidence_bands", f"WITH {_OUT} SELECT tier, count(*) FILTER (confidence >= 0.8)::BIGINT AS high, count(*) FILTER (confidence >= 0.6 AND confidence < 0.8)::BIGINT AS medium, count(*) FILTER (confidence < 0.6)::BIGINT AS low, round(avg(confidence), 6) AS mean FROM outputs GROUP BY 1")
+@query("h14_confidence_bands", f"WITH {_OUT} SELECT tier, count(*) FILTER (confidence >= 0.8)::BIGINT AS high, count(*) FILTER (confidence >= 0.6 AND confidence < 0.8)::BIGINT AS medium, count(*) FILTER (confidence < 0.6)::BIGINT AS low, round(avg(confidence), 10) AS mean FROM outputs GROUP BY 1")
 def confidence_bands(spark, d):
     c = F.col("confidence")
-    return outputs(spark, d).groupBy("tier").agg(F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"), F.count_if(c < 0.6).alias("low"), F.round(F.avg(c), 6).alias("mean"))
+    return outputs(spark, d).groupBy("tier").agg(F.count_if(c >= 0.8).alias("high"), F.count_if((c >= 0.6) & (c < 0.8)).alias("medium"), F.count_if(c < 0.6).alias("low"), F.round(F.avg(c), 10).alias("mean"))
 
 
 @query("h15_overall_verdict", f"WITH {_OUT}, {_ISSUES} SELECT check_name, count(*)::BIGINT AS n, count(*) FILTER (severity = 'critical')::BIGINT AS critical, count(*) FILTER (severity = 'critical') = 0 AS valid FROM issues GROUP BY 1")
@@ -253,9 +253,9 @@ def candidate_keys(spark, d):
     return read(spark, d, "events").select("event_id", F.coalesce(at("compound_id"), at("compound_name"), at("smiles"), user, F.lit("unknown")).alias("candidate"))
 
 
-@query("i2_candidate_tiers", f"WITH {_OUT} SELECT user_id, tier, count(*)::BIGINT AS n, round(avg(confidence), 6) AS mean FROM outputs GROUP BY 1, 2")
+@query("i2_candidate_tiers", f"WITH {_OUT} SELECT user_id, tier, count(*)::BIGINT AS n, round(avg(confidence), 10) AS mean FROM outputs GROUP BY 1, 2")
 def candidate_tiers(spark, d):
-    return outputs(spark, d).groupBy("user_id", "tier").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"))
+    return outputs(spark, d).groupBy("user_id", "tier").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 10).alias("mean"))
 
 
 _RANK = """m AS (SELECT user_id, tier_no, any_value(weight) * avg(confidence) AS c, count(*) AS n, min(score) AS s, bool_and(coalesce(inside, true)) AS i FROM outputs GROUP BY 1, 2),
