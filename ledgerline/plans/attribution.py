@@ -47,14 +47,14 @@ def long(spark, d) -> DataFrame:
     return contributions(spark, d).select(*KEY, F.explode("items").alias("i")).select(*KEY, "i.*")
 
 
-@query("f1_importance_deviation", f"WITH {_LONG} SELECT {_K}, feature, round(c1, 9) AS c FROM con")
+@query("f1_importance_deviation", f"WITH {_LONG} SELECT {_K}, feature, round(c1, 6) AS c FROM con")
 def importance_deviation(spark, d):
-    return long(spark, d).select(*KEY, "feature", F.round("c1", 9).alias("c"))
+    return long(spark, d).select(*KEY, "feature", F.round("c1", 6).alias("c"))
 
 
-@query("f2_occlusion", f"WITH {_LONG} SELECT {_K}, feature, round(c2, 9) AS c FROM con")
+@query("f2_occlusion", f"WITH {_LONG} SELECT {_K}, feature, round(c2, 7) AS c FROM con")
 def occlusion(spark, d):
-    return long(spark, d).select(*KEY, "feature", F.round("c2", 9).alias("c"))
+    return long(spark, d).select(*KEY, "feature", F.round("c2", 7).alias("c"))
 
 
 @query("f3_baseline", f"WITH {_WIDE} SELECT count(*)::BIGINT AS n, round(avg(p), 9) AS base FROM pred")
@@ -109,9 +109,9 @@ def groups(spark, d) -> DataFrame:
     return long(spark, d).groupBy(*KEY, "grp").agg(F.sum("c1").alias("s"), F.avg(F.abs("c1")).alias("m"))
 
 
-@query("f7_group_contributions", f"WITH {_LONG}, {_GROUPS} SELECT {_K}, grp, round(s, 9) AS total, round(m, 9) AS mean FROM grp")
+@query("f7_group_contributions", f"WITH {_LONG}, {_GROUPS} SELECT {_K}, grp, round(s, 6) AS total, round(m, 6) AS mean FROM grp")
 def group_contributions(spark, d):
-    return groups(spark, d).select(*KEY, "grp", F.round("s", 9).alias("total"), F.round("m", 9).alias("mean"))
+    return groups(spark, d).select(*KEY, "grp", F.round("s", 6).alias("total"), F.round("m", 6).alias("mean"))
 
 
 def top_features(field: str, k: int = 2) -> Column:
@@ -161,11 +161,11 @@ def comparison(spark, d):
     return t.orderBy(F.desc("p"), *KEY).limit(25)
 
 
-@query("f12_batch_explain", f"WITH {_LONG}, b AS (SELECT {_K} FROM pred ORDER BY {_K} LIMIT 5) SELECT {_K}, feature, round(c1, 9) AS c1, round(c2, 9) AS c2, round(c3, 9) AS c3 FROM con JOIN b USING ({_K})")
+@query("f12_batch_explain", f"WITH {_LONG}, b AS (SELECT {_K} FROM pred ORDER BY {_K} LIMIT 5) SELECT {_K}, feature, round(c1, 6) AS c1, round(c2, 7) AS c2, round(c3, 7) AS c3 FROM con JOIN b USING ({_K})")
 def batch_explain(spark, d):
     """All three methods for the first five rows."""
     t = contributions(spark, d).orderBy(*KEY).limit(5).select(*KEY, F.explode("items").alias("i"))
-    return t.select(*KEY, "i.feature", *(F.round(f"i.{c}", 9).alias(c) for c in ("c1", "c2", "c3")))
+    return t.select(*KEY, "i.feature", *(F.round(f"i.{c}", n).alias(c) for c, n in (("c1", 6), ("c2", 7), ("c3", 7))))
 
 
 @query("e23_top_features", f"WITH {_LONG} SELECT {_K}, list(feature ORDER BY round(abs(c3), 9) DESC, feature)[1] AS first, count(*)::BIGINT AS features FROM con GROUP BY ALL")
