@@ -70,9 +70,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), weight.alias("weight"))
     slim = stage(slim.withColumn("key", -F.log(u) / F.col("weight")))
 
-    # ranges of 1 - exp(-key): the keys of weight 1 spread over them evenly
+    # ranges of a mean of 1 - exp(-key / scale): keys of weight 1 spread evenly over most of them, keys of a
+    # small weight (the scales reach 1e6) over one of the other parts
     ranges = pieces(slim.count(), range_rows, 64)
-    slim = slim.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * ranges))
+    spread = sum(((1 - F.exp(-F.col("key") / 10.0**i)) * 0.05 for i in range(1, 7)), (1 - F.exp(-F.col("key"))) * 0.7)
+    slim = slim.withColumn("range", F.floor(spread * ranges))
     sums = slim.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -84,7 +86,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), sha
     last = sums.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).where("s.before <= t.budget")
     last = last.groupBy(F.col("t.source").alias("source")).agg(F.max("s.range").alias("last_range"), F.max("s.before").alias("last_before"))
     plan = targets.join(last, same(targets, last), "left").select(targets["source"].alias("plan_source"), "source_size", "target", "epochs", "budget", "last_range", "last_before")
-    t = slim.join(plan, slim["source"].eqNullSafe(plan["plan_source"])).drop("plan_source")
+    # rows meet their source's plan range by range, so a hot source is no hot key
+    by_range = sums.select("source", "range").alias("s").join(plan, F.col("s.source").eqNullSafe(F.col("plan_source"))).select("plan_source", F.col("s.range").alias("plan_range"), *plan.columns[1:])
+    t = slim.join(by_range, slim["source"].eqNullSafe(by_range["plan_source"]) & (slim["range"] == by_range["plan_range"])).drop("plan_source", "plan_range")
     whole = F.col("range") < F.col("last_range")
     edge = F.col("range") == F.col("last_range")
     # rows outside the edge range need no order: they are spread by hash, not gathered by source
