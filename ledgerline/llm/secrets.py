@@ -9,7 +9,8 @@ owners share is a copied `example`. The method adds the live candidates to the p
 kind `live`; pattern spans always stay, with their status.
 
 The counts are summed per (hash, owner) before they meet per hash, so a value that a third
-of all documents holds is a few rows. Matches are joined to their counts by hash, then to their row.
+of all documents holds is a few rows. They come back to the matches by way of the distinct
+(hash, block of rows), so such a value is no hot key there either.
 
 Defined results: null and empty texts have no spans; offsets are code points, the end
 exclusive; repeated rows are scanned each by itself and, with equal ids, count as one
@@ -37,6 +38,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a greedy run of 32 or more, as [0-9a-f]+ with shorter runs dropped
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
+BLOCK_BITS = 14  # rows of one task that share a join key with a hash: 2^14
 SCAN = "row long, found array<struct<kind:int,start:int,end:int,hash:long>>"
 
 
@@ -84,7 +86,9 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     by_owner = each.groupBy("hash", "owner_").agg(F.count_distinct(F.coalesce("repo_", F.lit(""))).alias("repos"))
     use = by_owner.groupBy("hash").agg(F.sum("repos").alias("repositories"), F.count("*").alias("owners"))
     status = F.when((F.col("owners") == 1) & (F.col("repositories") <= few), "live").when(F.col("owners") > 1, "example").otherwise("repeated")
-    each = each.join(use, "hash").withColumn("status", status)
+    block = F.shiftright("row", BLOCK_BITS)
+    held = each.select("hash", block.alias("block")).distinct().join(use.withColumn("status", status), "hash")
+    each = each.withColumn("block", block).join(held, ["hash", "block"])
     each = each.where((F.col("kind") < 3) | (F.col("status") == "live"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     span = F.struct(F.col("start"), F.col("kind").alias("order"), F.col("end"), kind.alias("kind"), "hash", "repositories", "owners", "status")
