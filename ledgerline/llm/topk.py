@@ -170,10 +170,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard_rows: int = 819
     def ask(q: DataFrame) -> DataFrame:
         return q.groupBy("dim", "shard").cogroup(shards.select("vec_id", "x", "dim", "shard").groupBy("dim", "shard")).applyInArrow(search, "query_id long, vec_id long, score long")
 
-    q = shards.where("asks").select("vec_id", "x", "dim")
+    # all vectors may have one length: the join with the boxes is cut into blocks of queries
+    asked = pieces(shards.where("asks").count(), 1024)
+    q = shards.where("asks").select("vec_id", "x", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(asked)).alias("part"))
+    parts = box.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))))
     reach = F.aggregate(F.zip_with("x", F.zip_with("lo", "hi", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x, s: F.greatest(x * s["a"], x * s["b"])), F.lit(0.0), lambda a, b: a + b)
-    # queries against the shards' boxes: two numbers per side and shard, joined by vector length
-    bounds = stage(q.join(box, "dim").select("vec_id", "x", "dim", "shard", reach.alias("bound")))
+    # queries against the shards' boxes: two numbers per side and shard
+    bounds = stage(q.join(parts, ["dim", "part"]).select("vec_id", "x", "dim", "shard", reach.alias("bound")))
     home = bounds.groupBy("vec_id", "x", "dim").agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard"))
     near = stage(ask(home.withColumn("floor", F.lit(float("-inf")))))
     floor = near.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
