@@ -103,10 +103,10 @@ def confidence_cap(spark, d):
     return outputs(spark, d).select("event_id", "tier", F.round(capped, 6).alias("confidence"))
 
 
-@query("h4_provenance_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS h FROM documents WHERE strlen(text) <= 10000")
+@query("h4_provenance_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS h FROM documents")
 def provenance_hash(spark, d):
-    """Texts of at most 10,000 bytes, whose first 10,000 bytes are the whole text in both engines."""
-    return read(spark, d, "documents").where(F.octet_length("text") <= 10000).select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("h"))
+    """The hash of each whole text, of every length."""
+    return read(spark, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("h"))
 
 
 @query("h5_forbidden_phrases", f"WITH {_ANS} SELECT conv_id, turn, array_to_string(list_filter([{', '.join(repr(p) for p in FORBIDDEN)}], lambda p: contains(lower(answer), p)), ';') AS phrases FROM answers")
