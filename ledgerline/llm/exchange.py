@@ -11,11 +11,16 @@ import numpy as np
 import pyarrow as pa
 
 
-def by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts by (bucket, hash), and where each bucket ends; buckets are ranges of the hash."""
+def by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts by (bucket, hash), the buckets that have a hash, and the places between which each has its own.
+
+    A bucket is a range of the hash, floor(h * buckets / 2^64). The work depends on the hashes, not on the number of buckets.
+    """
     order = np.argsort(h, kind="stable")
-    edges = ((np.arange(1, buckets, dtype=object) * (1 << 64)) // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
-    return order, np.concatenate([[0], np.searchsorted(h[order], edges), [h.size]]).astype(np.int64)
+    n, half = np.uint64(buckets), np.uint64(32)
+    bucket = ((h >> half) * n + ((h & np.uint64(0xFFFFFFFF)) * n >> half) >> half)[order]
+    head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if h.size else np.zeros(0, np.int64)
+    return order, bucket[head].astype(np.int64), np.append(head, h.size).astype(np.int64)
 
 
 def unpack(value: pa.Scalar | bytes, kind: type) -> np.ndarray:

@@ -179,10 +179,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
         h = np.concatenate([*found, np.zeros(0, np.uint64)])
         h, n = np.unique(h, return_counts=True)
         # the bucket is a range of the hash; 32 bits below it and whether the block has it twice travel
-        _, ends = by_bucket(spread(h), buckets)
-        some = [i for i in range(buckets) if ends[i] < ends[i + 1]]
+        _, some, ends = by_bucket(spread(h), buckets)
+        runs = list(zip(ends[:-1], ends[1:], strict=True))
         short = (mix(h) >> np.uint64(32)).astype(np.uint32)
-        return pa.table([pa.array(some, pa.int32()), pa.array([table.column("block")[0].as_py()] * len(some), pa.int32()), pa.array([short[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()), pa.array([np.packbits(n[ends[i] : ends[i + 1]] > 1).tobytes() for i in some], pa.binary())], names=["bucket", "block", "a", "b"])
+        return pa.table([pa.array(some, pa.int32()), pa.array([table.column("block")[0].as_py()] * len(some), pa.int32()), pa.array([short[x:y].tobytes() for x, y in runs], pa.binary()), pa.array([np.packbits(n[x:y] > 1).tobytes() for x, y in runs], pa.binary())], names=["bucket", "block", "a", "b"])
 
     def shared(table: pa.Table) -> pa.Table:
         h, n = joined(table.column("a"), np.uint32)
@@ -196,10 +196,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
         """Size and hash of each document's set; the set itself where the filter leaves it."""
         found = [s for _, s in doc_shingles(table.column("text").combine_chunks(), shingle)]
         h = np.unique(np.concatenate([*(own_range(s) for s in found), np.zeros(0, np.uint64)]))
-        _, ends = by_bucket(spread(h), buckets)
+        _, some, ends = by_bucket(spread(h), buckets)
         known = np.zeros(h.size, bool)
         for bucket, bits in zip(flags.column("bucket").to_pylist(), flags.column("a"), strict=True):
-            x, y = ends[bucket], ends[bucket + 1]
+            at = np.searchsorted(some, bucket)
+            x, y = ends[at], ends[at + 1]
             known[x:y] = np.unpackbits(unpack(bits, np.uint8), count=int(y - x))
         kept, one, two = [], [], []
         for s in found:
@@ -227,9 +228,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
             h = np.concatenate([*each, np.zeros(0, np.uint64)])
             d = np.repeat(node, [x.size for x in each])
             u, v, h, d = _stars(h, d)
-            _, ends = by_bucket(h, buckets)
-            some = [i for i in range(buckets) if ends[i] < ends[i + 1]]
-            cols = [[*some, -1], [h[ends[i] : ends[i + 1]].tobytes() for i in some] + [u.tobytes()], [d[ends[i] : ends[i + 1]].tobytes() for i in some] + [v.tobytes()]]
+            _, some, ends = by_bucket(h, buckets)
+            runs = list(zip(ends[:-1], ends[1:], strict=True))
+            cols = [[*some, -1], [h[x:y].tobytes() for x, y in runs] + [u.tobytes()], [d[x:y].tobytes() for x, y in runs] + [v.tobytes()]]
             yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "a", "b"])
 
     def stars(table: pa.Table) -> pa.Table:

@@ -68,9 +68,8 @@ def find_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def send(block: int, h: np.ndarray, *more: np.ndarray) -> pa.Table:
         """A row per bucket with the hashes and what belongs to each."""
-        order, ends = by_bucket(h, buckets)
-        some = [i for i in range(buckets) if ends[i] < ends[i + 1]]
-        cols = [[x[order[ends[i] : ends[i + 1]]].tobytes() for i in some] for x in (h, *more)]
+        order, some, ends = by_bucket(h, buckets)
+        cols = [[x[order[i:j]].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)] for x in (h, *more)]
         cols += [[b""] * len(some)] * (3 - len(cols))
         return pa.table([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "block", "a", "b", "c"])
 
