@@ -1,0 +1,154 @@
+"""The registered queries on the smallest tables: SQL twins where there are some, brute force or held-out labels elsewhere."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from ledgerline.llm import queries
+from ledgerline.llm.packing import encoder
+
+D = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations", "labels", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    return c
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_rows_match_sql(spark, db, name):
+    df = queries.queries()[name](spark, D)
+    cols = sorted(df.columns)
+    r = db.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in r.description]
+    assert sorted(names) == cols
+    assert sorted(str([x[c] for c in cols]) for x in df.collect()) == sorted(str([x[names.index(c)] for c in cols]) for x in r.fetchall())
+
+
+def test_url_filter(spark):
+    rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{D}/pages.parquet").collect()}
+    got = queries.op1_url_filter(spark, D).collect()
+    assert sorted(r.page_id for r in got) == sorted(urls)
+    for r in got:
+        rest = (urls[r.page_id] or "").partition("://")[2]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = re.sub("[A-Z]+", lambda m: m[0].lower(), host)
+        fits = [k for k in rules if (host == k.partition("/")[0] or host.endswith("." + k.partition("/")[0])) and path.startswith("/" + k.partition("/")[2])]
+        rule = max(fits, key=len, default=None)
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (rules[rule] if rule else "block" if r.block_score >= 0.5 else "allow")
+
+
+def test_source_mix(spark, documents):
+    got, by = queries.op3_source_mix(spark, D).collect(), defaultdict(list)
+    assert {r.doc_id: r["size"] for r in got} == {i: len(WORD.findall(d.text or "")) for i, d in documents.items()}
+    assert sorted(map(str, got)) == sorted(map(str, queries.op3_source_mix(spark, D).collect()))
+    for r in got:
+        by[documents[r.doc_id].source].append(r)
+    for rows in by.values():
+        assert {r.source_size for r in rows} == {sum(r["size"] for r in rows)} and len({r.target for r in rows}) == 1
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(r["size"] for r in rows)
+        assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in rows)
+    assert sum(rows[0].target for rows in by.values()) == pytest.approx(1.5 * sum(r["size"] for r in got))
+
+
+def test_packing(spark, documents):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got, used = queries.op4_best_fit_packing(spark, D).collect(), defaultdict(list)
+    want = set()
+    for i, d in documents.items():
+        ids = t.encode(d.text or "", add_special_tokens=False).ids + [0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want |= {(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))}
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    for r in got:
+        used[r.sequence_id].append((r.offset, r.length))
+    for places in used.values():
+        places.sort()
+        assert [a for a, _ in places] == [0, *np.cumsum([n for _, n in places])[:-1]] and sum(n for _, n in places) <= 2048
+    assert len(used) <= 1.02 * -(-sum(r.length for r in got) // 2048) + 1
+
+
+def test_tokens_of_every_character():
+    """The merge ranks give the tokenizer's ids beside letters, digits, signs and blanks."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = encoder(public_tokenizers.path(queries.TOKEN_RANKS), (("<|endoftext|>", 50256),))
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(chars), 512):
+        text = "".join(f"a{c}1 {c}{c}. {c} " for c in chars[a : a + 512])
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, hex(ord(chars[a]))
+
+
+def test_toxicity(spark):
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, "/root/testdata/sf0.01").collect()}
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+    labels = [(i, t) for i, t in duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall() if i in got and got[i].held_out]
+    assert sum(got[i].predicted == t for i, t in labels) >= 0.95 * len(labels) > 0
+
+
+def brute_spans(text):
+    """The three patterns by themselves, in the order of start, then kind."""
+    assign = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?a:(?i:password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 8]
+    access = [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    runs = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(assign + access + runs)]
+
+
+def test_secret_scan(spark):
+    d = "/root/testdata/sf0.01"  # the smaller table holds no secrets
+    documents = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op8_secret_scan(spark, d).collect()}
+    assert got.keys() == documents.keys()
+    for i, d in documents.items():
+        base = brute_spans(d.text or "")
+        spans = [s for s in got[i].spans.split(",") if s]
+        assert [s for s in spans if not s.startswith("live:")] == base
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got.values()) > 0
+
+
+def test_a_widely_copied_secret_spans_blocks(spark, monkeypatch):
+    from ledgerline.llm import secrets
+
+    rows = [(i, "token = 'abcdefgh12'" if i % 2 else f"password: only{i}here", f"s{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2)
+    monkeypatch.setattr(secrets, "BLOCK_BITS", 3)
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(df).collect()}
+    assert len(got) == 400 and all(len(s) == 1 for s in got.values())
+    assert {(s[0].repositories, s[0].owners, s[0].status) for i, s in got.items() if i % 2} == {(200, 5, "example")}
+    assert {(s[0].repositories, s[0].owners, s[0].status) for i, s in got.items() if not i % 2} == {(1, 1, "live")}
+
+
+def test_pipeline_stages_take_effect(spark, documents):
+    import corpus_pipeline as p
+    from ledgerline.llm.mixing import mix_sources
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    scores = {r.doc_id: r.score for r in queries.op5_toxicity(spark, D).collect()}
+    kept = p.reject_toxic(spark, docs, D)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, s in scores.items() if s < 0.7)
+    times = {r.doc_id: r.times for r in mix_sources(docs).collect()}
+    mixed = p.mix_to_targets(spark, docs, D)
+    assert mixed.columns == docs.columns
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(i for i, n in times.items() for _ in range(n))
