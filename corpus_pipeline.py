@@ -20,12 +20,9 @@ from ledgerline.llm.jaccard_join import jaccard_components
 from ledgerline.llm.mixing import mix_sources
 from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.queries import TOKEN_RANKS, toxicity_model
-from ledgerline.llm.secrets import redact, scan_secrets
+from ledgerline.llm.secrets import EXAMPLE_OWNERS, redact, scan_secrets
 from ledgerline.llm.toxicity import score_toxicity
 
-#: A value that so many owners share is a widely copied example; its spans stay in the text.
-EXAMPLE_OWNERS = 5
-
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7; the model knows the labels that are not held out."""
@@ -48,8 +45,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with each secret replaced by a mark and n_chars counted anew; widely copied examples stay."""
     key = F.concat_ws(":", F.xxhash64("text"), F.xxhash64(F.lit(8), "text"), F.col("doc_id"))
-    found = scan_secrets(docs.withColumn("key_", key), keep=("key_",))
-    spans = F.filter("spans", lambda s: (s["status"] == "live") | (s["owners"] < EXAMPLE_OWNERS))
+    found = scan_secrets(docs.withColumn("key_", key), keep=("key_",), shared=EXAMPLE_OWNERS)
+    spans = F.filter("spans", lambda s: s["status"] == "live")
     cuts = found.select("key_", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("cuts_"))
     cuts = cuts.where(F.size("cuts_") > 0).dropDuplicates(["key_"])
 

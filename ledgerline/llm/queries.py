@@ -18,7 +18,7 @@ from ledgerline.llm.jaccard_join import jaccard_components
 from ledgerline.llm.mixing import mix_sources
 from ledgerline.llm.near_vectors import near_vectors
 from ledgerline.llm.packing import pack_documents
-from ledgerline.llm.secrets import scan_secrets
+from ledgerline.llm.secrets import EXAMPLE_OWNERS, scan_secrets
 from ledgerline.llm.substring_dedup import find_repeats, kept_words
 from ledgerline.llm.topk import top_k
 from ledgerline.llm.toxicity import score_toxicity, train_toxicity
@@ -86,7 +86,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    found = scan_secrets(table(spark, sf_dir, "documents"), shared=EXAMPLE_OWNERS)
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "live")

@@ -1,12 +1,12 @@
 """Secret scans with corpus-wide ownership frequency.
 
 One pass finds, per kind, the leftmost non-overlapping matches of fixed patterns (`assign`,
-`access`, `hex`) and further candidates: long mixed tokens that look random. Each match's
+`access`, `hex`) and further candidates: long tokens that look random. Each match's
 value is hashed; only the hashes leave the text. For every hash the corpus is asked in how many
 distinct repositories (documents, unless a column says otherwise) and by how many distinct
-owners (sources) it is used. A value of one owner in few repositories looks `live`; one that several
-owners share is a copied `example`. The method adds the live candidates to the pattern spans as
-kind `live`; pattern spans always stay, with their status.
+owners (sources) it is used. A value that fewer than `shared` owners use is `live`, in however many
+repositories; one of `shared` owners or more is a widely copied `example`. The method adds the live
+candidates to the pattern spans as kind `live`; pattern spans always stay, with their status.
 
 The counts are summed per (hash, owner) before they meet per hash, so a value that a third
 of all documents holds is a few rows. They come back to the matches by way of the distinct
@@ -36,16 +36,23 @@ KINDS = ("assign", "access", "hex", "live")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # a greedy run of 32 or more, as [0-9a-f]+ with shorter runs dropped
-_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9]{16,}")
 _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
 BLOCK_BITS = 14  # rows of one task that share a join key with a hash: 2^14
+#: A value that so many owners share is a widely copied example.
+EXAMPLE_OWNERS = 5
 SCAN = "row long, found array<struct<kind:int,start:int,end:int,hash:long>>"
 
 
 def _random_looking(value: str) -> bool:
+    """Digits and letters of both cases, or a run with digits among letters or whose case changes often; not words or paths."""
     n = len(value)
     if not (any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)):
-        return False
+        runs = _RUN.findall(value)
+        changes = lambda r: sum(a.isupper() != b.isupper() for a, b in zip(r, r[1:], strict=False))
+        if not any((any(c.isdigit() for c in r) and any(c.isalpha() for c in r)) or changes(r) >= 0.45 * len(r) for r in runs):
+            return False
     return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) >= 3.5
 
 
@@ -72,10 +79,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["row", "found", *batch.schema.names[1:]])
 
 
-def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", keep: tuple[str, ...] = ("doc_id",), few: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", keep: tuple[str, ...] = ("doc_id",), shared: int = 2) -> DataFrame:
     """One row per document: the columns `keep` and `spans` array<struct<kind, start, end, hash, repositories, owners, status>>.
 
-    few: the most repositories of one owner in which a value still looks live.
+    shared: the owners from which on a value is an example; op8 and the pipeline use EXAMPLE_OWNERS.
     """
     names = {c: docs.schema[c].dataType.simpleString() for c in keep}
     asked = docs.select(F.col("text").cast("string").alias("text"), F.col(repository).cast("string").alias("repo_"), F.col(owner).cast("string").alias("owner_"), *keep)
@@ -85,7 +92,7 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     each = each.select("row", "repo_", "owner_", "f.*")
     by_owner = each.groupBy("hash", "owner_").agg(F.count_distinct(F.coalesce("repo_", F.lit(""))).alias("repos"))
     use = by_owner.groupBy("hash").agg(F.sum("repos").alias("repositories"), F.count("*").alias("owners"))
-    status = F.when((F.col("owners") == 1) & (F.col("repositories") <= few), "live").when(F.col("owners") > 1, "example").otherwise("repeated")
+    status = F.when(F.col("owners") < shared, "live").otherwise("example")
     block = F.shiftright("row", BLOCK_BITS)
     held = each.select("hash", block.alias("block")).distinct().join(use.withColumn("status", status), "hash")
     each = each.withColumn("block", block).join(held, ["hash", "block"])

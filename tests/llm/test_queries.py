@@ -139,6 +139,35 @@ def test_a_widely_copied_secret_spans_blocks(spark, monkeypatch):
     assert {(s[0].repositories, s[0].owners, s[0].status) for i, s in got.items() if not i % 2} == {(1, 1, "live")}
 
 
+SECRETS = ("Zq8rT2xWm9Kp4LbV7cNs1Yd3", "Hn4vB8sQx2Rt6YzLm1Wc9KpD", "k3v9x2m7q8r4t6w1z5n0", "qWeRtYuIoPaSdFgHjKlZxC", "Uj7dF3gM5aPe0XhCw6TbNk2V")
+
+
+@pytest.fixture
+def copied(spark, tmp_path):
+    """The first value in 6 documents of one source, the second in 2 sources, two of other alphabets, the last in 5 sources."""
+    said = [(0, "a")] * 6 + [(1, "a"), (1, "b"), (2, "a"), (3, "b")] + [(4, s) for s in "abcde"]
+    rows = [(i, f"see {SECRETS[k]} nr {i}", "en", s, 0) for i, (k, s) in enumerate(said)]
+    rows += [(99, "getElementByIdAndPosition in docs/2024/11/long-names-of-pages and erberbeeinheitkeiterheit", "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    return df, str(tmp_path), {i: k for i, (k, _) in enumerate(said)} | {99: 4}
+
+
+def test_values_of_few_owners_are_live(spark, copied):
+    _, d, which = copied
+    got = {r.doc_id: r.spans for r in queries.op8_secret_scan(spark, d).collect()}
+    assert got == {i: f"live:4:{4 + len(SECRETS[k])}" if k < 4 else "" for i, k in which.items()}
+
+
+def test_values_of_few_owners_are_redacted(spark, copied):
+    import corpus_pipeline as p
+
+    docs, d, which = copied
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.text for r in p.redact_secrets(spark, docs, d).collect()}
+    assert got == {i: t.replace(SECRETS[which[i]], "[SECRET]") if which[i] < 4 else t for i, t in texts.items()}
+
+
 def test_pipeline_stages_take_effect(spark, documents):
     import corpus_pipeline as p
     from ledgerline.llm.mixing import mix_sources
