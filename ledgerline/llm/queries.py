@@ -163,13 +163,18 @@ def oracle_sql() -> dict[str, str]:
         "op10_chat_format": r"""
             WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                        UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS p(i, r))
-            , p AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier,
-                    length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 33 AS chars
+            , n AS (SELECT *, row_number() OVER w - 1 AS pos, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 33 AS chars
                     FROM (SELECT *, greatest(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 1) AS tokens FROM t) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
-            , steps AS (SELECT conv_id, earlier // 512 AS step, min(pos) AS first FROM p GROUP BY 1, 2)
-            , again AS (SELECT p.conv_id, sum(chars) AS chars FROM steps s JOIN p ON p.conv_id = s.conv_id AND p.pos < s.first AND (p.pos >= s.first - 2 OR (p.pos = 0 AND p.role = 'system')) GROUP BY 1)
+            , head AS (SELECT conv_id, tokens AS sys FROM n WHERE pos = 0 AND role = 'system')
+            , p AS (SELECT n.*, coalesce(sys, 0) AS sys, greatest(448 - coalesce(sys, 0), 1) AS room, CASE WHEN pos = 0 THEN tokens - coalesce(sys, 0) ELSE tokens END AS size FROM n LEFT JOIN head USING (conv_id))
+            , b AS (SELECT *, (sum(size) OVER (PARTITION BY conv_id ORDER BY pos) - size)::BIGINT AS earlier FROM p)
+            , s AS (SELECT *, earlier // room AS step, size = 0 OR (earlier + size - 1) // room = earlier // room AS inside, (earlier + size) // room AS reached FROM b)
+            , whole AS (SELECT conv_id, CASE WHEN inside THEN step ELSE reached END AS near FROM s GROUP BY 1, 2 HAVING sum(size) <= max(room) AND bool_or(inside))
+            , dealt AS (SELECT s.*, CASE WHEN inside THEN 2 * step WHEN whole.near IS NOT NULL THEN 2 * reached ELSE 2 * step + 1 END AS win FROM s LEFT JOIN whole ON s.conv_id = whole.conv_id AND s.reached = whole.near)
+            , spans AS (SELECT conv_id, win, min(pos) AS first, min(earlier) AS begin, 512 - max(sys) - sum(size) AS spare FROM dealt GROUP BY 1, 2)
+            , again AS (SELECT b.conv_id, sum(chars) AS chars FROM spans x JOIN b ON b.conv_id = x.conv_id AND b.pos < x.first AND (size = 0 OR (b.pos >= x.first - 2 AND x.begin - b.earlier <= x.spare)) GROUP BY 1)
             , g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said,
-                    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learned, sum(chars) AS chars FROM p GROUP BY 1)
+                    coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learned, sum(chars) AS chars FROM n GROUP BY 1)
             SELECT g.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256,
                    (g.chars + coalesce(again.chars, 0))::BIGINT AS formatted_chars FROM g LEFT JOIN again USING (conv_id)""",
     }
