@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +24,29 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where that is unset a session of one machine (tests, the bench) gets a new folder; on a cluster,
+    where executors would each write to a disk of their own, it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-stage-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _own_dirs:
+        _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="spark-stage-")
+        sc.setCheckpointDir(_own_dirs[sc.applicationId])
+    return _own_dirs[sc.applicationId]
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """The name, with underscores added until no column has it."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ledgerline.llm.secrets import EXAMPLE_OWNERS, scan_secrets
 from ledgerline.llm.substring_dedup import find_repeats, kept_words
 from ledgerline.llm.topk import top_k
 from ledgerline.llm.toxicity import score_toxicity, train_toxicity
-from ledgerline.llm.url_filter import filter_urls, rule_labels, train_url_model
+from ledgerline.llm.url_filter import filter_urls, labelled_urls, train_url_model
 
 #: (host, path, verdict)
 URL_RULES = (
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = train_url_model(rule_labels(pages, URL_RULES))
+    model = train_url_model(labelled_urls(spark))
     return filter_urls(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
@@ -90,7 +90,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "live")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    use = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["status"], s["repositories"], s["owners"])), ",")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), use.alias("span_use"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

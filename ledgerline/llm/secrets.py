@@ -4,17 +4,19 @@ One pass finds, per kind, the leftmost non-overlapping matches of fixed patterns
 `access`, `hex`) and further candidates: long tokens that look random. Each match's
 value is hashed; only the hashes leave the text. For every hash the corpus is asked in how many
 distinct repositories (documents, unless a column says otherwise) and by how many distinct
-owners (sources) it is used. A value that fewer than `shared` owners use is `live`, in however many
-repositories; one of `shared` owners or more is a widely copied `example`. The method adds the live
-candidates to the pattern spans as kind `live`; pattern spans always stay, with their status.
-
-The counts are summed per (hash, owner) before they meet per hash, so a value that a third
-of all documents holds is a few rows. They come back to the matches by way of the distinct
-(hash, block of rows), so such a value is no hot key there either.
-
-Defined results: null and empty texts have no spans; offsets are code points, the end
-exclusive; repeated rows are scanned each by itself and, with equal ids, count as one
-repository; a null owner is an owner of its own, null repositories are one repository.
+owners (sources) it is used; each is counted once, also where a repository has several owners. A value that
+fewer than `shared` owners use is `live`, in however many repositories; one of `shared` owners or more is a
+widely copied `example`. The method adds the live candidates to the pattern spans as kind `live`; pattern spans
+always stay. Every span carries its repositories, owners and status.
+
+The counts are taken on distinct (hash, repository) and (hash, owner) first, so a value that a third
+of all documents holds is spread over tasks until only numbers are left. They come back to the matches by way
+of the distinct (hash, block of rows), so such a value is no hot key there either.
+
+Defined results: null and empty texts have no spans; texts of any length are scanned whole; offsets are code
+points, the end exclusive; repeated rows are scanned each by itself and, with equal ids, count as one
+repository; a null owner is an owner of its own, null repositories are one repository; an empty table gives no
+rows. `keep` may name any columns of docs but `spans`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ledgerline.llm.common import stage
 
@@ -42,7 +45,8 @@ _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end"
 BLOCK_BITS = 14  # rows of one task that share a join key with a hash: 2^14
 #: A value that so many owners share is a widely copied example.
 EXAMPLE_OWNERS = 5
-SCAN = "row long, found array<struct<kind:int,start:int,end:int,hash:long>>"
+_MATCH = StructType([StructField(c, LongType() if c == "hash" else IntegerType()) for c in ("kind", "start", "end", "hash")])
+SCAN = [StructField("row", LongType()), StructField("found", ArrayType(_MATCH))]
 
 
 def _random_looking(value: str) -> bool:
@@ -84,14 +88,14 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
 
     shared: the owners from which on a value is an example; op8 and the pipeline use EXAMPLE_OWNERS.
     """
-    names = {c: docs.schema[c].dataType.simpleString() for c in keep}
-    asked = docs.select(F.col("text").cast("string").alias("text"), F.col(repository).cast("string").alias("repo_"), F.col(owner).cast("string").alias("owner_"), *keep)
-    schema = ", ".join([SCAN, "repo_ string", "owner_ string", *(f"`{c}` {t}" for c, t in names.items())])
+    # the kept columns travel as one struct, so that their names meet none of ours
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep))
+    own = lambda c: F.struct(F.col(f"`{c}`").isNull().alias("none"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("id"))
+    asked = docs.select(F.col("text").cast("string").alias("text"), own(repository).alias("repository"), own(owner).alias("owner"), kept.alias("kept"))
+    schema = StructType([*SCAN, *list(asked.schema)[1:]])
     scanned = stage(asked.mapInArrow(_scan, schema))
-    each = scanned.where(F.size("found") > 0).select("row", "repo_", "owner_", F.explode("found").alias("f"))
-    each = each.select("row", "repo_", "owner_", "f.*")
-    by_owner = each.groupBy("hash", "owner_").agg(F.count_distinct(F.coalesce("repo_", F.lit(""))).alias("repos"))
-    use = by_owner.groupBy("hash").agg(F.sum("repos").alias("repositories"), F.count("*").alias("owners"))
+    each = scanned.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("f")).select("row", "repository", "owner", "f.*")
+    use = each.groupBy("hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
     status = F.when(F.col("owners") < shared, "live").otherwise("example")
     block = F.shiftright("row", BLOCK_BITS)
     held = each.select("hash", block.alias("block")).distinct().join(use.withColumn("status", status), "hash")
@@ -100,9 +104,9 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     span = F.struct(F.col("start"), F.col("kind").alias("order"), F.col("end"), kind.alias("kind"), "hash", "repositories", "owners", "status")
     spans = each.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    out = scanned.drop("found", "repo_", "owner_").join(spans, "row", "left")
+    out = scanned.select("row", "kept").join(spans, "row", "left")
     none = F.expr("filter(array(struct(0 as start, 0 as `order`, 0 as `end`, '' as kind, 0L as hash, 0L as repositories, 0L as owners, '' as status)), x -> false)")
-    return out.withColumn("spans", F.coalesce("spans", none)).drop("row")
+    return out.select("kept.*", F.coalesce("spans", none).alias("spans"))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:

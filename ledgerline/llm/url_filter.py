@@ -2,13 +2,14 @@
 
 The model sees n-grams (3 to 5 bytes) of `host` and of `path`, hashed into 2^12 slots, each
 side marked so that the same letters in host and path are different features. It is fitted
-with pyspark.ml on a small labelled URL table. Scoring is one pass without a shuffle: the
-weights (2^12 doubles, a fixed size) travel with the task.
+with pyspark.ml on a small labelled URL table (`url_labels`, independent of the rules; any table of url and
+label will do). Scoring is one pass without a shuffle: the weights (2^12 doubles, a fixed size) travel with the task.
 
 Defined results: a null url, or one without `://`, has an empty host and path; no rule fits
 it and the model judges it by its intercept. Repeated rows are judged alike. Urls of any
 length are scored whole. With labels of one class only (or none) the model gives that class
-(or `allow`). Other columns pass through unchanged unless they clash with an output name.
+(or `allow`). An empty table gives no rows. Other columns pass through unchanged; one that has an output's name
+(host, path, rule, block_score, verdict) is replaced.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import gram_hashes, lower_ascii, mix, text_chunks
+from ledgerline.llm.url_labels import url_labels
 
 SLOTS = 1 << 12
 GRAMS = (3, 4, 5)
@@ -30,16 +32,15 @@ GRAMS = (3, 4, 5)
 
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url, both empty without `://`."""
-    after = F.when(F.instr(url, "://") > 0, F.expr("substr(url_, instr(url_, '://') + 3)")).otherwise("")
-    after = F.coalesce(after, F.lit(""))
+    at = F.instr(url, "://")
+    after = F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
     return lower_ascii(F.regexp_extract(after, r"^([^/?#]*)", 1)), F.regexp_extract(after, r"^[^/?#]*([^?#]*)", 1)
 
 
 def parse_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     """pages with `host` and `path`."""
-    keep = [c for c in pages.columns if c not in ("host", "path", "url_")]
-    host, path = host_path(F.col("url_"))
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{url}`").cast("string").alias("url_")).withColumns({"host": host, "path": path}).drop("url_")
+    host, path = host_path(F.col(f"`{url}`").cast("string"))
+    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path")], host.alias("host"), path.alias("path"))
 
 
 def rule_column(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -88,14 +89,15 @@ def train_url_model(labelled: DataFrame, max_rows: int = 2048, reg: float = 1e-4
     """Weights and intercept from labelled(url, label 0/1); of a larger table the max_rows with the lowest url hash are used."""
     known = labelled.where(F.col("label").isin(0, 1) & F.col("url").isNotNull()).select("url", F.col("label").cast("double").alias("label")).distinct()
     known = known.orderBy(F.xxhash64("url"), "url", "label").limit(max_rows)
+    # small and bounded: one pass through the driver, so that the fit's passes do not sort the labelled table again
+    known = known.sparkSession.createDataFrame([tuple(r) for r in known.collect()], known.schema)
     table = parse_urls(known).select("host", "path", "label").coalesce(1).mapInArrow(_features, "x array<double>, label double")
     classes = {r["label"] for r in known.select("label").distinct().collect()}
     if len(classes) < 2:
         return np.zeros(SLOTS), (30.0 if classes == {1.0} else -30.0)
-    share = table.agg(F.avg("label")).first()[0]
-    both = F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share))  # the classes weigh alike
-    table = table.select(array_to_vector("x").alias("features"), "label", both.alias("weight"))
-    model = LogisticRegression(regParam=reg, maxIter=20, standardization=False, weightCol="weight").fit(table)
+    table = table.select(array_to_vector("x").alias("features"), "label").cache()
+    model = LogisticRegression(regParam=reg, maxIter=20, standardization=False).fit(table)
+    table.unpersist()
     return model.coefficients.toArray(), float(model.intercept)
 
 
@@ -120,10 +122,9 @@ def score_urls(parsed: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return parsed.mapInArrow(score, schema)
 
 
-def rule_labels(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """A labelled URL table (url, label): the urls that a rule decides, 1 where it blocks."""
-    rule, verdict = rule_column(rules)
-    return parse_urls(pages.select("url")).withColumn("verdict", verdict).where("verdict is not null").select("url", (F.col("verdict") == "block").cast("int").alias("label"))
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """The labelled URL table (url, label) of `url_labels`."""
+    return spark.createDataFrame(url_labels(), "url string, label int")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
