@@ -1,28 +1,34 @@
 """Toxicity scores by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-The kernel compares two word forms by their common subsequences of three characters, each
+The kernel compares strings by their common subsequences of three characters, each
 weighted by DECAY for every character that its span exceeds three, up to GAP such characters:
 `idiot`, `id-iot` and `i.d.i.o.t` share most of them. The subsequences are hashed into SLOTS
 coordinates, so the kernel is an inner product and a machine over landmarks is one vector.
 
-Training takes a bounded sample of labelled texts, cut into sentences. A sentence is as toxic
-as its worst word form, a text as its worst sentences (multiple instances): the machine is fitted
-to forms that set toxic texts apart, against the worst and some random forms of clean texts,
-and both are chosen anew, a few times. Landmarks are drawn from those forms; their
-inverse square-root kernel matrix maps the kernel to the machine's features (Nyström), where a
-linear machine is fitted by averaged stochastic subgradients. Last, a logistic curve over a
-text's two worst sentences, their number and its length turns margins into a score from 0 to 1.
-
-Scoring is one pass over whole texts without a shuffle: each distinct form is scored once per
+The machine is trained on labelled sentences: a bounded sample of the sentences of labelled texts, each with
+its text's label, drawn by hash from texts of every length. A sentence's margin is its worst string's (its tokens, those
+with inserted signs also without them, and words spelled letter by letter), so every training sentence meets
+the hinge loss with the string that the machine finds worst in it (a latent machine: witnesses are chosen anew, a few
+times). Most sentences of a toxic text are clean, so positive examples are those of its sentences that hold a form which
+toxic texts have oftener than chance explains, and, in the second round, those that the machine
+finds toxic. Landmarks are drawn from those forms, the worst strings of clean sentences and any others; their inverse square-root kernel matrix maps the
+kernel to the machine's features (Nyström), where a linear machine is fitted by
+Newton steps on the squared hinge loss. Last, a logistic curve over a text's two worst sentences, the number and rate of
+bad tokens and its length turns margins into a score from 0 to 1.
+
+Scoring is one pass over whole texts without a shuffle: each distinct token is scored once per
 batch or taken from a bounded cache.
 
-Defined results: null and empty texts, or texts without letters, have no form and get the
-curve's value for none (a low score); without labels of both classes all scores are 0. Repeated rows are
-scored alike; extra columns pass through except those named like an output.
+Defined results: null and empty texts, or texts without letters, have no string and get the
+curve's value for none (a low score); without labels of both classes all scores are 0. Very long texts and
+tokens are read whole (a form of more than LONGEST characters in overlapping pieces, all of them, in training too).
+Repeated rows are scored alike and, in training, count as often as they occur, except that equal sentences with one
+label are drawn once; an empty table gives no rows; extra columns pass through except one named like the output.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,10 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import stage
+
 SLOTS = 1 << 14
 GAP = 2
 DECAY = 0.6
-LONGEST = 40  # a form longer than this is scored in overlapping pieces, all of it
+LONGEST = 40  # a form longer than this is read in overlapping pieces, all of it
+SENTENCE = 64  # longer sentences count as several
 CACHE = 300_000
 NONE = -3.0  # the margin where there is no form, and the lowest the curve sees
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
@@ -49,7 +58,7 @@ def forms(token: str) -> list[str]:
     """Forms of a lower-cased token: without outer punctuation and, if signs or digits stand among
     its letters, also without the signs and with the digits read as letters."""
     word = token.strip(_EDGE)
-    if word and not word.isalpha() and len(word) <= LONGEST:
+    if word and not word.isalpha():
         plain = _SIGNS.sub("", word.translate(_LOOKALIKE))
         if plain != word and plain.isalpha() and len(plain) > 2:
             return [word, plain]
@@ -62,11 +71,12 @@ def sentences(text: str | None) -> tuple[list[str], list[int]]:
     sizes: list[int] = []
     for sentence in _SENTENCE.split((text or "").lower().replace(", ", " ")):
         words = sentence.split()
-        if words:
-            if min(map(len, words)) == 1:
-                words += [m.replace(" ", "") for m in _SPELLED.findall(sentence)]
-            tokens += words
-            sizes.append(len(words))
+        for a in range(0, len(words), SENTENCE):
+            part = words[a : a + SENTENCE]
+            if min(map(len, part)) == 1:
+                part += [m.replace(" ", "") for m in _SPELLED.findall(sentence if len(words) <= SENTENCE else " ".join(part))]
+            tokens += part
+            sizes.append(len(part))
     return tokens, sizes
 
 
@@ -163,88 +173,134 @@ class Reader:
         return np.array([features(values[a:b], n) for a, b, (_, n) in zip(at[:-1], at[1:], split, strict=True)]).reshape(len(texts), 6)
 
 
-def _fit_machine(words: list[str], y: np.ndarray, hardest: np.ndarray, landmarks: int, rng: np.random.Generator, rounds: int = 60, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """A linear machine over Nyström features of the words, as a vector over the slots, and its bias."""
+def _features(words: list[str], marks: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Nyström features of words: kernel with the landmarks times the inverse square root of the landmarks' own, and 1."""
+    out, table = np.zeros((len(words), len(marks) + 1), np.float32), np.ascontiguousarray(marks.T @ root)
+    for a in range(0, len(words), 512):
+        row, slot, weight = subsequences(words[a : a + 512])
+        if row.size:
+            head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            out[a + row[head], :-1] = np.add.reduceat(table[slot] * weight[:, None].astype(np.float32), head, axis=0)
+    out[:, -1] = 1
+    return out
 
-    def dense(ws: list[str]) -> np.ndarray:
-        row, slot, weight = subsequences(ws)
-        out = np.zeros((len(ws), SLOTS), np.float32)
-        np.add.at(out, (row, slot), weight)
-        return out
 
-    pos, neg = np.flatnonzero(y > 0), np.flatnonzero(y < 0)
-    draw = lambda ids, n: rng.permutation(ids)[:n]
-    marks = dense([words[i] for i in np.concatenate([draw(pos, landmarks // 2), hardest[: landmarks // 4], draw(neg, landmarks // 4)])])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float) + 1e-6 * np.eye(len(marks)))
-    root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    z = np.concatenate([(dense(words[a : a + 128]) @ marks.T) for a in range(0, len(words), 128)]) @ root
-    z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-    weight = np.where(y > 0, (neg.size / max(1, pos.size)) ** 0.5, 1.0)
-    w, mean, step, lam = np.zeros(z.shape[1]), np.zeros(z.shape[1]), 0, 1 / (c * len(y))
-    for epoch in range(rounds):
-        for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
-            step += 1
-            rate = 1 / (lam * (step + 100 / (lam * len(y))))
-            bad = y[batch] * (z[batch] @ w) < 1
-            w *= 1 - rate * lam
-            w += rate / len(batch) * ((weight[batch] * y[batch])[bad] @ z[batch][bad])
-            if epoch >= rounds // 2:
-                mean += (w - mean) / (step - (rounds // 2) * max(1, len(y) // 64))
-    return (marks.T @ (root @ mean[:-1])).astype(float), float(mean[-1])
-
-
-def train_toxicity(labelled: DataFrame, max_texts: int = 1200, max_words: int = 500, landmarks: int = 400, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
+def _dense(words: list[str]) -> np.ndarray:
+    row, slot, weight = subsequences(words)
+    out = np.zeros((len(words), SLOTS), np.float32)
+    out[row, slot] = weight
+    return out
+
+
+def _fit_machine(z: np.ndarray, strings: np.ndarray, begin: np.ndarray, y: np.ndarray, ridge: float = 1e-5, rounds: int = 4) -> np.ndarray:
+    """A linear machine by Newton steps on the squared hinge loss over sentences; a sentence's margin is its worst string's.
+
+    Sentence i has the strings strings[begin[i]:begin[i + 1]], rows of z. Its first witness is the string that positive
+    sentences hold most, later ones are the machine's. Both classes' sentences weigh by the root of their shares.
+    """
+    cost = np.where(y > 0, np.sqrt((y < 0).sum() / max(1, (y > 0).sum())), 1.0) / len(y)
+    held = np.bincount(strings, minlength=len(z))
+    margin = np.bincount(strings, np.repeat(y, np.diff(begin)), len(z)) / np.maximum(held, 1)
+    w, last = np.zeros(z.shape[1]), None
+    for _ in range(rounds):
+        worst = _witness(margin[strings], strings, begin)
+        if last is not None and (worst == last).all():
+            break
+        last = worst
+        # equal witnesses of one class are one row with their weights' sum
+        rows, back = np.unique(2 * worst + (y > 0), return_inverse=True)
+        c, sign, x = np.bincount(back, cost), np.where(rows % 2, 1.0, -1.0), z[rows // 2].astype(float)
+        for _ in range(15):
+            m = sign * (x @ w)
+            bad = np.flatnonzero(m < 1)
+            part = x[bad] * c[bad, None]
+            slope = ridge * w - part.T @ (sign[bad] * (1 - m[bad]))
+            step = np.linalg.solve(part.T @ x[bad] + ridge * np.eye(len(w)), slope)
+            w = w - step
+            if np.abs(step).max() < 1e-4 * (1 + np.abs(w).max()):
+                break
+        margin = z @ w
+    return w
+
+
+def _witness(margin: np.ndarray, strings: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Of each sentence the string with the highest margin."""
+    order = np.lexsort((margin, np.repeat(np.arange(len(begin) - 1), np.diff(begin))))
+    return strings[order[begin[1:] - 1]]
+
+
+def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000, 10_000), landmarks: int = 256, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
     """A model from labelled(text, toxic 0/1); None without both classes.
 
-    Bad forms are first those that occur in toxic texts oftener than chance explains; the machine
-    fitted to them finds their variants, which then count as bad too, and the forms of clean
-    texts that it finds worst are its next counterexamples. Its sample has at most max_texts
-    toxic and three times as many clean texts, of at most max_words words;
-    short texts say more about their sentences. The curve is fitted to the features of at most
-    curve_rows texts of any length, in the classes' own proportions. Both are drawn by text
-    hash, from opposite ends; their bounds limit what reaches the driver.
+    The machine's sample has at most max_sentences sentences (of clean, of toxic texts), whatever their texts' length; the curve is fitted to the features of at most curve_rows whole texts, in the classes'
+    own proportions. Both are drawn by hash; their bounds limit what reaches the driver.
     """
     rng = np.random.default_rng(seed)
-    known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text").alias("h"))
-    short = known.where((F.length("text") <= 10 * max_words) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) <= max_words))
+    known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"))
+    size = {r["toxic"]: r["bytes"] for r in known.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    # sentences have about 200 bytes or fewer: a share of the hashes that holds more than enough
+    share = {c: min(1.0, 4 * max_sentences[c] * 200 / max(1, n or 0)) for c, n in size.items()}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                some, out = batch.slice(a, 64), {}
+                for text, c in zip(some.column("text").to_pylist(), some.column("toxic").to_pylist(), strict=True):
+                    tokens, sizes = sentences(text)
+                    at = 0
+                    for n in sizes:
+                        said = " ".join(tokens[at : at + n])
+                        at += n
+                        h = int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+                        if h < share[c] * (1 << 56):
+                            out[said, c] = h
+                yield pa.record_batch([pa.array([s for s, _ in out], pa.string()), pa.array([c for _, c in out], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["said", "toxic", "h"])
+
+    drawn = stage(known.mapInArrow(draw, "said string, toxic int, h long").distinct())
     sample = []
     for c in (0, 1):
-        chosen = _lowest(short.where(F.col("toxic") == c), "h", max_texts * (1 if c else 3))
-        sample += [(t, c) for _, t in sorted((r["h"], r["text"]) for r in chosen.select("h", "text").toLocalIterator())]
+        sample += [(r["said"].split(" "), c) for r in drawn.where(F.col("toxic") == c).orderBy("h", "said").limit(max_sentences[c]).select("said").collect()]
     y = np.array([c for _, c in sample])
     if not (y == 1).any() or not (y == 0).any():
         return None
     index: dict[str, int] = {}
-    bags = [np.array([index.setdefault(w, len(index)) for w in sorted({w for t in set(sentences(text)[0]) for w in forms(t)})], np.int64) for text, _ in sample]
-    del sample
+    bags = [np.array([index.setdefault(p, len(index)) for p in sorted({p for t in set(tokens) for w in forms(t) for p in _pieces(w)})], np.int64) for tokens, _ in sample]
+    full = np.array([b.size > 0 for b in bags])
+    bags, y = [b for b in bags if b.size], y[full]
     vocabulary = list(index)
     count = np.zeros((2, len(vocabulary)))
     for bag, c in zip(bags, y, strict=True):
         count[c, bag] += 1
-    del bags, index
-    total = np.array([[(y == 0).sum()], [(y == 1).sum()]])
-    part = [_pieces(w)[0] for w in vocabulary]
+    total = np.maximum(1, np.array([[(y == 0).sum()], [(y == 1).sum()]]))
     model = ToxicModel(np.zeros(SLOTS), 0.0, np.zeros(6))
     if vocabulary:
-        # forms that occur in toxic texts oftener than chance explains: likelihood ratio against the number of forms tried
+        # forms that toxic texts' sentences hold oftener than chance explains: likelihood ratio against the number of forms tried
         expected = count.sum(axis=0) * total / total.sum()
         ratio = 2 * (count * np.log(np.maximum(count, 1e-9) / np.maximum(expected, 1e-9))).sum(axis=0)
         ratio = np.where(count[1] / total[1] > 8 * (count[0] + 0.3) / total[0], ratio, 0)
-        known_bad = ratio > 2 * np.log(max(2, (count.sum(axis=0) >= 3).sum())) + 2
-        if not known_bad.any():
-            known_bad = ratio >= np.sort(ratio)[-3:].min()
-        bad, only = known_bad.copy(), (count[0] == 0) & (count[1] > 0)
-        clean = np.flatnonzero((count[0] > 0) & ~known_bad)
-        hard = clean[:0]
-        for _ in range(4):
-            worst = np.flatnonzero(bad)
-            worst = worst[np.argsort(-ratio[worst], kind="stable")][:1500]
-            others = np.concatenate([hard, np.setdiff1d(rng.permutation(clean)[:2500], hard)])
-            ids = np.concatenate([worst, others])
-            model.vector, model.bias = _fit_machine([part[i] for i in ids], np.repeat([1.0, -1.0], [len(worst), len(others)]), len(worst) + np.arange(len(hard)), landmarks, rng)
-            margin = model.margins(vocabulary)
-            hard = clean[np.argsort(-margin[clean], kind="stable")][:1500]
-            bad = known_bad | (only & (margin > 0.5))
+        telling = ratio > 2 * np.log(max(2, (count.sum(axis=0) >= 3).sum())) + 2
+        if not telling.any():
+            telling = ratio >= max(1e-9, np.sort(ratio)[-3:].min())
+        toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        chosen = np.array([i for i in toxic if telling[bags[i]].any()], np.int64)
+        hard = np.zeros(0, np.int64)
+        for _ in range(2):
+            ids = np.concatenate([chosen, clean])
+            begin = np.cumsum([0, *(bags[i].size for i in ids)])
+            # landmarks: telling forms, forms that were taken for toxic in clean sentences, and forms of any sentence
+            most = np.argsort(-ratio, kind="stable")[: landmarks // 2]
+            marks = np.unique(np.concatenate([most[ratio[most] > 0], hard[: landmarks // 4], rng.permutation(len(vocabulary))[: landmarks // 4]]))
+            base = _dense([vocabulary[i] for i in marks])
+            values, vectors = np.linalg.eigh((base @ base.T).astype(float) + 1e-6 * np.eye(len(base)))
+            root = (vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T).astype(np.float32)
+            z = _features(vocabulary, base, root)
+            w = _fit_machine(z, np.concatenate([bags[i] for i in ids]), begin, np.where(np.arange(len(ids)) < len(chosen), 1.0, -1.0))
+            model.vector, model.bias = (base.T @ (root @ w[:-1])).astype(float), float(w[-1])
+            margin = z @ w
+            worst = np.array([bags[i][np.argmax(margin[bags[i]])] for i in clean], np.int64)
+            hard = np.unique(worst)
+            hard = hard[np.argsort(-margin[hard], kind="stable")]
+            chosen = np.array([i for i in toxic if telling[bags[i]].any() or margin[bags[i]].max() > 0.5], np.int64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
@@ -253,7 +309,7 @@ def train_toxicity(labelled: DataFrame, max_texts: int = 1200, max_words: int =
                 part = batch.slice(a, 256)
                 yield pa.record_batch([pa.array(list(reader(part.column("text").to_pylist())), pa.list_(pa.float64())), part.column("toxic")], names=["x", "toxic"])
 
-    rows = _lowest(known.withColumn("h", -F.col("h")), "h", curve_rows).select("text", "toxic").repartition(16).mapInArrow(read, "x array<double>, toxic int").collect()
+    rows = _lowest(known.withColumn("h", -F.xxhash64("text")), "h", curve_rows).select("text", "toxic").repartition(16).mapInArrow(read, "x array<double>, toxic int").collect()
     x, hit = np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
     order = np.lexsort(x.T)  # the same sums in the same order, whichever task was first
     model.curve = _logistic(x[order], hit[order])
