@@ -18,8 +18,9 @@ A document's set is its distinct shingles of n words. Two documents link when
 Equal sets are one set with its smallest id throughout. Nothing is capped.
 
 Defined results: A-Z are lower-cased; texts shorter than n words make one shingle of all their
-words; null texts and texts without words have an empty set and link with nothing; rows of one id are one
-node (linked if any of them is); rows with a null id keep a null component.
+words; null texts and texts without words have an empty set and link with nothing; texts of any length are read whole; rows of
+one id (repeated rows too) are one node (linked if any of them is) and each get a result; rows with a null id keep a null
+component; an empty table gives no rows; columns other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -44,11 +45,12 @@ LEAF = 16
 class Sizes:
     """Size classes of sets for a threshold: linked sets are in the same or in neighbouring classes."""
 
-    def __init__(self, percent: int, largest: int = 1 << 26) -> None:
+    def __init__(self, percent: int, largest: int = 1 << 48) -> None:
+        """largest: more shingles than any text that fits into a row has."""
         self.percent = percent
         low = [1]
-        while low[-1] <= largest:
-            low.append(low[-1] * 100 // percent + 1)
+        while low[-1] <= largest:  # sets that must be equal are in one class, whatever its width
+            low.append(low[-1] * 100 // percent + 1 if percent < 100 else 2 * low[-1])
         self.low = np.array(low)
 
     def of(self, n: int) -> int:

@@ -11,7 +11,8 @@ ordered (its prefix sums decide document by document). A source that holds a thi
 is spread over all ranges. Only the table of sources (one row each) is ever in one task.
 
 Defined results: a null text has size 0 and is never taken in the fractional part; the null
-source is a source of its own, the last one; repeated rows are taken or left each by itself
+source is a source of its own, the last one; texts of any length are counted whole; other columns, whatever their names, are
+ignored; repeated rows are taken or left each by itself
 (their order is fixed by id, size and text hash); an empty table gives an empty mix. Null,
 non-positive or non-finite weights count as the smallest weight, 1e-6.
 """
@@ -31,9 +32,9 @@ def word_count(text: Column) -> Column:
 
 
 def letter_quality(text: Column) -> Column:
-    """Quality weight of a text: the squared share of its characters that are letters, blanks or plain punctuation."""
-    odd = F.length(F.translate(F.coalesce(text, F.lit("")), "0123456789$%&*#@|<>{}[]\\^~=+_", ""))
-    return F.pow(odd / F.greatest(F.length(text), F.lit(1)), 2)
+    """Quality weight of a text where no other is given: the squared share of its characters that are letters, blanks or plain punctuation."""
+    plain = F.length(F.translate(F.coalesce(text, F.lit("")), "0123456789$%&*#@|<>{}[]\\^~=+_", ""))
+    return F.pow(plain / F.greatest(F.length(text), F.lit(1)), 2)
 
 
 def source_targets(sources: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -60,7 +61,8 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float, c
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 17, quality: Column | None = None, range_rows: int = 20_000) -> DataFrame:
     """docs(doc_id, text, source, …) → doc_id, size, source, source_size, target, times, taken.
 
-    times: how often the mix takes the document whole; taken = size * times. range_rows: about
+    times: how often the mix takes the document whole; taken = size * times. quality: a column of docs (or of labels
+    joined to them) as quality weight, letter_quality of the text by default. range_rows: about
     how many documents of a source one key range holds (it sets the number of ranges).
     """
     key = F.struct("doc_id", "size", "text_hash")
