@@ -6,31 +6,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.expressions import contains_any
-from ledgerline.plans.structures import _BASE, _VERDICT, assessed
+from ledgerline.functions.descriptors import with_descriptors
+from ledgerline.plans.structures import _BASE, _VERDICT, assessed, lipinski_broken, structures
 from ledgerline.registry import query
+from ledgerline.sources.files import scratch
 from ledgerline.sources.tables import read
 
 
-@query("b1_name_search", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%re%' OR lower(p_brand) LIKE '%re%' OR lower(p_type) LIKE '%re%'")
-def name_search(spark, d):
-    return read(spark, d, "part").where(contains_any([F.col("p_name"), F.col("p_brand"), F.col("p_type")], "RE")).select("p_partkey", "p_name")
-
-
-@query("b2_use_search", "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: contains(lower(x), 're'))) > 0")
-def use_search(spark, d):
-    return read(spark, d, "part").where(F.exists(F.split("p_name", " "), lambda x: F.contains(F.lower(x), F.lit("re")))).select("p_partkey")
-
-
-@query("b8_property_search", "SELECT p_partkey, p_brand, p_size, round(p_retailprice, 4) AS price FROM part WHERE p_size <= 25 AND coalesce(p_retailprice, 0) >= 100 ORDER BY p_retailprice DESC, p_partkey LIMIT 50")
+@query("b1_name_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_brand), 're') OR contains(lower(p_type), 're') OR contains(p_partkey::VARCHAR, 're')")
+def name_search(spark, d, text: str = "RE"):
+    """Any of four name fields (name, brand, type, key) contains the text, in any case."""
+    fields = [F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_partkey").cast("string")]
+    return read(spark, d, "part").where(contains_any(fields, text)).select("p_partkey", "p_name")
+
+
+@query("b2_use_search", "SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: contains(lower(x), 're'))) > 0 OR len(list_filter(string_split(p_type, ' '), lambda x: contains(lower(x), 're'))) > 0")
+def use_search(spark, d, text: str = "re"):
+    """Any element of either of two arrays (words of the name, words of the type) contains the text."""
+    within = lambda c: F.exists(F.split(c, " "), lambda x: F.contains(F.lower(x), F.lit(text.lower())))
+    return read(spark, d, "part").where(within("p_name") | within("p_type")).select("p_partkey")
+
+
+def property_filter(parts: DataFrame, name: str | None = None, kind: str | None = None, use: str | None = None, structure: str | None = None, least_score: float | None = None, most_weight: float | None = None, lipinski: bool | None = None, limit: int = 50) -> DataFrame:
+    """Parts with descriptors that fit every predicate given: name, class, use and structure by substring, a score of at least
+    (missing: 0), a weight of at most, Lipinski yes or no; the first `limit` by falling score."""
+    low = lambda c, text: F.contains(F.lower(c), F.lit(text.lower()))
+    tests = [
+        (name, lambda v: low(F.col("p_name"), v)),
+        (kind, lambda v: low(F.col("p_type"), v)),
+        (use, lambda v: F.exists(F.split("p_name", " "), lambda x: low(x, v))),
+        (structure, lambda v: F.contains("s", F.lit(v))),
+        (least_score, lambda v: F.coalesce("qed", F.lit(0.0)) >= v),
+        (most_weight, lambda v: F.col("mw") <= v),
+        (lipinski, lambda v: (lipinski_broken() <= 1) == v),
+    ]
+    for value, test in tests:
+        if value is not None:
+            parts = parts.where(test(value))
+    return parts.orderBy(F.desc(F.coalesce("qed", F.lit(0.0))), "p_partkey").limit(limit)
+
+
+@query("b8_property_search", f"WITH {_BASE} SELECT p_partkey, p_brand, p_size, round(qed, 6) AS score FROM d JOIN part USING (p_partkey) WHERE contains(lower(p_name), 'e') AND contains(lower(p_type), 'o') AND len(list_filter(string_split(p_name, ' '), lambda x: contains(lower(x), 'd'))) > 0 AND contains(s, '|') AND coalesce(qed, 0) >= 0.3 AND mw <= 900 AND ((mw > 500)::BIGINT + (logp > 5)::BIGINT + (hbd > 5)::BIGINT + (hba > 10)::BIGINT <= 1) ORDER BY qed DESC, p_partkey LIMIT 50")
 def property_search(spark, d):
-    t = read(spark, d, "part").where((F.col("p_size") <= 25) & (F.coalesce("p_retailprice", F.lit(0.0)) >= 100))
-    return t.orderBy(F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey", "p_brand", "p_size", F.round("p_retailprice", 4).alias("price"))
+    t = with_descriptors(structures(spark, d))
+    found = property_filter(t, name="E", kind="o", use="d", structure="|", least_score=0.3, most_weight=900, lipinski=True, limit=50)
+    return found.select("p_partkey", "p_brand", "p_size", F.round("qed", 6).alias("score"))
 
 
-@query("b5_key_resolution", "SELECT p_brand, min_by(p_partkey, row(CASE WHEN p_type = p_brand THEN 0 WHEN contains(p_name, 'a') THEN 1 ELSE 2 END, p_partkey)) AS p_partkey FROM part GROUP BY p_brand")
+@query("b5_key_resolution", """WITH q AS (SELECT DISTINCT unnest([p_name, p_brand, string_split(p_name, ' ')[1]]) AS asked FROM part), h AS (SELECT asked, p_partkey, CASE WHEN p_name = asked THEN 0 WHEN p_brand = asked THEN 1 ELSE 2 END AS step FROM q JOIN part ON p_name = asked OR p_brand = asked OR string_split(p_name, ' ')[1] = asked)
+    SELECT asked, min_by(p_partkey, row(step, p_partkey)) AS p_partkey, min(step)::BIGINT AS step FROM h GROUP BY asked""")
 def key_resolution(spark, d):
-    first = F.when(F.col("p_type") == F.col("p_brand"), 0).when(F.contains("p_name", F.lit("a")), 1).otherwise(2)
-    return read(spark, d, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(first, "p_partkey")).alias("p_partkey"))
+    """Each asked name's part: the first with it as name, else the first with it as brand, else the first whose name begins with it.
+
+    Asked is every name, brand and first word there is. Each step is an equality, so the cascade is one grouped aggregate of
+    the long rows (key, step, part): no part is compared with a name that it does not hold.
+    """
+    t = read(spark, d, "part")
+    keys = F.array(*(F.struct(k.alias("asked"), F.lit(i).cast("long").alias("step")) for i, k in enumerate((F.col("p_name"), F.col("p_brand"), F.get(F.split("p_name", " "), 0)))))
+    rows = t.select(F.explode(keys).alias("k"), "p_partkey").select("k.*", "p_partkey").where("asked is not null")
+    best = rows.groupBy("asked").agg(F.min(F.struct("step", "p_partkey")).alias("b"))
+    return best.select("asked", "b.p_partkey", "b.step")
 
 
 @query("b6_compounds_of_source", "SELECT s_nationkey, count(DISTINCT l_partkey)::BIGINT AS compounds FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1")
@@ -46,21 +81,56 @@ def merged_uses(spark, d):
     return uses.join(t.groupBy("p_brand").agg(F.count("*").alias("n")), "p_brand")
 
 
-@query("b13_graph_counts", """SELECT 'plant' AS type, count(*)::BIGINT AS n FROM supplier UNION ALL SELECT 'compound', count(*) FROM part
-    UNION ALL SELECT 'contains', count(*) FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)""")
+def graph_nodes(spark, d) -> DataFrame:
+    """Nodes of the network: suppliers as plants, parts as compounds."""
+    plants = read(spark, d, "supplier").select(F.concat(F.lit("plant_"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("plant").alias("type"), F.col("s_name").alias("label"))
+    compounds = read(spark, d, "part").select(F.concat(F.lit("compound_"), F.col("p_partkey").cast("string")).alias("id"), F.lit("compound").alias("type"), F.col("p_name").alias("label"))
+    return plants.unionByName(compounds)
+
+
+def graph_edges(spark, d) -> DataFrame:
+    """Distinct `contains` edges from plants to compounds."""
+    pairs = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    return pairs.select(F.concat(F.lit("plant_"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("compound_"), F.col("l_partkey").cast("string")).alias("target"), F.lit("contains").alias("type"))
+
+
+_NODES = "nodes AS (SELECT 'plant_' || s_suppkey AS id, 'plant' AS type, s_name AS label FROM supplier UNION ALL SELECT 'compound_' || p_partkey, 'compound', p_name FROM part), edges AS (SELECT DISTINCT 'plant_' || l_suppkey AS source, 'compound_' || l_partkey AS target FROM lineitem)"
+
+
+@query("b13_graph_nodes", f"WITH {_NODES} SELECT * FROM nodes")
+def network_nodes(spark, d):
+    return graph_nodes(spark, d)
+
+
+@query("b13_graph_edges", f"WITH {_NODES} SELECT source, target, 'contains' AS type FROM edges")
+def network_edges(spark, d):
+    return graph_edges(spark, d)
+
+
+@query("b13_graph_counts", f"WITH {_NODES} SELECT type, count(*)::BIGINT AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'contains', count(*) FROM edges")
 def graph_counts(spark, d):
-    n = lambda t, kind: t.agg(F.count("*").alias("n")).select(F.lit(kind).alias("type"), "n")
-    edges = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    return n(read(spark, d, "supplier"), "plant").union(n(read(spark, d, "part"), "compound")).union(n(edges, "contains"))
+    """Nodes and edges by type."""
+    return graph_nodes(spark, d).select("type").unionByName(graph_edges(spark, d).select("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, kind: str | None, text: str | None, most: int = 220) -> tuple[DataFrame, DataFrame]:
+    """At most `most` nodes of a type whose label or id contains a text, and the edges with both ends among them.
+
+    Nodes of kind None are of any type. The first nodes by type (plants first) and id are taken.
+    """
+    if kind:
+        nodes = nodes.where(F.col("type") == kind)
+    if text:
+        nodes = nodes.where(contains_any([F.col("label"), F.col("id")], text))
+    kept = nodes.orderBy(F.desc("type"), "id").limit(most)
+    ids = F.broadcast(kept.select("id"))  # at most `most` rows
+    inside = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return kept, inside
 
 
-@query("b16_induced_subgraph", """WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)
-    SELECT l_suppkey, count(*)::BIGINT AS edges FROM e WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10) GROUP BY 1""")
+@query("b16_induced_subgraph", f"WITH {_NODES}, kept AS (SELECT * FROM nodes WHERE contains(lower(label), 'e') OR contains(lower(id), 'e') ORDER BY type DESC, id LIMIT 220) SELECT source, target FROM edges WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)")
 def induced_subgraph(spark, d):
-    e = read(spark, d, "lineitem").select("l_suppkey", "l_partkey")
-    e = e.join(read(spark, d, "supplier").where("s_acctbal > 0"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
-    e = e.join(read(spark, d, "part").where("p_size <= 10"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-    return e.distinct().groupBy("l_suppkey").agg(F.count("*").alias("edges"))
+    return subgraph(graph_nodes(spark, d), graph_edges(spark, d), None, "e")[1].select("source", "target")
 
 
 @query("b14_first_per_id", "SELECT l_partkey, min_by(l_suppkey, row(l_orderkey, l_linenumber, l_suppkey)) AS first_source FROM lineitem GROUP BY 1")
@@ -88,24 +158,31 @@ def limit_and_count(spark, d):
     return m.orderBy("p_name", "p_partkey").limit(20).crossJoin(F.broadcast(total))  # one row
 
 
-@query("b6_compounds_with_fallback", """WITH n AS (SELECT n_nationkey, lower(n_name) AS name FROM nation), e AS (SELECT DISTINCT s_nationkey AS n_nationkey, l_partkey AS p_partkey FROM supplier JOIN lineitem ON s_suppkey = l_suppkey WHERE s_nationkey % 2 = 0),
+@query("b6_compounds_with_fallback", """WITH n AS (SELECT n_nationkey, lower(n_name) AS name FROM nation), e AS (SELECT DISTINCT s_nationkey AS n_nationkey, l_partkey AS p_partkey FROM supplier JOIN lineitem ON s_suppkey = l_suppkey),
     f AS (SELECT n_nationkey, p_partkey FROM n JOIN part ON contains(p_partkey::VARCHAR, regexp_extract(name, '[0-9]+')) WHERE n_nationkey NOT IN (SELECT n_nationkey FROM e)) SELECT n_nationkey, count(*)::BIGINT AS compounds FROM (SELECT * FROM e UNION ALL SELECT * FROM f) GROUP BY 1""")
 def compounds_with_fallback(spark, d):
-    """Compounds by equality of the source (even nations); a source without any takes the keys that contain its number."""
+    """Compounds by equality of the source; a source without any takes the keys that contain its number."""
     nations = read(spark, d, "nation").select("n_nationkey", F.regexp_extract("n_name", "[0-9]+", 0).alias("digits"))
     lines = read(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    equal = lines.join(read(spark, d, "supplier").where("s_nationkey % 2 = 0"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("n_nationkey"), F.col("l_partkey").alias("p_partkey")).distinct()
+    equal = lines.join(read(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("s_nationkey").alias("n_nationkey"), F.col("l_partkey").alias("p_partkey")).distinct()
     rest = nations.join(equal.select("n_nationkey").distinct(), "n_nationkey", "left_anti")
     contained = read(spark, d, "part").select("p_partkey").join(F.broadcast(rest), F.contains(F.col("p_partkey").cast("string"), F.col("digits")))  # at most 25 nations
     return equal.unionByName(contained.select("n_nationkey", "p_partkey")).groupBy("n_nationkey").agg(F.count("*").alias("compounds"))
 
 
-@query("b7_compounds_described", f"WITH {_BASE}, {_VERDICT}, l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT l_suppkey, count(*)::BIGINT AS compounds, round(avg(qed), 6) AS qed FROM l JOIN w ON p_partkey = l_partkey WHERE verdict <> 'FAIL_PAINS' AND passed >= 1 GROUP BY 1")
-def compounds_described(spark, d):
-    """Compounds of each source with their descriptors, drug-like ones only."""
-    kept = assessed(spark, d).where("verdict <> 'FAIL_PAINS' AND passed >= 1").select("p_partkey", "qed")
+@query("b7_compounds_described", f"WITH {_BASE}, {_VERDICT}, l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT l_suppkey, l_partkey, CASE WHEN p_partkey IS NULL THEN 'no structure' END AS error, round(mw, 6) AS mw, round(logp, 6) AS logp, round(qed, 6) AS qed, verdict FROM l LEFT JOIN w ON p_partkey = l_partkey WHERE p_partkey IS NULL OR (verdict <> 'FAIL_PAINS' AND passed >= 1)")
+def compounds_described(spark, d, druglike: bool = True):
+    """Compounds of each source with their descriptors; one without a structure stays, with an error.
+
+    druglike: leave out compounds with an alert verdict or no filter passed.
+    """
+    t = assessed(spark, d).select("p_partkey", "mw", "logp", "qed", "verdict", "passed")
     lines = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    return lines.join(kept, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.count("*").alias("compounds"), F.round(F.avg("qed"), 6).alias("qed"))
+    out = lines.join(t, F.col("l_partkey") == F.col("p_partkey"), "left")
+    if druglike:
+        out = out.where("p_partkey is null or (verdict <> 'FAIL_PAINS' AND passed >= 1)")
+    error = F.when(F.col("p_partkey").isNull(), "no structure").alias("error")
+    return out.select("l_suppkey", "l_partkey", error, *(F.round(c, 6).alias(c) for c in ("mw", "logp", "qed")), "verdict")
 
 
 @query("b9_record_search", "SELECT c_custkey FROM customer WHERE contains(lower(c_custkey || ' ' || c_name || ' ' || c_nationkey || ' ' || c_mktsegment), 'furn')")
@@ -130,30 +207,48 @@ def formulation_names(spark, d):
     return first.groupBy("o_orderpriority").agg(F.array_join(names["p_name"], ";").alias("names"))
 
 
-@query("b15_formulation_detail", """WITH l AS (SELECT DISTINCT o_orderpriority, l_suppkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
-    SELECT o_orderpriority, count(DISTINCT l_suppkey)::BIGINT AS plants, count(DISTINCT s_suppkey)::BIGINT AS known, count(DISTINCT l_partkey)::BIGINT AS compounds FROM l LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey GROUP BY 1""")
+@query("b15_formulation_detail", """WITH l AS (SELECT DISTINCT o_orderpriority, l_suppkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey), c AS (SELECT o_orderpriority, count(DISTINCT l_partkey)::BIGINT AS distinct_compounds FROM l GROUP BY 1)
+    SELECT o_orderpriority, l_suppkey, s_name AS plant, count(*)::BIGINT AS n, md5(string_agg(l_partkey::VARCHAR, ';' ORDER BY l_partkey)) AS compounds, any_value(distinct_compounds) AS distinct_compounds FROM l LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey JOIN c USING (o_orderpriority) GROUP BY 1, 2, 3""")
 def formulation_detail(spark, d):
-    """Constituents of each formulation, how many are known plants, and their distinct compounds."""
+    """Constituents of each formulation with their plant (null if unknown), the compounds of each, and the formulation's distinct ones.
+
+    A constituent's compounds are put together per formulation and supplier, not per formulation; compounds: the md5 of their list.
+    """
     orders = read(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     l = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", "l_suppkey", "l_partkey").distinct()  # noqa: E741
-    known = read(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")
-    plants = l.groupBy("o_orderpriority", "l_suppkey").agg(F.lit(1).alias("one")).join(known, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    by_plant = plants.groupBy("o_orderpriority").agg(F.count("*").alias("plants"), F.count("s_suppkey").alias("known"))
-    by_compound = l.select("o_orderpriority", "l_partkey").distinct().groupBy("o_orderpriority").agg(F.count("*").alias("compounds"))
-    return by_plant.join(by_compound, "o_orderpriority")
+    known = read(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey", F.col("s_name").alias("plant"))
+    own = l.groupBy("o_orderpriority", "l_suppkey").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("l_partkey")).cast("array<string>"), ";")).alias("compounds"))
+    total = l.select("o_orderpriority", "l_partkey").distinct().groupBy("o_orderpriority").agg(F.count("*").alias("distinct_compounds"))
+    return own.join(known, F.col("s_suppkey") == F.col("l_suppkey"), "left").join(total, "o_orderpriority").drop("s_suppkey")
+
 
+_INVERTED = "t AS (SELECT 'name' AS kind, lower(p_name) AS key, p_partkey AS id FROM part UNION ALL SELECT 'alternate', lower(p_brand), p_partkey FROM part UNION ALL SELECT 'use', lower(unnest(string_split(p_name, ' '))), p_partkey FROM part UNION ALL SELECT 'plant', l_suppkey::VARCHAR, l_partkey FROM lineitem)"
 
-@query("b17_lookup_tables", """WITH t AS (SELECT 'name' AS kind, lower(p_name) AS key, p_partkey AS id FROM part UNION ALL SELECT 'alternate', lower(p_brand), p_partkey FROM part UNION ALL SELECT 'use', lower(unnest(string_split(p_name, ' '))), p_partkey FROM part)
-    SELECT kind, key, count(DISTINCT id)::BIGINT AS ids, min(id) AS first FROM t GROUP BY 1, 2""")
+
+@query("b17_lookup_tables", f"WITH {_INVERTED} SELECT kind, key, count(DISTINCT id)::BIGINT AS ids, min(id) AS first FROM t GROUP BY 1, 2")
 def lookup_tables(spark, d):
     """Inverted index as long rows (kind, key, id), summed per key."""
-    rows = inverted(read(spark, d, "part")).distinct()
-    return rows.groupBy("kind", "key").agg(F.count("*").alias("ids"), F.min("id").alias("first"))
+    return inverted(spark, d).groupBy("kind", "key").agg(F.count("*").alias("ids"), F.min("id").alias("first"))
+
+
+@query("b17_lookup", f"WITH {_INVERTED}, q AS (SELECT DISTINCT lower(n_name) AS key FROM nation UNION SELECT DISTINCT lower(string_split(p_name, ' ')[1]) FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT s_suppkey::VARCHAR FROM supplier) SELECT kind, key, md5(string_agg(DISTINCT id::VARCHAR, ';' ORDER BY id::VARCHAR)) AS ids FROM t JOIN q USING (key) GROUP BY 1, 2")
+def lookup(spark, d):
+    """The index written clustered by kind and key, and the ids of the keys asked for: first words, brands, suppliers, nations (which have none)."""
+    path = scratch(spark, "lookup")
+    inverted(spark, d).repartitionByRange("kind", "key").sortWithinPartitions("kind", "key").write.partitionBy("kind").parquet(path)
+    asked = read(spark, d, "nation").select(F.lower("n_name").alias("key"))
+    parts = read(spark, d, "part")
+    for more in (parts.select(F.lower(F.get(F.split("p_name", " "), 0)).alias("key")), parts.select(F.lower("p_brand").alias("key")), read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("key"))):
+        asked = asked.unionByName(more)
+    found = spark.read.parquet(path).join(asked.distinct(), "key").groupBy("kind", "key")
+    return found.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ";")).alias("ids"))
 
 
-def inverted(parts: DataFrame) -> DataFrame:
-    """Long rows of the lookup tables; one pass, to be written partitioned by kind and clustered by key."""
+def inverted(spark, d) -> DataFrame:
+    """Distinct long rows of the lookup tables: name, alternate name, use → compounds, plant → compounds."""
     entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.lower(key).alias("key"))
     uses = F.transform(F.split("p_name", " "), lambda u: entry("use", u))
     both = F.concat(F.array(entry("name", F.col("p_name")), entry("alternate", F.col("p_brand"))), uses)
-    return parts.select(F.explode(both).alias("e"), F.col("p_partkey").alias("id")).select("e.kind", "e.key", "id")
+    of_parts = read(spark, d, "part").select(F.explode(both).alias("e"), F.col("p_partkey").alias("id")).select("e.kind", "e.key", "id")
+    of_plants = read(spark, d, "lineitem").select(F.lit("plant").alias("kind"), F.col("l_suppkey").cast("string").alias("key"), F.col("l_partkey").alias("id"))
+    return of_parts.unionByName(of_plants).distinct()

@@ -54,10 +54,10 @@ def corpus_scan(spark, d):
     return docs.unionByName(more).select("doc_id", F.md5("text").alias("h"), "origin")
 
 
-@query("a5_coordinate_scan", "SELECT vec_id % 99999 AS serial, label::BIGINT AS residue, (vec_id % 100) / 10.0::DOUBLE AS x, label::DOUBLE AS y, floor(embedding[1]::DOUBLE * 100)::DOUBLE AS z FROM embeddings WHERE vec_id % 17 <> 0")
+@query("a5_coordinate_scan", "SELECT vec_id % 99999 AS serial, label::BIGINT AS residue, (vec_id % 100) / 10.0::DOUBLE AS x, label::DOUBLE AS y, floor(embedding[1]::DOUBLE * 100)::DOUBLE AS z FROM embeddings")
 def coordinate_scan(spark, d):
-    """Every seventeenth line has no number for x and is dropped."""
-    x = F.when(F.col("vec_id") % 17 == 0, "     ***").otherwise(F.format_string("%8.3f", (F.col("vec_id") % 100) / 10))
+    """Vectors as fixed-width lines, and these read again."""
+    x = F.format_string("%8.3f", (F.col("vec_id") % 100) / 10)
     z = F.floor(F.element_at("embedding", 1).cast("double") * 100).cast("double")
     line = F.format_string("ATOM  %5d  CA  GLY A%4d    %s%8.3f%8.3f", F.col("vec_id") % 99999, "label", x, F.col("label").cast("double"), z)
     path = scratch(spark, "atoms")
@@ -85,12 +85,10 @@ def model_blocks(spark, d):
     return t.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("a8_training_csv", "SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice FROM part WHERE p_partkey % 13 <> 0")
+@query("a8_training_csv", "SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice FROM part")
 def training_csv(spark, d):
-    """Every thirteenth price is no number; its row is dropped."""
     path = scratch(spark, "training")
-    price = F.when(F.col("p_partkey") % 13 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string"))
-    read(spark, d, "part").select("p_partkey", "p_size", price.alias("p_retailprice")).write.option("header", True).csv(path)
+    read(spark, d, "part").select("p_partkey", "p_size", F.col("p_retailprice").cast("string").alias("p_retailprice")).write.option("header", True).csv(path)
     return read_training(spark, path, ("p_size", "p_retailprice")).withColumn("p_partkey", F.col("p_partkey").cast("long"))
 
 

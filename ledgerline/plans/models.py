@@ -38,22 +38,24 @@ def group_folds(spark, d):
     return per.groupBy(fold).agg(F.sum("k").alias("n"), F.count("*").alias("groups"))
 
 
-@query("e1_fused_features", f"WITH {_QSAR} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -4 - 80 * l_discount AS affinity, round((-4 - 80 * l_discount) / coalesce(heavy, 20), 6) AS efficiency, round(coalesce(mw, 0), 5) AS mw, round(coalesce(logp, 0), 5) AS logp, coalesce(hbd, 0) AS hbd, round(coalesce(qed, 0), 5) AS qed FROM lineitem LEFT JOIN qsar ON p_partkey = l_partkey AND p_partkey % 9 <> 0")
+@query("e1_fused_features", f"WITH {_QSAR} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -4 - 80 * l_discount AS affinity, round((-4 - 80 * l_discount) / coalesce(heavy, 20), 6) AS efficiency, round(coalesce(mw, 0), 5) AS mw, round(coalesce(logp, 0), 5) AS logp, coalesce(hbd, 0) AS hbd, round(coalesce(qed, 0), 5) AS qed FROM lineitem LEFT JOIN qsar ON p_partkey = l_partkey")
 def fused_features(spark, d):
-    """Docking and structure features in one row, missing ones 0 (parts divisible by 9 have no structure)."""
-    q = qsar(structures(spark, d).where("p_partkey % 9 <> 0").select("p_partkey", "s"))
+    """Docking and structure features in one row, missing ones 0 ."""
+    q = qsar(structures(spark, d).select("p_partkey", "s"))
     t = read(spark, d, "lineitem").join(q, F.col("p_partkey") == F.col("l_partkey"), "left")
     affinity = -4 - 80 * F.col("l_discount")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 5).alias(c)
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", affinity.alias("affinity"), F.round(affinity / F.coalesce("heavy", F.lit(20)), 6).alias("efficiency"), zero("mw"), zero("logp"), F.coalesce("hbd", F.lit(0)).cast("long").alias("hbd"), zero("qed"))
 
 
-@query("e2_finite_values", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN -10 ELSE value END::DOUBLE AS x FROM events")
+def finite(x: Column) -> Column:
+    """NaN becomes 0, the infinities 10 and -10."""
+    return F.when(F.isnan(x), 0.0).when(x == float("inf"), 10.0).when(x == float("-inf"), -10.0).otherwise(x)
+
+
+@query("e2_finite_values", "SELECT event_id, CASE WHEN isnan(value) THEN 0 WHEN value = 'inf'::DOUBLE THEN 10 WHEN value = '-inf'::DOUBLE THEN -10 ELSE value END::DOUBLE AS x FROM events")
 def finite_values(spark, d):
-    """NaN becomes 0, the infinities 10 and -10. Three of four rows are made such on purpose."""
-    special = F.when(F.col("event_id") % 4 == 0, float("nan")).when(F.col("event_id") % 4 == 1, float("inf")).when(F.col("event_id") % 4 == 2, float("-inf")).otherwise(F.col("value"))
-    x = F.col("x")
-    return read(spark, d, "events").select("event_id", special.alias("x")).select("event_id", F.when(F.isnan(x), 0.0).when(x == float("inf"), 10.0).when(x == float("-inf"), -10.0).otherwise(x).alias("x"))
+    return read(spark, d, "events").select("event_id", finite(F.col("value").cast("double")).alias("x"))
 
 
 @query("e4_class_label", "SELECT doc_id, coalesce(quality, (n_chars / 300.0 >= 6.5)::INT)::BIGINT AS label FROM documents LEFT JOIN labels USING (doc_id)")

@@ -33,11 +33,8 @@ ALERTS = (
     ("thiol", "[SH]"),
     ("halogen_unsaturated", "C=C[Br,I,Cl,F]"),
 )
-#: Structures appended to some keys (by p_partkey mod 8), so that alerts occur.
-TAILS = ("C1OC1", "S=C1NC(=O)CS1", "OOc1ccccc1")
-
 _S = "(p_name || '|' || p_type || '|' || p_partkey::VARCHAR)"
-_CHEM = "(CASE p_partkey % 8 WHEN 0 THEN 'C1OC1' WHEN 1 THEN 'S=C1NC(=O)CS1' WHEN 2 THEN 'OOc1ccccc1' ELSE 'CC(=O)NC' END)"
+_ALERTED = "(contains(s, 'S=C') OR contains(s, 'C1OC1') OR (contains(s, 'c1ccccc1') AND len(regexp_extract_all(s, 'O')) >= 2))"
 
 
 def _u(seed, low, high):
@@ -86,7 +83,7 @@ def rules() -> dict[str, Column]:
 _RULES = """((mw > 500)::BIGINT + (logp > 5)::BIGINT + (hbd > 5)::BIGINT + (hba > 10)::BIGINT) AS broken, rot <= 10 AND (tpsa <= 140 OR hbd + hba <= 12) AS veber,
     mw BETWEEN 160 AND 480 AND logp BETWEEN -0.4 AND 5.6 AND mr BETWEEN 40 AND 130 AND heavy BETWEEN 20 AND 70 AS ghose, logp BETWEEN -1 AND 5.88 AND tpsa <= 131.6 AS egan, qed >= 0.4 AS qed_ok"""
 _VERDICT = f"""r AS (SELECT *, {_RULES} FROM d), v AS (SELECT *, (broken <= 1) AS lipinski, (broken <= 1)::BIGINT + veber::BIGINT + ghose::BIGINT + egan::BIGINT + qed_ok::BIGINT AS passed FROM r),
-    w AS (SELECT *, CASE WHEN p_partkey % 8 IN (0, 1, 2) THEN 'FAIL_PAINS' WHEN passed >= 4 THEN 'PASS' WHEN passed >= 2 THEN 'MODERATE - NATURAL_PRODUCT_TOLERATED' ELSE 'LOW - REQUIRES_OPTIMIZATION' END AS verdict FROM v)"""
+    w AS (SELECT *, CASE WHEN {_ALERTED} THEN 'FAIL_PAINS' WHEN passed >= 4 THEN 'PASS' WHEN passed >= 2 THEN 'MODERATE - NATURAL_PRODUCT_TOLERATED' ELSE 'LOW - REQUIRES_OPTIMIZATION' END AS verdict FROM v)"""
 
 
 @query("c1_structure_validity", f"""SELECT p_partkey, CASE WHEN length({_S}) = 0 THEN 'empty' WHEN length({_S}) > 10000 THEN 'too long' WHEN NOT regexp_matches({_S}, '[A-Z\\[]') THEN 'no element'
@@ -197,7 +194,7 @@ def ligand_vector(spark, d):
 
 
 _L = "lower(s)"
-_CLASS = f"""a AS (SELECT p_partkey, {_S} || {_CHEM} AS s, len(string_split(p_name, ' ')) AS uses FROM part), x AS (SELECT p_partkey, uses, s, CASE WHEN contains({_L}, 'n') THEN 0.6 + 0.4 * {_h(1)} ELSE 0.7 * {_h(1)} END AS alkaloid,
+_CLASS = f"""a AS (SELECT p_partkey, {_S} AS s, len(string_split(p_name, ' ')) AS uses FROM part), x AS (SELECT p_partkey, uses, s, CASE WHEN contains({_L}, 'n') THEN 0.6 + 0.4 * {_h(1)} ELSE 0.7 * {_h(1)} END AS alkaloid,
     CASE WHEN len(regexp_extract_all({_L}, 'c')) >= 10 THEN 0.5 + 0.5 * {_h(2)} ELSE 0.7 * {_h(2)} END AS terpenoid FROM a)"""
 
 
@@ -206,7 +203,7 @@ _CLASS = f"""a AS (SELECT p_partkey, {_S} || {_CHEM} AS s, len(string_split(p_na
 def class_flags(spark, d):
     """Six class flags (the first is always set), the privileged flag, the use score and three one-of flags."""
     s, low = F.col("s"), F.lower("s")
-    t = structures(spark, d).withColumn("s", F.concat("s", F.expr("CASE p_partkey % 8 WHEN 0 THEN 'C1OC1' WHEN 1 THEN 'S=C1NC(=O)CS1' WHEN 2 THEN 'OOc1ccccc1' ELSE 'CC(=O)NC' END"))).withColumn("h", byte_hashes(F.col("s"), 6))
+    t = structures(spark, d).withColumn("h", byte_hashes(F.col("s"), 6))
     h = lambda i: F.col("h")[i]
     scores = {
         "alkaloid": F.when(F.contains(low, F.lit("n")), 0.6 + 0.4 * h(1)).otherwise(0.7 * h(1)),
@@ -221,22 +218,24 @@ def class_flags(spark, d):
     return t.select("p_partkey", F.lit(1).cast("long").alias("flavonoid"), *(flag(c > 0.6, n) for n, c in scores.items()), flag(privileged, "privileged"), F.round(use, 6).alias("use_score"), flag(h(2) < 0.33, "a"), flag((h(2) >= 0.33) & (h(2) < 0.66), "b"), flag(h(2) >= 0.66, "c"))
 
 
-@query("c8_alerts", f"""WITH x AS (SELECT p_partkey, {_CHEM} AS s FROM part) SELECT p_partkey, CASE WHEN contains(s, 'C1OC1') THEN 'epoxide;epoxide' WHEN contains(s, 'S=C') THEN 'rhodanine(0)' WHEN contains(s, 'c1ccccc1') AND len(regexp_extract_all(s, 'O')) >= 2 THEN 'catechol_A(92)' ELSE '' END AS alerts FROM x""")
-def alerts(spark, d):
-    """Alerts of a structure: the pattern table, 21 rows, joined on the dependency-free rules; rows without stay."""
-    s, p = F.col("s"), F.col("pattern")
-    table = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(i).alias("no"), F.lit(n).alias("alert"), F.lit(x).alias("pattern")) for i, (n, x) in enumerate(ALERTS)))).alias("t")).select("t.*")
-    rule = (
-        (F.contains(p, F.lit("S=C1NC")) & F.contains(s, F.lit("S=C")))
-        | ((p == "Oc1ccccc1O") & (count_of(s, "O") >= 2) & F.contains(s, F.lit("c1ccccc1")))
-        | ((p == "C1OC1") & F.contains(s, F.lit("C1OC1")))
+def alert_rule(s: Column, pattern: Column) -> Column:
+    """Whether a structure string holds what the pattern of an alert stands for, by rules that need no chemistry library."""
+    return (
+        (F.contains(pattern, F.lit("S=C1NC")) & F.contains(s, F.lit("S=C")))
+        | ((pattern == "Oc1ccccc1O") & (count_of(s, "O") >= 2) & F.contains(s, F.lit("c1ccccc1")))
+        | ((pattern == "C1OC1") & F.contains(s, F.lit("C1OC1")))
     )
-    tail = F.lit("CC(=O)NC")
-    for i, x in enumerate(TAILS):
-        tail = F.when(F.col("p_partkey") % 8 == i, x).otherwise(tail)
-    t = read(spark, d, "part").select("p_partkey", tail.alias("s"))
-    hits = t.join(F.broadcast(table), rule, "left").groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("no", "alert"))).alias("a"))
-    return hits.select("p_partkey", F.array_join(F.filter("a.alert", lambda x: x.isNotNull()), ";").alias("alerts"))
+
+
+def alert_names(s: Column) -> Column:
+    """The alerts of a structure string, in the order of their table."""
+    return F.filter(F.array(*(F.when(alert_rule(s, F.lit(p)), F.lit(n)) for n, p in ALERTS)), lambda x: x.isNotNull())
+
+
+@query("c8_alerts", f"WITH x AS (SELECT p_partkey, {_S} AS s FROM part) SELECT p_partkey, concat_ws(';', CASE WHEN contains(s, 'c1ccccc1') AND len(regexp_extract_all(s, 'O')) >= 2 THEN 'catechol_A(92)' END, CASE WHEN contains(s, 'S=C') THEN 'rhodanine(0)' END, CASE WHEN contains(s, 'C1OC1') THEN 'epoxide;epoxide' END) AS alerts FROM x")
+def alerts(spark, d):
+    """Alerts of each whole structure string; rows without stay. One projection, no join with the pattern table."""
+    return structures(spark, d).select("p_partkey", F.array_join(alert_names(F.col("s")), ";").alias("alerts"))
 
 
 @query("c9_lipinski", f"WITH {_BASE}, {_VERDICT} SELECT p_partkey, broken AS violations, lipinski AS passes, broken = 0 AS strict FROM w")
@@ -268,10 +267,9 @@ def admet(spark, d):
 
 
 def assessed(spark, d) -> DataFrame:
-    """Descriptors with the number of filters passed and the verdict; an alert overrides (here by p_partkey mod 8)."""
+    """Descriptors with the number of filters passed and the verdict; an alert of the structure string overrides."""
     passed = sum((c.cast("long") for c in rules().values()), F.lit(0).cast("long"))
-    alert = (F.col("p_partkey") % 8).isin(0, 1, 2)
-    verdict = F.when(alert, "FAIL_PAINS").when(F.col("passed") >= 4, "PASS").when(F.col("passed") >= 2, "MODERATE - NATURAL_PRODUCT_TOLERATED").otherwise("LOW - REQUIRES_OPTIMIZATION")
+    verdict = F.when(F.size(alert_names(F.col("s"))) > 0, "FAIL_PAINS").when(F.col("passed") >= 4, "PASS").when(F.col("passed") >= 2, "MODERATE - NATURAL_PRODUCT_TOLERATED").otherwise("LOW - REQUIRES_OPTIMIZATION")
     return described(spark, d).withColumn("passed", passed).withColumn("verdict", verdict)
 
 
@@ -280,22 +278,28 @@ def verdicts(spark, d):
     return assessed(spark, d).select("p_partkey", "passed", "verdict")
 
 
-@query("c16_batch_summary", f"WITH {_BASE}, {_VERDICT} SELECT count(*)::BIGINT AS total, count(*) FILTER (lipinski OR verdict = 'PASS')::BIGINT AS lipinski, count(*) FILTER (veber)::BIGINT AS veber, round(avg(qed), 6) AS mean, round(min(qed), 6) AS low, round(max(qed), 6) AS high FROM w")
+@query("c16_batch_summary", f"WITH {_BASE}, {_VERDICT} SELECT count(*)::BIGINT AS total, count(*) FILTER (length(s) = 0 OR length(regexp_replace(s, '[^(]', '', 'g')) <> length(regexp_replace(s, '[^)]', '', 'g')))::BIGINT AS failed, count(*) FILTER (lipinski OR verdict = 'PASS')::BIGINT AS lipinski, count(*) FILTER (veber)::BIGINT AS veber, round(avg(qed), 6) AS mean, round(min(qed), 6) AS low, round(max(qed), 6) AS high FROM w")
 def batch_summary(spark, d):
     r = rules()
-    return assessed(spark, d).agg(F.count("*").alias("total"), F.count_if(r["lipinski"] | (F.col("verdict") == "PASS")).alias("lipinski"), F.count_if(r["veber"]).alias("veber"), F.round(F.avg("qed"), 6).alias("mean"), F.round(F.min("qed"), 6).alias("low"), F.round(F.max("qed"), 6).alias("high"))
+    return assessed(spark, d).agg(F.count("*").alias("total"), F.count_if(structure_error(F.col("s")).isNotNull()).alias("failed"), F.count_if(r["lipinski"] | (F.col("verdict") == "PASS")).alias("lipinski"), F.count_if(r["veber"]).alias("veber"), F.round(F.avg("qed"), 6).alias("mean"), F.round(F.min("qed"), 6).alias("low"), F.round(F.max("qed"), 6).alias("high"))
 
 
-@query("c17_rows_with_errors", f"WITH {_BASE} SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'no structure' WHEN p_partkey % 11 = 1 THEN 'invalid' END AS error, CASE WHEN p_partkey % 11 > 1 THEN round(mw, 8) END AS mw FROM d")
-def rows_with_errors(spark, d):
-    """Failing rows stay, with an error and no descriptors. Keys 0 and 1 mod 11 have no or a broken structure."""
-    broken = F.when(F.col("p_partkey") % 11 == 0, F.lit(None).cast("string")).when(F.col("p_partkey") % 11 == 1, F.concat("s", F.lit("("))).otherwise(F.col("s"))
-    s = F.col("given")
-    error = F.when(s.isNull(), "no structure").when(count_of(s, r"\(") != count_of(s, r"\)"), "invalid")
-    t = structures(spark, d).withColumn("given", broken).withColumn("error", error).select("p_partkey", "error", F.coalesce("given", F.lit("")).alias("s"))
+def structure_error(s: Column) -> Column:
+    """Why a structure string cannot be described, or null."""
+    return F.when(s.isNull() | (s == ""), "no structure").when(count_of(s, r"\(") != count_of(s, r"\)"), "invalid")
+
+
+def described_or_failed(t: DataFrame) -> DataFrame:
+    """t(p_partkey, s) with `error` and `mw`: failing rows stay, with an error and without descriptors."""
+    t = t.withColumn("error", structure_error(F.col("s"))).select("p_partkey", "error", F.coalesce("s", F.lit("")).alias("s"))
     return with_descriptors(t).select("p_partkey", "error", F.when(F.col("error").isNull(), F.round("mw", 8)).alias("mw"))
 
 
+@query("c17_rows_with_errors", f"WITH {_BASE} SELECT p_partkey, CASE WHEN s = '' THEN 'no structure' WHEN length(regexp_replace(s, '[^(]', '', 'g')) <> length(regexp_replace(s, '[^)]', '', 'g')) THEN 'invalid' END AS error, CASE WHEN s <> '' AND length(regexp_replace(s, '[^(]', '', 'g')) = length(regexp_replace(s, '[^)]', '', 'g')) THEN round(mw, 8) END AS mw FROM d")
+def rows_with_errors(spark, d):
+    return described_or_failed(structures(spark, d).select("p_partkey", "s"))
+
+
 @query("c18_stored_filter", f"WITH {_BASE}, {_VERDICT} SELECT p_partkey FROM w WHERE qed > 0.5 AND broken <= 1")
 def stored_filter(spark, d):
     t = described(spark, d).select("p_partkey", F.struct(F.col("qed").alias("qed_score"), lipinski_broken().alias("violations")).alias("drug_likeness"))
