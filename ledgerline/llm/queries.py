@@ -21,7 +21,7 @@ from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.secrets import EXAMPLE_OWNERS, scan_secrets
 from ledgerline.llm.substring_dedup import find_repeats, kept_words
 from ledgerline.llm.topk import top_k
-from ledgerline.llm.toxicity import score_toxicity, train_toxicity
+from ledgerline.llm.toxicity import labelled_sample, score_toxicity, train_toxicity
 from ledgerline.llm.url_filter import filter_urls, labelled_urls, train_url_model
 
 #: (host, path, verdict)
@@ -65,8 +65,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame):
     """Trained on the labelled documents that are not held out."""
-    known = labels.where(~held_out()).select("doc_id", "toxic")
-    return train_toxicity(docs.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id"))
+    return train_toxicity(labelled_sample(docs, labels.where(~held_out())))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

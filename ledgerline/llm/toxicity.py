@@ -176,8 +176,8 @@ class Reader:
 def _features(words: list[str], marks: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Nyström features of words: kernel with the landmarks times the inverse square root of the landmarks' own, and 1."""
     out, table = np.zeros((len(words), len(marks) + 1), np.float32), np.ascontiguousarray(marks.T @ root)
-    for a in range(0, len(words), 512):
-        row, slot, weight = subsequences(words[a : a + 512])
+    for a in range(0, len(words), 256):
+        row, slot, weight = subsequences(words[a : a + 256])
         if row.size:
             head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             out[a + row[head], :-1] = np.add.reduceat(table[slot] * weight[:, None].astype(np.float32), head, axis=0)
@@ -209,17 +209,21 @@ def _fit_machine(z: np.ndarray, strings: np.ndarray, begin: np.ndarray, y: np.nd
         last = worst
         # equal witnesses of one class are one row with their weights' sum
         rows, back = np.unique(2 * worst + (y > 0), return_inverse=True)
-        c, sign, x = np.bincount(back, cost), np.where(rows % 2, 1.0, -1.0), z[rows // 2].astype(float)
+        c, sign, at = np.bincount(back, cost), np.where(rows % 2, 1.0, -1.0), rows // 2
         for _ in range(15):
-            m = sign * (x @ w)
-            bad = np.flatnonzero(m < 1)
-            part = x[bad] * c[bad, None]
-            slope = ridge * w - part.T @ (sign[bad] * (1 - m[bad]))
-            step = np.linalg.solve(part.T @ x[bad] + ridge * np.eye(len(w)), slope)
+            slope, bend = ridge * w, ridge * np.eye(len(w))
+            for a in range(0, len(at), 4096):  # in blocks: doubles of all rows would double the driver's memory
+                x = z[at[a : a + 4096]].astype(float)
+                short = 1 - sign[a : a + 4096] * (x @ w)
+                bad = np.flatnonzero(short > 0)
+                part = x[bad] * c[a + bad, None]
+                slope -= part.T @ (sign[a + bad] * short[bad])
+                bend += part.T @ x[bad]
+            step = np.linalg.solve(bend, slope)
             w = w - step
             if np.abs(step).max() < 1e-4 * (1 + np.abs(w).max()):
                 break
-        margin = z @ w
+        margin = (z @ w.astype(np.float32)).astype(float)
     return w
 
 
@@ -229,14 +233,25 @@ def _witness(margin: np.ndarray, strings: np.ndarray, begin: np.ndarray) -> np.n
     return strings[order[begin[1:] - 1]]
 
 
-def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000, 10_000), landmarks: int = 256, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
-    """A model from labelled(text, toxic 0/1); None without both classes.
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_texts: int = 16_000) -> DataFrame:
+    """docs(doc_id, text) and labels(doc_id, toxic) → (text, toxic) of at most max_texts labelled rows, drawn by id hash.
 
-    The machine's sample has at most max_sentences sentences (of clean, of toxic texts), whatever their texts' length; the curve is fitted to the features of at most curve_rows whole texts, in the classes'
+    Only that bounded number of labels travels to the documents, so no text is shuffled.
+    """
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_texts)
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+
+
+def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000, 10_000), fit_sentences: int = 15_000, landmarks: int = 256, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
+    """A model from labelled(text, toxic 0/1), a bounded table such as labelled_sample() gives; None without both classes.
+
+    The machine's sample has at most max_sentences sentences (of clean, of toxic texts), whatever their texts' length (of
+    the clean ones fit_sentences meet the hinge loss, all of them say which forms are telling); the curve is fitted to the features of at most curve_rows whole texts, in the classes'
     own proportions. Both are drawn by hash; their bounds limit what reaches the driver.
     """
     rng = np.random.default_rng(seed)
-    known = labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"))
+    known = stage(labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic")))
     size = {r["toxic"]: r["bytes"] for r in known.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
     # sentences have about 200 bytes or fewer: a share of the hashes that holds more than enough
     share = {c: min(1.0, 4 * max_sentences[c] * 200 / max(1, n or 0)) for c, n in size.items()}
@@ -273,6 +288,7 @@ def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000
         count[c, bag] += 1
     total = np.maximum(1, np.array([[(y == 0).sum()], [(y == 1).sum()]]))
     model = ToxicModel(np.zeros(SLOTS), 0.0, np.zeros(6))
+    del sample
     if vocabulary:
         # forms that toxic texts' sentences hold oftener than chance explains: likelihood ratio against the number of forms tried
         expected = count.sum(axis=0) * total / total.sum()
@@ -281,26 +297,32 @@ def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000
         telling = ratio > 2 * np.log(max(2, (count.sum(axis=0) >= 3).sum())) + 2
         if not telling.any():
             telling = ratio >= max(1e-9, np.sort(ratio)[-3:].min())
-        toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        toxic, clean = np.flatnonzero(y == 1), rng.permutation(np.flatnonzero(y == 0))[:fit_sentences]
         chosen = np.array([i for i in toxic if telling[bags[i]].any()], np.int64)
+        # from here on only strings of these sentences count
+        used = np.unique(np.concatenate([bags[i] for i in np.concatenate([toxic, clean])]))
+        words, ratio, telling = [vocabulary[i] for i in used], ratio[used], telling[used]
+        bags = {i: np.searchsorted(used, bags[i]) for i in np.concatenate([toxic, clean]).tolist()}
+        del vocabulary, count, expected
         hard = np.zeros(0, np.int64)
         for _ in range(2):
-            ids = np.concatenate([chosen, clean])
+            ids = np.concatenate([chosen, clean]).tolist()
             begin = np.cumsum([0, *(bags[i].size for i in ids)])
             # landmarks: telling forms, forms that were taken for toxic in clean sentences, and forms of any sentence
             most = np.argsort(-ratio, kind="stable")[: landmarks // 2]
-            marks = np.unique(np.concatenate([most[ratio[most] > 0], hard[: landmarks // 4], rng.permutation(len(vocabulary))[: landmarks // 4]]))
-            base = _dense([vocabulary[i] for i in marks])
+            marks = np.unique(np.concatenate([most[ratio[most] > 0], hard[: landmarks // 4], rng.permutation(len(words))[: landmarks // 4]]))
+            base = _dense([words[i] for i in marks])
             values, vectors = np.linalg.eigh((base @ base.T).astype(float) + 1e-6 * np.eye(len(base)))
             root = (vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T).astype(np.float32)
-            z = _features(vocabulary, base, root)
+            z = _features(words, base, root)
             w = _fit_machine(z, np.concatenate([bags[i] for i in ids]), begin, np.where(np.arange(len(ids)) < len(chosen), 1.0, -1.0))
             model.vector, model.bias = (base.T @ (root @ w[:-1])).astype(float), float(w[-1])
-            margin = z @ w
-            worst = np.array([bags[i][np.argmax(margin[bags[i]])] for i in clean], np.int64)
+            margin = z @ w.astype(np.float32)
+            del z
+            worst = np.array([bags[i][np.argmax(margin[bags[i]])] for i in clean.tolist()], np.int64)
             hard = np.unique(worst)
             hard = hard[np.argsort(-margin[hard], kind="stable")]
-            chosen = np.array([i for i in toxic if telling[bags[i]].any() or margin[bags[i]].max() > 0.5], np.int64)
+            chosen = np.array([i for i in toxic.tolist() if telling[bags[i]].any() or margin[bags[i]].max() > 0.5], np.int64)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
