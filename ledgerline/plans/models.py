@@ -12,9 +12,10 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.running import average_ranks, running
+from ledgerline.functions.running import average_ranks, exact_quantile, running
 from ledgerline.plans.structures import _QSAR, qsar, structures
 from ledgerline.registry import query
+from ledgerline.sources.files import written
 from ledgerline.sources.tables import read
 
 _P = "p AS (SELECT l_orderkey, l_extendedprice AS y, l_quantity * p_retailprice AS f FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -27,8 +28,11 @@ def predictions(spark, d):
 
 @query("e3_standardise", "SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity) + 1e-8, 6) AS scale, round(quantile_cont(l_quantity, 0.5), 6) AS median FROM lineitem")
 def standardise(spark, d):
+    """Mean, spread and exact median of a column, each one row."""
+    t = read(spark, d, "lineitem").select("l_quantity")
     q = F.col("l_quantity")
-    return read(spark, d, "lineitem").agg(F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_pop(q) + 1e-8, 6).alias("scale"), F.round(F.percentile(q, 0.5), 6).alias("median"))
+    sums = t.agg(F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_pop(q) + 1e-8, 6).alias("scale"))
+    return sums.crossJoin(F.broadcast(exact_quantile(t, "l_quantity", 0.5))).select("mean", "scale", F.round("quantile", 6).alias("median"))  # one row
 
 
 @query("e8_group_folds", "SELECT CAST('0x' || substr(md5(l_orderkey::VARCHAR), 1, 8) AS BIGINT) % 5 AS fold, count(*)::BIGINT AS n, count(DISTINCT l_orderkey)::BIGINT AS groups FROM lineitem GROUP BY 1")
@@ -65,10 +69,21 @@ def class_label(spark, d):
 
 
 def held_groups(groups: DataFrame, key: str, share: float, seed: str) -> DataFrame:
-    """A share of the distinct groups, at least one, by the order of a seeded hash."""
-    distinct = groups.select(key).distinct()
-    n = max(1, int(distinct.count() * share))
-    return distinct.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(n)
+    """A share of the distinct groups, at least one, by the order of a seeded hash.
+
+    The hash of the last group taken is found from counts per hash prefix, then within that prefix; no sort holds all groups.
+    """
+    hashed = groups.select(key).distinct().withColumn("h_", F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))).withColumn("prefix_", F.substring("h_", 1, 3))
+    counts = sorted((r["prefix_"], r["n_"]) for r in hashed.groupBy("prefix_").agg(F.count("*").alias("n_")).collect())  # at most 4096 rows
+    left = max(1, int(sum(n for _, n in counts) * share))
+    edge = ""
+    for edge, n in counts:  # noqa: B007
+        if left <= n:
+            break
+        left -= n
+    whole = hashed.where(F.col("prefix_") < edge)
+    part = hashed.where(F.col("prefix_") == edge).orderBy("h_", key).limit(left)  # a 4096th of the groups
+    return whole.unionByName(part).select(key)
 
 
 @query("e5_group_holdout", "WITH g AS (SELECT DISTINCT l_partkey FROM lineitem), t AS (SELECT l_partkey FROM g ORDER BY md5(l_partkey || 's1'), l_partkey LIMIT (SELECT greatest(1, floor(count(*) * 0.2))::BIGINT FROM g)) SELECT l_partkey IN (SELECT * FROM t) AS test, count(*)::BIGINT AS n, count(DISTINCT l_partkey)::BIGINT AS groups FROM lineitem GROUP BY 1")
@@ -90,7 +105,7 @@ _RANKS = "SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) -
 @query("e10_regression_metrics", f"WITH {_P}, r AS ({_RANKS}) SELECT round(sqrt(avg((y - f) ^ 2)), 3) AS rmse, round(avg(abs(y - f)), 3) AS mae, round(corr(y, f), 6) AS pearson, round(corr(ry, rf), 6) AS spearman, round(1 - avg((y - f) ^ 2) / var_pop(y), 6) AS r2 FROM r")
 def regression_metrics(spark, d):
     e = F.col("y") - F.col("f")
-    t = average_ranks(average_ranks(predictions(spark, d), "y", "ry"), "f", "rf")
+    t = average_ranks(average_ranks(written(predictions(spark, d)), "y", "ry"), "f", "rf")
     return t.agg(F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"), F.round(F.avg(F.abs(e)), 3).alias("mae"), F.round(F.corr("y", "f"), 6).alias("pearson"), F.round(F.corr("ry", "rf"), 6).alias("spearman"), F.round(1 - F.avg(e * e) / F.var_pop("y"), 6).alias("r2"))
 
 
@@ -134,7 +149,7 @@ def applicability_domain(spark, d):
     u, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     e = t.crossJoin(F.broadcast(m)).withColumns({"eu": F.sqrt(u * u + v * v), "ma": F.sqrt((u * u * c - 2 * b * u * v + v * v * a) / (a * c - b * b))})  # m is one row
-    q = e.agg(F.percentile("eu", 0.95).alias("edge"), F.avg("eu").alias("mean"))
+    q = exact_quantile(e, "eu", 0.95, "edge").crossJoin(e.agg(F.avg("eu").alias("mean")))  # one row each
     ma = F.col("ma")
     label = F.when(ma <= F.col("mean"), "high").when(ma <= F.col("edge"), "medium").when(ma <= 1.5 * F.col("edge"), "low").otherwise("out_of_domain")
     return e.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("ma", 5).alias("distance"), F.round(ma / (F.col("edge") + 1e-8), 5).alias("leverage"), label.alias("label"))
@@ -153,7 +168,7 @@ def domain_ranking(spark, d):
 def split_leaks(spark, d):
     """The greatest Jaccard similarity of each held-out text to any document, and pairs above 0.9."""
     words = lambda: F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0))).alias("w")
-    q, t = read(spark, d, "benchmark").select("item_id", words()), read(spark, d, "documents").select("doc_id", words())
+    q, t = read(spark, d, "benchmark").select("item_id", words()), written(read(spark, d, "documents").select("doc_id", words()))
     i = q.join(t, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("i"))
     i = i.join(q.groupBy("item_id").agg(F.count("*").alias("a")), "item_id").join(t.groupBy("doc_id").agg(F.count("*").alias("b")), "doc_id")
     union = F.col("a") + F.col("b") - F.col("i")
@@ -170,7 +185,8 @@ def training(spark, d) -> DataFrame:
     """Rows with a feature vector x, the target y, a class and the fold of their order."""
     t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     t = t.select("l_orderkey", *INPUTS, F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") >= 30000).cast("double").alias("active"), F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).alias("fold"))
-    return VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip").transform(t)
+    # fits read their rows many times: the join is made once
+    return written(VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip").transform(t))
 
 
 def regressors() -> dict:

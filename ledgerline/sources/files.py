@@ -9,16 +9,28 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session; only where none is set, as in tests, in a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the shared folder of the session (spark.checkpoint.dir); only on one machine, as in tests, in a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(t: DataFrame) -> DataFrame:
+    """t written once and read again: what follows neither repeats its work nor depends on the executors that did it."""
+    path = scratch(t.sparkSession, "table")
+    t.write.parquet(path)
+    return t.sparkSession.read.schema(t.schema).parquet(path)
+
+
 def read_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A catalogue in JSON, with an explicit schema: a flat list, or an object that nests the list under `records`."""
     flat = spark.read.schema(f"{schema}, records array<struct<{', '.join(f.replace(' ', ': ', 1) for f in schema.split(', '))}>>").json(path)
@@ -71,8 +83,15 @@ def parse_references(t: DataFrame, column: str) -> DataFrame:
 
 
 def resume(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The rows of a stage: read if the stage has been written as a whole, otherwise built and written first."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """The rows of a stage: read if the stage has been written as a whole, otherwise built and written first.
+
+    A mark is written after the rows, so that a stage that broke off is built again.
+    """
+    try:
+        done = spark.read.schema("done boolean").parquet(f"{path}/mark").count() > 0
+    except AnalysisException:
+        done = False
+    if not done:
+        build().write.mode("overwrite").parquet(f"{path}/rows")
+        spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{path}/mark")
+    return spark.read.parquet(f"{path}/rows")
