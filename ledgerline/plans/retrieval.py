@@ -1,6 +1,7 @@
 """Literature retrieval: `documents` is the corpus, `benchmark.text` the questions.
 
-A document's title is its first sentence, its category `lang`, its journal `source`, its year 2015 + doc_id mod 10.
+A document's title is its first sentence, its category `lang`, its journal `source`, its year 2015 + doc_id mod 10; its vector and a
+question's are those of `embeddings` with the same number.
 Questions are keyed by item_id throughout, so that a batch of them is one job.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.expressions import significant_words
 from ledgerline.plans.evidence import _ANS, answers
 from ledgerline.registry import query
+from ledgerline.sources.files import written
 from ledgerline.sources.tables import read
 
 
@@ -26,36 +28,64 @@ def document_frequency(spark, d):
     return t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
 
 
-_TFIDF = """n AS (SELECT count(*) AS n FROM documents), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents)
-    , tf AS (SELECT doc_id, term, count(*) AS f FROM t GROUP BY 1, 2), df AS (SELECT term, ln((1 + n) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf, n GROUP BY term, n)
-    , w AS (SELECT doc_id, term, f * idf AS w FROM tf JOIN df USING (term)), norm AS (SELECT doc_id, sqrt(sum(w * w)) AS s FROM w GROUP BY 1)
-    , q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark)
-    , s AS (SELECT item_id, doc_id, round(sum(w.w * idf) / max(norm.s), 6) AS score FROM q JOIN df USING (term) JOIN w USING (term) JOIN norm USING (doc_id) GROUP BY 1, 2)
-    , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s WHERE score > 0), hits AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5)"""
+#: Stop words of the index; a parameter.
+STOP = ("the", "and", "of", "to", "in", "is", "that", "it", "for", "on", "as", "with", "at", "by", "an", "be", "this", "are", "from", "or")
+#: Categories that a word of the question favours, and the pair that holds without such a word; a parameter.
+INTENT = {"that": ("en", "de"), "the": ("en",), "der": ("de",), "que": ("es", "fr"), "les": ("fr",), "los": ("es",)}
+DEFAULT_INTENT = ("en", "fr")
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+#: Terms in the index, hits of a question, questions that are answered in one pass; parameters.
+VOCABULARY, HITS, QUESTIONS = 10000, 5, 1024
+
+
+def _terms(table, key):
+    words = f"list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda x: x NOT IN ({_STOP}))"
+    return f"(SELECT {key}, term, count(*) AS f FROM (SELECT {key}, unnest(w) AS term FROM (SELECT {key}, {words} AS w FROM {table}) UNION ALL SELECT {key}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM (SELECT {key}, {words} AS w FROM {table})) GROUP BY 1, 2)"
+
+
+_TFIDF = f"""n AS (SELECT count(*) AS n FROM documents), tf AS {_terms("documents", "doc_id")}, v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf, n GROUP BY 1 HAVING count(*) <= 0.9 * max(n) ORDER BY sum(f) DESC, term LIMIT {VOCABULARY})
+    , w AS (SELECT doc_id, term, f * idf AS w FROM tf JOIN v USING (term)), norm AS (SELECT doc_id, count(*)::BIGINT AS terms, sqrt(sum(w * w)) AS s FROM w GROUP BY 1)
+    , q AS (SELECT item_id, term, f * idf AS w FROM {_terms("benchmark", "item_id")} JOIN v USING (term)), qnorm AS (SELECT item_id, sqrt(sum(w * w)) AS s FROM q GROUP BY 1)
+    , s AS (SELECT item_id, doc_id, round(sum(w.w * q.w) / (max(norm.s) * max(qnorm.s)), 6) AS score FROM q JOIN w USING (term) JOIN norm USING (doc_id) JOIN qnorm USING (item_id) GROUP BY 1, 2)
+    , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s WHERE score > 0), hits AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {HITS})"""
+
+
+def term_counts(t: DataFrame, key: str) -> DataFrame:
+    """(key, term, f): how often a text holds each single word (two letters or more, no stop word) and each pair of neighbouring ones."""
+    w = t.select(key, F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), lambda x: ~x.isin(*STOP)).alias("w"))
+    pairs = F.zip_with(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda b, a: F.concat(a, F.lit(" "), b))
+    return w.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("f"))
+
+
+def tfidf_weights(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The index: the vocabulary (term, idf), its VOCABULARY most frequent terms that at most nine tenths of the documents hold,
+    and the weights (doc_id, term, w). Counts are made and written once; the vocabulary is small by its limit."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    tf = written(term_counts(docs, "doc_id"))
+    n = docs.agg(F.count("*").alias("n"))  # one row
+    v = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("cf")).crossJoin(F.broadcast(n)).where("df <= 0.9D * n")
+    v = written(v.orderBy(F.desc("cf"), "term").limit(VOCABULARY).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    return v, tf.join(F.broadcast(v), "term").select("doc_id", "term", (F.col("f") * F.col("idf")).alias("w"))
+
+
+def best_of(scores: DataFrame, key: str, k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
+    """The k best rows of each key with their rank. Spark applies the limit in each task before rows meet by key, and again after."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie)).cast("long")
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 @query("g3_tfidf_top", f"WITH {_TFIDF} SELECT * FROM hits")
 def tfidf_top(spark, d):
-    docs = read(spark, d, "documents")
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), 0)
-    tf = docs.select("doc_id", F.explode(words("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
-    n = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
-    w = tf.join(df, "term").select("doc_id", "term", "idf", (F.col("f") * F.col("idf")).alias("w"))
+    """Cosine of TF-IDF vectors: documents and questions in one index, positive scores only."""
+    v, w = tfidf_weights(spark, d)
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s"))
-    q = read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(words("text"))).alias("term"))
-    s = q.join(w, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("idf")).alias("dot")).join(norm, "doc_id")
-    s = s.select("item_id", "doc_id", F.round(F.col("dot") / F.col("s"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")).cast("long")
-    return s.where("score > 0").withColumn("rank", rank).where("rank <= 5").select("item_id", "doc_id", "score", "rank")
+    q = term_counts(read(spark, d, "benchmark").select("item_id", "text"), "item_id").join(F.broadcast(v), "term").select("item_id", "term", (F.col("f") * F.col("idf")).alias("qw"))
+    qnorm = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qs"))
+    s = q.join(w, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(norm, "doc_id").join(qnorm, "item_id")
+    s = s.select("item_id", "doc_id", F.round(F.col("dot") / (F.col("s") * F.col("qs")), 6).alias("score"))
+    return best_of(s.where("score > 0"), "item_id", HITS).select("item_id", "doc_id", "score", "rank")
 
 
-#: Stop words of the index; a parameter.
-STOP = ("the", "and", "of", "to", "in", "is", "that", "it", "for", "on", "as", "with", "at", "by", "an", "be", "this", "are", "from", "or")
-#: Categories that a word of the question favours, and the pair that holds without such a word; a parameter.
-INTENT = {"that": ("en", "de"), "the": ("en",), "der": ("de",), "que": ("es", "fr"), "les": ("fr",), "los": ("es",)}
-DEFAULT_INTENT = ("en", "fr")
-_STOP = ", ".join(f"'{w}'" for w in STOP)
 WORDS = r"[\p{L}\p{N}_]+"
 
 
@@ -75,34 +105,202 @@ def index_text(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(joined).alias("h"))
 
 
-@query("g2_tfidf_index", f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda x: x NOT IN ({_STOP})) AS w FROM documents),
-    t AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w), tf AS (SELECT doc_id, term, count(*) AS f FROM t GROUP BY 1, 2),
-    n AS (SELECT count(*) AS n FROM documents), v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf, n GROUP BY 1 HAVING count(*) <= 0.9 * max(n) ORDER BY sum(f) DESC, term LIMIT 10000)
-    SELECT doc_id, count(*)::BIGINT AS terms, round(sqrt(sum((f * idf) ^ 2)), 5) AS norm FROM tf JOIN v USING (term) GROUP BY 1""")
+@query("g2_tfidf_index", f"WITH {_TFIDF} SELECT doc_id, terms, round(s, 5) AS norm FROM norm")
 def tfidf_index(spark, d):
-    """Terms and norm of each document in the index of single words and pairs, the 10,000 most frequent ones."""
-    docs = read(spark, d, "documents")
-    w = docs.select("doc_id", F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), lambda x: ~x.isin(*STOP)).alias("w"))
+    """Terms and norm of each document in the index."""
+    w = tfidf_weights(spark, d)[1]
+    return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 5).alias("norm"))
+
+
+@query("g4_dense_top", """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2), q AS (SELECT label AS query, list(x ORDER BY i) AS q FROM c GROUP BY 1),
+    s AS (SELECT query, vec_id, round(list_inner_product(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::BIGINT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+def dense_top(spark, d):
+    """The five nearest vectors to the mean vector of each label, by inner product."""
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    q = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("q")).withColumnRenamed("label", "query")
+    return best_of(inner_products(q, e.select("vec_id", "v")), "query", 5, tie="vec_id")
+
+
+def inner_products(q: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query, vec_id, score) of all q(query, q array) with all vectors(vec_id, v array).
+
+    Queries meet the vectors in blocks of about QUESTIONS, each broadcast (half a megabyte at 64 numbers), so a scan of all vectors serves a
+    whole block and what is broadcast does not grow with the table of queries.
+    """
+    q = written(q)
+    blocks = max(1, -(-q.count() // QUESTIONS))
+    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    out = None
+    for i in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        s = vectors.crossJoin(F.broadcast(part)).select("query", "vec_id", F.round(dot, 6).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+_KEY = r"""qw AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS word FROM benchmark), qn AS (SELECT item_id, count(*) AS words FROM qw GROUP BY 1),
+    kd AS (SELECT doc_id, lower(regexp_extract(text, '^[^.]*') || ' ' || text) AS body FROM documents WHERE text IS NOT NULL), ka AS (SELECT item_id, doc_id, round(count(*)::DOUBLE / max(words), 6) AS score FROM qw JOIN kd ON contains(body, word) JOIN qn USING (item_id) GROUP BY 1, 2),
+    ks AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM ka) WHERE place <= 20)"""
+GRAM = 3
+
+
+def keyword_scores(spark, d, k: int = 20) -> DataFrame:
+    """Share of a question's words that occur anywhere within a document's title and text; the k best documents of each question.
+
+    A word without a blank is contained in a text if one of the text's tokens contains it. Each distinct token is listed under
+    its runs of up to GRAM characters, each word asks under its first ones: an equi join, with the containment checked on what meets.
+    """
+    qw = read(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("item_id", "word").agg(F.count("*").alias("times"))
+    body = F.lower(F.concat(F.regexp_extract("text", r"^[^.]*", 0), F.lit(" "), F.col("text")))
+    tokens = written(read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("token")).where("token <> ''"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.when(n <= F.length("token"), F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring(F.col("token"), i, n))).otherwise(F.array().cast("array<string>"))))
+    listed = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(runs)).alias("gram"))
+    asked = qw.select("word").distinct().select("word", F.substring("word", 1, GRAM).alias("gram"))
+    pairs = listed.join(asked, "gram").where(F.contains("token", "word")).select("token", "word")
+    hits = tokens.join(pairs, "token").select("doc_id", "word").distinct().join(qw, "word").groupBy("item_id", "doc_id").agg(F.sum("times").alias("n"))
+    s = hits.join(qw.groupBy("item_id").agg(F.sum("times").alias("words")), "item_id").select("item_id", "doc_id", F.round(F.col("n") / F.col("words"), 6).alias("score"))
+    return best_of(s, "item_id", k).drop("rank")
+
+
+@query("g6_keyword_fallback", f"WITH {_KEY} SELECT item_id, doc_id, score FROM ks")
+def keyword_fallback(spark, d):
+    return keyword_scores(spark, d)
+
+
+_DENSE = """unit AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings WHERE list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)) > 0),
+    da AS (SELECT b.item_id, e.vec_id AS doc_id, round(list_inner_product(q.v, e.v), 6) AS score FROM benchmark b JOIN unit q ON q.vec_id = b.item_id JOIN unit e ON e.vec_id <> b.item_id JOIN (SELECT DISTINCT doc_id FROM documents) x ON x.doc_id = e.vec_id),
+    ds AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM da WHERE score >= 0.3) WHERE place <= 20)"""
+
+
+def dense_scores(spark, d, k: int = 20, least: float = 0.3) -> DataFrame:
+    """The k documents of each question with the greatest inner product of unit vectors, of `least` or more.
+
+    A question's vector and a document's are those of `embeddings` with its number.
+    """
+    e = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x))
+    unit = e.withColumn("n", norm).where("n > 0").select("vec_id", F.transform("x", lambda x: x / F.col("n")).alias("v"))
+    q = read(spark, d, "benchmark").join(unit, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query"), F.col("v").alias("q"))
+    docs = unit.join(read(spark, d, "documents").select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id")
+    s = inner_products(q, docs).where((F.col("query") != F.col("vec_id")) & (F.col("score") >= least))
+    return best_of(s.select(F.col("query").alias("item_id"), F.col("vec_id").alias("doc_id"), "score"), "item_id", k).drop("rank")
+
+
+@query("g5_hybrid_merge", f"WITH {_TFIDF}, {_DENSE}, few AS (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM ds GROUP BY 1 HAVING count(*) >= 10)) SELECT item_id, doc_id, score FROM ds UNION ALL SELECT item_id, doc_id, round(score * 0.8, 6) FROM hits WHERE item_id IN (SELECT * FROM few) AND (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM ds)")
+def hybrid_merge(spark, d, k: int = 20):
+    """Dense hits; where a question has fewer than k / 2 of them, TF-IDF hits that are not among them at 0.8 of their score."""
+    p = written(dense_scores(spark, d, k))
+    enough = p.groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") >= k // 2)
+    more = tfidf_top(spark, d).join(enough, "item_id", "left_anti").join(p, ["item_id", "doc_id"], "left_anti")
+    return p.unionByName(more.select("item_id", "doc_id", F.round(F.col("score") * 0.8, 6).alias("score")))
+
+
+_INTENT = ("en", "fr")
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+#: Terms in the index, hits of a question, questions that are answered in one pass; parameters.
+VOCABULARY, HITS, QUESTIONS = 10000, 5, 1024
+
+
+def _terms(table, key):
+    words = f"list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda x: x NOT IN ({_STOP}))"
+    return f"(SELECT {key}, term, count(*) AS f FROM (SELECT {key}, unnest(w) AS term FROM (SELECT {key}, {words} AS w FROM {table}) UNION ALL SELECT {key}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM (SELECT {key}, {words} AS w FROM {table})) GROUP BY 1, 2)"
+
+
+_TFIDF = f"""n AS (SELECT count(*) AS n FROM documents), tf AS {_terms("documents", "doc_id")}, v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf, n GROUP BY 1 HAVING count(*) <= 0.9 * max(n) ORDER BY sum(f) DESC, term LIMIT {VOCABULARY})
+    , w AS (SELECT doc_id, term, f * idf AS w FROM tf JOIN v USING (term)), norm AS (SELECT doc_id, count(*)::BIGINT AS terms, sqrt(sum(w * w)) AS s FROM w GROUP BY 1)
+    , q AS (SELECT item_id, term, f * idf AS w FROM {_terms("benchmark", "item_id")} JOIN v USING (term)), qnorm AS (SELECT item_id, sqrt(sum(w * w)) AS s FROM q GROUP BY 1)
+    , s AS (SELECT item_id, doc_id, round(sum(w.w * q.w) / (max(norm.s) * max(qnorm.s)), 6) AS score FROM q JOIN w USING (term) JOIN norm USING (doc_id) JOIN qnorm USING (item_id) GROUP BY 1, 2)
+    , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s WHERE score > 0), hits AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {HITS})"""
+
+
+def term_counts(t: DataFrame, key: str) -> DataFrame:
+    """(key, term, f): how often a text holds each single word (two letters or more, no stop word) and each pair of neighbouring ones."""
+    w = t.select(key, F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), lambda x: ~x.isin(*STOP)).alias("w"))
     pairs = F.zip_with(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda b, a: F.concat(a, F.lit(" "), b))
-    tf = w.select("doc_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("f"))
+    return w.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("f"))
+
+
+def tfidf_weights(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The index: the vocabulary (term, idf), its VOCABULARY most frequent terms that at most nine tenths of the documents hold,
+    and the weights (doc_id, term, w). Counts are made and written once; the vocabulary is small by its limit."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    tf = written(term_counts(docs, "doc_id"))
     n = docs.agg(F.count("*").alias("n"))  # one row
     v = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("cf")).crossJoin(F.broadcast(n)).where("df <= 0.9D * n")
-    v = v.orderBy(F.desc("cf"), "term").limit(10000).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    x = F.col("f") * F.col("idf")
-    return tf.join(F.broadcast(v), "term").groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(x * x)), 5).alias("norm"))  # at most 10,000 terms
+    v = written(v.orderBy(F.desc("cf"), "term").limit(VOCABULARY).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    return v, tf.join(F.broadcast(v), "term").select("doc_id", "term", (F.col("f") * F.col("idf")).alias("w"))
+
+
+def best_of(scores: DataFrame, key: str, k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
+    """The k best rows of each key with their rank. Spark applies the limit in each task before rows meet by key, and again after."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie)).cast("long")
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+@query("g3_tfidf_top", f"WITH {_TFIDF} SELECT * FROM hits")
+def tfidf_top(spark, d):
+    """Cosine of TF-IDF vectors: documents and questions in one index, positive scores only."""
+    v, w = tfidf_weights(spark, d)
+    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s"))
+    q = term_counts(read(spark, d, "benchmark").select("item_id", "text"), "item_id").join(F.broadcast(v), "term").select("item_id", "term", (F.col("f") * F.col("idf")).alias("qw"))
+    qnorm = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qs"))
+    s = q.join(w, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(norm, "doc_id").join(qnorm, "item_id")
+    s = s.select("item_id", "doc_id", F.round(F.col("dot") / (F.col("s") * F.col("qs")), 6).alias("score"))
+    return best_of(s.where("score > 0"), "item_id", HITS).select("item_id", "doc_id", "score", "rank")
+
+
+WORDS = r"[\p{L}\p{N}_]+"
+
+
+def words_of(c: Column, longer: int) -> Column:
+    """Distinct lower-cased words of more than so many characters."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(WORDS), 0), lambda w: F.length(w) > longer))
+
+
+def _words(c, longer):
+    return f"list_distinct(list_filter(regexp_extract_all(lower({c}), '{WORDS}'), lambda w: length(w) > {longer}))"
+
+
+@query("g1_index_text", "SELECT doc_id, md5(concat_ws(' ', regexp_extract(text, '^[^.]*'), text, substr(text, 1, 2000), lang, source)) AS h FROM documents")
+def index_text(spark, d):
+    """The text that is embedded: title, abstract (the whole text), its first 2000 characters, keywords."""
+    joined = F.concat_ws(" ", F.regexp_extract("text", r"^[^.]*", 0), "text", F.substring("text", 1, 2000), "lang", "source")
+    return read(spark, d, "documents").select("doc_id", F.md5(joined).alias("h"))
+
+
+@query("g2_tfidf_index", f"WITH {_TFIDF} SELECT doc_id, terms, round(s, 5) AS norm FROM norm")
+def tfidf_index(spark, d):
+    """Terms and norm of each document in the index."""
+    w = tfidf_weights(spark, d)[1]
+    return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 5).alias("norm"))
 
 
 @query("g4_dense_top", """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2), q AS (SELECT label AS query, list(x ORDER BY i) AS q FROM c GROUP BY 1),
     s AS (SELECT query, vec_id, round(list_inner_product(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::BIGINT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def dense_top(spark, d):
-    """The five nearest vectors to the mean vector of each label, by inner product; a scan of all vectors per query."""
+    """The five nearest vectors to the mean vector of each label, by inner product."""
     e = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     q = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("q")).withColumnRenamed("label", "query")
+    return best_of(inner_products(q, e.select("vec_id", "v")), "query", 5, tie="vec_id")
+
+
+def inner_products(q: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query, vec_id, score) of all q(query, q array) with all vectors(vec_id, v array).
+
+    Queries meet the vectors in blocks of about QUESTIONS, each broadcast (half a megabyte at 64 numbers), so a scan of all vectors serves a
+    whole block and what is broadcast does not grow with the table of queries.
+    """
+    q = written(q)
+    blocks = max(1, -(-q.count() // QUESTIONS))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    s = q.crossJoin(e.select("vec_id", "v")).select("query", "vec_id", F.round(dot, 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")).cast("long")
-    return s.withColumn("rank", rank).where("rank <= 5")
+    out = None
+    for i in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        s = vectors.crossJoin(F.broadcast(part)).select("query", "vec_id", F.round(dot, 6).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 _KEY = f"""qw AS (SELECT item_id, unnest({_words('text', 3)}) AS word FROM benchmark), titles AS (SELECT doc_id, lower(regexp_extract(text, '^[^.]*')) AS title FROM documents WHERE text IS NOT NULL),
@@ -173,16 +371,20 @@ def rerank(spark, d):
 
 
 _HIGH = f"""{_RERANK}, sents AS (SELECT item_id, doc_id, place, final, unnest(string_split(regexp_replace(t, '([.!?])[ \t\n\r]+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(t, '([.!?])[ \t\n\r]+', '\\1' || chr(1), 'g'), chr(1)), 1) AS pos, {_words('q', 3)} AS kw FROM reranked),
-    scored AS (SELECT *, len(list_filter(kw, lambda k: contains(lower(s), k))) AS n FROM sents), best AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n DESC, pos)::BIGINT AS nth FROM scored WHERE n > 0), lights AS (SELECT * FROM best WHERE nth <= 2)"""
+    scored AS (SELECT *, len(list_filter(kw, lambda k: contains(lower(s), k))) AS n FROM sents), best AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n DESC, pos)::BIGINT AS nth FROM scored WHERE n > 0), lights AS (SELECT item_id, doc_id, place, final, s, n, nth FROM best WHERE nth <= 2 UNION ALL SELECT item_id, doc_id, place, final, substr(t, 1, 300), 0, 1 FROM reranked WHERE (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM best))"""
 
 
 def highlights(spark, d) -> DataFrame:
-    """The two sentences of each hit with most of the question's words, in order of hits, then of place in the text."""
+    """The two sentences of each hit with most of the question's words, in order of hits, then of place in the text; without
+    any such sentence the text's first 300 characters."""
     pieces = F.split("t", r"(?<=[.!?])[ \t\n\r]+")
-    s = reranked(spark, d).select("item_id", "doc_id", "place", "final", words_of(F.col("q"), 3).alias("kw"), F.posexplode(pieces).alias("pos", "s"))
-    s = s.withColumn("n", F.size(F.filter("kw", lambda k: F.contains(F.lower("s"), k)))).where("n > 0")
-    nth = F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy(F.desc("n"), "pos")).cast("long")
-    return s.withColumn("nth", nth).where("nth <= 2")
+    kw = words_of(F.col("q"), 3)
+    each = F.transform(pieces, lambda s, i: F.struct((-F.size(F.filter(kw, lambda k: F.contains(F.lower(s), k)))).alias("down"), i.alias("pos"), s.alias("s")))
+    best = F.slice(F.array_sort(F.filter(each, lambda x: x["down"] < 0)), 1, 2)
+    none = F.array(F.struct(F.lit(0).alias("down"), F.lit(0).alias("pos"), F.substring("t", 1, 300).alias("s")))
+    t = reranked(spark, d).withColumn("best", best)
+    s = t.select("item_id", "doc_id", "place", "final", F.posexplode(F.when(F.size("best") > 0, F.col("best")).otherwise(none)).alias("at", "b"))
+    return s.select("item_id", "doc_id", "place", "final", F.col("b.s").alias("s"), (-F.col("b.down")).alias("n"), (F.col("at") + 1).cast("long").alias("nth"))
 
 
 @query("g8_highlights", f"WITH {_HIGH} SELECT item_id, doc_id, nth, n::BIGINT AS hits, s AS sentence FROM lights")
@@ -237,11 +439,12 @@ def bibliography(spark, d):
     return checked(spark, d).where("valid").select("conv_id", "turn", "ref", F.col("source").alias("journal"), (2015 + F.col("ref") % 10).alias("year"))
 
 
-@query("g16_answer_confidence", f"WITH {_RERANK} SELECT item_id, round(least(0.95, 0.6 * avg(final) + 0.4 * count(*) FILTER (doc_id % 2 = 0) / count(*)), 5) AS confidence FROM reranked GROUP BY 1")
+@query("g16_answer_confidence", f"WITH {_HIGH} SELECT r.item_id, round(least(0.95, 0.6 * avg(r.final) + 0.4 * count(l.doc_id) / count(*)), 5) AS confidence FROM reranked r LEFT JOIN (SELECT item_id, doc_id FROM lights WHERE nth = 1 AND place <= 4) l ON l.item_id = r.item_id AND l.doc_id = r.doc_id GROUP BY 1")
 def answer_confidence(spark, d):
-    """From the mean score and the share of hits that the answer cites (here those with an even id)."""
-    c = 0.6 * F.avg("final") + 0.4 * F.count_if(F.col("doc_id") % 2 == 0) / F.count("*")
-    return reranked(spark, d).groupBy("item_id").agg(F.round(F.least(F.lit(0.95), c), 5).alias("confidence"))
+    """From the mean score and the share of hits that the extractive answer cites (those with a highlight, four at most)."""
+    t = highlights(spark, d).where("nth = 1")
+    c = 0.6 * F.avg("final") + 0.4 * F.count_if(F.col("place") <= 4) / F.count("*")
+    return t.groupBy("item_id").agg(F.round(F.least(F.lit(0.95), c), 5).alias("confidence"))
 
 
 @query("g17_abstention", f"WITH {_KEY} SELECT item_id, CASE WHEN count(doc_id) = 0 THEN 'no evidence' ELSE 'answered' END AS state FROM benchmark LEFT JOIN (SELECT * FROM ks WHERE score >= 0.2) USING (item_id) GROUP BY 1")
@@ -251,9 +454,17 @@ def abstention(spark, d):
     return read(spark, d, "benchmark").select("item_id").join(n, "item_id", "left").select("item_id", F.when(F.col("n").isNull(), "no evidence").otherwise("answered").alias("state"))
 
 
-@query("g18_corpus_filters", "SELECT doc_id FROM documents WHERE lang = 'en' AND len(list_filter([lower(source)], lambda s: contains(s, '1'))) > 0")
-def corpus_filters(spark, d):
-    return read(spark, d, "documents").where(F.col("lang") == "en").where(F.exists(F.array(F.lower("source")), lambda s: F.contains(s, F.lit("1")))).select("doc_id")
+@query("g18_corpus_filters", f"SELECT doc_id FROM documents WHERE lang = 'en' AND list_contains({_words('text', 0)}, 'the') AND len(list_filter([source, lang], lambda s: contains(lower(s), 's'))) > 0")
+def corpus_filters(spark, d, category: str | None = "en", compound: str | None = "The", plant: str | None = "S"):
+    """Documents of a category, with a compound (an equal word of the text, in any case) and a plant (within an element of an array)."""
+    t = read(spark, d, "documents")
+    if category is not None:
+        t = t.where(F.col("lang") == category)
+    if compound is not None:
+        t = t.where(F.array_contains(words_of(F.col("text"), 0), compound.lower()))
+    if plant is not None:
+        t = t.where(F.exists(F.array("source", "lang"), lambda s: F.contains(F.lower(s), F.lit(plant.lower()))))
+    return t.select("doc_id")
 
 
 @query("g20_word_overlap", f"""WITH q AS (SELECT DISTINCT item_id, unnest({_words('text', 0)}) AS w FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest({_words('text', 0)}) AS w FROM documents), s AS (SELECT item_id, doc_id, count(*)::BIGINT AS n FROM q JOIN t USING (w) GROUP BY 1, 2),
@@ -262,9 +473,7 @@ def word_overlap(spark, d):
     """The five documents that share most distinct words with each question."""
     q = read(spark, d, "benchmark").select("item_id", F.explode(words_of(F.col("text"), 0)).alias("w"))
     t = read(spark, d, "documents").select("doc_id", F.explode(words_of(F.col("text"), 0)).alias("w"))
-    s = q.join(t, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id")).cast("long")
-    return s.withColumn("rank", rank).where("rank <= 5")
+    return best_of(q.join(t, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")), "item_id", 5, "n")
 
 
 @query("g21_query_table", "WITH c AS (SELECT 'evidence for ' || p_name || ' ' || p_partkey AS question, 2 AS part, p_retailprice, p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 3) SELECT question FROM (SELECT 'mechanism of action' AS question UNION ALL SELECT 'safety profile' UNION ALL SELECT 'binding affinity' UNION ALL SELECT question FROM c)")
