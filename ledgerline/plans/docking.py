@@ -1,13 +1,13 @@
 """Docking-result analytics.
 
 Poses are `lineitem`: ligand = order, mode = line, affinity = -4 - 80 * discount, rmsd = 50 * tax, target = supplier mod 5.
-Ligand features are those of the line's part; interaction types are line number mod 7, distance 2 + quantity / 20 and
+Ligand features are those of the line's part; interaction types are line number mod 8, distance 2 + quantity / 20 and
 angle 100 + quantity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.descriptors import clamp
@@ -17,18 +17,29 @@ from ledgerline.registry import query
 from ledgerline.sources.tables import read
 
 #: Interaction types in order, the longest distance of a contact and the weight in the relevance.
-INTERACTIONS = (("hydrogen_bond", 4.1, 0.25), ("hydrophobic", 4.0, 0.08), ("pi_stacking", 5.5, 0.35), ("pi_cation", 6.0, 0.2), ("salt_bridge", 5.5, 0.0), ("water_bridge", 4.5, 0.0), ("halogen_bond", 4.0, 0.0))
+INTERACTIONS = (("hydrogen_bond", 4.1, 0.25), ("hydrophobic", 4.0, 0.08), ("pi_stacking", 5.5, 0.35), ("pi_cation", 6.0, 0.2), ("salt_bridge", 5.5, 0.0), ("water_bridge", 4.5, 0.0), ("halogen_bond", 4.0, 0.0), ("metal_complex", 3.0, 0.0))
+#: Of each type the shortest distance, and the range of angles in which it holds (two for stacking: parallel or T-shaped).
+SHAPES = {
+    "hydrogen_bond": (2.0, ((100, 180),)),
+    "hydrophobic": (2.0, ((0, 180),)),
+    "pi_stacking": (3.0, ((0, 30), (60, 180))),
+    "pi_cation": (3.0, ((0, 45),)),
+    "salt_bridge": (2.0, ((0, 180),)),
+    "water_bridge": (0.0, ((0, 180),)),
+    "halogen_bond": (2.5, ((120, 180),)),
+    "metal_complex": (1.5, ((0, 180),)),
+}
 #: Targets in order (target number 0..4) and residues of their binding sites.
 TARGETS = (
-    ("GABRA1", "TYR58:A PHE77:A TYR157:A HIS102:A TYR205:A SER205:A PHE200:B"),
-    ("GRIN2B", "TYR109:A ARG115:A SER132:A ASP136:A PHE114:A LYS131:A"),
-    ("SCN1A", "PHE387:A TYR1755:A PHE1764:A LEU1465:A VAL1466:A LEU1462:A"),
-    ("GABRA2", "TYR58:A TYR160:A SER204:A TYR210:A PHE77:A"),
-    ("CACNA1H", "PHE1503:A LEU1502:A ASN1499:A VAL1496:A"),
+    ("GABRA1", ("TYR58:A", "PHE77:A", "TYR157:A", "HIS102:A", "TYR205:A", "SER205:A", "PHE200:B")),
+    ("GRIN2B", ("TYR109:A", "ARG115:A", "SER132:A", "ASP136:A", "PHE114:A", "LYS131:A")),
+    ("SCN1A", ("PHE387:A", "TYR1755:A", "PHE1764:A", "LEU1465:A", "VAL1466:A", "LEU1462:A")),
+    ("GABRA2", ("TYR58:A", "TYR160:A", "SER204:A", "TYR210:A", "PHE77:A")),
+    ("CACNA1H", ("PHE1503:A", "LEU1502:A", "ASN1499:A", "VAL1496:A")),
 )
 
 _POSES = "poses AS (SELECT l_orderkey AS ligand, l_linenumber AS mode, l_partkey, l_suppkey, -4 - 80 * l_discount AS affinity, 50 * l_tax AS rmsd, l_suppkey % 5 AS target, l_quantity FROM lineitem)"
-_T = "targets AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}', '{r}')" for i, (n, r) in enumerate(TARGETS)) + ") AS t(target, gene, residues))"
+_T = "targets AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}', {list(r)})" for i, (n, r) in enumerate(TARGETS)) + ") AS t(target, gene, residues))"
 
 
 def poses(spark, d) -> DataFrame:
@@ -37,7 +48,7 @@ def poses(spark, d) -> DataFrame:
 
 def targets(spark) -> DataFrame:
     """The five targets, five rows."""
-    rows = [F.struct(F.lit(i).cast("long").alias("target"), F.lit(n).alias("gene"), F.lit(r).alias("residues")) for i, (n, r) in enumerate(TARGETS)]
+    rows = [F.struct(F.lit(i).cast("long").alias("target"), F.lit(n).alias("gene"), F.array(*(F.lit(x) for x in r)).alias("residues")) for i, (n, r) in enumerate(TARGETS)]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
 
 
@@ -153,27 +164,46 @@ def candidate_view(spark, d):
     return read(spark, d, "part").join(F.broadcast(best), F.col("p_partkey") == F.col("l_partkey"), "right").select(name.alias("name"), "l_partkey", F.round("a", 4).alias("affinity"))
 
 
-@query("d10_contacts", """WITH a AS (SELECT vec_id, label % 2 AS side, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z FROM embeddings)
-    SELECT l.vec_id AS ligand, count(*)::BIGINT AS contacts FROM a l JOIN a r ON l.side = 0 AND r.side = 1 AND (l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2 <= 16 GROUP BY 1""")
-def contacts(spark, d):
-    """Distance join by grid: cells of 4, the ligand side sent to its 27 neighbours, then the exact distance."""
-    at = lambda i: F.element_at("embedding", i).cast("double") * 100
-    atoms = read(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("side"), at(1).alias("x"), at(2).alias("y"), at(3).alias("z"))
-    cell = [F.floor(F.col(c) / 4) for c in "xyz"]
-    near = F.expr("flatten(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")
-    left = atoms.where("side = 0").withColumn("o", F.explode(near)).select(F.col("vec_id").alias("ligand"), F.col("x").alias("a"), F.col("y").alias("b"), F.col("z").alias("c"), *((c + F.col(f"o.{o}")).alias(f"c{i}") for i, (c, o) in enumerate(zip(cell, "ijk", strict=True))))
-    right = atoms.where("side = 1").select("x", "y", "z", *(c.alias(f"c{i}") for i, c in enumerate(cell)))
-    gap = F.pow(F.col("a") - F.col("x"), 2) + F.pow(F.col("b") - F.col("y"), 2) + F.pow(F.col("c") - F.col("z"), 2)
-    return left.join(right, ["c0", "c1", "c2"]).where(gap <= 16).groupBy("ligand").agg(F.count("*").alias("contacts"))
+CELL = max(m for _, m, _ in INTERACTIONS)
+ATOMS = 20_000  # receptor atoms of one cell that share a join key; a parameter
+_LIKELY = "CASE kind " + " ".join(f"WHEN '{n}' THEN dist BETWEEN {SHAPES[n][0]} AND {m} AND (" + " OR ".join(f"angle BETWEEN {a} AND {b}" for a, b in SHAPES[n][1]) + ")" for n, m, _ in INTERACTIONS) + " END"
 
 
-_KIND = "CASE l_linenumber % 7 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _, _) in enumerate(INTERACTIONS)) + " END"
+@query("d10_contacts", f"""WITH a AS (SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z, embedding[4]::DOUBLE AS u, embedding[5]::DOUBLE AS v, embedding[6]::DOUBLE AS w FROM embeddings),
+    p AS (SELECT l.vec_id AS ligand, {[n for n, _, _ in INTERACTIONS]}[1 + (r.label // 2 + r.vec_id) % 8] AS kind, sqrt((l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2) AS dist, degrees(acos(greatest(-1, least(1, (l.u * r.u + l.v * r.v + l.w * r.w) / sqrt((l.u ^ 2 + l.v ^ 2 + l.w ^ 2) * (r.u ^ 2 + r.v ^ 2 + r.w ^ 2)))))) AS angle FROM a l JOIN a r ON l.label % 2 = 0 AND r.label % 2 = 1)
+    SELECT ligand, kind, count(*)::BIGINT AS contacts FROM p WHERE {_LIKELY} GROUP BY 1, 2""")
+def contacts(spark, d):
+    """Contacts of ligand atoms (even labels) by the type of the receptor atom (odd labels), each type with its own distances and angles.
+
+    Distance join by grid: cells of the longest distance, the ligand side sent to its 27 neighbours, then the exact conditions. A cell with more than ATOMS
+    receptor atoms is dealt over salts, to each of which its ligand atoms go.
+    """
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    names = F.array(*(F.lit(n) for n, _, _ in INTERACTIONS))
+    atoms = read(spark, d, "embeddings").select("vec_id", "label", *((at(i) * 100).alias(c) for i, c in enumerate("xyz", 1)), *(at(i).alias(c) for i, c in enumerate("uvw", 4)))
+    cell = [F.floor(F.col(c) / CELL) for c in "xyz"]
+    keys = ["c0", "c1", "c2"]
+    near = F.expr("flatten(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")
+    right = atoms.where("label % 2 = 1").select("vec_id", *"xyzuvw", names[((F.floor(F.col("label") / 2) + F.col("vec_id")) % len(INTERACTIONS)).cast("int")].alias("kind"), *(c.alias(k) for c, k in zip(cell, keys, strict=True)))
+    full = right.groupBy(*keys).agg(F.ceil(F.count("*") / ATOMS).alias("salts"))
+    right = right.join(full, keys).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts"))).drop("salts", "vec_id")
+    left = atoms.where("label % 2 = 0").withColumn("o", F.explode(near)).select(F.col("vec_id").alias("ligand"), *(F.col(c).alias(f"l{c}") for c in "xyzuvw"), *((c + F.col(f"o.{o}")).alias(k) for c, o, k in zip(cell, "ijk", keys, strict=True)))
+    left = left.join(full, keys).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    total = lambda terms: sum(terms[1:], terms[0])
+    dist = F.sqrt(total([F.pow(F.col(f"l{c}") - F.col(c), 2) for c in "xyz"]))
+    size = lambda p: total([F.pow(F.col(f"{p}{c}"), 2) for c in "uvw"])
+    angle = F.degrees(F.acos(clamp(total([F.col(f"l{c}") * F.col(c) for c in "uvw"]) / F.sqrt(size("l") * size("")), -1, 1)))
+    pairs = left.join(right, [*keys, "salt"]).select("ligand", "kind", dist.alias("dist"), angle.alias("angle"))
+    return pairs.where(F.expr(_LIKELY)).groupBy("ligand", "kind").agg(F.count("*").alias("contacts"))
+
+
+_KIND = "CASE l_linenumber % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _, _) in enumerate(INTERACTIONS)) + " END"
 _INTER = f"inter AS (SELECT l_orderkey AS ligand, l_linenumber, l_partkey, l_suppkey, {_KIND} AS kind, 2 + l_quantity / 20 AS dist, 100 + l_quantity AS angle FROM lineitem)"
 
 
 def interactions(spark, d) -> DataFrame:
     names = F.array(*(F.lit(n) for n, _, _ in INTERACTIONS))
-    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("ligand"), "l_linenumber", "l_partkey", "l_suppkey", names[F.col("l_linenumber") % 7].alias("kind"), (2 + F.col("l_quantity") / 20).alias("dist"), (100 + F.col("l_quantity")).alias("angle"))
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("ligand"), "l_linenumber", "l_partkey", "l_suppkey", names[F.col("l_linenumber") % 8].alias("kind"), (2 + F.col("l_quantity") / 20).alias("dist"), (100 + F.col("l_quantity")).alias("angle"))
 
 
 @query("d11_interaction_strength", f"""WITH {_INTER} SELECT ligand, l_linenumber, l_partkey, l_suppkey, kind, round(CASE kind WHEN 'hydrophobic' THEN greatest(0.1, 1 - (dist - 2) / 2.5) WHEN 'hydrogen_bond' THEN greatest(0.1, (1 - abs(dist - 2.9) / 1.5) * angle / 180)
@@ -194,7 +224,8 @@ def interaction_strength(spark, d):
 
 _NEAR = "CASE kind " + " ".join(f"WHEN '{n}' THEN {m}" for n, m, _ in INTERACTIONS) + " END"
 _PROFILE = f"""{_INTER}, near AS (SELECT * FROM inter WHERE dist <= {_NEAR}), prof AS (SELECT ligand, count(*)::BIGINT AS total, count(*) FILTER (kind = 'hydrogen_bond')::BIGINT AS hb, count(*) FILTER (kind = 'pi_stacking')::BIGINT AS pi,
-    count(*) FILTER (kind = 'hydrophobic')::BIGINT AS hyd, round(least(1, sum(CASE kind WHEN 'hydrogen_bond' THEN 0.25::DOUBLE WHEN 'pi_stacking' THEN 0.35 WHEN 'hydrophobic' THEN 0.08 WHEN 'pi_cation' THEN 0.2 ELSE 0 END)), 3) AS relevance FROM near GROUP BY 1)"""
+    count(*) FILTER (kind = 'hydrophobic')::BIGINT AS hyd, round(least(1, sum(CASE kind WHEN 'hydrogen_bond' THEN 0.25::DOUBLE WHEN 'pi_stacking' THEN 0.35 WHEN 'hydrophobic' THEN 0.08 WHEN 'pi_cation' THEN 0.2 ELSE 0 END)), 3) AS relevance,
+    list('P' || l_partkey ORDER BY l_linenumber, l_partkey) FILTER (kind = 'hydrogen_bond') AS bonds, list('P' || l_partkey ORDER BY l_linenumber, l_partkey) FILTER (kind = 'pi_stacking') AS stackings FROM near GROUP BY 1)"""
 
 
 def lookup(key: Column, values: dict) -> Column:
@@ -213,9 +244,17 @@ def profiles(spark, d) -> DataFrame:
     return near.groupBy("ligand").agg(F.count("*").alias("total"), of("hydrogen_bond").alias("hb"), of("pi_stacking").alias("pi"), of("hydrophobic").alias("hyd"), F.round(F.least(F.lit(1.0), F.sum(weight)), 3).alias("relevance"))
 
 
-@query("d12_profile_summary", f"WITH {_PROFILE} SELECT * FROM prof")
+_MAP = "SELECT ligand, string_agg(kind || '=' || n, ';' ORDER BY kind) AS by_type FROM (SELECT ligand, kind, count(*) AS n FROM near GROUP BY 1, 2) GROUP BY 1"
+
+
+@query("d12_profile_summary", f"WITH {_PROFILE} SELECT ligand, total, by_type, relevance FROM prof JOIN ({_MAP}) USING (ligand)")
 def profile_summary(spark, d):
-    return profiles(spark, d)
+    """Contacts of each ligand: their number, a map of numbers by type (shown in order), and the relevance."""
+    near = interactions(spark, d).where(F.col("dist") <= lookup(F.col("kind"), {n: m for n, m, _ in INTERACTIONS}))
+    counts = near.groupBy("ligand", "kind").agg(F.count("*").alias("n"))  # eight types at most
+    weight = lookup(F.col("kind"), {n: w for n, _, w in INTERACTIONS})
+    t = counts.groupBy("ligand").agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("types"), F.round(F.least(F.lit(1.0), F.sum(F.col("n") * weight)), 3).alias("relevance"))
+    return t.select("ligand", "total", F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";").alias("by_type"), "relevance")
 
 
 @query("d13_profile_ranking", f"WITH {_PROFILE} SELECT ligand, relevance, total, row_number() OVER (ORDER BY relevance DESC, total DESC, ligand)::BIGINT AS rank FROM prof ORDER BY rank LIMIT 5")
@@ -224,16 +263,22 @@ def profile_ranking(spark, d):
     return numbered(top, (-F.col("relevance")).alias("a"), (-F.col("total")).alias("b"), F.col("ligand").alias("c"))
 
 
-@query("d14_insight_text", f"WITH {_PROFILE} SELECT ligand, concat_ws('; ', CASE WHEN hb > 0 THEN least(hb, 2) || ' bonds shown of ' || hb END, CASE WHEN pi > 0 THEN least(pi, 2) || ' stackings shown of ' || pi END, CASE WHEN hyd >= 5 THEN 'hydrophobic pocket' END, CASE WHEN relevance > 0.6 THEN 'modulator hypothesis' ELSE 'weak hypothesis' END) AS insight FROM prof")
+@query("d14_insight_text", f"WITH {_PROFILE} SELECT ligand, concat_ws('; ', CASE WHEN hb > 0 THEN 'hydrogen bonds with ' || array_to_string(bonds[1:2], ', ') END, CASE WHEN pi > 0 THEN 'stacking with ' || array_to_string(stackings[1:2], ', ') END, CASE WHEN hyd >= 5 THEN 'hydrophobic pocket' END, CASE WHEN relevance > 0.6 THEN 'modulator hypothesis' ELSE 'weak hypothesis' END) AS insight FROM prof")
 def insight_text(spark, d):
-    shown = lambda c, what: F.when(F.col(c) > 0, F.format_string(f"%d {what} shown of %d", F.least(c, F.lit(2).cast("long")), c))
-    parts = [shown("hb", "bonds"), shown("pi", "stackings"), F.when(F.col("hyd") >= 5, "hydrophobic pocket"), F.when(F.col("relevance") > 0.6, "modulator hypothesis").otherwise("weak hypothesis")]
-    return profiles(spark, d).select("ligand", F.concat_ws("; ", *parts).alias("insight"))
-
-
-@query("d15_residue_classes", f"WITH {_POSES}, {_T}, r AS (SELECT target, unnest(string_split(residues, ' ')) AS r FROM targets), n AS (SELECT target, count(*)::BIGINT AS poses FROM poses GROUP BY 1) SELECT target, poses, count(*) FILTER (regexp_matches(r, '^(PHE|TYR|TRP|HIS)'))::BIGINT AS aromatic, count(*) FILTER (regexp_matches(r, '^(SER|THR|ASN|GLN|TYR|HIS)'))::BIGINT AS polar, count(*) FILTER (regexp_matches(r, '^(ARG|LYS|ASP|GLU)'))::BIGINT AS charged FROM r JOIN n USING (target) GROUP BY 1, 2")
+    """The first two bonds and stackings of each ligand, the pocket rule, and a hypothesis by relevance."""
+    near = interactions(spark, d).where(F.col("dist") <= lookup(F.col("kind"), {n: m for n, m, _ in INTERACTIONS})).where(F.col("kind").isin("hydrogen_bond", "pi_stacking"))
+    first = F.row_number().over(Window.partitionBy("ligand", "kind").orderBy("l_linenumber", "l_partkey"))
+    two = near.withColumn("nth", first).where("nth <= 2").groupBy("ligand")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("nth", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name")))))["name"]
+    names = two.agg(F.array_join(of("hydrogen_bond"), ", ").alias("bonds"), F.array_join(of("pi_stacking"), ", ").alias("stackings"))
+    shown = lambda c, what: F.when(F.col(c) != "", F.concat(F.lit(what), F.col(c)))
+    parts = [shown("bonds", "hydrogen bonds with "), shown("stackings", "stacking with "), F.when(F.col("hyd") >= 5, "hydrophobic pocket"), F.when(F.col("relevance") > 0.6, "modulator hypothesis").otherwise("weak hypothesis")]
+    return profiles(spark, d).join(names, "ligand", "left").select("ligand", F.concat_ws("; ", *parts).alias("insight"))
+
+
+@query("d15_residue_classes", f"WITH {_POSES}, {_T}, r AS (SELECT target, unnest(residues) AS r FROM targets), n AS (SELECT target, count(*)::BIGINT AS poses FROM poses GROUP BY 1) SELECT target, poses, count(*) FILTER (regexp_matches(r, '^(PHE|TYR|TRP|HIS)'))::BIGINT AS aromatic, count(*) FILTER (regexp_matches(r, '^(SER|THR|ASN|GLN|TYR|HIS)'))::BIGINT AS polar, count(*) FILTER (regexp_matches(r, '^(ARG|LYS|ASP|GLU)'))::BIGINT AS charged FROM r JOIN n USING (target) GROUP BY 1, 2")
 def residue_classes(spark, d):
-    r = targets(spark).select("target", F.explode(F.split("residues", " ")).alias("r"))
+    r = targets(spark).select("target", F.explode("residues").alias("r"))
     of = lambda p: F.count_if(F.col("r").rlike(f"^({p})"))
     classes = r.groupBy("target").agg(of("PHE|TYR|TRP|HIS").alias("aromatic"), of("SER|THR|ASN|GLN|TYR|HIS").alias("polar"), of("ARG|LYS|ASP|GLU").alias("charged"))
     return poses(spark, d).groupBy("target").agg(F.count("*").alias("poses")).join(F.broadcast(classes), "target")

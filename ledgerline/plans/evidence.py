@@ -7,7 +7,7 @@ Answers are the assistant turns of `conversations`, with a reference and, for so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.registry import query
@@ -21,8 +21,63 @@ TIERS = (
     ("explainable_ai_interpretation", "error", 0.10),
     ("literature_derived_llm_synthesized", "purchase", 0.15),
 )
-#: Phrases that no computational output may contain.
-FORBIDDEN = ("clinically proven", "proven effective", "clinical efficacy demonstrated", "confirmed therapeutic", "efficacious in patients", "therapeutic dose", "cures", "treats disease", "clinical efficacy")
+#: Phrases that no computational output may contain, in four lists.
+TIER_PHRASES = (
+    "clinically proven",
+    "proven effective",
+    "clinical efficacy demonstrated",
+    "safe for human use based on this result",
+    "approved drug based on this docking",
+    "confirmed therapeutic",
+)
+OUTPUT_PHRASES = (
+    "clinically proven",
+    "efficacious in patients",
+    "therapeutic dose",
+    "cures",
+    "treats disease",
+    "clinical efficacy",
+)
+BLOCKED_PHRASES = (
+    "clinically proven",
+    "proven to cure",
+    "proven to treat",
+    "effective treatment for patients",
+    "clinical efficacy demonstrated",
+    "will cure",
+    "guaranteed to work",
+    "safe and effective in humans",
+    "therapeutic effect confirmed",
+    "can be used to treat patients",
+    "clinical proof",
+    "cures disease",
+    "treats disease in humans",
+    "approved drug based on this",
+    "safe for human use based on this result",
+    "efficacious in patients",
+)
+SHOWN_PHRASES = (
+    "clinically proven",
+    "proves efficacy",
+    "demonstrates therapeutic effect",
+    "cures",
+    "treats disease",
+    "clinical proof",
+    "proven to treat",
+    "effective treatment for",
+    "approved drug",
+    "clinical efficacy confirmed",
+)
+FORBIDDEN = tuple(dict.fromkeys((*TIER_PHRASES, *OUTPUT_PHRASES, *BLOCKED_PHRASES, *SHOWN_PHRASES)))
+#: What each tier is, and how far it may be trusted; tiers 2 and 3 carry the disclaimer.
+ABOUT = (
+    ("taken from a curated database", "high if the source is curated"),
+    ("a docking score, a structural hypothesis", "medium to low, needs an experiment"),
+    ("a model's prediction, correlative", "as good as the model within its domain"),
+    ("an interpretation of a model", "says how the model behaves"),
+    ("written from retrieved literature", "as good as its citations"),
+)
+DISCLAIMER = "computational prediction, no clinical proof"
 #: Patterns that claim more than a computation can show.
 OVERCLAIMS = (
     r"\bclinically proven\b",
@@ -57,7 +112,7 @@ def outputs(spark, d) -> DataFrame:
     t = read(spark, d, "events").withColumn("k", k).join(F.broadcast(tiers(spark)), "event_type")  # five rows
     confidence = F.least(F.lit(1.0), F.col("value") / 100)
     domain = F.expr("CASE WHEN k % 10 = 9 THEN NULL ELSE k % 3 <> 0 END")
-    return t.select("event_id", "user_id", "tier", "tier_no", "weight", "k", confidence.alias("confidence"), F.expr("-k / 10D").alias("score"), F.expr("k / 25D").alias("rmsd"), F.expr("if(k % 13 = 0, 1L, 0L)").alias("clashes"), F.expr("k / 20D").alias("strain"), domain.alias("inside"), F.expr("k % 5 + 1").alias("expected"))
+    return t.select("event_id", "user_id", "tier", "tier_no", "weight", "k", "props", confidence.alias("confidence"), F.expr("-k / 10D").alias("score"), F.expr("k / 25D").alias("rmsd"), F.expr("if(k % 13 = 0, 1L, 0L)").alias("clashes"), F.expr("k / 20D").alias("strain"), domain.alias("inside"), F.expr("k % 5 + 1").alias("expected"))
 
 
 def answers(spark, d) -> DataFrame:
@@ -85,22 +140,38 @@ _BOTH = "(regexp_matches(lower(answer), 'docking score|predicted affinity|ml mod
 _N_OVER = "(" + " + ".join([f"regexp_matches(lower(answer), '{p}')::BIGINT" for p in OVERCLAIMS] + [f"{_BOTH}::BIGINT"]) + ")"
 
 
-@query("h1_tier_tags", f"WITH {_OUT} SELECT event_id, tier_no, 'tier ' || tier_no || ': ' || tier AS label, false AS clinical_proof FROM outputs")
+_ABOUT = "about AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{x}', '{g}', {repr(DISCLAIMER) if i in (2, 3) else 'NULL'})" for i, (x, g) in enumerate(ABOUT, 1)) + ") AS t(tier_no, description, guidance, disclaimer))"
+
+
+def about(spark) -> DataFrame:
+    """Description, guidance and disclaimer of each tier, five rows."""
+    rows = [F.struct(F.lit(i).cast("long").alias("tier_no"), F.lit(x).alias("description"), F.lit(g).alias("guidance"), (F.lit(DISCLAIMER) if i in (2, 3) else F.lit(None).cast("string")).alias("disclaimer")) for i, (x, g) in enumerate(ABOUT, 1)]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
+
+@query("h1_tier_tags", f"WITH {_OUT}, {_ABOUT} SELECT event_id, tier_no, 'tier ' || tier_no || ': ' || tier AS label, description, guidance, disclaimer, false AS clinical_proof FROM outputs JOIN about USING (tier_no)")
 def tier_tags(spark, d):
-    return outputs(spark, d).select("event_id", "tier_no", F.format_string("tier %d: %s", "tier_no", "tier").alias("label"), F.lit(False).alias("clinical_proof"))
+    t = outputs(spark, d).join(F.broadcast(about(spark)), "tier_no")  # five rows
+    return t.select("event_id", "tier_no", F.format_string("tier %d: %s", "tier_no", "tier").alias("label"), "description", "guidance", "disclaimer", F.lit(False).alias("clinical_proof"))
 
 
-@query("h2_tier_enforcement", f"WITH {_OUT} SELECT event_id, t.tier AS tier, tier_no <> expected AS overridden FROM outputs JOIN (SELECT tier_no AS expected, tier FROM tiers) t USING (expected)")
+@query("h2_tier_enforcement", f"WITH {_OUT} SELECT e.event_id, coalesce(t.tier, o.tier) AS tier, o.tier_no IS NOT NULL AND o.tier_no <> t.expected AS overridden, o.tier_no IS NULL AS wrapped FROM events e LEFT JOIN outputs o USING (event_id) LEFT JOIN (SELECT tier_no AS expected, tier FROM tiers) t ON t.expected = coalesce(o.expected, CAST(json_extract(e.props, '$.k') AS BIGINT) % 5 + 1)")
 def tier_enforcement(spark, d):
-    """The expected tier wins; a row whose own tier differs is flagged."""
+    """The expected tier wins; a row whose own tier differs is flagged, and a row without one is wrapped in the expected one."""
     names = tiers(spark).select(F.col("tier_no").alias("expected"), F.col("tier").alias("kept"))
-    return outputs(spark, d).join(F.broadcast(names), "expected").select("event_id", F.col("kept").alias("tier"), (F.col("tier_no") != F.col("expected")).alias("overridden"))
+    own = outputs(spark, d).select("event_id", "tier", "tier_no")
+    k = F.get_json_object("props", "$.k").cast("long")
+    t = read(spark, d, "events").select("event_id", (k % 5 + 1).alias("expected")).join(own, "event_id", "left").join(F.broadcast(names), "expected", "left")
+    return t.select("event_id", F.coalesce("kept", "tier").alias("tier"), (F.col("tier_no").isNotNull() & (F.col("tier_no") != F.col("expected"))).alias("overridden"), F.col("tier_no").isNull().alias("wrapped"))
 
 
-@query("h3_confidence_cap", f"WITH {_OUT} SELECT event_id, tier, round(CASE WHEN tier_no IN (2, 3) THEN least(0.95::DOUBLE, confidence) ELSE confidence END, 6) AS confidence FROM outputs")
+@query("h3_confidence_cap", f"WITH {_OUT} SELECT event_id, tier, round(CASE WHEN tier_no IN (2, 3) THEN least(0.95::DOUBLE, confidence) ELSE confidence END, 6) AS confidence, coalesce(props::JSON ->> '$.disclaimer', CASE WHEN tier_no IN (2, 3) THEN '{DISCLAIMER}' END) AS disclaimer FROM outputs JOIN (SELECT event_id, props FROM events) USING (event_id)")
 def confidence_cap(spark, d):
-    capped = F.when(F.col("tier_no").isin(2, 3), F.least(F.lit(0.95), "confidence")).otherwise(F.col("confidence"))
-    return outputs(spark, d).select("event_id", "tier", F.round(capped, 6).alias("confidence"))
+    """Docking and model tiers are never surer than 0.95, and carry a disclaimer where none is given."""
+    computed = F.col("tier_no").isin(2, 3)
+    capped = F.when(computed, F.least(F.lit(0.95), "confidence")).otherwise(F.col("confidence"))
+    given = F.coalesce(F.get_json_object("props", "$.disclaimer"), F.when(computed, DISCLAIMER))
+    return outputs(spark, d).select("event_id", "tier", F.round(capped, 6).alias("confidence"), given.alias("disclaimer"))
 
 
 @query("h4_provenance_hash", "SELECT doc_id, substr(sha256(text), 1, 16) AS h FROM documents")
@@ -165,9 +236,16 @@ def issues(spark, d) -> DataFrame:
     return outputs(spark, d).select("event_id", F.explode(hits).alias("i")).select("event_id", "i.*")
 
 
-@query("h9_tier_issues", f"WITH {_OUT}, {_ISSUES} SELECT event_id, check_name FROM issues WHERE check_name IN ('literature_citations', 'tier_override')")
+@query("h9_tier_issues", f"WITH {_OUT}, {_ISSUES} SELECT event_id, severity, check_name FROM issues WHERE check_name IN ('literature_citations', 'tier_override') UNION ALL SELECT NULL, 'critical', 'no_outputs' WHERE (SELECT count(*) FROM outputs) = 0")
 def tier_issues(spark, d):
-    return issues(spark, d).where(F.col("check_name").isin("literature_citations", "tier_override")).select("event_id", "check_name")
+    """Issues of tiers and citations; without any output one critical issue."""
+    return with_empty(issues(spark, d).where(F.col("check_name").isin("literature_citations", "tier_override")), outputs(spark, d))
+
+
+def with_empty(found: DataFrame, given: DataFrame) -> DataFrame:
+    """Issues and, if nothing was given to check, a critical one."""
+    none = given.agg(F.count("*").alias("n")).where("n = 0")  # one row or none
+    return found.select("event_id", "severity", "check_name").unionByName(none.select(F.lit(None).cast("long").alias("event_id"), F.lit("critical").alias("severity"), F.lit("no_outputs").alias("check_name")))
 
 
 @query("h10_overclaim_issues", f"WITH {_ANS} SELECT conv_id, turn, {_N_OVER} + (conv_id % 5 IN (1, 2, 3) AND regexp_matches(lower(answer), 'clinical efficacy demonstrated|proven to cure|effective treatment for patients'))::BIGINT AS issues FROM answers WHERE {_N_OVER} > 0")
@@ -253,9 +331,15 @@ def candidate_keys(spark, d):
     return read(spark, d, "events").select("event_id", F.coalesce(at("compound_id"), at("compound_name"), at("smiles"), user, F.lit("unknown")).alias("candidate"))
 
 
-@query("i2_candidate_tiers", f"WITH {_OUT} SELECT user_id, tier, count(*)::BIGINT AS n, round(avg(confidence), 10) AS mean FROM outputs GROUP BY 1, 2")
+@query("i2_candidate_tiers", f"WITH {_OUT}, g AS (SELECT user_id, tier, count(*)::BIGINT AS n, round(avg(confidence), 10) AS mean FROM outputs GROUP BY 1, 2), f AS (SELECT user_id, tier, string_agg(event_id::VARCHAR, ';' ORDER BY event_id) AS first_outputs FROM (SELECT *, row_number() OVER (PARTITION BY user_id, tier ORDER BY event_id) AS nth FROM outputs) WHERE nth <= 5 GROUP BY 1, 2) SELECT user_id, coalesce(c_name, 'candidate ' || user_id) AS name, tier, n, mean, first_outputs FROM g JOIN f USING (user_id, tier) LEFT JOIN customer ON c_custkey = user_id")
 def candidate_tiers(spark, d):
-    return outputs(spark, d).groupBy("user_id", "tier").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 10).alias("mean"))
+    """Outputs of each candidate and tier: number, mean confidence, the first five; named where the catalogue knows the key."""
+    t = outputs(spark, d).select("user_id", "tier", "event_id", "confidence")
+    nth = F.row_number().over(Window.partitionBy("user_id", "tier").orderBy("event_id"))
+    first = t.withColumn("nth", nth).where("nth <= 5").groupBy("user_id", "tier").agg(F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ";").alias("first_outputs"))
+    g = t.groupBy("user_id", "tier").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 10).alias("mean")).join(first, ["user_id", "tier"])
+    names = read(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return g.join(names, "user_id", "left").select("user_id", F.coalesce("c_name", F.concat(F.lit("candidate "), F.col("user_id").cast("string"))).alias("name"), "tier", "n", "mean", "first_outputs")
 
 
 _RANK = """m AS (SELECT user_id, tier_no, any_value(weight) * avg(confidence) AS c, count(*) AS n, min(score) AS s, bool_and(coalesce(inside, true)) AS i FROM outputs GROUP BY 1, 2),
@@ -286,10 +370,17 @@ def numbered(top: DataFrame, *order: Column) -> DataFrame:
 
 @query("i4_ranked_candidates", f"WITH {_OUT}, {_RANK}, r AS (SELECT user_id, round(score, 6) AS score FROM ranked ORDER BY 2 DESC, 1 LIMIT 20) SELECT *, row_number() OVER (ORDER BY score DESC, user_id)::BIGINT AS rank FROM r")
 def ranked_candidates(spark, d):
-    top = priority_ranking(spark, d).select("user_id", "score").orderBy(F.desc("score"), "user_id").limit(20)
+    """The twenty best candidates; rows without a known candidate only count if there are no others."""
+    top = known_candidates(priority_ranking(spark, d).select("user_id", "score"), "user_id").orderBy(F.desc("score"), "user_id").limit(20)
     return numbered(top, (-F.col("score")).alias("a"), F.col("user_id").alias("b"))
 
 
+def known_candidates(t: DataFrame, key: str) -> DataFrame:
+    """t without the rows whose key is null, unless there are no others."""
+    known = t.agg(F.count(key).alias("known_"))  # one row
+    return t.crossJoin(F.broadcast(known)).where(F.col(key).isNotNull() | (F.col("known_") == 0)).drop("known_")
+
+
 @query("i5_display_fields", f"WITH {_OUT} SELECT user_id, min_by(k, row(tier_no, event_id)) FILTER (k % 4 <> 0) AS shown FROM outputs GROUP BY 1")
 def display_fields(spark, d):
     """The first field that is there, in tier order."""
@@ -308,9 +399,9 @@ def resorted(spark, d):
     return priorities(spark, d).select("user_id", F.round(F.coalesce("best", F.lit(0.0)), 4).alias("best")).orderBy("best", "user_id").limit(50)
 
 
-@query("i11_merged_branches", "SELECT user_id, event_type, substr(props, 1, 200) AS content FROM events WHERE value > 20 UNION SELECT user_id, event_type, substr(props, 1, 200) FROM events WHERE value < 60")
+@query("i11_merged_branches", "SELECT user_id, event_type, props AS content FROM events WHERE value > 20 UNION SELECT user_id, event_type, props FROM events WHERE value < 60")
 def merged_branches(spark, d):
-    """The union of two branches, rows of equal content once."""
+    """The union of two branches, rows of equal content once; the whole content counts."""
     t = read(spark, d, "events")
-    branch = lambda w: t.where(w).select("user_id", "event_type", F.substring("props", 1, 200).alias("content"))
+    branch = lambda w: t.where(w).select("user_id", "event_type", F.col("props").alias("content"))
     return branch("value > 20").unionByName(branch("value < 60")).distinct()
