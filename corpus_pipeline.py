@@ -54,7 +54,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     least = groups.where("doc_id = component_id").select(F.col("doc_id").alias(node)).distinct()
     kept = noded.join(least.hint("shuffle_hash"), node)
     once = kept.where(F.col(node) >= NODE).dropDuplicates([node])
-    return kept.where(F.col(node) < NODE).union(once).union(noded.where(F.col(node).isNull())).select(*docs.columns)
+    return kept.where(F.col(node) < NODE).unionByName(once).unionByName(noded.where(F.col(node).isNull())).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
