@@ -5,9 +5,13 @@ Features are long rows (row key, feature, group, value); every method is one pas
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.plans.models import INPUTS, regressors, training
 from ledgerline.registry import query
 from ledgerline.sources.tables import read
 
@@ -57,6 +61,31 @@ def occlusion(spark, d):
     return long(spark, d).select(*KEY, "feature", F.round("c2", 7).alias("c"))
 
 
+def occluded(t: DataFrame, inputs: list[str], predict: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
+    """Change of any scorer's prediction when one input at a time is replaced by its mean: key, feature, change.
+
+    predict: adds `prediction` to rows with the inputs as columns (a fitted pipeline's transform, or an expression). All replaced rows
+    go through it in one pass.
+    """
+    means = t.agg(*(F.avg(c).alias(f"mean_{c}") for c in inputs))  # one row
+    replaced = lambda c: F.struct(F.lit(c).alias("feature"), *(F.col(f"mean_{i}" if i == c else i).cast("double").alias(i) for i in inputs))
+    none = F.struct(F.lit(None).cast("string").alias("feature"), *(F.col(i).cast("double").alias(i) for i in inputs))
+    rows = t.select(*key, *inputs).crossJoin(F.broadcast(means)).select(*key, F.explode(F.array(none, *map(replaced, inputs))).alias("r")).select(*key, "r.*")
+    scored = predict(rows).select(*key, "feature", "prediction")
+    given = scored.where("feature is null").select(*key, F.col("prediction").alias("whole"))
+    return scored.where("feature is not null").join(given, key).select(*key, "feature", (F.col("whole") - F.col("prediction")).alias("change"))
+
+
+@query("f2_model_occlusion")
+def model_occlusion(spark, d):
+    """Occlusion through a fitted model of `models`: the change of its prediction of each line for each input."""
+    x = training(spark, d)
+    model = regressors()["ridge"].fit(x)
+    t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(*KEY, *INPUTS)
+    assemble = VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip")
+    return occluded(t, INPUTS, lambda rows: model.transform(assemble.transform(rows)), KEY)
+
+
 @query("f3_baseline", f"WITH {_WIDE} SELECT count(*)::BIGINT AS n, round(avg(p), 9) AS base FROM pred")
 def baseline(spark, d):
     return predicted(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("p"), 9).alias("base"))
@@ -109,9 +138,12 @@ def groups(spark, d) -> DataFrame:
     return long(spark, d).groupBy(*KEY, "grp").agg(F.sum("c1").alias("s"), F.avg(F.abs("c1")).alias("m"))
 
 
-@query("f7_group_contributions", f"WITH {_LONG}, {_GROUPS} SELECT {_K}, grp, round(s, 6) AS total, round(m, 6) AS mean FROM grp")
+@query("f7_group_contributions", f"WITH {_LONG}, {_GROUPS}, top AS (SELECT {_K}, grp, array_to_string(list(feature ORDER BY round(abs(c1), 9) DESC, feature)[1:5], ';') AS leaders FROM con GROUP BY ALL) SELECT {_K}, grp, round(s, 6) AS total, round(m, 6) AS mean, leaders FROM grp JOIN top USING ({_K}, grp)")
 def group_contributions(spark, d):
-    return groups(spark, d).select(*KEY, "grp", F.round("s", 6).alias("total"), F.round("m", 6).alias("mean"))
+    """Sum and mean size of each group's contributions, and its five leading features in order."""
+    order = F.struct((-F.round(F.abs("c1"), 9)).alias("size"), "feature")
+    t = long(spark, d).groupBy(*KEY, "grp").agg(F.sum("c1").alias("s"), F.avg(F.abs("c1")).alias("m"), F.slice(F.array_sort(F.collect_list(order)), 1, 5).alias("top"))
+    return t.select(*KEY, "grp", F.round("s", 6).alias("total"), F.round("m", 6).alias("mean"), F.array_join("top.feature", ";").alias("leaders"))
 
 
 def top_features(field: str, k: int = 2) -> Column:

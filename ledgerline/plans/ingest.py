@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegressionModel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.plans.evidence import _OUT, _RANK, numbered, outputs, priorities
-from ledgerline.plans.models import regressors, training
+from ledgerline.plans.models import INPUTS, regressors, scaled, scored, training
 from ledgerline.registry import query
-from ledgerline.sources.files import parse_references, read_catalogue, read_coordinates, read_logs, read_training, resume, scratch, split_models
+from ledgerline.sources.files import parse_references, read_catalogue, read_coordinates, read_logs, read_results, read_training, resume, scratch, split_models
 from ledgerline.sources.tables import read
 
 _CATALOGUE = "p_partkey bigint, p_name string, p_brand string"
@@ -36,6 +36,19 @@ def normalised(spark, d):
     return t.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("use")), " ").alias("uses"), F.min("p_partkey").alias("first"))
 
 
+@query("a2_compounds", "SELECT p_partkey, coalesce(p_name, p_brand, 'compound ' || p_partkey) AS structure, p_brand AS plant FROM part")
+def compounds(spark, d):
+    """One compound per row, with the first structure that is there."""
+    t = catalogue(spark, d)
+    return t.select("p_partkey", F.coalesce("p_name", "p_brand", F.concat(F.lit("compound "), F.col("p_partkey").cast("string"))).alias("structure"), F.col("p_brand").alias("plant"))
+
+
+@query("a2_formulations", "SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS formulation, p_name AS compound FROM part")
+def formulations(spark, d):
+    """Formulations (words of the names) and the names of their compounds, as long rows."""
+    return catalogue(spark, d).select(F.explode(F.split(F.lower("p_name"), " ")).alias("formulation"), F.col("p_name").alias("compound")).distinct()
+
+
 @query("a3_target_scan", "SELECT n_nationkey AS id, n_name AS gene, n_regionkey::DOUBLE AS cx, n_nationkey * 2.5::DOUBLE AS size FROM nation")
 def target_scan(spark, d):
     path = scratch(spark, "targets")
@@ -54,6 +67,25 @@ def corpus_scan(spark, d):
     return docs.unionByName(more).select("doc_id", F.md5("text").alias("h"), "origin")
 
 
+@query("a4_paper_scan", "SELECT item_id AS paper, md5(text) AS h FROM benchmark WHERE text IS NOT NULL")
+def paper_scan(spark, d):
+    """A folder of plain texts, a file or folder for each paper, read whole; a paper's number is in its path."""
+    path = scratch(spark, "papers")
+    read(spark, d, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("paper"), F.col("text").alias("value")).write.partitionBy("paper").text(path)
+    t = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    number = F.regexp_extract("path", r"paper=(\d+)", 1).cast("long")
+    return t.select(number.alias("paper"), F.md5(F.regexp_replace("value", "\n$", "")).alias("h"))
+
+
+@query("a10_enrichment_scan", "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size > 25 THEN 'resolved' ELSE 'unresolved' END AS status, round(p_retailprice, 4) AS weight FROM part")
+def enrichment_scan(spark, d):
+    """Enrichment results as JSON documents that nest a list of results, read with an explicit schema and listed again."""
+    path = scratch(spark, "enrichment")
+    result = F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, "resolved").otherwise("unresolved").alias("status"), F.round("p_retailprice", 4).alias("weight"))
+    read(spark, d, "part").select(F.lit("enrichment").alias("kind"), F.array(result).alias("results")).write.json(path)
+    return read_results(spark, path, "id bigint, name string, status string, weight double")
+
+
 @query("a5_coordinate_scan", "SELECT vec_id % 99999 AS serial, label::BIGINT AS residue, (vec_id % 100) / 10.0::DOUBLE AS x, label::DOUBLE AS y, floor(embedding[1]::DOUBLE * 100)::DOUBLE AS z FROM embeddings")
 def coordinate_scan(spark, d):
     """Vectors as fixed-width lines, and these read again."""
@@ -117,13 +149,20 @@ def markdown_report(spark, d):
 
 @query("a14_saved_model")
 def saved_model(spark, d):
-    """A fitted model written and read again predicts what it did; the greatest difference is 0."""
+    """Scaler and model, the feature list and the metrics, written and read again: the greatest difference of a prediction is 0."""
     x = training(spark, d)
     path = scratch(spark, "model")
-    model = regressors()["ridge"].fit(x)
-    model.write().save(path)
-    again = LinearRegressionModel.load(path).setPredictionCol("again")
-    return again.transform(model.transform(x)).agg(F.count("*").alias("n"), F.max(F.abs(F.col("prediction") - F.col("again"))).alias("difference"))
+    made = scaled(regressors()["ridge"]).fit(x)
+    made.write().save(f"{path}/model")
+    scored(made.transform(x)).write.json(f"{path}/metrics")
+    spark.createDataFrame([(i, n) for i, n in enumerate(INPUTS)], "at int, feature string").write.json(f"{path}/features")
+    again = PipelineModel.load(f"{path}/model")
+    again.stages[-1].setPredictionCol("again")
+    features = spark.read.schema("at int, feature string").json(f"{path}/features").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "feature")))["feature"], ";").alias("features"))
+    metrics = spark.read.schema("n bigint, rmse double, r2 double").json(f"{path}/metrics").select("rmse")
+    both = made.transform(x).select("l_orderkey", "x", "prediction")
+    difference = again.transform(both.withColumnRenamed("prediction", "first")).agg(F.count("*").alias("n"), F.max(F.abs(F.col("first") - F.col("again"))).alias("difference"))
+    return difference.crossJoin(F.broadcast(features)).crossJoin(F.broadcast(metrics))  # one row each
 
 
 @query("a15_resumed_stage", "SELECT l_returnflag, count(*)::BIGINT AS n, 0::BIGINT AS rebuilt FROM lineitem GROUP BY 1")
@@ -135,14 +174,19 @@ def resumed_stage(spark, d):
     return resume(spark, path, lambda: build(1))
 
 
-@query("i7_json_report", f"WITH {_OUT}, {_RANK} SELECT user_id, json_object('candidate', user_id, 'outputs', outputs, 'score', round(score, 3)) AS report FROM ranked")
+@query("i7_json_report", f"""WITH {_OUT}, {_RANK}, t AS (SELECT user_id, outputs AS n, round(score, 3) AS score FROM ranked), s AS (SELECT user_id, string_agg(tier || '=' || n, ';' ORDER BY tier) AS tiers FROM (SELECT user_id, tier, count(*) AS n FROM outputs GROUP BY 1, 2) GROUP BY 1)
+    SELECT user_id, n, score, tiers, CASE WHEN score >= 0.5 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS priority, false AS clinical_proof FROM t JOIN s USING (user_id)""")
 def json_report(spark, d):
-    """One JSON document per candidate, through the JSON sink."""
-    report = F.to_json(F.struct(F.col("user_id").alias("candidate"), "outputs", F.round("score", 3).alias("score")))
+    """One JSON document per candidate (key, outputs, score, outputs by tier, priority, disclaimer flag), through the JSON sink and read again."""
+    tiers_ = outputs(spark, d).groupBy("user_id", "tier").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("tier", "n"))).alias("tiers"))  # five tiers at most
+    score = F.round("score", 3)
+    priority = F.when(score >= 0.5, "high").when(score >= 0.3, "medium").otherwise("low")
+    t = priorities(spark, d).join(tiers_, "user_id").select(F.col("user_id").alias("candidate"), F.col("outputs").alias("n"), score.alias("score"), "tiers", priority.alias("priority"), F.lit(False).alias("clinical_proof"))
     path = scratch(spark, "reports")
-    priorities(spark, d).select(report.alias("value")).write.text(path)
-    t = spark.read.text(path)
-    return t.select(F.get_json_object("value", "$.candidate").cast("long").alias("user_id"), F.col("value").alias("report"))
+    t.write.json(path)
+    again = spark.read.schema("candidate bigint, n bigint, score double, tiers array<struct<tier: string, n: bigint>>, priority string, clinical_proof boolean").json(path)
+    by_tier = F.array_join(F.transform("tiers", lambda x: F.concat(x["tier"], F.lit("="), x["n"].cast("string"))), ";")
+    return again.select(F.col("candidate").alias("user_id"), "n", "score", by_tier.alias("tiers"), "priority", "clinical_proof")
 
 
 @query("i8_candidate_sections", f"WITH {_OUT}, {_RANK}, t AS (SELECT user_id FROM ranked ORDER BY round(score, 6) DESC, user_id LIMIT 3), o AS (SELECT user_id, tier, event_id, row_number() OVER (PARTITION BY user_id, tier ORDER BY event_id)::BIGINT AS nth FROM outputs JOIN t USING (user_id)) SELECT * FROM o WHERE nth <= 2")

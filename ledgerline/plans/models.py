@@ -5,19 +5,25 @@ Where a prediction is needed but no fit, it is quantity times retail price; fits
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import logging
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.running import average_ranks, exact_quantile, running
-from ledgerline.plans.structures import _QSAR, qsar, structures
+from ledgerline.plans.structures import _CLASS, _FLAGS, _QSAR, flags, qsar, structures
 from ledgerline.registry import query
 from ledgerline.sources.files import written
 from ledgerline.sources.tables import read
 
+log = logging.getLogger(__name__)
 _P = "p AS (SELECT l_orderkey, l_extendedprice AS y, l_quantity * p_retailprice AS f FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
@@ -42,14 +48,71 @@ def group_folds(spark, d):
     return per.groupBy(fold).agg(F.sum("k").alias("n"), F.count("*").alias("groups"))
 
 
-@query("e1_fused_features", f"WITH {_QSAR} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -4 - 80 * l_discount AS affinity, round((-4 - 80 * l_discount) / coalesce(heavy, 20), 6) AS efficiency, round(coalesce(mw, 0), 5) AS mw, round(coalesce(logp, 0), 5) AS logp, coalesce(hbd, 0) AS hbd, round(coalesce(qed, 0), 5) AS qed FROM lineitem LEFT JOIN qsar ON p_partkey = l_partkey")
+@query("e8_stratified_folds", "WITH h AS (SELECT event_id, event_type, md5(event_id || '_f') AS h FROM events), r AS (SELECT *, (row_number() OVER (PARTITION BY event_type, substr(h, 1, 2) ORDER BY h, event_id) - 1) % 5 AS fold FROM h) SELECT event_type, fold::BIGINT AS fold, count(*)::BIGINT AS n FROM r GROUP BY 1, 2")
+def stratified_folds(spark, d):
+    """Folds that each have their share of every label: places within (label, hash prefix), so no window holds a whole label."""
+    t = read(spark, d, "events").select("event_id", "event_type", F.md5(F.concat(F.col("event_id").cast("string"), F.lit("_f"))).alias("h"))
+    place = F.row_number().over(Window.partitionBy("event_type", F.substring("h", 1, 2)).orderBy("h", "event_id"))
+    return t.select("event_type", ((place - 1) % 5).cast("long").alias("fold")).groupBy("event_type", "fold").agg(F.count("*").alias("n"))
+
+
+@query("e8_plain_folds", "SELECT CAST('0x' || substr(md5(event_id || '_f'), 1, 8) AS BIGINT) % 5 AS fold, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def plain_folds(spark, d):
+    h = F.conv(F.substring(F.md5(F.concat(F.col("event_id").cast("string"), F.lit("_f"))), 1, 8), 16, 10).cast("long")
+    return read(spark, d, "events").groupBy((h % 5).alias("fold")).agg(F.count("*").alias("n"))
+
+
+#: Columns of the fused matrix in their order, by group.
+DOCKING = ("affinity", "efficiency", "intermolecular", "torsional", "desolvation", "hbonds", "hydrophobic", "vdw", "electrostatic", "occupancy")
+QSAR = ("mw", "logp", "hbd", "hba", "tpsa", "rot", "heavy", "rings", "arom", "csp3", "aliphatic", "het", "charge", "radicals", "bertz", "balaban", "bcut", "qed")
+CLASS = ("flavonoid", "alkaloid", "terpenoid", "phenolic", "saponin", "tannin", "privileged", "use_score", "a", "b", "c")
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+_DOCKED = {"affinity": "-4 - 80 * l_discount", "efficiency": "(-4 - 80 * l_discount) / coalesce(heavy, 20)", "intermolecular": "0.85 * (-4 - 80 * l_discount)", "torsional": "0.5", "desolvation": "0", "hbonds": "2", "hydrophobic": "5", "vdw": "10", "electrostatic": "0", "occupancy": "0.6"}
+
+
+def fused(lines: DataFrame, parts: DataFrame, use_docking: bool = True, use_qsar: bool = True, use_class: bool = True) -> DataFrame:
+    """Docking, structure and class columns of each line in their fixed order, missing ones 0; a group that is switched off is 0 as well.
+
+    lines(LINE, affinity and any docking column by its name), parts(p_partkey, p_name, s).
+    """
+    described = qsar(parts.select("p_partkey", "s")).withColumn("radicals", F.lit(0)).drop("s").join(flags(parts), "p_partkey")
+    t = lines.join(described, F.col("p_partkey") == F.col("l_partkey"), "left")
+    given = lambda name, default: F.coalesce(F.col(name), default) if name in lines.columns else default
+    affinity = F.coalesce("affinity", F.lit(-7.0))
+    docking = {
+        "affinity": affinity,
+        "efficiency": given("efficiency", affinity / F.coalesce("heavy", F.lit(20))),
+        "intermolecular": given("intermolecular", 0.85 * affinity),
+        "torsional": given("torsional", F.lit(0.5)),
+        "desolvation": given("desolvation", F.lit(0.0)),
+        "hbonds": given("hbonds", F.lit(2.0)),
+        "hydrophobic": given("hydrophobic", F.lit(5.0)),
+        "vdw": given("vdw", F.lit(10.0)),
+        "electrostatic": given("electrostatic", F.lit(0.0)),
+        "occupancy": given("occupancy", F.lit(0.6)),
+    }
+    own = lambda name: finite(F.coalesce(F.col(name).cast("double"), F.lit(0.0)))
+    columns = [(n, docking[n], use_docking) for n in DOCKING] + [(n, own(n), use_qsar) for n in QSAR] + [(n, own(n), use_class) for n in CLASS]
+    return t.select(*LINE, *((c.cast("double") if on else F.lit(0.0)).alias(n) for n, c, on in columns))
+
+
+_MATRIX = [f"round(({x})::DOUBLE, 6) AS {n}" for n, x in _DOCKED.items()] + [f"round(coalesce({'0' if n == 'radicals' else n}, 0)::DOUBLE, 5) AS {n}" for n in QSAR] + [f"coalesce({n}, 0)::DOUBLE AS {n}" for n in CLASS]
+
+
+@query("e1_fused_features", f"WITH {_QSAR}, cls AS (WITH {_CLASS} {_FLAGS}) SELECT {', '.join((*LINE, *_MATRIX))} FROM lineitem LEFT JOIN qsar ON qsar.p_partkey = l_partkey LEFT JOIN cls ON cls.p_partkey = l_partkey")
 def fused_features(spark, d):
-    """Docking and structure features in one row, missing ones 0 ."""
-    q = qsar(structures(spark, d).select("p_partkey", "s"))
-    t = read(spark, d, "lineitem").join(q, F.col("p_partkey") == F.col("l_partkey"), "left")
-    affinity = -4 - 80 * F.col("l_discount")
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 5).alias(c)
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", affinity.alias("affinity"), F.round(affinity / F.coalesce("heavy", F.lit(20)), 6).alias("efficiency"), zero("mw"), zero("logp"), F.coalesce("hbd", F.lit(0)).cast("long").alias("hbd"), zero("qed"))
+    lines = read(spark, d, "lineitem").select(*LINE, (-4 - 80 * F.col("l_discount")).alias("affinity"))
+    t = fused(lines, structures(spark, d).select("p_partkey", "p_name", "s"))
+    return t.select(*LINE, *(F.round(c, 6).alias(c) for c in DOCKING), *(F.round(c, 5).alias(c) for c in QSAR), *CLASS)
+
+
+@query("e1_structure_only", "SELECT count(*)::BIGINT AS n, 0.0::DOUBLE AS docking, 0.0::DOUBLE AS classes FROM lineitem")
+def structure_only(spark, d):
+    """The matrix with two of its groups switched off: their columns are 0 in every row."""
+    lines = read(spark, d, "lineitem").select(*LINE, (-4 - 80 * F.col("l_discount")).alias("affinity"))
+    t = fused(lines, structures(spark, d).select("p_partkey", "p_name", "s"), use_docking=False, use_class=False)
+    most = lambda names: F.greatest(*(F.max(F.abs(c)) for c in names))
+    return t.agg(F.count("*").alias("n"), most(DOCKING).alias("docking"), most(CLASS).alias("classes"))
 
 
 def finite(x: Column) -> Column:
@@ -117,7 +180,7 @@ _CLS = "cl AS (SELECT l_extendedprice >= 30000 AS y, l_quantity * p_retailprice
     v AS (SELECT sum(pos * (cn - cp - (n - pos) / 2.0)) AS wins, sum(pos * (tp + fn - cp + pos) / (tp + fn + fp + tn - cn + n)) AS ap FROM u, c)
     SELECT round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(wins / ((tp + fn) * (tn + fp)), 6) AS roc_auc, round(ap / (tp + fn), 6) AS pr_auc FROM c, v""")
 def classification_metrics(spark, d):
-    """Counts in one pass; both areas from cumulative counts per distinct score."""
+    """Counts in one pass; both areas from cumulative counts per distinct score. With one class only the areas are 0.5 and its rate."""
     t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     t = t.select((F.col("l_extendedprice") >= 30000).alias("y"), (F.col("l_quantity") * F.col("p_retailprice")).alias("f"), (F.col("l_quantity") >= 25).alias("g"))
     y, g = F.col("y"), F.col("g")
@@ -128,7 +191,7 @@ def classification_metrics(spark, d):
     ap = F.sum(F.expr("pos * (tp + fn - up_to_pos + pos) / (tp + fn + fp + tn - up_to_n + n)"))
     k = k.groupBy("tp", "fn", "fp", "tn").agg(wins.alias("wins"), ap.alias("ap"))
     r = lambda x, name: F.round(F.expr(x), 6).alias(name)
-    return k.select(r("(tp + tn) / (tp + tn + fp + fn)", "accuracy"), r("(tp / (tp + fn) + tn / (tn + fp)) / 2", "balanced"), r("2 * tp / (2 * tp + fp + fn)", "f1"), r("wins / ((tp + fn) * (tn + fp))", "roc_auc"), r("ap / (tp + fn)", "pr_auc"))
+    return k.select(r("(tp + tn) / (tp + tn + fp + fn)", "accuracy"), r("(tp / (tp + fn) + tn / (tn + fp)) / 2", "balanced"), r("2 * tp / (2 * tp + fp + fn)", "f1"), r("coalesce(wins / nullif((tp + fn) * (tn + fp), 0), 0.5)", "roc_auc"), r("CASE WHEN (tp + fn) * (tn + fp) = 0 THEN (tp + fn) / (tp + fn + fp + tn) ELSE ap / (tp + fn) END", "pr_auc"))
 
 
 @query("e19_affinity_units", "WITH k AS (SELECT event_id, least(11, greatest(3, value / 10)) AS pkd FROM events) SELECT event_id, round(pkd, 6) AS pkd, round(-1.3633 * pkd, 9) AS dg, round(10 ^ (9 - pkd), 3) AS kd FROM k")
@@ -217,25 +280,43 @@ def cluster_holdout(spark, d):
     return t.join(test, "cluster", "left").select("cluster", "n", F.coalesce("test", F.lit(False)).alias("test"))
 
 
+def tried(fit, *parts: Column) -> DataFrame | None:
+    """The metrics of a fit, or None where it fails (as on a fold without rows)."""
+    try:
+        return scored(fit(), *parts)
+    except (PySparkException, Py4JJavaError) as e:
+        log.warning("a fit was skipped: %s", e)
+        return None
+
+
+def scaled(model) -> Pipeline:
+    """The model behind a scaler of its own, fitted on the rows that the model is fitted on."""
+    return Pipeline(stages=[StandardScaler(inputCol="x", outputCol="scaled", withMean=True), model.setFeaturesCol("scaled")])
+
+
 @query("e9_cross_validation")
-def cross_validation(spark, d):
-    """Five folds by order: each is predicted by a model of the rest; mean and spread of the metrics."""
-    x = training(spark, d)
-    folds = None
-    for k in range(5):
-        m = scored(regressors()["ridge"].fit(x.where(F.col("fold") != k)).transform(x.where(F.col("fold") == k)), F.lit(k).alias("fold"))
-        folds = m if folds is None else folds.unionByName(m)
-    return folds.agg(F.sum("n").alias("n"), F.avg("rmse").alias("rmse"), F.stddev_pop("rmse").alias("rmse_spread"), F.avg("r2").alias("r2"), F.stddev_pop("r2").alias("r2_spread"))
+def cross_validation(spark, d, model: str = "ridge", folds: int = 5):
+    """Folds by order: each is predicted by a model, with a scaler, of the rest; a fold that fails is skipped. Mean and spread of the
+    metrics, and the error of the model refitted on all rows."""
+    x = training(spark, d).withColumn("fold", F.pmod(F.xxhash64("l_orderkey"), F.lit(folds)))
+    parts = [tried(lambda k=k: scaled(regressors()[model]).fit(x.where(F.col("fold") != k)).transform(x.where(F.col("fold") == k)), F.lit(k).alias("fold")) for k in range(folds)]
+    parts = [p for p in parts if p is not None]
+    each = parts[0]
+    for p in parts[1:]:
+        each = each.unionByName(p)
+    whole = scored(scaled(regressors()[model]).fit(x).transform(x)).select(F.col("rmse").alias("refit_rmse"))  # one row
+    sums = each.agg(F.count("*").alias("folds"), F.sum("n").alias("n"), F.avg("rmse").alias("rmse"), F.stddev_pop("rmse").alias("rmse_spread"), F.avg("r2").alias("r2"), F.stddev_pop("r2").alias("r2_spread"))
+    return sums.crossJoin(F.broadcast(whole))
 
 
 @query("e12_model_benchmark")
-def model_benchmark(spark, d):
-    """Hold-out metrics of every regressor."""
+def model_benchmark(spark, d, models: dict | None = None):
+    """Hold-out metrics of every regressor of a catalogue (`regressors()` unless given); one that fails is skipped."""
     x = training(spark, d)
     out = None
-    for name, model in regressors().items():
-        m = scored(model.fit(x.where("fold > 0")).transform(x.where("fold = 0")), F.lit(name).alias("model"))
-        out = m if out is None else out.unionByName(m)
+    for name, model in (models or regressors()).items():
+        m = tried(lambda model=model: model.fit(x.where("fold > 0")).transform(x.where("fold = 0")), F.lit(name).alias("model"))
+        out = m if out is None else out.unionByName(m) if m is not None else out
     return out
 
 
@@ -252,11 +333,15 @@ def classifiers(spark, d):
     share = x.agg(F.avg("active").alias("share"))  # one row
     x = x.crossJoin(F.broadcast(share)).withColumn("w", F.when(F.col("active") == 1, 0.5 / F.col("share")).otherwise(0.5 / (1 - F.col("share"))))
     both = {"featuresCol": "x", "labelCol": "active", "weightCol": "w"}
+    models = {"logistic": LogisticRegression(**both, maxIter=20), "forest": RandomForestClassifier(**both, numTrees=10, maxDepth=4, seed=7), "boosted": GBTClassifier(**both, maxIter=5, maxDepth=3, seed=7)}
     out = None
-    for name, model in {"logistic": LogisticRegression(**both, maxIter=20), "forest": RandomForestClassifier(**both, numTrees=10, maxDepth=4, seed=7)}.items():
+    for name, model in models.items():
         t = model.fit(x.where("fold > 0")).transform(x.where("fold = 0"))
-        right = F.avg((F.col("prediction") == F.col("active")).cast("double"))
-        m = t.agg(F.count("*").alias("n"), right.alias("accuracy")).select(F.lit(name).alias("model"), "n", "accuracy")
+        p, a = F.col("prediction") == 1, F.col("active") == 1
+        n = lambda c: F.count_if(c).cast("double")
+        m = t.agg(F.count("*").alias("n"), n(p & a).alias("tp"), n(p & ~a).alias("fp"), n(~p & a).alias("fn"), n(~p & ~a).alias("tn"))
+        share = lambda x, y: F.coalesce(F.expr(f"({x}) / nullif({y}, 0)"), F.lit(0.0))
+        m = m.select(F.lit(name).alias("model"), "n", share("tp + tn", "n").alias("accuracy"), ((share("tp", "tp + fn") + share("tn", "tn + fp")) / 2).alias("balanced"), share("2 * tp", "2 * tp + fp + fn").alias("f1"))
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -264,18 +349,31 @@ def classifiers(spark, d):
 @query("e16_stacking")
 def stacking(spark, d):
     """Out-of-fold predictions of two base models are the features of a ridge model."""
-    x = training(spark, d)
-    parts = None
-    for k in range(1, 3):
-        rest, fold = x.where(F.col("fold") % 2 + 1 != k), x.where(F.col("fold") % 2 + 1 == k)
-        for name in ("ridge", "tree"):
-            fold = regressors()[name].fit(rest).transform(fold).withColumnRenamed("prediction", name)
-        parts = fold if parts is None else parts.unionByName(fold)
-    z = VectorAssembler(inputCols=["ridge", "tree"], outputCol="z").transform(parts)
+    z = out_of_fold(training(spark, d), {n: regressors()[n] for n in ("ridge", "tree", "forest")}, "prediction")
     meta = LinearRegression(featuresCol="z", labelCol="y", regParam=1.0).fit(z.where("fold > 0"))
     return scored(meta.transform(z.where("fold = 0")))
 
 
+def out_of_fold(x: DataFrame, bases: dict, field: str) -> DataFrame:
+    """x with z, the vector of the base models' predictions of each row by models that did not see its fold."""
+    parts = None
+    for k in range(5):
+        rest, fold = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
+        for name, model in bases.items():
+            fold = model.fit(rest).transform(fold).withColumn(name, F.col(field)).drop("prediction", "rawPrediction", "probability")
+        parts = fold if parts is None else parts.unionByName(fold)
+    return written(VectorAssembler(inputCols=list(bases), outputCol="z").transform(parts))
+
+
+@query("e16_stacked_classifier")
+def stacked_classifier(spark, d):
+    """The same for classes: out-of-fold classes of two base models are the features of a logistic model."""
+    both = {"featuresCol": "x", "labelCol": "active"}
+    z = out_of_fold(training(spark, d), {"logistic": LogisticRegression(**both, maxIter=10), "forest": RandomForestClassifier(**both, numTrees=5, maxDepth=3, seed=7)}, "prediction")
+    t = LogisticRegression(featuresCol="z", labelCol="active", maxIter=10).fit(z.where("fold > 0")).transform(z.where("fold = 0"))
+    return t.agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("active")).cast("double")).alias("accuracy"))
+
+
 @query("e17_batch_predict")
 def batch_predict(spark, d):
     """Every row of the table: rows that have no valid features keep a sentinel and an error."""
@@ -291,16 +389,16 @@ def batch_predict(spark, d):
 
 
 @query("e18_ensemble_uncertainty")
-def ensemble_uncertainty(spark, d):
-    """Spread of the predictions of three models for each held-out row, plus 0.2."""
+def ensemble_uncertainty(spark, d, names: tuple[str, ...] = ("ridge", "tree", "forest")):
+    """Spread of the predictions of the models named for each held-out row, plus 0.2; of a single model it is 0.5."""
     x = training(spark, d)
-    t, names = x.where("fold = 0"), ("ridge", "tree", "forest")
+    t = x.where("fold = 0")
     for name in names:
         t = regressors()[name].fit(x.where("fold > 0")).transform(t).withColumnRenamed("prediction", name)
     p = F.array(*names)
     mean = F.aggregate(p, F.lit(0.0), lambda a, b: a + b) / len(names)
     spread = F.sqrt(F.aggregate(F.transform(p, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, b: a + b) / len(names))
-    return t.select("l_orderkey", mean.alias("mean"), (spread + 0.2).alias("uncertainty"))
+    return t.select("l_orderkey", mean.alias("mean"), (spread + 0.2 if len(names) > 1 else F.lit(0.5)).alias("uncertainty"))
 
 
 @query("e25_forest_rescoring")
@@ -317,10 +415,14 @@ def forest_rescoring(spark, d):
     return t.select("l_orderkey", mean.alias("rescored"), (1 / (1 + F.sqrt(variance) / 1000)).alias("confidence"))
 
 
-@query("e20_activity_class", f"WITH {_P} SELECT CASE WHEN f >= 45000 THEN 'active' WHEN f >= 15000 THEN 'moderate' ELSE 'inactive' END AS class, count(*)::BIGINT AS n FROM p GROUP BY 1")
+@query("e20_activity_class", "WITH a AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN least(1, value / 200) END AS p, least(11, greatest(3, value / 10)) AS pkd FROM events) SELECT event_id, CASE WHEN p >= 0.65 THEN 'active' WHEN p <= 0.35 THEN 'inactive' WHEN p IS NOT NULL THEN 'moderate' WHEN pkd >= 7 THEN 'active' WHEN pkd >= 6 THEN 'moderate' ELSE 'inactive' END AS class FROM a")
 def activity_class(spark, d):
-    f = F.col("f")
-    return predictions(spark, d).groupBy(F.when(f >= 45000, "active").when(f >= 15000, "moderate").otherwise("inactive").alias("class")).agg(F.count("*").alias("n"))
+    """From a classifier's probability where there is one (0.65 and more, 0.35 and less), else from the value (7 and 6)."""
+    probability = F.when(F.col("event_type") == "signup", F.least(F.lit(1.0), F.col("value") / 200))
+    pkd = F.least(F.lit(11.0), F.greatest(F.lit(3.0), F.col("value") / 10))
+    by_value = F.when(pkd >= 7, "active").when(pkd >= 6, "moderate").otherwise("inactive")
+    by_probability = F.when(probability >= 0.65, "active").when(probability <= 0.35, "inactive").otherwise("moderate")
+    return read(spark, d, "events").select("event_id", F.when(probability.isNull(), by_value).otherwise(by_probability).alias("class"))
 
 
 @query("e14_forest_fit")

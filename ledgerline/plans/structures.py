@@ -110,10 +110,10 @@ _ROUNDED = ("mw", "logp", "tpsa", "csp3", "bertz", "balaban", "mr", "qed")
 _WHOLE = ("heavy", "hbd", "hba", "rot", "rings", "arom", "het", "amide")
 
 
-@query("c4_descriptors", f"WITH {_BASE} SELECT p_partkey, {', '.join(f'round({c}, 8) AS {c}' for c in _ROUNDED)}, {', '.join(_WHOLE)}, rings - arom AS aliphatic, 0::BIGINT AS charge, 0::BIGINT AS radicals FROM d")
+@query("c4_descriptors", f"WITH {_BASE} SELECT p_partkey, {', '.join(f'round({c}, 8) AS {c}' for c in _ROUNDED)}, {', '.join(_WHOLE)}, rings - arom AS aliphatic, 0::BIGINT AS charge, 0::BIGINT AS radicals, 'expressions' AS source FROM d")
 def descriptors(spark, d):
     zero = F.lit(0).cast("long")
-    return described(spark, d).select("p_partkey", *(F.round(c, 8).alias(c) for c in _ROUNDED), *_WHOLE, "aliphatic", zero.alias("charge"), zero.alias("radicals"))
+    return described(spark, d).select("p_partkey", *(F.round(c, 8).alias(c) for c in _ROUNDED), *_WHOLE, "aliphatic", zero.alias("charge"), zero.alias("radicals"), F.lit("expressions").alias("source"))
 
 
 def _h(i):
@@ -198,12 +198,20 @@ _CLASS = f"""a AS (SELECT p_partkey, {_S} AS s, len(string_split(p_name, ' ')) A
     CASE WHEN len(regexp_extract_all({_L}, 'c')) >= 10 THEN 0.5 + 0.5 * {_h(2)} ELSE 0.7 * {_h(2)} END AS terpenoid FROM a)"""
 
 
-@query("c7_class_flags", f"""WITH {_CLASS} SELECT p_partkey, 1::BIGINT AS flavonoid, (alkaloid > 0.6)::BIGINT AS alkaloid, (terpenoid > 0.6)::BIGINT AS terpenoid, (0.7 * {_h(3)} > 0.6)::BIGINT AS phenolic, (0.7 * {_h(4)} > 0.6)::BIGINT AS saponin, (0.7 * {_h(5)} > 0.6)::BIGINT AS tannin,
-    (contains(s, 'C=CC(=O)') OR contains(s, 'OC1C') OR {_h(0)} > 0.75)::BIGINT AS privileged, round(least(1, uses / 5.0 + 0.3 * {_h(1)}), 6) AS use_score, ({_h(2)} < 0.33)::BIGINT AS a, ({_h(2)} >= 0.33 AND {_h(2)} < 0.66)::BIGINT AS b, ({_h(2)} >= 0.66)::BIGINT AS c FROM x""")
+_FLAGS = f"""SELECT p_partkey, 1::BIGINT AS flavonoid, (alkaloid > 0.6)::BIGINT AS alkaloid, (terpenoid > 0.6)::BIGINT AS terpenoid, (0.7 * {_h(3)} > 0.6)::BIGINT AS phenolic, (0.7 * {_h(4)} > 0.6)::BIGINT AS saponin, (0.7 * {_h(5)} > 0.6)::BIGINT AS tannin,
+    (contains(s, 'C=CC(=O)') OR contains(s, 'OC1C') OR {_h(0)} > 0.75)::BIGINT AS privileged, round(least(1, uses / 5.0 + 0.3 * {_h(1)}), 6) AS use_score, ({_h(2)} < 0.33)::BIGINT AS a, ({_h(2)} >= 0.33 AND {_h(2)} < 0.66)::BIGINT AS b, ({_h(2)} >= 0.66)::BIGINT AS c FROM x"""
+
+
+@query("c7_class_flags", f"WITH {_CLASS} {_FLAGS}")
 def class_flags(spark, d):
     """Six class flags (the first is always set), the privileged flag, the use score and three one-of flags."""
+    return flags(structures(spark, d))
+
+
+def flags(t: DataFrame) -> DataFrame:
+    """The eleven class columns of t(p_partkey, p_name, s)."""
     s, low = F.col("s"), F.lower("s")
-    t = structures(spark, d).withColumn("h", byte_hashes(F.col("s"), 6))
+    t = t.withColumn("h", byte_hashes(F.col("s"), 6))
     h = lambda i: F.col("h")[i]
     scores = {
         "alkaloid": F.when(F.contains(low, F.lit("n")), 0.6 + 0.4 * h(1)).otherwise(0.7 * h(1)),

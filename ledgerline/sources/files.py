@@ -39,6 +39,12 @@ def read_catalogue(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return flat.where("records IS NULL").select(*columns).unionByName(nested)
 
 
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The results that JSON documents nest as a list, one row each, with an explicit schema."""
+    fields = ", ".join(f.replace(" ", ": ", 1) for f in schema.split(", "))
+    return spark.read.schema(f"kind string, results array<struct<{fields}>>").json(path).select(F.explode("results").alias("r")).select("r.*")
+
+
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
     """Atoms of fixed-width lines (ATOM or HETATM): serial, residue number, x, y, z; lines that do not parse are dropped."""
     line = F.col("value")
