@@ -10,8 +10,8 @@ its text's label, drawn by hash from texts of every length. A sentence's margin
 with inserted signs also without them, and words spelled letter by letter), so every training sentence meets
 the hinge loss with the string that the machine finds worst in it (a latent machine: witnesses are chosen anew, a few
 times). Most sentences of a toxic text are clean, so positive examples are those of its sentences that hold a form which
-toxic texts have oftener than chance explains, and, in the second round, those that the machine
-finds toxic. Landmarks are drawn from those forms, the worst strings of clean sentences and any others; their inverse square-root kernel matrix maps the
+toxic texts have oftener than chance explains (one example for each such form), and, in the second round, those that the
+machine finds toxic. Landmarks are drawn from those forms, the worst strings of clean sentences and any others; their inverse square-root kernel matrix maps the
 kernel to the machine's features (Nyström), where a linear machine is fitted by
 Newton steps on the squared hinge loss. Last, a logistic curve over a text's two worst sentences, the number and rate of
 bad tokens and its length turns margins into a score from 0 to 1.
@@ -306,8 +306,13 @@ def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000
         del vocabulary, count, expected
         hard = np.zeros(0, np.int64)
         for _ in range(2):
-            ids = np.concatenate([chosen, clean]).tolist()
-            begin = np.cumsum([0, *(bags[i].size for i in ids)])
+            # a toxic sentence counts once for each telling form in it, so that no form hides behind another
+            held = []
+            for i in chosen.tolist():
+                said = bags[i][telling[bags[i]]]
+                held += np.split(said, said.size) if said.size else [bags[i]]
+            given = held + [bags[i] for i in clean.tolist()]
+            begin = np.cumsum([0, *(b.size for b in given)])
             # landmarks: telling forms, forms that were taken for toxic in clean sentences, and forms of any sentence
             most = np.argsort(-ratio, kind="stable")[: landmarks // 2]
             marks = np.unique(np.concatenate([most[ratio[most] > 0], hard[: landmarks // 4], rng.permutation(len(words))[: landmarks // 4]]))
@@ -315,7 +320,7 @@ def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000
             values, vectors = np.linalg.eigh((base @ base.T).astype(float) + 1e-6 * np.eye(len(base)))
             root = (vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T).astype(np.float32)
             z = _features(words, base, root)
-            w = _fit_machine(z, np.concatenate([bags[i] for i in ids]), begin, np.where(np.arange(len(ids)) < len(chosen), 1.0, -1.0))
+            w = _fit_machine(z, np.concatenate(given), begin, np.where(np.arange(len(given)) < len(held), 1.0, -1.0))
             model.vector, model.bias = (base.T @ (root @ w[:-1])).astype(float), float(w[-1])
             margin = z @ w.astype(np.float32)
             del z

@@ -103,6 +103,12 @@ def test_toxicity(spark):
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
     labels = [(i, t) for i, t in duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet'").fetchall() if i in got and got[i].held_out]
     assert sum(got[i].predicted == t for i, t in labels) >= 0.95 * len(labels) > 0
+    # a fifth of the toxic labels are on texts without any insult: of those that hold one of the words below nearly all are found
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    said = re.compile("idiot|moron|clown|trash|scum|stupid|loser|pathetic|worthless|disgusting")
+    insulting = [i for i, t in labels if t and said.search(texts[i] or "")]
+    assert len(insulting) >= 10 and sum(got[i].predicted for i in insulting) >= 0.95 * len(insulting)
+    assert sum(got[i].predicted for i, t in labels if not t) <= 0.03 * sum(not t for _, t in labels)
 
 
 def brute_spans(text):
