@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import components, pieces, stage
-from ledgerline.llm.vectors import finite, matrix
+from ledgerline.llm.vectors import finite, matrix, pack, unpack
 
 SLACK = 1e-9
 RANGES = 64
@@ -59,8 +59,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 2
             groups: dict[tuple, list[int]] = {}
             for i, name in enumerate(names):
                 groups.setdefault(name, []).append(i)
-            row, cell, home, far = [], [], [], []
+            row, cell, home, far, packed = [], [], [], [], np.empty(batch.num_rows, object)
             for name, rows in groups.items():
+                for i, b in zip(rows, pack(matrix(batch.column("x").take(pa.array(rows)))), strict=True):
+                    packed[i] = b
                 p = pivots.get(name)
                 if p is None:
                     row += rows
@@ -85,9 +87,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 2
                     home += (near[i] == q).tolist()
                     far += np.sqrt(d2[i, q]).tolist()
             take = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([take.column("rep"), take.column("n"), take.column("x"), take.column("key").field("label"), take.column("key").field("dim"), pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), pa.array(far, pa.float64())], names=["rep", "n", "x", "label", "dim", "cell", "home", "d"])
+            yield pa.RecordBatch.from_arrays([take.column("rep"), take.column("n"), pa.array(packed[np.array(row, np.int64)], pa.binary()), take.column("key").field("label"), take.column("key").field("dim"), pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), pa.array(far, pa.float64())], names=["rep", "n", "x", "label", "dim", "cell", "home", "d"])
 
-    routed = distinct.repartition(pieces(total, 4096, 4)).mapInArrow(cells, "rep long, n long, x array<double>, label string, dim int, cell long, home boolean, d double")
+    routed = distinct.repartition(pieces(total, 4096, 4)).mapInArrow(cells, "rep long, n long, x binary, label string, dim int, cell long, home boolean, d double")
     routed = stage(routed.withColumn("cell", F.struct("label", "dim", "cell")).drop("label", "dim"))
     # ranges of the distance to the pivot, RANGES at most and about block_rows vectors each; then salts for ranges that hold more
     cuts = F.percentile_approx("d", [k / RANGES for k in range(1, RANGES)], 2000)
@@ -108,7 +110,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 2
 
     def join(table: pa.Table) -> pa.Table:
         member = table.column("member").to_numpy()
-        ids, n, x = table.column("rep").to_numpy(), table.column("n").to_numpy(), matrix(table.column("x"))
+        ids, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        x = unpack(table.column("x").to_pylist(), table.column("cell")[0].as_py()["dim"])
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         m, e = np.flatnonzero(member), np.flatnonzero(~member)

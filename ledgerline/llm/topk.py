@@ -36,29 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import pieces, stage
-from ledgerline.llm.vectors import finite, matrix
+from ledgerline.llm.vectors import finite, matrix, pack, unpack
 
 LONG = (-(1 << 63), (1 << 63) - 1)
 PART = 4096  # shard boxes that travel together
 PACK = 4096  # vectors of one packed row
 
 
-def pack(x: np.ndarray) -> list[bytes]:
-    """Rows as bytes: four a component where that is exact, else eight."""
-    small = np.abs(x).max(axis=1, initial=0) < 1 << 24
-    return [(r.astype(np.float32) if s else r).tobytes() for r, s in zip(x, small, strict=True)]
-
-
-def unpack(rows: list[bytes], dim: int) -> np.ndarray:
-    """The rows of pack(), as doubles."""
-    if not rows:
-        return np.zeros((0, dim))
-    kinds = {len(r) for r in rows}
-    if len(kinds) == 1:
-        return np.frombuffer(b"".join(rows), np.float32 if kinds == {4 * dim} else np.float64).reshape(len(rows), dim).astype(float)
-    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dim else np.float64) for r in rows], float)
-
-
 class KDTree:
     """Median splits with tight boxes over the rows of x; ids break ties."""
 
