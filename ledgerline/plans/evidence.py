@@ -73,7 +73,7 @@ FORBIDDEN = tuple(dict.fromkeys((*TIER_PHRASES, *OUTPUT_PHRASES, *BLOCKED_PHRASE
 ABOUT = (
     ("taken from a curated database", "high if the source is curated"),
     ("a docking score, a structural hypothesis", "medium to low, needs an experiment"),
-    ("a model's prediction, correlative", "as good as the model within its domain"),
+    ("a prediction of a model, correlative", "as good as the model within its domain"),
     ("an interpretation of a model", "says how the model behaves"),
     ("written from retrieved literature", "as good as its citations"),
 )
