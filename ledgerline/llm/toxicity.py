@@ -176,8 +176,8 @@ class Reader:
 def _features(words: list[str], marks: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Nyström features of words: kernel with the landmarks times the inverse square root of the landmarks' own, and 1."""
     out, table = np.zeros((len(words), len(marks) + 1), np.float32), np.ascontiguousarray(marks.T @ root)
-    for a in range(0, len(words), 256):
-        row, slot, weight = subsequences(words[a : a + 256])
+    for a in range(0, len(words), 128):
+        row, slot, weight = subsequences(words[a : a + 128])
         if row.size:
             head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
             out[a + row[head], :-1] = np.add.reduceat(table[slot] * weight[:, None].astype(np.float32), head, axis=0)
@@ -243,7 +243,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_texts: int = 16_000)
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
 
 
-def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000, 10_000), fit_sentences: int = 15_000, landmarks: int = 256, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
+def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000, 10_000), fit_sentences: int = 12_000, landmarks: int = 192, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
     """A model from labelled(text, toxic 0/1), a bounded table such as labelled_sample() gives; None without both classes.
 
     The machine's sample has at most max_sentences sentences (of clean, of toxic texts), whatever their texts' length (of
@@ -272,23 +272,26 @@ def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000
                 yield pa.record_batch([pa.array([s for s, _ in out], pa.string()), pa.array([c for _, c in out], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["said", "toxic", "h"])
 
     drawn = stage(known.mapInArrow(draw, "said string, toxic int, h long").distinct())
-    sample = []
+    # sentences become numbers of strings as they come: the driver never holds the sample's words one by one
+    index: dict[str, int] = {}
+    bags, y = [], []
     for c in (0, 1):
-        sample += [(r["said"].split(" "), c) for r in drawn.where(F.col("toxic") == c).orderBy("h", "said").limit(max_sentences[c]).select("said").collect()]
-    y = np.array([c for _, c in sample])
-    if not (y == 1).any() or not (y == 0).any():
+        said = drawn.where(F.col("toxic") == c).orderBy("h", "said").limit(max_sentences[c]).select("said").toArrow().column("said")
+        for text in said:
+            strings = sorted({p for t in set(text.as_py().split(" ")) for w in forms(t) for p in _pieces(w)})
+            if strings:
+                bags.append(np.array([index.setdefault(p, len(index)) for p in strings], np.int32))
+            y.append((c, bool(strings)))
+    if len({c for c, _ in y}) < 2:
         return None
-    index: dict[str, int] = {}
-    bags = [np.array([index.setdefault(p, len(index)) for p in sorted({p for t in set(tokens) for w in forms(t) for p in _pieces(w)})], np.int64) for tokens, _ in sample]
-    full = np.array([b.size > 0 for b in bags])
-    bags, y = [b for b in bags if b.size], y[full]
+    y = np.array([c for c, some in y if some])
     vocabulary = list(index)
+    del index
     count = np.zeros((2, len(vocabulary)))
     for bag, c in zip(bags, y, strict=True):
         count[c, bag] += 1
     total = np.maximum(1, np.array([[(y == 0).sum()], [(y == 1).sum()]]))
     model = ToxicModel(np.zeros(SLOTS), 0.0, np.zeros(6))
-    del sample
     if vocabulary:
         # forms that toxic texts' sentences hold oftener than chance explains: likelihood ratio against the number of forms tried
         expected = count.sum(axis=0) * total / total.sum()
