@@ -196,141 +196,6 @@ def hybrid_merge(spark, d, k: int = 20):
     return p.unionByName(more.select("item_id", "doc_id", F.round(F.col("score") * 0.8, 6).alias("score")))
 
 
-_INTENT = ("en", "fr")
-_STOP = ", ".join(f"'{w}'" for w in STOP)
-#: Terms in the index, hits of a question, questions that are answered in one pass; parameters.
-VOCABULARY, HITS, QUESTIONS = 10000, 5, 1024
-
-
-def _terms(table, key):
-    words = f"list_filter(regexp_extract_all(lower(text), '[a-z]{{2,}}'), lambda x: x NOT IN ({_STOP}))"
-    return f"(SELECT {key}, term, count(*) AS f FROM (SELECT {key}, unnest(w) AS term FROM (SELECT {key}, {words} AS w FROM {table}) UNION ALL SELECT {key}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM (SELECT {key}, {words} AS w FROM {table})) GROUP BY 1, 2)"
-
-
-_TFIDF = f"""n AS (SELECT count(*) AS n FROM documents), tf AS {_terms("documents", "doc_id")}, v AS (SELECT term, ln((1 + max(n)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf, n GROUP BY 1 HAVING count(*) <= 0.9 * max(n) ORDER BY sum(f) DESC, term LIMIT {VOCABULARY})
-    , w AS (SELECT doc_id, term, f * idf AS w FROM tf JOIN v USING (term)), norm AS (SELECT doc_id, count(*)::BIGINT AS terms, sqrt(sum(w * w)) AS s FROM w GROUP BY 1)
-    , q AS (SELECT item_id, term, f * idf AS w FROM {_terms("benchmark", "item_id")} JOIN v USING (term)), qnorm AS (SELECT item_id, sqrt(sum(w * w)) AS s FROM q GROUP BY 1)
-    , s AS (SELECT item_id, doc_id, round(sum(w.w * q.w) / (max(norm.s) * max(qnorm.s)), 6) AS score FROM q JOIN w USING (term) JOIN norm USING (doc_id) JOIN qnorm USING (item_id) GROUP BY 1, 2)
-    , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s WHERE score > 0), hits AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {HITS})"""
-
-
-def term_counts(t: DataFrame, key: str) -> DataFrame:
-    """(key, term, f): how often a text holds each single word (two letters or more, no stop word) and each pair of neighbouring ones."""
-    w = t.select(key, F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), lambda x: ~x.isin(*STOP)).alias("w"))
-    pairs = F.zip_with(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda b, a: F.concat(a, F.lit(" "), b))
-    return w.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("f"))
-
-
-def tfidf_weights(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The index: the vocabulary (term, idf), its VOCABULARY most frequent terms that at most nine tenths of the documents hold,
-    and the weights (doc_id, term, w). Counts are made and written once; the vocabulary is small by its limit."""
-    docs = read(spark, d, "documents").select("doc_id", "text")
-    tf = written(term_counts(docs, "doc_id"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    v = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("cf")).crossJoin(F.broadcast(n)).where("df <= 0.9D * n")
-    v = written(v.orderBy(F.desc("cf"), "term").limit(VOCABULARY).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
-    return v, tf.join(F.broadcast(v), "term").select("doc_id", "term", (F.col("f") * F.col("idf")).alias("w"))
-
-
-def best_of(scores: DataFrame, key: str, k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
-    """The k best rows of each key with their rank. Spark applies the limit in each task before rows meet by key, and again after."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie)).cast("long")
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-@query("g3_tfidf_top", f"WITH {_TFIDF} SELECT * FROM hits")
-def tfidf_top(spark, d):
-    """Cosine of TF-IDF vectors: documents and questions in one index, positive scores only."""
-    v, w = tfidf_weights(spark, d)
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s"))
-    q = term_counts(read(spark, d, "benchmark").select("item_id", "text"), "item_id").join(F.broadcast(v), "term").select("item_id", "term", (F.col("f") * F.col("idf")).alias("qw"))
-    qnorm = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qs"))
-    s = q.join(w, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(norm, "doc_id").join(qnorm, "item_id")
-    s = s.select("item_id", "doc_id", F.round(F.col("dot") / (F.col("s") * F.col("qs")), 6).alias("score"))
-    return best_of(s.where("score > 0"), "item_id", HITS).select("item_id", "doc_id", "score", "rank")
-
-
-WORDS = r"[\p{L}\p{N}_]+"
-
-
-def words_of(c: Column, longer: int) -> Column:
-    """Distinct lower-cased words of more than so many characters."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit(WORDS), 0), lambda w: F.length(w) > longer))
-
-
-def _words(c, longer):
-    return f"list_distinct(list_filter(regexp_extract_all(lower({c}), '{WORDS}'), lambda w: length(w) > {longer}))"
-
-
-@query("g1_index_text", "SELECT doc_id, md5(concat_ws(' ', regexp_extract(text, '^[^.]*'), text, substr(text, 1, 2000), lang, source)) AS h FROM documents")
-def index_text(spark, d):
-    """The text that is embedded: title, abstract (the whole text), its first 2000 characters, keywords."""
-    joined = F.concat_ws(" ", F.regexp_extract("text", r"^[^.]*", 0), "text", F.substring("text", 1, 2000), "lang", "source")
-    return read(spark, d, "documents").select("doc_id", F.md5(joined).alias("h"))
-
-
-@query("g2_tfidf_index", f"WITH {_TFIDF} SELECT doc_id, terms, round(s, 5) AS norm FROM norm")
-def tfidf_index(spark, d):
-    """Terms and norm of each document in the index."""
-    w = tfidf_weights(spark, d)[1]
-    return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 5).alias("norm"))
-
-
-@query("g4_dense_top", """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2), q AS (SELECT label AS query, list(x ORDER BY i) AS q FROM c GROUP BY 1),
-    s AS (SELECT query, vec_id, round(list_inner_product(q, embedding::DOUBLE[]), 6) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::BIGINT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
-def dense_top(spark, d):
-    """The five nearest vectors to the mean vector of each label, by inner product."""
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    q = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("q")).withColumnRenamed("label", "query")
-    return best_of(inner_products(q, e.select("vec_id", "v")), "query", 5, tie="vec_id")
-
-
-def inner_products(q: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query, vec_id, score) of all q(query, q array) with all vectors(vec_id, v array).
-
-    Queries meet the vectors in blocks of about QUESTIONS, each broadcast (half a megabyte at 64 numbers), so a scan of all vectors serves a
-    whole block and what is broadcast does not grow with the table of queries.
-    """
-    q = written(q)
-    blocks = max(1, -(-q.count() // QUESTIONS))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    out = None
-    for i in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
-        s = vectors.crossJoin(F.broadcast(part)).select("query", "vec_id", F.round(dot, 6).alias("score"))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
-_KEY = f"""qw AS (SELECT item_id, unnest({_words('text', 3)}) AS word FROM benchmark), titles AS (SELECT doc_id, lower(regexp_extract(text, '^[^.]*')) AS title FROM documents WHERE text IS NOT NULL),
-    qn AS (SELECT item_id, count(*) AS words FROM qw GROUP BY 1), ks AS (SELECT item_id, doc_id, round(count(*)::DOUBLE / max(words), 6) AS score FROM qw JOIN titles ON contains(title, word) JOIN qn USING (item_id) GROUP BY 1, 2)"""
-
-
-def keyword_scores(spark, d) -> DataFrame:
-    """Share of a question's words that occur within a title. Containment is decided once per distinct pair of words."""
-    qw = read(spark, d, "benchmark").select("item_id", F.explode(words_of(F.col("text"), 3)).alias("word"))
-    title = F.lower(F.regexp_extract("text", r"^[^.]*", 0))
-    tokens = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split(title, r"\s+"))).alias("token"))
-    pairs = tokens.select("token").distinct().join(qw.select("word").distinct(), F.contains("token", "word"))
-    hits = tokens.join(pairs, "token").select("doc_id", "word").distinct().join(qw, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
-    return hits.join(qw.groupBy("item_id").agg(F.count("*").alias("words")), "item_id").select("item_id", "doc_id", F.round(F.col("n") / F.col("words"), 6).alias("score"))
-
-
-@query("g6_keyword_fallback", f"WITH {_KEY} SELECT item_id, doc_id, score FROM ks")
-def keyword_fallback(spark, d):
-    return keyword_scores(spark, d)
-
-
-@query("g5_hybrid_merge", f"WITH {_TFIDF}, {_KEY}, p AS (SELECT * FROM ks WHERE score >= 0.2), few AS (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM p GROUP BY 1 HAVING count(*) >= 2)) SELECT item_id, doc_id, score FROM p UNION ALL SELECT item_id, doc_id, round(score * 0.8, 6) FROM hits WHERE item_id IN (SELECT * FROM few) AND (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM p)")
-def hybrid_merge(spark, d):
-    """The first method's hits (score of 0.2 or more); where it has under two, unseen TF-IDF hits at 0.8 of their score."""
-    p = keyword_scores(spark, d).where("score >= 0.2")
-    enough = p.groupBy("item_id").agg(F.count("*").alias("n")).where("n >= 2")
-    more = tfidf_top(spark, d).join(enough, "item_id", "left_anti").join(p, ["item_id", "doc_id"], "left_anti")
-    return p.unionByName(more.select("item_id", "doc_id", F.round(F.col("score") * 0.8, 6).alias("score")))
-
-
 _INTENT = "intent AS (SELECT item_id, text, list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN {list(v)} ELSE [] END" for k, v in INTENT.items()) + f"]))) AS found FROM benchmark), cats AS (SELECT item_id, text, CASE WHEN len(found) = 0 THEN {list(DEFAULT_INTENT)} ELSE found END AS cats FROM intent)"
 
 
