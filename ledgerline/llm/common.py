@@ -101,13 +101,13 @@ def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each row (and the end) the number of words before it."""
+def word_bounds(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each row (and the end) the number of words before it. gaps: for each byte, whether it parts words."""
     n = data.size
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    word = ~_WS[data]
+    word = ~gaps[data]
     edge = np.empty(n + 1, bool)  # True: a word cannot run on from i - 1 to i
     edge[0] = edge[n] = True
     edge[1:n] = ~word[:-1]
