@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.byte_dedup import find_byte_repeats
 from ledgerline.llm.chat import chat_windows, read_back
 from ledgerline.llm.common import WORD
 from ledgerline.llm.jaccard_join import jaccard_components
@@ -133,6 +134,12 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"), 30)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_byte_repeats(table(spark, sf_dir, "documents"), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -140,7 +147,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_exact_top_k, op3_source_mix, op4_best_fit_packing, op5_toxicity, op6_substring_dedup, op7_embedding_near_dedup, op8_secret_scan, op9_jaccard_join, op10_chat_format, op11_periodic_runs, op12_source_audit, pipeline)
+    own = (op1_url_filter, op2_exact_top_k, op3_source_mix, op4_best_fit_packing, op5_toxicity, op6_substring_dedup, op7_embedding_near_dedup, op8_secret_scan, op9_jaccard_join, op10_chat_format, op11_periodic_runs, op12_source_audit, op13_suffix_array_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -224,4 +231,17 @@ def oracle_sql() -> dict[str, str]:
                     coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS learned, sum(chars) AS chars FROM n GROUP BY 1)
             SELECT g.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256,
                    (g.chars + coalesce(again.chars, 0))::BIGINT AS formatted_chars FROM g LEFT JOIN again USING (conv_id)""",
+        "op13_suffix_array_dedup": """
+            WITH w AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)
+            , win AS (SELECT doc_id, s, md5(b[s:s + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS s FROM w))
+            , again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1)
+            , hit AS (SELECT doc_id, s FROM win WHERE h IN (SELECT h FROM again))
+            , runs AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM (SELECT doc_id, s, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) > 400, true)::INT AS new FROM hit))
+            , spans AS (SELECT doc_id, min(s) AS a, max(s) + 399 AS e FROM runs GROUP BY doc_id, k)
+            , gaps AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1 AS x, a - 1 AS y FROM spans
+                       UNION ALL SELECT w.doc_id, coalesce(max(e), 0) + 1, max(octet_length(b)) FROM w LEFT JOIN spans USING (doc_id) GROUP BY w.doc_id)
+            , kept AS (SELECT g.doc_id, string_agg(hex(b[x:y]), '' ORDER BY x) AS said FROM gaps g JOIN w ON g.doc_id = w.doc_id WHERE y >= x GROUP BY g.doc_id)
+            , n AS (SELECT doc_id, sum(e - a + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+            SELECT w.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(said, ''))) AS kept_sha256
+            FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     }
