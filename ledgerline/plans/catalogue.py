@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.expressions import contains_any
 from ledgerline.functions.descriptors import with_descriptors
 from ledgerline.plans.structures import _BASE, _VERDICT, assessed, lipinski_broken, structures
+from ledgerline.functions.running import running
 from ledgerline.registry import query
 from ledgerline.sources.files import scratch
 from ledgerline.sources.tables import read
@@ -46,11 +47,11 @@ def property_filter(parts: DataFrame, name: str | None = None, kind: str | None
     return parts.orderBy(F.desc(F.coalesce("qed", F.lit(0.0))), "p_partkey").limit(limit)
 
 
-@query("b8_property_search", f"WITH {_BASE} SELECT p_partkey, p_brand, p_size, round(qed, 6) AS score FROM d JOIN part USING (p_partkey) WHERE contains(lower(p_name), 'e') AND contains(lower(p_type), 'o') AND len(list_filter(string_split(p_name, ' '), lambda x: contains(lower(x), 'd'))) > 0 AND contains(s, '|') AND coalesce(qed, 0) >= 0.3 AND mw <= 900 AND ((mw > 500)::BIGINT + (logp > 5)::BIGINT + (hbd > 5)::BIGINT + (hba > 10)::BIGINT <= 1) ORDER BY qed DESC, p_partkey LIMIT 50")
+@query("b8_property_search", f"WITH {_BASE} SELECT p_partkey, p_brand, p_size, round(qed, 8) AS score FROM d JOIN part USING (p_partkey) WHERE contains(lower(p_name), 'e') AND contains(lower(p_type), 'o') AND len(list_filter(string_split(p_name, ' '), lambda x: contains(lower(x), 'd'))) > 0 AND contains(s, '|') AND coalesce(qed, 0) >= 0.3 AND mw <= 900 AND ((mw > 500)::BIGINT + (logp > 5)::BIGINT + (hbd > 5)::BIGINT + (hba > 10)::BIGINT <= 1) ORDER BY qed DESC, p_partkey LIMIT 50")
 def property_search(spark, d):
     t = with_descriptors(structures(spark, d))
     found = property_filter(t, name="E", kind="o", use="d", structure="|", least_score=0.3, most_weight=900, lipinski=True, limit=50)
-    return found.select("p_partkey", "p_brand", "p_size", F.round("qed", 6).alias("score"))
+    return found.select("p_partkey", "p_brand", "p_size", F.round("qed", 8).alias("score"))
 
 
 @query("b5_key_resolution", """WITH q AS (SELECT DISTINCT unnest([p_name, p_brand, string_split(p_name, ' ')[1]]) AS asked FROM part), h AS (SELECT asked, p_partkey, CASE WHEN p_name = asked THEN 0 WHEN p_brand = asked THEN 1 ELSE 2 END AS step FROM q JOIN part ON p_name = asked OR p_brand = asked OR string_split(p_name, ' ')[1] = asked)
@@ -170,7 +171,7 @@ def compounds_with_fallback(spark, d):
     return equal.unionByName(contained.select("n_nationkey", "p_partkey")).groupBy("n_nationkey").agg(F.count("*").alias("compounds"))
 
 
-@query("b7_compounds_described", f"WITH {_BASE}, {_VERDICT}, l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT l_suppkey, l_partkey, CASE WHEN p_partkey IS NULL THEN 'no structure' END AS error, round(mw, 6) AS mw, round(logp, 6) AS logp, round(qed, 6) AS qed, verdict FROM l LEFT JOIN w ON p_partkey = l_partkey WHERE p_partkey IS NULL OR (verdict <> 'FAIL_PAINS' AND passed >= 1)")
+@query("b7_compounds_described", f"WITH {_BASE}, {_VERDICT}, l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT l_suppkey, l_partkey, CASE WHEN p_partkey IS NULL THEN 'no structure' END AS error, round(mw, 8) AS mw, round(logp, 8) AS logp, round(qed, 8) AS qed, verdict FROM l LEFT JOIN w ON p_partkey = l_partkey WHERE p_partkey IS NULL OR (verdict <> 'FAIL_PAINS' AND passed >= 1)")
 def compounds_described(spark, d, druglike: bool = True):
     """Compounds of each source with their descriptors; one without a structure stays, with an error.
 
@@ -182,7 +183,7 @@ def compounds_described(spark, d, druglike: bool = True):
     if druglike:
         out = out.where("p_partkey is null or (verdict <> 'FAIL_PAINS' AND passed >= 1)")
     error = F.when(F.col("p_partkey").isNull(), "no structure").alias("error")
-    return out.select("l_suppkey", "l_partkey", error, *(F.round(c, 6).alias(c) for c in ("mw", "logp", "qed")), "verdict")
+    return out.select("l_suppkey", "l_partkey", error, *(F.round(c, 8).alias(c) for c in ("mw", "logp", "qed")), "verdict")
 
 
 @query("b9_record_search", "SELECT c_custkey FROM customer WHERE contains(lower(c_custkey || ' ' || c_name || ' ' || c_nationkey || ' ' || c_mktsegment), 'furn')")
@@ -198,13 +199,17 @@ def point_lookup(spark, d):
 
 
 @query("b12_formulation_names", """WITH f AS (SELECT o_orderpriority, p_name, min((o_orderkey, l_linenumber)) AS first FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)
-    SELECT o_orderpriority, string_agg(p_name, ';' ORDER BY first, p_name) AS names FROM f GROUP BY 1""")
+    SELECT o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY first, p_name)::BIGINT AS position, p_name FROM f""")
 def formulation_names(spark, d):
-    """Distinct compound names of each formulation in the order of their first sight."""
+    """Distinct compound names of each formulation, a row each, numbered in the order of their first sight.
+
+    The numbers come from counts of ranges of that order, so no formulation is gathered in one task.
+    """
     lines = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("l_orderkey", "p_name").agg(F.min("l_linenumber").alias("line"))
     first = lines.join(read(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority", "p_name").agg(F.min(F.struct("o_orderkey", "line")).alias("first"))
-    names = F.array_sort(F.collect_list(F.struct("first", "p_name")))
-    return first.groupBy("o_orderpriority").agg(F.array_join(names["p_name"], ";").alias("names"))
+    named = first.select("o_orderpriority", "p_name", "first.*", F.lit(1).cast("long").alias("one"))
+    told = running(named, ["o_orderpriority", "o_orderkey", "line", "p_name"], ("one",), within="o_orderpriority")
+    return told.select("o_orderpriority", F.col("up_to_one").alias("position"), "p_name")
 
 
 @query("b15_formulation_detail", """WITH l AS (SELECT DISTINCT o_orderpriority, l_suppkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey), c AS (SELECT o_orderpriority, count(DISTINCT l_partkey)::BIGINT AS distinct_compounds FROM l GROUP BY 1)

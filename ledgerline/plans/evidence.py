@@ -197,10 +197,10 @@ def compliance(spark, d):
     return outputs(spark, d).select("event_id", (F.col("tier").isNotNull() & ((F.col("tier_no") != 5) | (F.col("k") % 4 > 0))).alias("compliant"))
 
 
-@query("h8_tier_summary", f"WITH {_OUT} SELECT t.tier, count(o.event_id)::BIGINT AS n, round(coalesce(avg(o.confidence), 0), 10) AS mean FROM tiers t LEFT JOIN outputs o ON o.tier = t.tier AND o.k > 5 GROUP BY 1")
+@query("h8_tier_summary", f"WITH {_OUT} SELECT t.tier, count(o.event_id)::BIGINT AS n, round(coalesce(avg(o.confidence), 0), 10) AS mean FROM tiers t LEFT JOIN outputs o ON o.tier = t.tier GROUP BY 1")
 def tier_summary(spark, d):
     """All five tiers, zero-filled."""
-    sums = outputs(spark, d).where("k > 5").groupBy("tier").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"))
+    sums = outputs(spark, d).groupBy("tier").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"))
     return tiers(spark).join(sums, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(F.coalesce("mean", F.lit(0.0)), 10).alias("mean"))
 
 
@@ -308,9 +308,9 @@ def sanitised_answers(spark, d):
     return answers(spark, d).select("conv_id", "turn", F.when(flagged, F.concat("answer", F.lit(" [hypothesis only]"))).otherwise(F.col("answer")).alias("answer"))
 
 
-@query("h19_disclaimer_level", f"WITH {_OUT} SELECT user_id, CASE WHEN bool_or(tier_no IN (2, 3)) THEN 'computational' WHEN bool_or(tier_no = 4) THEN 'interpretation' ELSE 'record' END AS level FROM outputs WHERE k < 40 GROUP BY 1")
+@query("h19_disclaimer_level", f"WITH {_OUT} SELECT user_id, CASE WHEN bool_or(tier_no IN (2, 3)) THEN 'computational' WHEN bool_or(tier_no = 4) THEN 'interpretation' ELSE 'record' END AS level FROM outputs GROUP BY 1")
 def disclaimer_level(spark, d):
-    seen = outputs(spark, d).where("k < 40").groupBy("user_id").agg(F.bool_or(F.col("tier_no").isin(2, 3)).alias("a"), F.bool_or(F.col("tier_no") == 4).alias("b"))
+    seen = outputs(spark, d).groupBy("user_id").agg(F.bool_or(F.col("tier_no").isin(2, 3)).alias("a"), F.bool_or(F.col("tier_no") == 4).alias("b"))
     return seen.select("user_id", F.when(F.col("a"), "computational").when(F.col("b"), "interpretation").otherwise("record").alias("level"))
 
 

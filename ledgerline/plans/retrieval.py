@@ -22,10 +22,10 @@ def corpus_stats(spark, d):
     return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.count_distinct("source").alias("sources"))
 
 
-@query("g2_document_frequency", "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term HAVING count(*) >= 20")
+@query("g2_document_frequency", "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents) SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term")
 def document_frequency(spark, d):
     t = read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0))).alias("term"))
-    return t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
+    return t.groupBy("term").agg(F.count("*").alias("df"))
 
 
 #: Stop words of the index; a parameter.
