@@ -179,7 +179,7 @@ def find_byte_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> Dat
     def asks(r: Regions, flags: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """The regions that a block sends in the second round, and of those of hot anchors the windows: first byte, number, and each number's hash, key and whether it is there twice."""
         sender = np.flatnonzero(flags & SENDER)
-        sender = sender[np.sort(np.unique(r.content[sender], return_index=True)[1])]
+        sender = sender[np.unique(r.content[sender], return_index=True)[1]]  # by content: a block's rows may come in any order
         which, start, h = windows_of(data, r, sender[flags[sender] & MANY > 0])
         key = mix(r.anchor[which] + (r.place[which] - start).astype(np.uint64))
         at, more, number = _once(h, key)
