@@ -16,8 +16,11 @@ END = 0xFE
 BEYOND = 0xFF
 
 
-def suffix_ranks(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The suffix array, and the ranks of all positions by their first 8, 16, 32, ... bytes."""
+def suffix_ranks(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The suffix array, and levels: the ranks of all positions by their first so many bytes, 8 at first.
+
+    A level joins the ranks of three positions (two where three do not fit in a number), so that few sorts reach any length.
+    """
     n = text.size
     padded = np.full(n + 8, BEYOND, np.uint8)
     padded[:n] = text
@@ -25,10 +28,12 @@ def suffix_ranks(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     order = np.argsort(first, kind="stable")
     ordered = first[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if n else np.zeros(0, bool)
+    bits = int(n).bit_length()
+    joins = 3 if 3 * bits < 64 else 2
     ranks, step, levels = np.empty(n, np.int64), 8, []
     ranks[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     while True:
-        levels.append(ranks.astype(np.int32))
+        levels.append((step, ranks.astype(np.int32)))
         alike = np.zeros(n, bool)
         same = ~new[1:]
         alike[1:] |= same
@@ -37,35 +42,31 @@ def suffix_ranks(text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         if not todo.size:
             return order, levels
         at = order[todo]
-        after = np.full(todo.size, n, np.int64)
-        inside = at + step < n
-        after[inside] = ranks[at[inside] + step]
-        again = np.argsort((ranks[at] << 32) + after, kind="stable")
-        group, after = ranks[at][again], after[again]
+        padded_ranks = np.concatenate([ranks, np.full((joins - 1) * step, n, np.int64)])
+        key = ranks[at]
+        for k in range(1, joins):
+            key = (key << bits) + padded_ranks[at + k * step]
+        again = np.argsort(key, kind="stable")
+        key = key[again]
         order[todo] = at[again]
         # a group keeps its places; its members get the place at which their own part of it begins
-        split = np.concatenate([[True], (group[1:] != group[:-1]) | (after[1:] != after[:-1])])
-        new[todo] = split
+        new[todo] = split = np.concatenate([[True], key[1:] != key[:-1]])
         ranks = ranks.copy()
         ranks[order[todo]] = np.maximum.accumulate(np.where(split, todo, 0))
-        step *= 2
+        step *= joins
 
 
-def common_prefix(a: np.ndarray, b: np.ndarray, text: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+def common_prefix(a: np.ndarray, b: np.ndarray, text: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """How many bytes the suffixes at a and b (two different ones each) share."""
     n, a, b, out = text.size, a.copy(), b.copy(), np.zeros(a.size, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        ok = (a < n) & (b < n)
-        ok[ok] = levels[k][a[ok]] == levels[k][b[ok]]
-        for x in (a, b, out):
-            x[ok] += 8 << k
-    for _ in range(8):
-        ok = (a < n) & (b < n)
-        ok[ok] = text[a[ok]] == text[b[ok]]
-        for x in (a, b, out):
-            x[ok] += 1
-        if not ok.any():
-            break
+    for step, ranks in [*levels[::-1], (1, text)]:
+        while True:  # a longer level would have told if more than a few steps of this one fitted
+            ok = (a < n) & (b < n)
+            ok[ok] = ranks[a[ok]] == ranks[b[ok]]
+            if not ok.any():
+                break
+            for x in (a, b, out):
+                x[ok] += step
     return out
 
 
@@ -78,6 +79,9 @@ def repeated_windows(text: np.ndarray, window: int) -> np.ndarray:
     last = np.where(order > 0, text[order - 1], -1).astype(np.int16)  # the transform; the whole text's own row is a run
     head = np.flatnonzero(last[1:] != last[:-1]) + 1  # first rows of runs; the row before each ends one
     above, below = order[head - 1], order[head]
+    _, ranks = max((x for x in levels if x[0] <= window), key=lambda x: x[0], default=(0, np.zeros(n)))
+    long = ranks[above] == ranks[below]  # the others share fewer bytes than a window has
+    above, below = above[long], below[long]
     match = common_prefix(above, below, text, levels)
     good = match >= window
     marks = np.zeros(n + 1, np.int64)
