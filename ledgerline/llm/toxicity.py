@@ -30,8 +30,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,8 @@ from ledgerline.llm.common import stage
 SLOTS = 1 << 14
 GAP = 2
 DECAY = 0.6
-LONGEST = 40  # a form longer than this is read in overlapping pieces, all of it
+LONGEST = 40  # a longer form is read in windows of this width, STEP apart and one at its end
+STEP = 8
 SENTENCE = 64  # longer sentences count as several
 CACHE = 300_000
 NONE = -3.0  # the margin where there is no form, and the lowest the curve sees
@@ -71,10 +74,14 @@ def sentences(text: str | None) -> tuple[list[str], list[int]]:
     sizes: list[int] = []
     for sentence in _SENTENCE.split((text or "").lower().replace(", ", " ")):
         words = sentence.split()
+        spelled: dict[int, list[str]] = {}
+        if words and min(map(len, words)) == 1:
+            # in the whole sentence, so that a word spelled across a cut is found; it counts where it begins
+            begins = [0, *accumulate(len(w) + 1 for w in words)]
+            for m in _SPELLED.finditer(" ".join(words)):
+                spelled.setdefault(bisect_left(begins, m.start()) // SENTENCE, []).append(m[0].replace(" ", ""))
         for a in range(0, len(words), SENTENCE):
-            part = words[a : a + SENTENCE]
-            if min(map(len, part)) == 1:
-                part += [m.replace(" ", "") for m in _SPELLED.findall(sentence if len(words) <= SENTENCE else " ".join(part))]
+            part = words[a : a + SENTENCE] + spelled.get(a // SENTENCE, [])
             tokens += part
             sizes.append(len(part))
     return tokens, sizes
@@ -109,7 +116,9 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pieces(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST // 2)]
+    """A form, or its windows: all have one width, so that a letter more hardly changes the highest margin."""
+    last = len(word) - LONGEST
+    return [word] if last <= 0 else [word[i : i + LONGEST] for i in (*range(0, last, STEP), last)]
 
 
 @dataclass

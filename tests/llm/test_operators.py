@@ -329,6 +329,25 @@ def test_signs_change_no_margin_whatever_the_length(toxic_model):
     assert model.margins(["x" * 300 + "idiot" + "y" * 300])[0] > model.margins(["x" * 300 + "abcde" + "y" * 300])[0]
 
 
+def test_a_spelled_insult_counts_at_every_place(toxic_model):
+    model, _ = toxic_model
+    worst = []
+    for at in range(200):
+        words = ["stone"] * 200
+        words[at:at] = list("idiot")
+        tokens, sizes = toxicity.sentences(" ".join(words))
+        assert tokens.count("idiot") == 1 and sum(sizes) == len(tokens)
+        worst.append(float(model.margins(tokens).max()))
+    assert max(worst) - min(worst) < 1e-9
+
+
+def test_margins_do_not_jump_where_forms_are_read_in_windows(toxic_model):
+    model, _ = toxic_model
+    steps = [np.abs(np.diff(model.margins([(s * 20)[:n] for n in range(30, 56)]))) for s in ("idiot", "qwertzuiop", "aab", "harmless")]
+    for s in steps:
+        assert s[10] < 0.1 + 3 * s[:10].max()  # from 40 to 41 letters
+
+
 def test_string_kernel_is_brute_force():
     """The hashed kernel of two words equals the sum over common gapped subsequences of three characters."""
 
