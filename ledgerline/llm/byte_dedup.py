@@ -106,6 +106,11 @@ def _once(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[head], many > 1, number
 
 
+def _sorted(table: pa.Table) -> pa.Table:
+    """A block's rows in an order of their own: they come in any, and stretches are cut through the block's bytes."""
+    return table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _text(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return text_buffers(table.column("text").combine_chunks())
 
@@ -128,7 +133,7 @@ def find_byte_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> Dat
         return pa.table([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=["kind", "bucket", "block", *"abcd"])
 
     def first_round(table: pa.Table) -> pa.Table:
-        r = _regions(*_text(table), window)
+        r = _regions(*_text(_sorted(table)), window)
         at, more, _ = _once(r.content, r.anchor)
         return sent(send(0, table.column("block")[0].as_py(), r.anchor[at], parts, r.content[at], more.astype(np.uint8)))
 
@@ -188,7 +193,7 @@ def find_byte_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> Dat
     def second_round(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return sent([])
-        block, (data, r, flags) = table.column("block")[0].as_py(), flagged(table, told)
+        block, (data, r, flags) = table.column("block")[0].as_py(), flagged(_sorted(table), told)
         own, (_, _, h, key, more) = asks(r, flags, data)
         texts = [data[x : y + window].tobytes() for x, y in zip(r.first[own].tolist(), r.last[own].tolist(), strict=True)]
         return sent(send(1, block, mix(r.anchor[own]), index_buckets, (r.last[own] - r.first[own] + window).astype(np.int32), texts) + send(2, block, h, parts, key, more))
@@ -218,6 +223,7 @@ def find_byte_repeats(docs: DataFrame, window: int = 400, hot: int = HOT) -> Dat
         return pa.table([table.column("block"), table.column("kind"), table.column("bucket"), pa.array([np.packbits(bits[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["block", "kind", "bucket", "bits"])
 
     def cover(table: pa.Table, back: pa.Table) -> pa.Table:
+        table = _sorted(table)
         data, offs = _text(table)
         marks = np.zeros(data.size + 1, np.int64)
         if back.num_rows and table.num_rows:
