@@ -1,3 +1,3 @@
 """Registered queries by family; importing this package registers them."""
 
-from ledgerline.plans import attribution, catalogue, docking, evidence, ingest, models, provenance, retrieval, structures  # noqa: F401
+from ledgerline.plans import attribution, catalogue, docking, domain, evidence, ingest, models, provenance, retrieval, structures  # noqa: F401

@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.plans.models import INPUTS, regressors, training
+from ledgerline.plans.models import INPUTS, matrix, regressors, training
 from ledgerline.registry import query
 from ledgerline.sources.tables import read
 
@@ -81,7 +81,7 @@ def model_occlusion(spark, d):
     """Occlusion through a fitted model of `models`: the change of its prediction of each line for each input."""
     x = training(spark, d)
     model = regressors()["ridge"].fit(x)
-    t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(*KEY, *INPUTS)
+    t = matrix(spark, d, *KEY)
     assemble = VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip")
     return occluded(t, INPUTS, lambda rows: model.transform(assemble.transform(rows)), KEY)
 

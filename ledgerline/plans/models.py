@@ -1,22 +1,28 @@
 """Feature matrices, splits, models and metrics over `lineitem` joined with `part`.
 
-Where a prediction is needed but no fit, it is quantity times retail price; fits regress the extended price.
+Where a prediction is needed but no fit, it is quantity times retail price; fits regress the extended price on the fused matrix.
 """
 
 from __future__ import annotations
 
 import logging
+import re
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.neighbour_model import NeighbourRegressor
 from ledgerline.functions.running import average_ranks, exact_quantile, running
 from ledgerline.plans.structures import _CLASS, _FLAGS, _QSAR, flags, qsar, structures
 from ledgerline.registry import query
@@ -70,10 +76,11 @@ LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 _DOCKED = {"affinity": "-4 - 80 * l_discount", "efficiency": "(-4 - 80 * l_discount) / coalesce(heavy, 20)", "intermolecular": "0.85 * (-4 - 80 * l_discount)", "torsional": "0.5", "desolvation": "0", "hbonds": "2", "hydrophobic": "5", "vdw": "10", "electrostatic": "0", "occupancy": "0.6"}
 
 
-def fused(lines: DataFrame, parts: DataFrame, use_docking: bool = True, use_qsar: bool = True, use_class: bool = True) -> DataFrame:
+def fused(lines: DataFrame, parts: DataFrame, use_docking: bool = True, use_qsar: bool = True, use_class: bool = True, normalise: bool = False, keep: tuple[str, ...] = LINE) -> DataFrame:
     """Docking, structure and class columns of each line in their fixed order, missing ones 0; a group that is switched off is 0 as well.
 
-    lines(LINE, affinity and any docking column by its name), parts(p_partkey, p_name, s).
+    lines(keep, l_partkey, affinity and any docking column by its name), parts(p_partkey, p_name, s). normalise: each column less its mean
+    over its spread.
     """
     described = qsar(parts.select("p_partkey", "s")).withColumn("radicals", F.lit(0)).drop("s").join(flags(parts), "p_partkey")
     t = lines.join(described, F.col("p_partkey") == F.col("l_partkey"), "left")
@@ -93,7 +100,11 @@ def fused(lines: DataFrame, parts: DataFrame, use_docking: bool = True, use_qsar
     }
     own = lambda name: finite(F.coalesce(F.col(name).cast("double"), F.lit(0.0)))
     columns = [(n, docking[n], use_docking) for n in DOCKING] + [(n, own(n), use_qsar) for n in QSAR] + [(n, own(n), use_class) for n in CLASS]
-    return t.select(*LINE, *((c.cast("double") if on else F.lit(0.0)).alias(n) for n, c, on in columns))
+    out = t.select(*keep, *((c.cast("double") if on else F.lit(0.0)).alias(n) for n, c, on in columns))
+    if not normalise:
+        return out
+    stats = out.agg(*(f(n).alias(f"{k}_{n}") for n, *_ in columns for k, f in (("mean", F.avg), ("spread", F.stddev_pop))))
+    return out.crossJoin(F.broadcast(stats)).select(*keep, *(((F.col(n) - F.col(f"mean_{n}")) / (F.col(f"spread_{n}") + 1e-8)).alias(n) for n, *_ in columns))  # one row
 
 
 _MATRIX = [f"round(({x})::DOUBLE, 6) AS {n}" for n, x in _DOCKED.items()] + [f"round(coalesce({'0' if n == 'radicals' else n}, 0)::DOUBLE, 5) AS {n}" for n in QSAR] + [f"coalesce({n}, 0)::DOUBLE AS {n}" for n in CLASS]
@@ -200,24 +211,6 @@ def affinity_units(spark, d):
     return read(spark, d, "events").select("event_id", F.round(pkd, 6).alias("pkd"), F.round(-1.3633 * pkd, 9).alias("dg"), F.round(F.pow(F.lit(10.0), 9 - pkd), 3).alias("kd"))
 
 
-_DOMAIN = """t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 50 AS x, l_discount * 10 AS y FROM lineitem), m AS (SELECT avg(x) AS mx, avg(y) AS my, covar_samp(x, x) + 1e-6 AS a, covar_samp(x, y) AS b, covar_samp(y, y) + 1e-6 AS c FROM t),
-    e AS (SELECT *, sqrt((x - mx) ^ 2 + (y - my) ^ 2) AS eu, sqrt(((x - mx) ^ 2 * c - 2 * b * (x - mx) * (y - my) + (y - my) ^ 2 * a) / (a * c - b * b)) AS ma FROM t, m), q AS (SELECT quantile_cont(eu, 0.95) AS edge, avg(eu) AS mean FROM e)"""
-
-
-@query("e21_applicability_domain", f"WITH {_DOMAIN} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ma, 5) AS distance, round(ma / (edge + 1e-8), 5) AS leverage, CASE WHEN ma <= mean THEN 'high' WHEN ma <= edge THEN 'medium' WHEN ma <= 1.5 * edge THEN 'low' ELSE 'out_of_domain' END AS label FROM e, q")
-def applicability_domain(spark, d):
-    """Mahalanobis distance to the mean of two features against the 95th percentile of Euclidean ones."""
-    t = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") / 50).alias("x"), (F.col("l_discount") * 10).alias("y"))
-    m = t.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.covar_samp("x", "x") + 1e-6).alias("a"), F.covar_samp("x", "y").alias("b"), (F.covar_samp("y", "y") + 1e-6).alias("c"))
-    u, v = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    e = t.crossJoin(F.broadcast(m)).withColumns({"eu": F.sqrt(u * u + v * v), "ma": F.sqrt((u * u * c - 2 * b * u * v + v * v * a) / (a * c - b * b))})  # m is one row
-    q = exact_quantile(e, "eu", 0.95, "edge").crossJoin(e.agg(F.avg("eu").alias("mean")))  # one row each
-    ma = F.col("ma")
-    label = F.when(ma <= F.col("mean"), "high").when(ma <= F.col("edge"), "medium").when(ma <= 1.5 * F.col("edge"), "low").otherwise("out_of_domain")
-    return e.crossJoin(F.broadcast(q)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("ma", 5).alias("distance"), F.round(ma / (F.col("edge") + 1e-8), 5).alias("leverage"), label.alias("label"))
-
-
 @query("e22_domain_ranking", "SELECT event_id, round(value / 10 * CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.8 WHEN 'signup' THEN 0.5 ELSE 0.1 END, 6) AS score FROM events ORDER BY score DESC, event_id LIMIT 50")
 def domain_ranking(spark, d):
     kind = F.col("event_type")
@@ -241,15 +234,21 @@ def split_leaks(spark, d):
 # ---- fits
 
 
-INPUTS = ["l_quantity", "p_retailprice", "p_size", "l_discount"]
+INPUTS = [*DOCKING, *QSAR, *CLASS]
+
+
+def matrix(spark, d, *keep: str) -> DataFrame:
+    """The fused matrix of all lines, with any of their columns."""
+    lines = read(spark, d, "lineitem").withColumn("affinity", -4 - 80 * F.col("l_discount"))
+    return fused(lines, structures(spark, d).select("p_partkey", "p_name", "s"), keep=keep)
 
 
 def training(spark, d) -> DataFrame:
-    """Rows with a feature vector x, the target y, a class and the fold of their order."""
-    t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    t = t.select("l_orderkey", *INPUTS, F.col("l_extendedprice").alias("y"), (F.col("l_extendedprice") >= 30000).cast("double").alias("active"), F.pmod(F.xxhash64("l_orderkey"), F.lit(5)).alias("fold"))
-    # fits read their rows many times: the join is made once
-    return written(VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip").transform(t))
+    """Rows with the vector x of the fused matrix, the target y, a class and the fold of their order."""
+    t = matrix(spark, d, *LINE, "l_extendedprice").withColumnRenamed("l_extendedprice", "y")
+    t = t.withColumns({"active": (F.col("y") >= 30000).cast("double"), "fold": F.pmod(F.xxhash64("l_orderkey"), F.lit(5))})
+    # fits read their rows many times: the matrix is made once
+    return written(VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip").transform(t).select("l_orderkey", "x", "y", "active", "fold"))
 
 
 def regressors() -> dict:
@@ -262,6 +261,7 @@ def regressors() -> dict:
         "tree": DecisionTreeRegressor(**both, maxDepth=5, seed=7),
         "forest": RandomForestRegressor(**both, numTrees=10, maxDepth=5, seed=7),
         "boosted": GBTRegressor(**both, maxIter=5, maxDepth=3, seed=7),
+        "neighbours": NeighbourRegressor(**both, k=5),
     }
 
 
@@ -280,13 +280,28 @@ def cluster_holdout(spark, d):
     return t.join(test, "cluster", "left").select("cluster", "n", F.coalesce("test", F.lit(False)).alias("test"))
 
 
-def tried(fit, *parts: Column) -> DataFrame | None:
-    """The metrics of a fit, or None where it fails (as on a fold without rows)."""
-    try:
-        return scored(fit(), *parts)
-    except (PySparkException, Py4JJavaError) as e:
-        log.warning("a fit was skipped: %s", e)
-        return None
+#: Fits that run at the same time; each keeps its own tasks, which the scheduler interleaves.
+AT_ONCE = 4
+
+
+def side_by_side(spark, jobs: dict[str, Callable[[], DataFrame]], at_once: int = AT_ONCE) -> DataFrame:
+    """The one row of metrics of each job, run from a bounded pool of threads: name, n, rmse, r2, error.
+
+    A fit that fails (as on a fold without rows) is a row with its error and no metrics.
+    """
+
+    def run(item: tuple[str, Callable[[], DataFrame]]) -> tuple:
+        name, job = item
+        try:
+            r = job().first()
+            return name, r["n"], r["rmse"], r["r2"], None if r["n"] else "no rows"
+        except (PySparkException, Py4JJavaError) as e:
+            log.warning("%s failed: %s", name, e)
+            return name, 0, None, None, re.sub(r"\s+", " ", str(e))[:200]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(run), jobs.items()))
+    return spark.createDataFrame(rows, "name string, n long, rmse double, r2 double, error string")
 
 
 def scaled(model) -> Pipeline:
@@ -296,34 +311,28 @@ def scaled(model) -> Pipeline:
 
 @query("e9_cross_validation")
 def cross_validation(spark, d, model: str = "ridge", folds: int = 5):
-    """Folds by order: each is predicted by a model, with a scaler, of the rest; a fold that fails is skipped. Mean and spread of the
-    metrics, and the error of the model refitted on all rows."""
+    """Folds by order: each is predicted by a model, with a scaler, of the rest; a fold that fails is counted and left out. Mean and
+    spread of the metrics, and the error of the model refitted on all rows. The fits run side by side."""
     x = training(spark, d).withColumn("fold", F.pmod(F.xxhash64("l_orderkey"), F.lit(folds)))
-    parts = [tried(lambda k=k: scaled(regressors()[model]).fit(x.where(F.col("fold") != k)).transform(x.where(F.col("fold") == k)), F.lit(k).alias("fold")) for k in range(folds)]
-    parts = [p for p in parts if p is not None]
-    each = parts[0]
-    for p in parts[1:]:
-        each = each.unionByName(p)
-    whole = scored(scaled(regressors()[model]).fit(x).transform(x)).select(F.col("rmse").alias("refit_rmse"))  # one row
-    sums = each.agg(F.count("*").alias("folds"), F.sum("n").alias("n"), F.avg("rmse").alias("rmse"), F.stddev_pop("rmse").alias("rmse_spread"), F.avg("r2").alias("r2"), F.stddev_pop("r2").alias("r2_spread"))
-    return sums.crossJoin(F.broadcast(whole))
+    of_fold = lambda k: lambda: scored(scaled(regressors()[model]).fit(x.where(F.col("fold") != k)).transform(x.where(F.col("fold") == k)))
+    each = side_by_side(spark, {str(k): of_fold(k) for k in range(folds)} | {"all": lambda: scored(scaled(regressors()[model]).fit(x).transform(x))})
+    part = lambda c: F.when(F.col("name") != "all", F.when(F.col("error").isNull(), F.col(c)))
+    failed = F.count_if((F.col("name") != "all") & F.col("error").isNotNull()).alias("failed")
+    return each.agg(F.count(part("n")).alias("folds"), failed, F.sum(part("n")).alias("n"), F.avg(part("rmse")).alias("rmse"), F.stddev_pop(part("rmse")).alias("rmse_spread"), F.avg(part("r2")).alias("r2"), F.stddev_pop(part("r2")).alias("r2_spread"), F.max(F.when(F.col("name") == "all", F.col("rmse"))).alias("refit_rmse"))
 
 
 @query("e12_model_benchmark")
 def model_benchmark(spark, d, models: dict | None = None):
-    """Hold-out metrics of every regressor of a catalogue (`regressors()` unless given); one that fails is skipped."""
+    """Hold-out metrics of every regressor of a catalogue (`regressors()` unless given), fitted side by side; one that fails is a row with its error."""
     x = training(spark, d)
-    out = None
-    for name, model in (models or regressors()).items():
-        m = tried(lambda model=model: model.fit(x.where("fold > 0")).transform(x.where("fold = 0")), F.lit(name).alias("model"))
-        out = m if out is None else out.unionByName(m) if m is not None else out
-    return out
+    job = lambda m: lambda: scored(m.fit(x.where("fold > 0")).transform(x.where("fold = 0")))
+    return side_by_side(spark, {name: job(m) for name, m in (models or regressors()).items()}).withColumnRenamed("name", "model")
 
 
 @query("e13_best_model")
 def best_model(spark, d):
     """The model with the greatest r2 and the one with the least error."""
-    return model_benchmark(spark, d).agg(F.max_by("model", F.struct("r2", "model")).alias("by_r2"), F.min_by("model", F.struct("rmse", "model")).alias("by_rmse"))
+    return model_benchmark(spark, d).where("error is null").agg(F.max_by("model", F.struct("r2", "model")).alias("by_r2"), F.min_by("model", F.struct("rmse", "model")).alias("by_rmse"))
 
 
 @query("e15_classifiers")
@@ -348,44 +357,40 @@ def classifiers(spark, d):
 
 @query("e16_stacking")
 def stacking(spark, d):
-    """Out-of-fold predictions of two base models are the features of a ridge model."""
-    z = out_of_fold(training(spark, d), {n: regressors()[n] for n in ("ridge", "tree", "forest")}, "prediction")
+    """Out-of-fold predictions of the tree models, and of the nearest rows, are the features of a ridge model."""
+    z = out_of_fold(training(spark, d), {n: regressors()[n] for n in ("tree", "forest", "boosted", "neighbours")}, F.col("prediction"))
     meta = LinearRegression(featuresCol="z", labelCol="y", regParam=1.0).fit(z.where("fold > 0"))
     return scored(meta.transform(z.where("fold = 0")))
 
 
-def out_of_fold(x: DataFrame, bases: dict, field: str) -> DataFrame:
+def out_of_fold(x: DataFrame, bases: dict, field: Column) -> DataFrame:
     """x with z, the vector of the base models' predictions of each row by models that did not see its fold."""
     parts = None
     for k in range(5):
         rest, fold = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
         for name, model in bases.items():
-            fold = model.fit(rest).transform(fold).withColumn(name, F.col(field)).drop("prediction", "rawPrediction", "probability")
+            fold = model.fit(rest).transform(fold).withColumn(name, field).drop("prediction", "rawPrediction", "probability")
         parts = fold if parts is None else parts.unionByName(fold)
     return written(VectorAssembler(inputCols=list(bases), outputCol="z").transform(parts))
 
 
 @query("e16_stacked_classifier")
 def stacked_classifier(spark, d):
-    """The same for classes: out-of-fold classes of two base models are the features of a logistic model."""
+    """The same for classes: out-of-fold probabilities of the base models are the features of a logistic model."""
     both = {"featuresCol": "x", "labelCol": "active"}
-    z = out_of_fold(training(spark, d), {"logistic": LogisticRegression(**both, maxIter=10), "forest": RandomForestClassifier(**both, numTrees=5, maxDepth=3, seed=7)}, "prediction")
+    bases = {"logistic": LogisticRegression(**both, maxIter=10), "forest": RandomForestClassifier(**both, numTrees=5, maxDepth=3, seed=7), "boosted": GBTClassifier(**both, maxIter=3, maxDepth=3, seed=7)}
+    z = out_of_fold(training(spark, d), bases, vector_to_array("probability")[1])
     t = LogisticRegression(featuresCol="z", labelCol="active", maxIter=10).fit(z.where("fold > 0")).transform(z.where("fold = 0"))
     return t.agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("active")).cast("double")).alias("accuracy"))
 
 
 @query("e17_batch_predict")
 def batch_predict(spark, d):
-    """Every row of the table: rows that have no valid features keep a sentinel and an error."""
-    t = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    t = t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_linenumber") < 7, F.col("l_quantity")).alias("l_quantity"), *INPUTS[1:])
+    """Every row of the table: one without a docking result (each order's seventh line) keeps a sentinel and an error."""
+    t = matrix(spark, d, *LINE).withColumn("whole", F.col("l_linenumber") < 7)
     model = regressors()["ridge"].fit(training(spark, d))
-    whole = F.lit(True)
-    for c in INPUTS:
-        whole = whole & F.col(c).isNotNull()
-    filled = t.withColumn("whole", whole).fillna(0, INPUTS)
-    p = model.transform(VectorAssembler(inputCols=INPUTS, outputCol="x").transform(filled))
-    return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("whole"), F.col("prediction")).otherwise(0.0).alias("prediction"), F.when(~F.col("whole"), "missing feature").alias("error"))
+    p = model.transform(VectorAssembler(inputCols=INPUTS, outputCol="x").transform(t))
+    return p.select(*LINE, F.when(F.col("whole"), F.col("prediction")).otherwise(0.0).alias("prediction"), F.when(~F.col("whole"), "missing feature").alias("error"))
 
 
 @query("e18_ensemble_uncertainty")
@@ -401,18 +406,44 @@ def ensemble_uncertainty(spark, d, names: tuple[str, ...] = ("ridge", "tree", "f
     return t.select("l_orderkey", mean.alias("mean"), (spread + 0.2 if len(names) > 1 else F.lit(0.5)).alias("uncertainty"))
 
 
+#: What a pose's rescoring sees: three scores and eleven columns of the ligand and its contacts.
+RESCORING = ("vina", "ad4", "hybrid", "mw_norm", "logp", "hbd", "hba", "rot_norm", "tpsa_norm", "heavy_norm", "arom", "hydrophobic", "hbonds", "charge")
+
+
+def leaf_values(model) -> list[list[float]]:
+    """The predictions of a forest's leaves, tree by tree, in the order in which leafCol numbers them (bounded by trees and their depth)."""
+
+    def leaves(node) -> list[float]:
+        if not node.getClass().getSimpleName().startswith("Internal"):
+            return [float(node.prediction())]
+        return leaves(node.leftChild()) + leaves(node.rightChild())
+
+    return [leaves(tree._call_java("rootNode")) for tree in model.trees]
+
+
+def by_tree(t: DataFrame, model, out: str) -> DataFrame:
+    """t with an array of every tree's prediction: one pass finds the leaves of all trees, a literal table has their values."""
+    table = F.array(*(F.array(*map(F.lit, own)) for own in leaf_values(model)))
+    found = model.setLeafCol("leaf_").transform(t)
+    return found.withColumn(out, F.zip_with(vector_to_array("leaf_"), table, lambda leaf, own: F.get(own, leaf.cast("int")))).drop("leaf_")
+
+
 @query("e25_forest_rescoring")
-def forest_rescoring(spark, d):
-    """Prediction of a small forest, and a confidence from the variance over its trees."""
-    x = training(spark, d)
-    model = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=5, maxDepth=4, seed=7).fit(x.where("fold > 0"))
-    t = x.where("fold = 0")
-    for i, tree in enumerate(model.trees):
-        t = tree.setPredictionCol(f"t{i}").transform(t)
-    p = F.array(*(f"t{i}" for i in range(len(model.trees))))
-    mean = F.aggregate(p, F.lit(0.0), lambda a, b: a + b) / len(model.trees)
-    variance = F.aggregate(F.transform(p, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, b: a + b) / len(model.trees)
-    return t.select("l_orderkey", mean.alias("rescored"), (1 / (1 + F.sqrt(variance) / 1000)).alias("confidence"))
+def forest_rescoring(spark, d, trees: int = 50):
+    """Affinities rescored by a forest over 14 inputs, kept within -12 and -4; the confidence falls with the variance over the trees.
+
+    The second score is 0.9 of the first plus its ligand's share, the measured affinity stands in as -4 - 100 * tax.
+    """
+    c = F.col
+    t = matrix(spark, d, *LINE, "l_tax").withColumn("ad4", 0.9 * c("affinity") - 0.05 * c("logp"))
+    inputs = {"vina": c("affinity"), "ad4": c("ad4"), "hybrid": 0.6 * c("affinity") + 0.4 * c("ad4"), "mw_norm": c("mw") / 500, "rot_norm": c("rot") / 10, "tpsa_norm": c("tpsa") / 100, "heavy_norm": c("heavy") / 50}
+    t = t.select(*LINE, (-4 - 100 * c("l_tax")).alias("y"), *(inputs.get(n, c(n)).alias(n) for n in RESCORING))
+    x = written(VectorAssembler(inputCols=list(RESCORING), outputCol="x").transform(t).select(*LINE, "vina", "x", "y"))
+    model = RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=4, seed=7).fit(x.where("l_orderkey % 5 <> 0"))
+    told = by_tree(x, model, "each")
+    rescored = F.greatest(F.lit(-12.0), F.least(F.lit(-4.0), c("prediction")))
+    told = told.withColumn("rescored", rescored).withColumn("variance", F.aggregate(F.transform("each", lambda v: (v - c("rescored")) * (v - c("rescored"))), F.lit(0.0), lambda a, b: a + b) / F.size("each"))
+    return told.select(*LINE, "rescored", (c("rescored") - c("vina")).alias("delta"), "variance", F.greatest(F.lit(0.1), F.least(F.lit(0.95), 1 - c("variance"))).alias("confidence"))
 
 
 @query("e20_activity_class", "WITH a AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN least(1, value / 200) END AS p, least(11, greatest(3, value / 10)) AS pkd FROM events) SELECT event_id, CASE WHEN p >= 0.65 THEN 'active' WHEN p <= 0.35 THEN 'inactive' WHEN p IS NOT NULL THEN 'moderate' WHEN pkd >= 7 THEN 'active' WHEN pkd >= 6 THEN 'moderate' ELSE 'inactive' END AS class FROM a")

@@ -98,9 +98,26 @@ def test_occlusion_of_a_linear_model_is_its_coefficients(spark):
     assert len(got) == 40
 
 
-def test_fits_that_fail_are_skipped(spark):
+def test_fits_that_fail_are_rows(spark):
     x = models.training(spark, D)
-    assert models.tried(lambda: models.regressors()["ridge"].fit(x.where("fold = 99")).transform(x)) is None
+    job = lambda k: lambda: models.scored(models.regressors()["ridge"].fit(x.where(f"fold = {k}")).transform(x))
+    got = {r.name: r for r in models.side_by_side(spark, {"good": job(1), "none": job(99)}).collect()}
+    assert got["good"].error is None and got["good"].n == x.count() and got["none"].error and got["none"].rmse is None
+    every = {r.name: r for r in models.side_by_side(spark, {"none": job(98), "nothing": job(99)}).collect()}
+    assert len(every) == 2 and all(r.error for r in every.values())
+
+
+def test_each_tree_of_a_forest(spark):
+    """One pass over all trees gives what each tree's own transform gives, and their mean is the forest's prediction."""
+    x = models.training(spark, D).limit(500)
+    model = models.RandomForestRegressor(featuresCol="x", labelCol="y", numTrees=6, maxDepth=4, seed=3).fit(x)
+    trees = models.leaf_values(model)
+    assert len(trees) == 6 and all(len(own) > 1 for own in trees)
+    got = {r.l_orderkey: r for r in models.by_tree(x, model, "each").dropDuplicates(["l_orderkey"]).collect()}
+    for i, tree in enumerate(model.trees):
+        own = {tuple(r.x): r.prediction for r in tree.transform(x).collect()}
+        assert all(r.each[i] == pytest.approx(own[tuple(r.x)]) for r in got.values())
+    assert all(sum(r.each) / 6 == pytest.approx(r.prediction) for r in got.values())
 
 
 def test_model_queries(spark):
@@ -108,7 +125,7 @@ def test_model_queries(spark):
     q = registry.queries()
     n = spark.read.parquet(f"{D}/lineitem.parquet").count()
     cv = q["e9_cross_validation"](spark, D).first()
-    assert (cv.folds, cv.n) == (5, n) and cv.refit_rmse <= cv.rmse * 1.02
+    assert (cv.folds, cv.failed, cv.n) == (5, 0, n) and cv.refit_rmse <= cv.rmse * 1.02
     importance = q["f6_global_importance"](spark, D).collect()
     assert sum(r.importance for r in importance) == pytest.approx(1) and len(importance) == len(models.INPUTS)
     saved = q["a14_saved_model"](spark, D).first()
@@ -120,9 +137,9 @@ def test_model_queries(spark):
     p = q["e17_batch_predict"](spark, D).collect()
     assert len(p) == n and all((r.prediction == 0.0) == (r.error is not None) for r in p)
     assert all(r.uncertainty >= 0.2 for r in q["e18_ensemble_uncertainty"](spark, D).collect())
-    assert all(0 < r.confidence <= 1 for r in q["e25_forest_rescoring"](spark, D).collect())
-    rows = q["f2_model_occlusion"](spark, D).collect()
-    assert len(rows) == n * len(models.INPUTS)
+    rescored = q["e25_forest_rescoring"](spark, D).collect()
+    assert len(rescored) == n and all(-12 <= r.rescored <= -4 and r.confidence == max(0.1, min(0.95, 1 - r.variance)) for r in rescored)
+    assert q["f2_model_occlusion"](spark, D).count() == n * len(models.INPUTS)
 
 
 def test_single_model_has_the_fallback_uncertainty(spark):
