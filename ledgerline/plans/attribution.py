@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.plans.models import INPUTS, matrix, regressors, training
+from ledgerline.plans.models import INPUTS, fused, matrix, regressors, training
+from ledgerline.plans.structures import structures
 from ledgerline.registry import query
+from ledgerline.sources.files import written
 from ledgerline.sources.tables import read
 
 #: Feature, its expression, group, coefficient and importance; parameters.
@@ -103,32 +107,88 @@ def noise(seed: Column, name: str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(seed, F.lit(f"_{name}"))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
-_BITS = "((CAST('0x' || substr(md5(sd || '_{n}'), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"
-_LIME = f"""inst AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS a, p_retailprice / 100 AS b FROM part), sm AS (SELECT *, p_partkey || '_' || k AS sd FROM inst, (SELECT unnest(range(0, 50)) AS k)),
-    pt AS (SELECT p_partkey, sqrt(-2 * ln({_BITS.format(n='u')})) * cos(2 * pi() * {_BITS.format(n='v')}) AS x, sqrt(-2 * ln({_BITS.format(n='u')})) * sin(2 * pi() * {_BITS.format(n='v')}) AS y, a, b FROM sm),
-    w AS (SELECT p_partkey, x, y, sqrt(greatest(1e-6, least(1, sqrt(exp(-(x * x + y * y) / (0.75 * 0.75 * 2)))))) ^ 2 AS w, (a + x) * (b + y) AS f FROM pt),
-    g AS (SELECT p_partkey, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * f) / sum(w) AS mf, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy, sum(w * x * f) AS xf, sum(w * y * f) AS yf FROM w GROUP BY 1),
-    h AS (SELECT p_partkey, mx, my, mf, xx - sw * mx * mx + 1 AS xx, yy - sw * my * my + 1 AS yy, xy - sw * mx * my AS xy, xf - sw * mx * mf AS xf, yf - sw * my * mf AS yf FROM g)"""
+#: Points around a row, the share of them that are real rows, and those to draw from; parameters.
+SAMPLES, REAL, BACKGROUND = 50, 5, 200
 
 
-@query("f5_local_surrogate", f"WITH {_LIME} SELECT p_partkey, round((xf * yy - yf * xy) / (xx * yy - xy * xy), 4) AS a, round((yf * xx - xf * xy) / (xx * yy - xy * xy), 4) AS b FROM h")
-def local_surrogate(spark, d, samples: int = 50):
-    """Weighted ridge fit of (size / 10) * (price / 100) around each part: coefficients of both factors.
+def surrogate(rows: DataFrame, key: str, inputs: list[str], predict: Callable[[DataFrame], DataFrame], background: DataFrame, samples: int = SAMPLES, top: int = 10) -> DataFrame:
+    """A weighted ridge fit of any scorer around each row: key, feature, coefficient, nth, intercept, score, prediction.
 
-    Points are Gaussian shifts from seeded hashes, their weights an exponential kernel of the distance, the ridge is 1.
-    Sums per part give the two-by-two system, which is solved in closed form; no point is kept.
+    predict adds `prediction` to rows with the inputs as columns. Around a row stand `samples` points: shifts by Gaussian noise of seeded hashes
+    times each input's spread over the rows, and, one in REAL, rows of `background` (number long from 0, the inputs; BACKGROUND rows at
+    most). Weights fall with the distance in spreads, the ridge is 1, the intercept is free; score is the weighted R2. The `top` features by
+    coefficient times spread are given. A row's points are one group of `samples` rows, which an Arrow task solves.
     """
-    t = read(spark, d, "part").select("p_partkey", (F.col("p_size") / 10).alias("a"), (F.col("p_retailprice") / 100).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("k"))
-    seed = F.concat_ws("_", F.col("p_partkey").cast("string"), F.col("k").cast("string"))
-    r, turn = F.sqrt(-2 * F.log(noise(seed, "u"))), 2 * F.pi() * noise(seed, "v")
-    t = t.select("p_partkey", "a", "b", (r * F.cos(turn)).alias("x"), (r * F.sin(turn)).alias("y"))
-    kernel = F.greatest(F.lit(1e-6), F.least(F.lit(1.0), F.sqrt(F.exp(-F.expr("x * x + y * y") / (0.75 * 0.75 * 2)))))
-    t = t.withColumns({"w": kernel, "f": F.expr("(a + x) * (b + y)")})
-    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"m{c}")
-    both = lambda c, e: F.sum(F.col("w") * F.col(c) * F.col(e)).alias(c + e)
-    g = t.groupBy("p_partkey").agg(F.sum("w").alias("sw"), mean("x"), mean("y"), mean("f"), both("x", "x"), both("y", "y"), both("x", "y"), both("x", "f"), both("y", "f"))
-    h = g.selectExpr("p_partkey", "xx - sw * mx * mx + 1 AS xx", "yy - sw * my * my + 1 AS yy", "xy - sw * mx * my AS xy", "xf - sw * mx * mf AS xf", "yf - sw * my * mf AS yf")
-    return h.select("p_partkey", F.round(F.expr("(xf * yy - yf * xy) / (xx * yy - xy * xy)"), 4).alias("a"), F.round(F.expr("(yf * xx - xf * xy) / (xx * yy - xy * xy)"), 4).alias("b"))
+    n = len(inputs)
+    spread = rows.agg(*(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(inputs))).first()
+    spread = [(spread[f"s{i}"] or 0.0) + 1e-8 for i in range(n)]
+    drawn = background.where(F.col("number") < BACKGROUND).select("number", F.array(*(F.col(c).cast("double") for c in inputs)).alias("real"))
+    there = drawn.count()
+    seed = F.concat_ws("_", F.col(key).cast("string"), F.col("k_").cast("string"))
+    t = rows.select(key, F.array(*(F.col(c).cast("double") for c in inputs)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("k_"))
+    pick = F.when(F.col("k_") < samples // REAL, F.floor(noise(seed, "pick") * there)).cast("long")
+    t = t.withColumn("number", pick).join(F.broadcast(drawn), "number", "left")  # at most BACKGROUND rows
+    # both uniform numbers of an input's noise come from one hash; the last point is the row itself
+    digest = lambda i: F.md5(F.concat_ws("_", seed, i.cast("string")))
+    uniform = lambda h, at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), digest)
+    normal = lambda h: F.sqrt(-2 * F.log(uniform(h, 1))) * F.cos(2 * F.pi() * uniform(h, 9))
+    wide = F.array(*map(F.lit, spread))
+    shifted = F.when(F.col("k_") < samples, F.transform(F.arrays_zip("own", wide.alias("wide"), hashes.alias("hash")), lambda z: z["own"] + z["wide"] * normal(z["hash"]))).otherwise(F.col("own"))
+    t = t.select(key, "k_", "own", F.coalesce("real", shifted).alias("point"))
+    scored = predict(t.select(key, "k_", "own", "point", *(F.col("point")[i].alias(c) for i, c in enumerate(inputs)))).select(key, "k_", "own", "point", "prediction")
+    kind = dict(rows.dtypes)[key]
+
+    def solve(table: pa.Table) -> pa.Table:
+        x, own = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in ("point", "own"))
+        y, real = table.column("prediction").to_numpy(), table.column("k_").to_numpy() < samples
+        here = float(y[~real][0])
+        shift, x, y = ((x - own) / spread)[real], x[real], y[real]
+        w = np.clip(np.sqrt(np.exp(-(shift**2).sum(1) / (0.75**2 * n))), 1e-6, 1.0)
+        mx, my = w @ x / w.sum(), w @ y / w.sum()
+        a, b = x - mx, y - my
+        fit = np.linalg.solve((a * w[:, None]).T @ a + np.eye(n), (a * w[:, None]).T @ b)
+        left, all_ = w @ (b - a @ fit) ** 2, w @ b**2
+        best = np.argsort(-np.abs(fit * spread), kind="stable")[:top]
+        one = lambda v: [float(v)] * len(best)
+        return pa.table({key: table.column(key).combine_chunks().take(pa.array([0] * len(best))), "feature": [inputs[i] for i in best], "coefficient": fit[best], "nth": np.arange(1, len(best) + 1, dtype=np.int32), "intercept": one(my - mx @ fit), "score": one(1 - left / all_ if all_ else 1.0), "prediction": one(here)})
+
+    return scored.groupBy(key).applyInArrow(solve, f"{key} {kind}, feature string, coefficient double, nth int, intercept double, score double, prediction double")
+
+
+_BITS = "((CAST('0x' || substr(md5(sd || '_{n}'), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"
+_UNIFORM = "((CAST('0x' || substr(md5(sd || '_{i}'), {at}, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"
+_NORMAL = [f"sqrt(-2 * ln({_UNIFORM.format(i=i, at=1)})) * cos(2 * pi() * {_UNIFORM.format(i=i, at=9)})" for i in (0, 1)]
+_LIME = f"""inst AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS a, p_retailprice / 100 AS b FROM part), sp AS (SELECT stddev_pop(a) + 1e-8 AS sa, stddev_pop(b) + 1e-8 AS sb FROM inst),
+    bg AS (SELECT p_partkey - 1 AS number, a AS ra, b AS rb FROM inst WHERE p_partkey <= {BACKGROUND}), m AS (SELECT count(*) AS m FROM bg),
+    sm AS (SELECT *, p_partkey || '_' || k AS sd FROM inst, (SELECT unnest(range(0, {SAMPLES})) AS k)), pk AS (SELECT sm.*, CASE WHEN k < {SAMPLES // REAL} THEN floor({_BITS.format(n="pick")} * m)::BIGINT END AS number FROM sm, m),
+    pt AS (SELECT p_partkey, a, b, sa, sb, coalesce(ra, a + sa * {_NORMAL[0]}) AS x, coalesce(rb, b + sb * {_NORMAL[1]}) AS y FROM pk CROSS JOIN sp LEFT JOIN bg USING (number)),
+    w AS (SELECT *, greatest(1e-6, least(1, sqrt(exp(-(((x - a) / sa) ^ 2 + ((y - b) / sb) ^ 2) / (0.75 * 0.75 * 2))))) AS w, x * y AS f FROM pt),
+    g AS (SELECT p_partkey, max(a * b) AS here, max(sa) AS sa, max(sb) AS sb, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * f) / sum(w) AS mf FROM w GROUP BY 1),
+    c AS (SELECT p_partkey, sum(w * (x - mx) ^ 2) AS xx, sum(w * (y - my) ^ 2) AS yy, sum(w * (x - mx) * (y - my)) AS xy, sum(w * (x - mx) * (f - mf)) AS xf, sum(w * (y - my) * (f - mf)) AS yf, sum(w * (f - mf) ^ 2) AS ff FROM w JOIN g USING (p_partkey) GROUP BY 1),
+    h AS (SELECT *, (xf * (yy + 1) - yf * xy) / ((xx + 1) * (yy + 1) - xy * xy) AS ca, (yf * (xx + 1) - xf * xy) / ((xx + 1) * (yy + 1) - xy * xy) AS cb FROM c JOIN g USING (p_partkey)),
+    s AS (SELECT *, mf - mx * ca - my * cb AS intercept, 1 - (ff - 2 * ca * xf - 2 * cb * yf + ca * ca * xx + 2 * ca * cb * xy + cb * cb * yy) / ff AS score FROM h)"""
+
+
+@query(
+    "f5_local_surrogate",
+    f"""WITH {_LIME} SELECT p_partkey, 'size' AS feature, round(ca, 4) AS coefficient, CASE WHEN abs(ca * sa) >= abs(cb * sb) THEN 1 ELSE 2 END AS nth, round(intercept, 3) AS intercept, round(score, 6) AS score, round(here, 6) AS prediction FROM s
+    UNION ALL SELECT p_partkey, 'price', round(cb, 4), CASE WHEN abs(ca * sa) >= abs(cb * sb) THEN 2 ELSE 1 END, round(intercept, 3), round(score, 6), round(here, 6) FROM s""",
+)
+def local_surrogate(spark, d):
+    """The surrogate of (size / 10) * (price / 100) around each part."""
+    t = read(spark, d, "part").select("p_partkey", (F.col("p_size") / 10).alias("size"), (F.col("p_retailprice") / 100).alias("price"))
+    told = surrogate(t, "p_partkey", ["size", "price"], lambda rows: rows.withColumn("prediction", F.col("size") * F.col("price")), t.withColumn("number", F.col("p_partkey") - 1))
+    return told.select("p_partkey", "feature", F.round("coefficient", 4).alias("coefficient"), "nth", F.round("intercept", 3).alias("intercept"), *(F.round(c, 6).alias(c) for c in ("score", "prediction")))
+
+
+@query("f5_model_surrogate")
+def model_surrogate(spark, d, model=None):
+    """The surrogate of a fitted model (ridge unless given) around each part's row of the fused matrix, its docking columns at their defaults."""
+    parts = structures(spark, d).select("p_partkey", "p_name", "s")
+    rows = fused(parts.select(F.col("p_partkey").alias("l_partkey"), F.lit(None).cast("double").alias("affinity")), parts, keep=("l_partkey",))
+    assemble, made = VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip"), model or regressors()["ridge"].fit(training(spark, d))
+    return surrogate(written(rows), "l_partkey", INPUTS, lambda t: made.transform(assemble.transform(t)), rows.withColumn("number", F.col("l_partkey") - 1))
 
 
 _GROUPS = f"grp AS (SELECT {_K}, grp, sum(c1) AS s, avg(abs(c1)) AS m FROM con GROUP BY ALL)"

@@ -7,10 +7,18 @@ Questions are keyed by item_id throughout, so that a batch of them is one job.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.expressions import significant_words
+from ledgerline.functions.postings import Postings
 from ledgerline.plans.evidence import _ANS, answers
 from ledgerline.registry import query
 from ledgerline.sources.files import written
@@ -36,6 +44,8 @@ DEFAULT_INTENT = ("en", "fr")
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 #: Terms in the index, hits of a question, questions that are answered in one pass; parameters.
 VOCABULARY, HITS, QUESTIONS = 10000, 5, 1024
+#: Terms that a task holds while it counts.
+HELD = 1 << 19
 
 
 def _terms(table, key):
@@ -50,22 +60,75 @@ _TFIDF = f"""n AS (SELECT count(*) AS n FROM documents), tf AS {_terms("document
     , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s WHERE score > 0), hits AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {HITS})"""
 
 
-def term_counts(t: DataFrame, key: str) -> DataFrame:
-    """(key, term, f): how often a text holds each single word (two letters or more, no stop word) and each pair of neighbouring ones."""
-    w = t.select(key, F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), 0), lambda x: ~x.isin(*STOP)).alias("w"))
-    pairs = F.zip_with(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda b, a: F.concat(a, F.lit(" "), b))
-    return w.select(key, F.explode(F.concat("w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("f"))
+_TOKEN = re.compile("[a-z]{2,}")
+
+
+def _terms_of(text: str | None) -> Counter[str]:
+    """How often a text holds each single word (two letters or more, no stop word) and each pair of neighbouring ones."""
+    w = [x for x in _TOKEN.findall((text or "").lower()) if x not in STOP]
+    return Counter(w + [f"{a} {b}" for a, b in pairwise(w)])
+
+
+def term_totals(t: DataFrame) -> DataFrame:
+    """(term, df, cf): texts that hold a term, and its occurrences. Texts are counted where they are; HELD terms of a task at most wait to be summed."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, cf = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array([cf[w] for w in df], pa.int64())], names=["term", "df", "cf"])
+            df.clear()
+            cf.clear()
+            return made
+
+        for batch in batches:
+            for text in batch.column(0):
+                own = _terms_of(text.as_py())
+                df.update(own.keys())
+                cf.update(own)
+                if len(df) > HELD:
+                    yield out()
+        yield out()
+
+    return t.select("text").mapInArrow(count, "term string, df long, cf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def term_counts(t: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    """(key, term, f) of the terms of a vocabulary, which has VOCABULARY rows at most."""
+    known = t.sparkSession.sparkContext.broadcast({r["term"] for r in vocabulary.select("term").collect()})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+                own = [[(w, n) for w, n in _terms_of(text.as_py()).items() if w in known.value] for text in part.column(1)]
+                at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array([w for x in own for w, _ in x], pa.string()), pa.array([n for x in own for _, n in x], pa.int64())], names=[key, "term", "f"])
+
+    return t.select(key, "text").mapInArrow(count, f"{key} long, term string, f long").groupBy(key, "term").agg(F.sum("f").alias("f"))
+
+
+def vocabulary_of(docs: DataFrame) -> DataFrame:
+    """(term, idf): the VOCABULARY most frequent terms that at most nine tenths of the documents hold."""
+    n = docs.agg(F.count_distinct("doc_id").alias("n"))  # one row
+    v = term_totals(docs).crossJoin(F.broadcast(n)).where("df <= 0.9D * n")
+    return v.orderBy(F.desc("cf"), "term").limit(VOCABULARY).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+#: Indexes of this process by application, folder and state of the corpus: built once, read by every query on it.
+_STORED: dict[tuple, tuple[DataFrame, DataFrame, Postings]] = {}
 
 
-def tfidf_weights(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The index: the vocabulary (term, idf), its VOCABULARY most frequent terms that at most nine tenths of the documents hold,
-    and the weights (doc_id, term, w). Counts are made and written once; the vocabulary is small by its limit."""
+def tfidf_store(spark, d) -> tuple[DataFrame, DataFrame, Postings]:
+    """The stored index of a corpus: its vocabulary (term, idf), its norms (doc_id, terms, norm), and the postings of the documents' unit vectors."""
     docs = read(spark, d, "documents").select("doc_id", "text")
-    tf = written(term_counts(docs, "doc_id"))
-    n = docs.agg(F.count("*").alias("n"))  # one row
-    v = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("f").alias("cf")).crossJoin(F.broadcast(n)).where("df <= 0.9D * n")
-    v = written(v.orderBy(F.desc("cf"), "term").limit(VOCABULARY).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
-    return v, tf.join(F.broadcast(v), "term").select("doc_id", "term", (F.col("f") * F.col("idf")).alias("w"))
+    state = tuple(docs.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).first())
+    key = (spark.sparkContext.applicationId, d, state)
+    if key not in _STORED:
+        v = written(vocabulary_of(docs))
+        w = written(term_counts(docs, "doc_id", v).join(F.broadcast(v), "term").select("doc_id", "term", (F.col("f") * F.col("idf")).alias("w")))  # VOCABULARY rows
+        norms = written(w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
+        _STORED[key] = v, norms, Postings.build(w.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w")))
+    return _STORED[key]
 
 
 def best_of(scores: DataFrame, key: str, k: int, score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -77,13 +140,10 @@ def best_of(scores: DataFrame, key: str, k: int, score: str = "score", tie: str
 @query("g3_tfidf_top", f"WITH {_TFIDF} SELECT * FROM hits")
 def tfidf_top(spark, d):
     """Cosine of TF-IDF vectors: documents and questions in one index, positive scores only."""
-    v, w = tfidf_weights(spark, d)
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("s"))
-    q = term_counts(read(spark, d, "benchmark").select("item_id", "text"), "item_id").join(F.broadcast(v), "term").select("item_id", "term", (F.col("f") * F.col("idf")).alias("qw"))
-    qnorm = q.groupBy("item_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qs"))
-    s = q.join(w, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(norm, "doc_id").join(qnorm, "item_id")
-    s = s.select("item_id", "doc_id", F.round(F.col("dot") / (F.col("s") * F.col("qs")), 6).alias("score"))
-    return best_of(s.where("score > 0"), "item_id", HITS).select("item_id", "doc_id", "score", "rank")
+    v, _, index = tfidf_store(spark, d)
+    q = term_counts(read(spark, d, "benchmark").select("item_id", "text"), "item_id", v).join(F.broadcast(v), "term").select("item_id", "term", (F.col("f") * F.col("idf")).alias("w"))  # VOCABULARY rows
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item_id")))  # a question's terms
+    return index.top(q.select("item_id", "term", (F.col("w") / norm).alias("qw")), HITS).select("item_id", "doc_id", "score", "rank")
 
 
 WORDS = r"[\p{L}\p{N}_]+"
@@ -108,8 +168,7 @@ def index_text(spark, d):
 @query("g2_tfidf_index", f"WITH {_TFIDF} SELECT doc_id, terms, round(s, 5) AS norm FROM norm")
 def tfidf_index(spark, d):
     """Terms and norm of each document in the index."""
-    w = tfidf_weights(spark, d)[1]
-    return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 5).alias("norm"))
+    return tfidf_store(spark, d)[1].select("doc_id", "terms", F.round("norm", 5).alias("norm"))
 
 
 @query("g4_dense_top", """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS x FROM u GROUP BY 1, 2), q AS (SELECT label AS query, list(x ORDER BY i) AS q FROM c GROUP BY 1),
@@ -336,9 +395,9 @@ def corpus_filters(spark, d, category: str | None = "en", compound: str | None =
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id)::BIGINT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def word_overlap(spark, d):
     """The five documents that share most distinct words with each question."""
-    q = read(spark, d, "benchmark").select("item_id", F.explode(words_of(F.col("text"), 0)).alias("w"))
-    t = read(spark, d, "documents").select("doc_id", F.explode(words_of(F.col("text"), 0)).alias("w"))
-    return best_of(q.join(t, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")), "item_id", 5, "n")
+    words = lambda name, key: read(spark, d, name).select(key, F.explode(words_of(F.col("text"), 0)).alias("term")).distinct()
+    index = Postings.build(words("documents", "doc_id").withColumn("w", F.lit(1.0)))
+    return index.top(words("benchmark", "item_id").withColumn("qw", F.lit(1.0)), 5).select("item_id", "doc_id", F.col("score").cast("long").alias("n"), "rank")
 
 
 @query("g21_query_table", "WITH c AS (SELECT 'evidence for ' || p_name || ' ' || p_partkey AS question, 2 AS part, p_retailprice, p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 3) SELECT question FROM (SELECT 'mechanism of action' AS question UNION ALL SELECT 'safety profile' UNION ALL SELECT 'binding affinity' UNION ALL SELECT question FROM c)")

@@ -144,3 +144,15 @@ def test_model_queries(spark):
 
 def test_single_model_has_the_fallback_uncertainty(spark):
     assert {r.uncertainty for r in models.ensemble_uncertainty(spark, D, names=("ridge",)).collect()} == {0.5}
+
+
+def test_surrogate_of_a_linear_model_is_its_coefficients(spark):
+    t = spark.createDataFrame([(i, float(i * 37 % 101), float(i * i % 89) * 3, 7.0) for i in range(60)], "k long, a double, b double, c double")
+    got = attribution.surrogate(t, "k", ["a", "b", "c"], lambda rows: rows.withColumn("prediction", 2 * F.col("a") - 3 * F.col("b") + 5), t.withColumn("number", F.col("k")), samples=80).collect()
+    assert len(got) == 180
+    want = {"a": 2, "b": -3, "c": 0}
+    for r in got:
+        assert r.coefficient == pytest.approx(want[r.feature], abs=0.02) and r.score > 0.999
+        assert r.nth == {"b": 1, "a": 2, "c": 3}[r.feature]
+    rows = {r.k: r for r in t.collect()}
+    assert all(r.prediction == pytest.approx(2 * rows[r.k].a - 3 * rows[r.k].b + 5) for r in got)
