@@ -61,6 +61,32 @@ class Postings:
         dot = F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["w"] * F.coalesce(F.col("asked")[e["term"]], F.lit(0.0)))
         return _ranked(whole.select("item_id", "doc_id", F.round(dot, digits).alias("score")).where("score > 0"), k, "score")
 
+    def most_alike(self, questions: DataFrame, least: float) -> DataFrame:
+        """questions(item_id, term), distinct, against an index of distinct terms → item_id, doc_id, i, a, b: shared terms and both sizes of
+        all pairs that can be the most alike of their question by Jaccard similarity, or are alike by more than `least`.
+
+        A similarity of s needs s * a shared terms, so all but the s * a commonest terms of a question are asked: a pair without one of
+        them is below s. s comes from the documents that share most of the START rarest postings.
+        """
+        q = written(questions.join(self.terms.select("term", "df"), "term", "left").na.fill(0, ["df"]))
+        asked = written(q.groupBy("item_id").agg(F.collect_list("term").alias("asked"), F.count("*").alias("a")))  # a question's terms
+        rare_first, common_first = (Window.partitionBy("item_id").orderBy(o, "term") for o in (F.asc("df"), F.desc("df")))
+        read = F.sum("df").over(rare_first) - F.col("df")
+        start = q.withColumn("read", read).where(F.col("read") < START).select("item_id", "term", F.lit(1.0).alias("qw"))
+        first = self._shared(_ranked(self._partial(start), 5, "part").select("item_id", "doc_id"), asked)
+        s = first.groupBy("item_id").agg(F.max(F.col("i") / (F.col("a") + F.col("b") - F.col("i"))).alias("s"))
+        bound = asked.join(s, "item_id", "left").select("item_id", "a", F.least(F.lit(least), F.coalesce("s", F.lit(0.0)) - 1e-9).alias("s"))
+        bound = written(bound.withColumn("left_out", F.greatest(F.lit(0), F.ceil(F.col("s") * F.col("a")) - 1)))
+        rest = q.withColumn("place", F.row_number().over(common_first)).join(bound, "item_id").where(F.col("place") > F.col("left_out"))
+        found = self._partial(rest.select("item_id", "term", F.lit(1.0).alias("qw"))).join(bound, "item_id")
+        sizes = self.vectors.select("doc_id", F.size("entries").alias("b"))
+        enough = F.col("part") + F.col("left_out") >= F.col("s") * (F.col("a") + F.col("b")) / (1 + F.col("s")) - 1e-9
+        return self._shared(found.join(sizes, "doc_id").where(enough).select("item_id", "doc_id"), asked)
+
+    def _shared(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        whole = pairs.join(asked, "item_id").join(self.vectors, "doc_id")
+        return whole.select("item_id", "doc_id", F.size(F.array_intersect("asked", "entries.term")).alias("i"), "a", F.size("entries").alias("b"))
+
     def _partial(self, asked: DataFrame, reaches: Column | None = None) -> DataFrame:
         met = asked.join(self.blocks.alias("blocks"), "term")
         met = met if reaches is None else met.where(reaches)

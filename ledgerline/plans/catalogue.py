@@ -54,19 +54,36 @@ def property_search(spark, d):
     return found.select("p_partkey", "p_brand", "p_size", F.round("qed", 8).alias("score"))
 
 
-@query("b5_key_resolution", """WITH q AS (SELECT DISTINCT unnest([p_name, p_brand, string_split(p_name, ' ')[1]]) AS asked FROM part), h AS (SELECT asked, p_partkey, CASE WHEN p_name = asked THEN 0 WHEN p_brand = asked THEN 1 ELSE 2 END AS step FROM q JOIN part ON p_name = asked OR p_brand = asked OR string_split(p_name, ' ')[1] = asked)
-    SELECT asked, min_by(p_partkey, row(step, p_partkey)) AS p_partkey, min(step)::BIGINT AS step FROM h GROUP BY asked""")
+@query("b5_key_resolution", """WITH q AS (SELECT DISTINCT unnest([lower(p_name), lower(p_brand), lower(string_split(p_name, ' ')[1]), lower(substr(p_name, 2, 5)), 'no such ' || p_size]) AS asked FROM part),
+    h AS (SELECT asked, p_partkey, CASE WHEN lower(p_name) = asked THEN 0 WHEN lower(p_brand) = asked THEN 1 ELSE 2 END AS step FROM q JOIN part ON contains(lower(p_name), asked) OR contains(lower(p_brand), asked)),
+    b AS (SELECT asked, min_by(p_partkey, row(step, p_partkey)) AS p_partkey, min(step)::BIGINT AS step FROM h GROUP BY asked) SELECT asked, p_partkey, step FROM q LEFT JOIN b USING (asked)""")
 def key_resolution(spark, d):
-    """Each asked name's part: the first with it as name, else the first with it as brand, else the first whose name begins with it.
+    """Each asked key's part: the first with it as name, else the first with it as brand, else the first that has it anywhere in either; null if none.
 
-    Asked is every name, brand and first word there is. Each step is an equality, so the cascade is one grouped aggregate of
-    the long rows (key, step, part): no part is compared with a name that it does not hold.
+    Asked is every name, brand, first word and a piece of a name, in lower case, and keys that nothing has.
     """
-    t = read(spark, d, "part")
-    keys = F.array(*(F.struct(k.alias("asked"), F.lit(i).cast("long").alias("step")) for i, k in enumerate((F.col("p_name"), F.col("p_brand"), F.get(F.split("p_name", " "), 0)))))
-    rows = t.select(F.explode(keys).alias("k"), "p_partkey").select("k.*", "p_partkey").where("asked is not null")
-    best = rows.groupBy("asked").agg(F.min(F.struct("step", "p_partkey")).alias("b"))
-    return best.select("asked", "b.p_partkey", "b.step")
+    t = read(spark, d, "part").select("p_partkey", *(F.lower(c).alias(c) for c in ("p_name", "p_brand")), "p_size")
+    asked = t.select(F.explode(F.array("p_name", "p_brand", F.get(F.split("p_name", " "), 0), F.substring("p_name", 2, 5), F.concat(F.lit("no such "), F.col("p_size").cast("string")))).alias("asked")).where("asked is not null").distinct()
+    return resolved(asked, t.select("p_partkey", F.explode(F.array(*(F.struct(F.col(c).alias("text"), F.lit(i).cast("long").alias("step")) for i, c in enumerate(("p_name", "p_brand"))))).alias("e")).select("p_partkey", "e.*").where("text is not null"))
+
+
+#: Characters by which a text is listed for the search of what it contains; a parameter.
+LISTED = 3
+
+
+def resolved(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """asked(asked), texts(p_partkey, text, step) → asked, p_partkey, step: equality in the order of steps, then, as step 2, the smallest part that contains the key.
+
+    Each different text is listed once under its runs of LISTED characters (and shorter ones), with its smallest part; a key that no text equals
+    meets the texts listed under its first characters, so no key is compared with every text.
+    """
+    equal = asked.join(texts, F.col("asked") == F.col("text")).groupBy("asked").agg(F.min(F.struct("step", "p_partkey")).alias("b")).select("asked", "b.p_partkey", "b.step")
+    distinct = texts.groupBy("text").agg(F.min("p_partkey").alias("p_partkey"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LISTED)), lambda n: F.when(n <= F.length("text"), F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, n))).otherwise(F.array().cast("array<string>"))))
+    listed = distinct.select("text", "p_partkey", F.explode(F.array_distinct(runs)).alias("run"))
+    rest = asked.join(equal, "asked", "left_anti").where("asked <> ''").withColumn("run", F.substring("asked", 1, LISTED))
+    held = rest.join(listed, "run").where(F.contains("text", "asked")).groupBy("asked").agg(F.min("p_partkey").alias("p_partkey")).withColumn("step", F.lit(2).cast("long"))
+    return asked.join(equal.unionByName(held), "asked", "left")
 
 
 @query("b6_compounds_of_source", "SELECT s_nationkey, count(DISTINCT l_partkey)::BIGINT AS compounds FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1")
@@ -236,17 +253,31 @@ def lookup_tables(spark, d):
     return inverted(spark, d).groupBy("kind", "key").agg(F.count("*").alias("ids"), F.min("id").alias("first"))
 
 
-@query("b17_lookup", f"WITH {_INVERTED}, q AS (SELECT DISTINCT lower(n_name) AS key FROM nation UNION SELECT DISTINCT lower(string_split(p_name, ' ')[1]) FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT s_suppkey::VARCHAR FROM supplier) SELECT kind, key, md5(string_agg(DISTINCT id::VARCHAR, ';' ORDER BY id::VARCHAR)) AS ids FROM t JOIN q USING (key) GROUP BY 1, 2")
+@query("b17_lookup", f"WITH {_INVERTED}, q AS (SELECT DISTINCT lower(n_name) AS key FROM nation UNION SELECT DISTINCT lower(string_split(p_name, ' ')[1]) FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT s_suppkey::VARCHAR FROM supplier) SELECT DISTINCT kind, key, id FROM t JOIN q USING (key)")
 def lookup(spark, d):
-    """The index written clustered by kind and key, and the ids of the keys asked for: first words, brands, suppliers, nations (which have none)."""
-    path = scratch(spark, "lookup")
-    inverted(spark, d).repartitionByRange("kind", "key").sortWithinPartitions("kind", "key").write.partitionBy("kind").parquet(path)
+    """The ids, a row each, of the keys asked for: first words, brands, suppliers, nations (which have none)."""
     asked = read(spark, d, "nation").select(F.lower("n_name").alias("key"))
     parts = read(spark, d, "part")
     for more in (parts.select(F.lower(F.get(F.split("p_name", " "), 0)).alias("key")), parts.select(F.lower("p_brand").alias("key")), read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("key"))):
         asked = asked.unionByName(more)
-    found = spark.read.parquet(path).join(asked.distinct(), "key").groupBy("kind", "key")
-    return found.agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ";")).alias("ids"))
+    return looked_up(stored_lookups(inverted(spark, d)), asked)
+
+
+#: Files into which keys of the stored lookups are dealt; a parameter, to be set by the size of the index.
+BUCKETS = 16
+
+
+def stored_lookups(index: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The long rows (kind, key, id) as a table bucketed and sorted by key: a search for one key reads one bucket, a join by key moves none of it."""
+    spark = index.sparkSession
+    path = scratch(spark, "lookup")
+    name = f"lookup_{path.rpartition('-')[2]}"
+    index.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def looked_up(index: DataFrame, asked: DataFrame) -> DataFrame:
+    return index.join(asked.distinct(), "key").select("kind", "key", "id")
 
 
 def inverted(spark, d) -> DataFrame:

@@ -166,35 +166,60 @@ def candidate_view(spark, d):
 
 CELL = max(m for _, m, _ in INTERACTIONS)
 ATOMS = 20_000  # receptor atoms of one cell that share a join key; a parameter
-_LIKELY = "CASE kind " + " ".join(f"WHEN '{n}' THEN dist BETWEEN {SHAPES[n][0]} AND {m} AND (" + " OR ".join(f"angle BETWEEN {a} AND {b}" for a, b in SHAPES[n][1]) + ")" for n, m, _ in INTERACTIONS) + " END"
+WATER = "water_bridge"
+_REACH = {n: m for n, m, _ in INTERACTIONS}
+_LIKELY = "CASE kind " + " ".join(f"WHEN '{n}' THEN dist BETWEEN {SHAPES[n][0]} AND {m} AND (" + " OR ".join(f"angle BETWEEN {a} AND {b}" for a, b in SHAPES[n][1]) + ")" for n, m, _ in INTERACTIONS if n != WATER) + " END"
+
+
+def near_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs of rows of two tables with columns x, y, z, at most `reach` apart: structs l and r, and dist.
+
+    Distance join by grid: cells of the reach, the left side sent to its 27 neighbours, then the exact distance. A cell with more than ATOMS
+    right rows is dealt over salts, to each of which its left rows go.
+    """
+    keys = ["c0", "c1", "c2"]
+    cell = [F.floor(F.col(c) / reach) for c in "xyz"]
+    near = F.expr("flatten(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")
+    dealt = right.select(F.struct("*").alias("r"), *(c.alias(k) for c, k in zip(cell, keys, strict=True)))
+    full = dealt.groupBy(*keys).agg(F.ceil(F.count("*") / ATOMS).alias("salts"))
+    dealt = dealt.join(full, keys).withColumn("salt", F.pmod(F.xxhash64("r"), F.col("salts"))).drop("salts")
+    sent = left.select(F.struct("*").alias("l"), F.explode(near).alias("o"), *(c.alias(f"own{i}") for i, c in enumerate(cell)))
+    sent = sent.select("l", *((F.col(f"own{i}") + F.col(f"o.{o}")).alias(k) for i, (o, k) in enumerate(zip("ijk", keys, strict=True))))
+    sent = sent.join(full, keys).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    apart = [F.pow(F.col(f"l.{c}") - F.col(f"r.{c}"), 2) for c in "xyz"]
+    met = sent.join(dealt, [*keys, "salt"]).select("l", "r", F.sqrt(sum(apart[1:], apart[0])).alias("dist"))
+    return met.where(F.col("dist") <= reach)
 
 
 @query("d10_contacts", f"""WITH a AS (SELECT vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z, embedding[4]::DOUBLE AS u, embedding[5]::DOUBLE AS v, embedding[6]::DOUBLE AS w FROM embeddings),
-    p AS (SELECT l.vec_id AS ligand, {[n for n, _, _ in INTERACTIONS]}[1 + (r.label // 2 + r.vec_id) % 8] AS kind, sqrt((l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2) AS dist, degrees(acos(greatest(-1, least(1, (l.u * r.u + l.v * r.v + l.w * r.w) / sqrt((l.u ^ 2 + l.v ^ 2 + l.w ^ 2) * (r.u ^ 2 + r.v ^ 2 + r.w ^ 2)))))) AS angle FROM a l JOIN a r ON l.label % 2 = 0 AND r.label % 2 = 1)
-    SELECT ligand, kind, count(*)::BIGINT AS contacts FROM p WHERE {_LIKELY} GROUP BY 1, 2""")
+    re AS (SELECT *, {[n for n, _, _ in INTERACTIONS]}[1 + (label // 2 + vec_id) % 8] AS kind FROM a WHERE label % 2 = 1 AND label <> 9),
+    p AS (SELECT l.vec_id AS ligand, r.kind, sqrt((l.x - r.x) ^ 2 + (l.y - r.y) ^ 2 + (l.z - r.z) ^ 2) AS dist, degrees(acos(greatest(-1, least(1, (l.u * r.u + l.v * r.v + l.w * r.w) / sqrt((l.u ^ 2 + l.v ^ 2 + l.w ^ 2) * (r.u ^ 2 + r.v ^ 2 + r.w ^ 2)))))) AS angle FROM a l JOIN re r ON l.label % 2 = 0),
+    b AS (SELECT DISTINCT l.vec_id AS ligand, r.vec_id AS receptor FROM a w JOIN a l ON w.label = 9 AND l.label % 2 = 0 AND sqrt((l.x - w.x) ^ 2 + (l.y - w.y) ^ 2 + (l.z - w.z) ^ 2) <= {_REACH[WATER]} JOIN re r ON r.kind = '{WATER}' AND sqrt((w.x - r.x) ^ 2 + (w.y - r.y) ^ 2 + (w.z - r.z) ^ 2) <= {_REACH[WATER]})
+    SELECT ligand, kind, count(*)::BIGINT AS contacts FROM (SELECT ligand, kind FROM p WHERE {_LIKELY} UNION ALL SELECT ligand, '{WATER}' FROM b) GROUP BY 1, 2""")
 def contacts(spark, d):
-    """Contacts of ligand atoms (even labels) by the type of the receptor atom (odd labels), each type with its own distances and angles.
+    """Contacts of ligand atoms (even labels) by the type of the receptor atom (odd labels but 9), each type with its own distances and angles.
 
-    Distance join by grid: cells of the longest distance, the ligand side sent to its 27 neighbours, then the exact conditions. A cell with more than ATOMS
-    receptor atoms is dealt over salts, to each of which its ligand atoms go.
+    A water bridge needs a water (label 9) within its distance of both: ligands and waters, waters and receptors meet by grid, and a
+    ligand's receptors over any water count once.
     """
     at = lambda i: F.element_at("embedding", i).cast("double")
     names = F.array(*(F.lit(n) for n, _, _ in INTERACTIONS))
     atoms = read(spark, d, "embeddings").select("vec_id", "label", *((at(i) * 100).alias(c) for i, c in enumerate("xyz", 1)), *(at(i).alias(c) for i, c in enumerate("uvw", 4)))
-    cell = [F.floor(F.col(c) / CELL) for c in "xyz"]
-    keys = ["c0", "c1", "c2"]
-    near = F.expr("flatten(flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> transform(sequence(-1, 1), k -> struct(i, j, k))))))")
-    right = atoms.where("label % 2 = 1").select("vec_id", *"xyzuvw", names[((F.floor(F.col("label") / 2) + F.col("vec_id")) % len(INTERACTIONS)).cast("int")].alias("kind"), *(c.alias(k) for c, k in zip(cell, keys, strict=True)))
-    full = right.groupBy(*keys).agg(F.ceil(F.count("*") / ATOMS).alias("salts"))
-    right = right.join(full, keys).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts"))).drop("salts", "vec_id")
-    left = atoms.where("label % 2 = 0").withColumn("o", F.explode(near)).select(F.col("vec_id").alias("ligand"), *(F.col(c).alias(f"l{c}") for c in "xyzuvw"), *((c + F.col(f"o.{o}")).alias(k) for c, o, k in zip(cell, "ijk", keys, strict=True)))
-    left = left.join(full, keys).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    kind = names[((F.floor(F.col("label") / 2) + F.col("vec_id")) % len(INTERACTIONS)).cast("int")]
+    ligands, receptors, waters = atoms.where("label % 2 = 0"), atoms.where("label % 2 = 1 AND label <> 9").withColumn("kind", kind), atoms.where("label = 9").select("vec_id", *"xyz")
     total = lambda terms: sum(terms[1:], terms[0])
-    dist = F.sqrt(total([F.pow(F.col(f"l{c}") - F.col(c), 2) for c in "xyz"]))
-    size = lambda p: total([F.pow(F.col(f"{p}{c}"), 2) for c in "uvw"])
-    angle = F.degrees(F.acos(clamp(total([F.col(f"l{c}") * F.col(c) for c in "uvw"]) / F.sqrt(size("l") * size("")), -1, 1)))
-    pairs = left.join(right, [*keys, "salt"]).select("ligand", "kind", dist.alias("dist"), angle.alias("angle"))
-    return pairs.where(F.expr(_LIKELY)).groupBy("ligand", "kind").agg(F.count("*").alias("contacts"))
+    size = lambda p: total([F.pow(F.col(f"{p}.{c}"), 2) for c in "uvw"])
+    angle = F.degrees(F.acos(clamp(total([F.col(f"l.{c}") * F.col(f"r.{c}") for c in "uvw"]) / F.sqrt(size("l") * size("r")), -1, 1)))
+    direct = near_pairs(ligands, receptors.where(F.col("kind") != WATER), CELL).select(F.col("l.vec_id").alias("ligand"), F.col("r.kind").alias("kind"), "dist", angle.alias("angle")).where(F.expr(_LIKELY))
+    return direct.select("ligand", "kind").unionByName(water_bridges(ligands, waters, receptors.where(F.col("kind") == WATER)).select("ligand", F.lit(WATER).alias("kind"))).groupBy("ligand", "kind").agg(F.count("*").alias("contacts"))
+
+
+def water_bridges(ligands: DataFrame, waters: DataFrame, receptors: DataFrame, reach: float = _REACH[WATER]) -> DataFrame:
+    """(ligand, receptor) with a water within reach of both; all tables have vec_id, x, y, z."""
+    place = ["vec_id", "x", "y", "z"]
+    wet = near_pairs(ligands.select(*place), waters.select(*place), reach).select(F.col("l.vec_id").alias("ligand"), F.col("r.vec_id").alias("water"))
+    held = near_pairs(receptors.select(*place), waters.select(*place), reach).select(F.col("l.vec_id").alias("receptor"), F.col("r.vec_id").alias("water"))
+    return wet.join(held, "water").select("ligand", "receptor").distinct()
 
 
 _KIND = "CASE l_linenumber % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, (n, _, _) in enumerate(INTERACTIONS)) + " END"

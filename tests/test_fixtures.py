@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import registry
 from ledgerline.functions.running import average_ranks, exact_quantile, running
-from ledgerline.plans import attribution, catalogue, evidence, models, structures
+from ledgerline.plans import attribution, catalogue, docking, evidence, models, structures
 from ledgerline.sources import files
 
 D = "/root/testdata/sf0.001"
@@ -156,3 +156,44 @@ def test_surrogate_of_a_linear_model_is_its_coefficients(spark):
         assert r.nth == {"b": 1, "a": 2, "c": 3}[r.feature]
     rows = {r.k: r for r in t.collect()}
     assert all(r.prediction == pytest.approx(2 * rows[r.k].a - 3 * rows[r.k].b + 5) for r in got)
+
+
+def test_water_bridges_need_a_water_near_both(spark):
+    place = lambda rows: spark.createDataFrame(rows, "vec_id long, x double, y double, z double")
+    ligands, waters = place([(1, 0.0, 0.0, 0.0), (2, 20.0, 0.0, 0.0)]), place([(7, 4.0, 0.0, 0.0), (8, 3.0, 3.0, 0.0), (9, 40.0, 0.0, 0.0)])
+    receptors = place([(3, 8.0, 0.0, 0.0), (4, 9.1, 0.0, 0.0), (5, 0.5, 0.0, 0.0), (6, 24.0, 0.0, 0.0)])
+    got = {(r.ligand, r.receptor) for r in docking.water_bridges(ligands, waters, receptors, 4.5).collect()}
+    assert got == {(1, 3), (1, 5)}  # 4 is too far from the water, 6 is near a ligand but has none
+    assert docking.water_bridges(ligands, waters.limit(0), receptors, 4.5).count() == 0
+
+
+@pytest.mark.parametrize("atoms", [20_000, 2])
+def test_near_pairs_are_all_pairs(spark, monkeypatch, atoms):
+    monkeypatch.setattr(docking, "ATOMS", atoms)
+    rows = [(i, i * 7 % 11 - 5.0, i * 5 % 7 * 1.5, -(i % 3) * 2.0) for i in range(60)]
+    t = spark.createDataFrame(rows, "i int, x double, y double, z double")
+    got = sorted((r.l.i, r.r.i) for r in docking.near_pairs(t, t, 3.0).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if math.dist(a[1:], b[1:]) <= 3)
+
+
+def test_stored_lookups_are_joined_where_they_lie(spark):
+    index = spark.createDataFrame([("name", f"k{i % 40}", i) for i in range(400)], "kind string, key string, id long")
+    t = catalogue.stored_lookups(index, 4)
+    asked = spark.createDataFrame([("k3",), ("k3",), ("k39",), ("none",)], "key string")
+    found = catalogue.looked_up(t, asked.hint("shuffle_merge"))
+    assert sorted((r.key, r.id) for r in found.collect()) == sorted((f"k{i % 40}", i) for i in range(400) if i % 40 in (3, 39))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.index("Initial Plan") :] if "Initial Plan" in plan else plan
+    side = [x for x in initial.split("\n") if "Exchange" in x]
+    assert len(side) == 1 and "Bucketed: true" in initial  # the asked keys move, the index does not
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan says which buckets are read
+    one = t.where("key = 'k3'")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "SelectedBucketsCount: 1 out of 4" in one
+
+
+def test_keys_are_resolved_by_name_brand_and_substring(spark):
+    texts = spark.createDataFrame([(3, "holy basil", 0), (2, "basil leaf", 0), (9, "basil", 1), (1, "neem", 0), (4, "tulsi", 1), (5, "tulsi", 0)], "p_partkey long, text string, step long")
+    asked = spark.createDataFrame([("basil",), ("asil",), ("a",), ("neem",), ("tulsi",), ("holy basil x",), ("",), ("il le",)], "asked string")
+    got = {r.asked: (r.p_partkey, r.step) for r in catalogue.resolved(asked, texts).collect()}
+    assert got == {"basil": (9, 1), "asil": (2, 2), "a": (2, 2), "neem": (1, 0), "tulsi": (5, 0), "holy basil x": (None, None), "": (None, None), "il le": (2, 2)}
