@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.sources.files import written
@@ -34,6 +34,37 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
+def greatest_products(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """vectors(id, x), queries(id, x) → query, id, score, rank: the k greatest inner products of each query, rounded, ties to the smaller id. Exact.
+
+    With one more number, the root of what the longest vector's square has over its own, all vectors are of one length, and the
+    greatest product is the least distance. Rounding makes ties, so more than k rows are asked for, and twice as many again for queries
+    whose last one still ties with the kth.
+    """
+    spark = vectors.sparkSession
+    square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
+    vectors = written(vectors.select("id", F.col("x").alias("own"), square.alias("square")))
+    most = vectors.agg(F.max("square")).first()[0]
+    if most is None:
+        return spark.createDataFrame([], "query long, id long, score double, rank long")
+    longer = vectors.select("id", F.concat("own", F.array(F.sqrt(F.greatest(F.lit(most) - F.col("square"), F.lit(0.0))))).alias("x"))
+    asked, out, more, n = written(queries.select("id", "x")), None, k + 8, vectors.count()
+    while True:
+        near = nearest(longer, asked.select("id", F.concat("x", F.array(F.lit(0.0))).alias("x")), more)
+        pairs = near.select(F.col("id").alias("query"), F.explode("near.id").alias("id")).join(vectors.select("id", "own"), "id").join(asked.select(F.col("id").alias("query"), "x"), "query")
+        dot = F.aggregate(F.zip_with("x", "own", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")).cast("long")
+        ranked = written(pairs.select("query", "id", F.round(dot, digits).alias("score")).withColumn("rank", rank))
+        ends = ranked.groupBy("query").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("kth"), F.min("score").alias("last"), F.count("*").alias("n"))
+        tied = ends.where((F.col("n") < n) & (F.col("last") >= F.col("kth"))).select("query")
+        done = ranked.where(F.col("rank") <= k).join(tied, "query", "left_anti")
+        out = done if out is None else out.unionByName(done)
+        asked = written(asked.join(tied.withColumnRenamed("query", "id"), "id"))
+        if not asked.count():
+            return out.select("query", "id", "score", "rank")
+        more *= 2
+
+
 def nearest(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """train(id long, x array<double>), queries(id long, x), all x of one length without nulls or NaN, ids unique → id,
     near: the k nearest training rows, all if they are fewer, by distance and then id."""

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.expressions import significant_words
+from ledgerline.functions.neighbours import greatest_products
 from ledgerline.functions.postings import Postings
 from ledgerline.plans.evidence import _ANS, answers
 from ledgerline.registry import query
@@ -42,8 +43,8 @@ STOP = ("the", "and", "of", "to", "in", "is", "that", "it", "for", "on", "as", "
 INTENT = {"that": ("en", "de"), "the": ("en",), "der": ("de",), "que": ("es", "fr"), "les": ("fr",), "los": ("es",)}
 DEFAULT_INTENT = ("en", "fr")
 _STOP = ", ".join(f"'{w}'" for w in STOP)
-#: Terms in the index, hits of a question, questions that are answered in one pass; parameters.
-VOCABULARY, HITS, QUESTIONS = 10000, 5, 1024
+#: Terms in the index, hits of a question; parameters.
+VOCABULARY, HITS = 10000, 5
 #: Terms that a task holds while it counts.
 HELD = 1 << 19
 
@@ -178,24 +179,8 @@ def dense_top(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
     q = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("q")).withColumnRenamed("label", "query")
-    return best_of(inner_products(q, e.select("vec_id", "v")), "query", 5, tie="vec_id")
-
-
-def inner_products(q: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query, vec_id, score) of all q(query, q array) with all vectors(vec_id, v array).
-
-    Queries meet the vectors in blocks of about QUESTIONS, each broadcast (half a megabyte at 64 numbers), so a scan of all vectors serves a
-    whole block and what is broadcast does not grow with the table of queries.
-    """
-    q = written(q)
-    blocks = max(1, -(-q.count() // QUESTIONS))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    out = None
-    for i in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
-        s = vectors.crossJoin(F.broadcast(part)).select("query", "vec_id", F.round(dot, 6).alias("score"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    found = greatest_products(e.select(F.col("vec_id").alias("id"), F.col("v").alias("x")), q.select(F.col("query").cast("long").alias("id"), F.col("q").alias("x")), 5)
+    return found.select(F.col("query").cast("int").alias("query"), F.col("id").alias("vec_id"), "score", "rank")
 
 
 _KEY = r"""qw AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS word FROM benchmark), qn AS (SELECT item_id, count(*) AS words FROM qw GROUP BY 1),
@@ -242,8 +227,10 @@ def dense_scores(spark, d, k: int = 20, least: float = 0.3) -> DataFrame:
     unit = e.withColumn("n", norm).where("n > 0").select("vec_id", F.transform("x", lambda x: x / F.col("n")).alias("v"))
     q = read(spark, d, "benchmark").join(unit, F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query"), F.col("v").alias("q"))
     docs = unit.join(read(spark, d, "documents").select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id")
-    s = inner_products(q, docs).where((F.col("query") != F.col("vec_id")) & (F.col("score") >= least))
-    return best_of(s.select(F.col("query").alias("item_id"), F.col("vec_id").alias("doc_id"), "score"), "item_id", k).drop("rank")
+    # a question's own vector may be among its best
+    found = greatest_products(docs.select(F.col("vec_id").alias("id"), F.col("v").alias("x")), q.select(F.col("query").alias("id"), F.col("q").alias("x")), k + 1)
+    s = found.where((F.col("query") != F.col("id")) & (F.col("score") >= least))
+    return best_of(s.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score"), "item_id", k).drop("rank")
 
 
 @query("g5_hybrid_merge", f"WITH {_TFIDF}, {_DENSE}, few AS (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM ds GROUP BY 1 HAVING count(*) >= 10)) SELECT item_id, doc_id, score FROM ds UNION ALL SELECT item_id, doc_id, round(score * 0.8, 6) FROM hits WHERE item_id IN (SELECT * FROM few) AND (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM ds)")

@@ -84,3 +84,18 @@ def test_domain_of_any_columns(spark):
         assert apart.min() <= np.percentile(apart, 90) + 3 * away.std()
     assert {r.label for r in got.values()} >= {"high", "medium", "out_of_domain"}
     assert domain.covariance(make(train).select(F.array("a", "b").alias("x")), "x", 2) == pytest.approx(np.cov(train[:, :2], rowvar=False))
+
+
+def test_greatest_products(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(0, 1, (200, 3)) * rng.uniform(0.1, 4, (200, 1)), np.tile([3.0, 0, 0], (40, 1)), np.zeros((2, 3))])  # forty rows that tie
+    q = np.vstack([rng.normal(0, 1, (10, 3)), [[1, 0, 0], [0, 0, 0], [-1, 0, 0]]])
+    got = {}
+    for r in neighbours.greatest_products(frame(spark, x), frame(spark, q), 5).collect():
+        got.setdefault(r.query, {})[r["rank"]] = (r.id, r.score)
+    for i, v in enumerate(q):
+        score = np.round(x @ v, 6) + 0.0
+        best = np.lexsort((np.arange(len(x)), -score))[:5]
+        assert [got[i][n + 1][0] for n in range(5)] == best.tolist()
+        assert [got[i][n + 1][1] for n in range(5)] == pytest.approx(score[best])
+    assert neighbours.greatest_products(frame(spark, x).limit(0), frame(spark, q), 5).count() == 0
