@@ -227,15 +227,17 @@ def three_way_agreement(spark, d):
     return agreement(spark, d).select(*KEY, F.round("agreement", 6).alias("agreement"), F.array_join("consensus", ";").alias("consensus"), (F.col("agreement") < 0.3).alias("unstable"))
 
 
-_BIAS = f"{_GROUPS}, bias AS (SELECT {_K}, max(m) / nullif(sum(m), 0) > 0.7 AS dominated, coalesce(max(m) FILTER (grp = 'docking'), 0) > 2 * coalesce(max(m) FILTER (grp = 'qsar'), 0) AS docking FROM grp GROUP BY ALL)"
+_BIAS = f"{_GROUPS}, bias AS (SELECT {_K}, max(m) / nullif(sum(m), 0) > 0.7 AS dominated, coalesce(max(m) FILTER (grp = 'docking'), 0) > 2 * coalesce(max(m) FILTER (grp = 'qsar'), 0) AS docking, coalesce(max(m) FILTER (grp = 'class'), 0) > 0.5 AND max(m) FILTER (grp = 'class') = max(m) AS class FROM grp GROUP BY ALL)"
 
 
-@query("f9_bias_audit", f"WITH {_LONG}, {_BIAS} SELECT count(*)::BIGINT AS n, count(*) FILTER (dominated)::BIGINT AS dominated, count(*) FILTER (docking)::BIGINT AS docking FROM bias")
+@query("f9_bias_audit", f"WITH {_LONG}, {_BIAS} SELECT count(*)::BIGINT AS n, count(*) FILTER (dominated)::BIGINT AS dominated, count(*) FILTER (docking)::BIGINT AS docking, count(*) FILTER (class)::BIGINT AS class, count(*) FILTER (NOT coalesce(dominated, false) AND NOT docking AND NOT coalesce(class, false))::BIGINT AS clear FROM bias")
 def bias_audit(spark, d):
-    """Rows where one group has over 0.7 of the mean contribution, and where docking has over twice that of structure."""
+    """Rows where one group has over 0.7 of the mean contribution, where docking has over twice that of structure, and where the class columns
+    lead with over 0.5; clear: none of these."""
     of = lambda g: F.coalesce(F.max(F.when(F.col("grp") == g, F.col("m"))), F.lit(0.0))
-    t = groups(spark, d).groupBy(*KEY).agg((F.max("m") > 0.7 * F.sum("m")).alias("dominated"), (of("docking") > 2 * of("qsar")).alias("docking"))
-    return t.agg(F.count("*").alias("n"), F.count_if("dominated").alias("dominated"), F.count_if("docking").alias("docking"))
+    t = groups(spark, d).groupBy(*KEY).agg((F.max("m") > 0.7 * F.sum("m")).alias("dominated"), (of("docking") > 2 * of("qsar")).alias("docking"), ((of("class") > 0.5) & (of("class") == F.max("m"))).alias("class"))
+    clear = ~F.coalesce("dominated", F.lit(False)) & ~F.col("docking") & ~F.col("class")
+    return t.agg(F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in ("dominated", "docking", "class")), F.count_if(clear).alias("clear"))
 
 
 @query("f10_interpretation", f"WITH {_LONG}, {_TOPS}, txt AS (SELECT agr.*, p FROM agr JOIN pred USING ({_K})) SELECT {_K}, CASE WHEN p >= 150 THEN 'strong' WHEN p >= 100 THEN 'moderate' ELSE 'weak' END || ' prediction led by ' || s1[1] || CASE WHEN len(consensus) = 0 THEN '' ELSE '; all methods name ' || array_to_string(consensus, ', ') END AS text FROM txt")

@@ -325,8 +325,45 @@ def target_resolution(spark, d):
     return t.select("s_suppkey", F.coalesce("n_name", "r_name", F.lit("default")).alias("target"), F.coalesce("n_nationkey", 100 + F.col("r_regionkey"), F.lit(25)).cast("long").alias("box"))
 
 
-@query("d18_feature_defaults", "WITH j AS (SELECT event_id, props::JSON AS p FROM events) SELECT event_id, coalesce((p ->> '$.affinity')::DOUBLE, -(p ->> '$.k')::DOUBLE / 10, -7.0) AS affinity, round(coalesce((p ->> '$.affinity')::DOUBLE, -(p ->> '$.k')::DOUBLE / 10, -7.0) * 0.85, 6) AS intermolecular, coalesce((p ->> '$.num_hbonds')::DOUBLE, (p ->> '$.hbond_count')::DOUBLE, 2.0) AS hbonds, 0.6::DOUBLE AS occupancy FROM j")
+#: Of each docking column the keys that may hold it, in order, and its default; in terms of the affinity where that is named.
+DEFAULTS = {
+    "affinity": (("affinity", "binding_affinity"), "-7.0"),
+    "efficiency": (("ligand_efficiency",), "affinity / 20.0"),
+    "intermolecular": (("intermolecular_energy",), "affinity * 0.85"),
+    "torsional": (("torsional_energy",), "0.5"),
+    "desolvation": (("desolvation_energy",), "0.0"),
+    "hbonds": (("num_hbonds", "hbond_count"), "2.0"),
+    "hydrophobic": (("num_hydrophobic_contacts",), "5.0"),
+    "vdw": (("num_vdw_contacts",), "10.0"),
+    "electrostatic": (("electrostatic_score",), "0.0"),
+    "occupancy": (("pocket_occupancy",), "0.6"),
+}
+#: The tables' payloads hold a number k alone: it makes payloads of five kinds, of which one is null.
+_PAYLOAD = """SELECT event_id, CASE k % 5 WHEN 0 THEN '{"affinity": -' || k || '.5, "num_hbonds": ' || k || '}' WHEN 1 THEN '{"binding_affinity": -' || k || ', "hbond_count": 3, "ligand_efficiency": 0.25}' WHEN 2 THEN '{"num_hydrophobic_contacts": ' || k || ', "num_vdw_contacts": 7, "pocket_occupancy": 0.9}'
+    WHEN 3 THEN '{"affinity": -6, "intermolecular_energy": -9.25, "torsional_energy": 1.5, "desolvation_energy": 0.125, "electrostatic_score": -2}' END AS payload FROM (SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events)"""
+_FIELD = "(payload::JSON ->> '$.{}')::DOUBLE".format
+_DEFAULTED = ", ".join(f"round(coalesce({', '.join(map(_FIELD, keys))}, {default}), 6)::DOUBLE AS {c}" for c, (keys, default) in DEFAULTS.items() if c != "affinity")
+
+
+@query("d18_feature_defaults", f"WITH j AS ({_PAYLOAD}), a AS (SELECT *, coalesce({', '.join(map(_FIELD, DEFAULTS['affinity'][0]))}, -7.0)::DOUBLE AS affinity FROM j) SELECT event_id, affinity, {_DEFAULTED} FROM a")
 def feature_defaults(spark, d):
-    at = lambda p: F.get_json_object("props", f"$.{p}").cast("double")
-    affinity = F.coalesce(at("affinity"), -at("k") / 10, F.lit(-7.0))
-    return read(spark, d, "events").select("event_id", affinity.alias("affinity"), F.round(affinity * 0.85, 6).alias("intermolecular"), F.coalesce(at("num_hbonds"), at("hbond_count"), F.lit(2.0)).alias("hbonds"), F.coalesce(at("pocket_occupancy"), F.lit(0.6)).alias("occupancy"))
+    """The ten docking columns of each payload, by any of their keys, or their defaults; a payload that is null has all defaults."""
+    k = F.get_json_object("props", "$.k")
+    put = lambda *parts: F.concat(*(k if p is None else F.lit(p) for p in parts))
+    kind = k.cast("long") % 5
+    payload = (
+        F.when(kind == 0, put('{"affinity": -', None, '.5, "num_hbonds": ', None, "}"))
+        .when(kind == 1, put('{"binding_affinity": -', None, ', "hbond_count": 3, "ligand_efficiency": 0.25}'))
+        .when(kind == 2, put('{"num_hydrophobic_contacts": ', None, ', "num_vdw_contacts": 7, "pocket_occupancy": 0.9}'))
+        .when(kind == 3, put('{"affinity": -6, "intermolecular_energy": -9.25, "torsional_energy": 1.5, "desolvation_energy": 0.125, "electrostatic_score": -2}'))
+    )
+    t = with_defaults(read(spark, d, "events").select("event_id", payload.alias("payload")), "payload")
+    return t.select("event_id", *(F.round(c, 6).alias(c) for c in DEFAULTS))
+
+
+def with_defaults(t: DataFrame, payload: str) -> DataFrame:
+    """Adds the docking columns of a JSON payload; values that do not parse count as missing."""
+    at = lambda p: F.get_json_object(payload, f"$.{p}").try_cast("double")
+    column = lambda keys, default: F.coalesce(*map(at, keys), F.expr(default).cast("double"))
+    t = t.withColumn("affinity", column(*DEFAULTS["affinity"]))
+    return t.withColumns({c: column(*v) for c, v in DEFAULTS.items() if c != "affinity"})

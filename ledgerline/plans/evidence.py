@@ -211,7 +211,8 @@ _ISSUES = """issues AS (SELECT event_id, 'critical' AS severity, 'literature_cit
     UNION ALL SELECT event_id, 'medium', 'docking_score_threshold' FROM outputs WHERE tier_no = 2 AND NOT (score <= -5 AND rmsd <= 3) AND NOT (score <= -6 AND rmsd <= 2 AND clashes = 0 AND strain < 5) AND score > -5
     UNION ALL SELECT event_id, 'medium', 'pose_rmsd_quality' FROM outputs WHERE tier_no = 2 AND NOT (score <= -5 AND rmsd <= 3) AND NOT (score <= -6 AND rmsd <= 2 AND clashes = 0 AND strain < 5) AND rmsd > 3
     UNION ALL SELECT event_id, 'high', 'steric_clash' FROM outputs WHERE tier_no = 2 AND NOT (score <= -5 AND rmsd <= 3) AND NOT (score <= -6 AND rmsd <= 2 AND clashes = 0 AND strain < 5) AND clashes > 0
-    UNION ALL SELECT event_id, 'low', 'high_uncertainty' FROM outputs WHERE tier_no = 3 AND confidence < 0.6)"""
+    UNION ALL SELECT event_id, 'medium', 'high_uncertainty' FROM outputs WHERE tier_no = 3 AND confidence < 0.6 AND CASE WHEN k % 7 = 0 THEN 0.2 ELSE k % 10 / 10.0 END > 0.5
+    UNION ALL SELECT event_id, 'low', 'confidence_interval_missing' FROM outputs WHERE tier_no = 3 AND (k % 4 = 0 OR k % 6 = 0))"""
 
 
 def pose_class() -> Column:
@@ -230,7 +231,9 @@ def issues(spark, d) -> DataFrame:
         (low & (c("score") > -5), "medium", "docking_score_threshold"),
         (low & (c("rmsd") > 3), "medium", "pose_rmsd_quality"),
         (low & (c("clashes") > 0), "high", "steric_clash"),
-        ((c("tier_no") == 3) & (c("confidence") < 0.6), "low", "high_uncertainty"),
+        # the spread is a tenth of k's last digit, 0.2 where it is missing; a lower or upper bound is missing for every fourth or sixth k
+        ((c("tier_no") == 3) & (c("confidence") < 0.6) & (F.when(c("k") % 7 == 0, 0.2).otherwise(c("k") % 10 / 10) > 0.5), "medium", "high_uncertainty"),
+        ((c("tier_no") == 3) & ((c("k") % 4 == 0) | (c("k") % 6 == 0)), "low", "confidence_interval_missing"),
     ]
     hits = F.filter(F.array(*(F.when(r, F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check_name"))) for r, s, n in rules)), lambda x: x.isNotNull())
     return outputs(spark, d).select("event_id", F.explode(hits).alias("i")).select("event_id", "i.*")

@@ -162,10 +162,15 @@ def held_groups(groups: DataFrame, key: str, share: float, seed: str) -> DataFra
 
 
 @query("e5_group_holdout", "WITH g AS (SELECT DISTINCT l_partkey FROM lineitem), t AS (SELECT l_partkey FROM g ORDER BY md5(l_partkey || 's1'), l_partkey LIMIT (SELECT greatest(1, floor(count(*) * 0.2))::BIGINT FROM g)) SELECT l_partkey IN (SELECT * FROM t) AS test, count(*)::BIGINT AS n, count(DISTINCT l_partkey)::BIGINT AS groups FROM lineitem GROUP BY 1")
-def group_holdout(spark, d):
+def group_holdout(spark, d, least: tuple[int, int] = (5, 10)):
+    """A fifth of the groups is held out; if that leaves fewer than `least` test or training rows, whole clusters are instead."""
     t = read(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
     test = held_groups(t, "l_partkey", 0.2, "s1").withColumn("test", F.lit(True))
-    return t.join(test, "l_partkey", "left").groupBy(F.coalesce("test", F.lit(False)).alias("test")).agg(F.sum("n").alias("n"), F.count("*").alias("groups"))
+    split = written(t.join(test, "l_partkey", "left").groupBy(F.coalesce("test", F.lit(False)).alias("test")).agg(F.sum("n").alias("n"), F.count("*").alias("groups")))
+    rows = {r["test"]: r["n"] for r in split.collect()}  # two rows
+    if rows.get(True, 0) < least[0] or rows.get(False, 0) < least[1]:
+        return cluster_holdout(spark, d).groupBy("test").agg(F.sum("n").alias("n"), F.count("*").alias("groups"))
+    return split
 
 
 @query("e7_random_split", "SELECT CAST('0x' || substr(md5(event_id || '_7'), 1, 8) AS BIGINT) % 5 = 0 AS test, count(*)::BIGINT AS n FROM events GROUP BY 1")

@@ -13,3 +13,11 @@ def test_clusters_grow_with_the_rows(spark, tmp_path, rows, clusters):
     got = registry.queries()["e6_cluster_holdout"](spark, d).collect()
     assert len(got) == clusters and sum(r.n for r in got) == rows
     assert sum(r.test for r in got) == clusters // 5
+
+
+def test_a_small_table_is_split_by_clusters(spark, tmp_path):
+    d, real = str(tmp_path), "/root/testdata/sf0.001"
+    spark.read.parquet(f"{real}/part.parquet").write.parquet(f"{d}/part.parquet")
+    spark.read.parquet(f"{real}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(12).write.parquet(f"{d}/lineitem.parquet")
+    got = {r.test: (r.n, r.groups) for r in registry.queries()["e5_group_holdout"](spark, d).collect()}
+    assert sum(n for n, _ in got.values()) == 12 and sum(g for _, g in got.values()) == 5  # the five clusters of a small table, not its parts
