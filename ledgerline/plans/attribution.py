@@ -65,13 +65,13 @@ def occlusion(spark, d):
     return long(spark, d).select(*KEY, "feature", F.round("c2", 7).alias("c"))
 
 
-def occluded(t: DataFrame, inputs: list[str], predict: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
-    """Change of any scorer's prediction when one input at a time is replaced by its mean: key, feature, change.
+def occluded(t: DataFrame, inputs: list[str], predict: Callable[[DataFrame], DataFrame], key: list[str], background: DataFrame | None = None) -> DataFrame:
+    """Change of any scorer's prediction when one input at a time is replaced by its mean (over the background, if given): key, feature, change.
 
     predict: adds `prediction` to rows with the inputs as columns (a fitted pipeline's transform, or an expression). All replaced rows
     go through it in one pass.
     """
-    means = t.agg(*(F.avg(c).alias(f"mean_{c}") for c in inputs))  # one row
+    means = (t if background is None else background).agg(*(F.avg(c).alias(f"mean_{c}") for c in inputs))  # one row
     replaced = lambda c: F.struct(F.lit(c).alias("feature"), *(F.col(f"mean_{i}" if i == c else i).cast("double").alias(i) for i in inputs))
     none = F.struct(F.lit(None).cast("string").alias("feature"), *(F.col(i).cast("double").alias(i) for i in inputs))
     rows = t.select(*key, *inputs).crossJoin(F.broadcast(means)).select(*key, F.explode(F.array(none, *map(replaced, inputs))).alias("r")).select(*key, "r.*")
@@ -257,9 +257,40 @@ def comparison(spark, d):
 
 @query("f12_batch_explain", f"WITH {_LONG}, b AS (SELECT {_K} FROM pred ORDER BY {_K} LIMIT 5) SELECT {_K}, feature, round(c1, 6) AS c1, round(c2, 7) AS c2, round(c3, 7) AS c3 FROM con JOIN b USING ({_K})")
 def batch_explain(spark, d):
-    """All three methods for the first five rows."""
-    t = contributions(spark, d).orderBy(*KEY).limit(5).select(*KEY, F.explode("items").alias("i"))
-    return t.select(*KEY, "i.feature", *(F.round(f"i.{c}", n).alias(c) for c, n in (("c1", 6), ("c2", 7), ("c3", 7))))
+    """All three methods for the first five rows, through the scorer; a row that it gives no number for is left out."""
+    t = predicted(spark, d).drop("p")
+    linear = lambda rows: rows.withColumn("prediction", sum((c * F.col(n) for n, _, _, c, _ in FEATURES[1:]), FEATURES[0][3] * F.col(FEATURES[0][0])))
+    told = explained(t.orderBy(*KEY).limit(5), t, KEY, {n: i for n, _, _, _, i in FEATURES}, linear)
+    return told.select(*KEY, "feature", *(F.round(c, n).alias(c) for c, n in (("c1", 6), ("c2", 7), ("c3", 7))))
+
+
+@query("f12_model_explain")
+def model_explain(spark, d):
+    """The same for the first five lines through a fitted forest, with the importances that it has found."""
+    model = regressors()["forest"].fit(training(spark, d))
+    assemble = VectorAssembler(inputCols=INPUTS, outputCol="x", handleInvalid="skip")
+    weights = dict(zip(INPUTS, (float(v) for v in model.featureImportances.toArray()), strict=True))
+    t = written(matrix(spark, d, *KEY))
+    return explained(t.orderBy(*KEY).limit(5), t, KEY, weights, lambda rows: model.transform(assemble.transform(rows)))
+
+
+def explained(rows: DataFrame, background: DataFrame, key: list[str], importance: dict[str, float], predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each row's prediction by any scorer, the baseline, and each input's share of it by three methods: key, prediction, base, feature, c1, c2, c3.
+
+    predict adds `prediction` to rows with the inputs as columns. base: the mean prediction of the background. c1: importance times
+    standardised deviation, scaled so that absolute values sum to the distance from the base; c2: the change when the input is replaced
+    by its mean; c3: importance times value. Rows without a prediction, or with one that is not a number, are left out.
+    """
+    inputs = list(importance)
+    stats = predict(background.select(*key, *inputs)).agg(F.avg(F.when(~F.isnan("prediction"), F.col("prediction"))).alias("base"), *(f(n).alias(f"{k}_{n}") for n in inputs for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    given = predict(rows.select(*key, *inputs)).where(F.col("prediction").isNotNull() & ~F.isnan("prediction"))
+    raw = lambda n: importance[n] * (F.col(n) - F.col(f"m_{n}")) / (F.col(f"s_{n}") + 1e-8)
+    items = F.array(*(F.struct(F.lit(n).alias("feature"), raw(n).alias("raw"), (importance[n] * F.col(n)).alias("c3")) for n in inputs))
+    t = given.crossJoin(F.broadcast(stats)).select(*key, "prediction", "base", items.alias("items"))  # one row
+    total = F.aggregate("items", F.lit(0.0), lambda a, x: a + F.abs(x["raw"]))
+    t = t.withColumn("scale", (F.col("prediction") - F.col("base")) / (total + 1e-8)).select(*key, "prediction", "base", "scale", F.explode("items").alias("i"))
+    t = t.select(*key, "prediction", "base", "i.feature", (F.col("i.raw") * F.col("scale")).alias("c1"), F.col("i.c3").alias("c3"))
+    return t.join(occluded(given, inputs, predict, key, background).withColumnRenamed("change", "c2"), [*key, "feature"])
 
 
 @query("e23_top_features", f"WITH {_LONG} SELECT {_K}, list(feature ORDER BY round(abs(c3), 9) DESC, feature)[1] AS first, count(*)::BIGINT AS features FROM con GROUP BY ALL")

@@ -197,3 +197,22 @@ def test_keys_are_resolved_by_name_brand_and_substring(spark):
     asked = spark.createDataFrame([("basil",), ("asil",), ("a",), ("neem",), ("tulsi",), ("holy basil x",), ("",), ("il le",)], "asked string")
     got = {r.asked: (r.p_partkey, r.step) for r in catalogue.resolved(asked, texts).collect()}
     assert got == {"basil": (9, 1), "asil": (2, 2), "a": (2, 2), "neem": (1, 0), "tulsi": (5, 0), "holy basil x": (None, None), "": (None, None), "il le": (2, 2)}
+
+
+def test_any_scorer_is_explained_and_rows_it_fails_on_are_left_out(spark):
+    t = spark.createDataFrame([(i, float(i % 7), float(i * i % 11)) for i in range(40)], "k int, a double, b double")
+    score = lambda rows: rows.withColumn("prediction", F.when(F.col("k") != 3, F.when(F.col("k") == 5, float("nan")).otherwise(2 * F.col("a") * F.col("b"))))
+    got = attribution.explained(t.where("k < 8"), t.where("k <> 3 AND k <> 5"), ["k"], {"a": 0.7, "b": 0.3}, score).collect()
+    assert {r.k for r in got} == {0, 1, 2, 4, 6, 7} and len(got) == 12
+    rows = [r for r in t.collect() if r.k not in (3, 5)]
+    mean = {c: sum(r[c] for r in rows) / len(rows) for c in "ab"}
+    base = sum(2 * r.a * r.b for r in rows) / len(rows)
+    own = {r.k: r for r in rows}
+    for r in got:
+        x = own[r.k]
+        assert r.base == pytest.approx(base) and r.prediction == pytest.approx(2 * x.a * x.b)
+        other = x.b if r.feature == "a" else x.a
+        assert r.c2 == pytest.approx(2 * x.a * x.b - 2 * mean[r.feature] * other) and r.c3 == pytest.approx((0.7 if r.feature == "a" else 0.3) * x[r.feature])
+    for k in own:
+        if k < 8:
+            assert sum(abs(r.c1) for r in got if r.k == k) == pytest.approx(abs(own[k].a * own[k].b * 2 - base), abs=1e-4)
