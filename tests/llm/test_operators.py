@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from ledgerline.llm import chat, jaccard_join, mixing, near_vectors, packing, secrets, substring_dedup, topk, toxicity, url_filter
 from ledgerline.llm.queries import URL_RULES
+from ledgerline.llm.url_labels import labelled_words
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -285,14 +286,22 @@ def test_urls(spark):
     assert got[8][2] is None and got[9] == ("h.com", "", None) and len(got[10][1]) == 5004
 
 
-def test_url_model_on_held_out_labels(spark):
-    """Trained on two thirds of the labelled table, the model is right for most of the rest."""
-    labelled = url_filter.labelled_urls(spark).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(3)))
-    model = url_filter.train_url_model(labelled.where("part > 0"))
-    rows = url_filter.score_urls(url_filter.parse_urls(labelled.where("part = 0")), model).collect()
-    right = sum((r.block_score >= 0.5) == (r.label == 1) for r in rows)
-    assert len(rows) > 200 and right >= 0.88 * len(rows)
-    assert {r.label for r in rows} == {0, 1}
+@pytest.mark.parametrize("part", range(3))
+def test_url_model_on_words_it_has_not_seen(spark, part):
+    """Every third word, with all of its urls, is held out: its family's letters and its pages tell."""
+    rows = labelled_words()
+    held = {w for i, w in enumerate(dict.fromkeys(w for w, _, _ in rows)) if i % 3 == part}
+    model = url_filter.train_url_model(spark.createDataFrame([r[1:] for r in rows if r[0] not in held], "url string, label int"))
+    scored = url_filter.score_urls(url_filter.parse_urls(spark.createDataFrame([r[1:] for r in rows if r[0] in held], "url string, label int")), model).collect()
+    share = lambda label: np.mean([(r.block_score >= 0.5) == label for r in scored if r.label == label])
+    assert len(scored) > 500 and share(1) >= 0.7 and share(0) >= 0.88
+
+
+def test_paths_tell_the_url_model(spark):
+    model = url_filter.train_url_model(url_filter.labelled_urls(spark))
+    urls = ["http://example.org/wiki/history", "http://example.org/casino-bonus/free-spins", "http://plainhost.org/article/7", "http://plainhost.org/download/crack/7"]
+    got = {r.i: r.block_score for r in url_filter.score_urls(url_filter.parse_urls(spark.createDataFrame(list(enumerate(urls)), "i int, url string")), model).collect()}
+    assert got[0] < 0.5 <= got[1] and got[2] < 0.5 <= got[3]
 
 
 def test_url_model_learns(spark):
