@@ -194,6 +194,7 @@ def keyword_scores(spark, d, k: int = 20) -> DataFrame:
 
     A word without a blank is contained in a text if one of the text's tokens contains it. Each distinct token is listed under
     its runs of up to GRAM characters, each word asks under its first ones: an equi join, with the containment checked on what meets.
+    The documents that contain a word are its postings, so common words are only looked up in documents that rare ones have found.
     """
     qw = read(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("item_id", "word").agg(F.count("*").alias("times"))
     body = F.lower(F.concat(F.regexp_extract("text", r"^[^.]*", 0), F.lit(" "), F.col("text")))
@@ -202,9 +203,10 @@ def keyword_scores(spark, d, k: int = 20) -> DataFrame:
     listed = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(runs)).alias("gram"))
     asked = qw.select("word").distinct().select("word", F.substring("word", 1, GRAM).alias("gram"))
     pairs = listed.join(asked, "gram").where(F.contains("token", "word")).select("token", "word")
-    hits = tokens.join(pairs, "token").select("doc_id", "word").distinct().join(qw, "word").groupBy("item_id", "doc_id").agg(F.sum("times").alias("n"))
-    s = hits.join(qw.groupBy("item_id").agg(F.sum("times").alias("words")), "item_id").select("item_id", "doc_id", F.round(F.col("n") / F.col("words"), 6).alias("score"))
-    return best_of(s, "item_id", k).drop("rank")
+    index = Postings.build(tokens.join(pairs, "token").select("doc_id", F.col("word").alias("term")).distinct().withColumn("w", F.lit(1.0)))
+    found = index.top(qw.select("item_id", F.col("word").alias("term"), F.col("times").cast("double").alias("qw")), k)
+    words = qw.groupBy("item_id").agg(F.sum("times").alias("words"))
+    return found.join(words, "item_id").select("item_id", "doc_id", F.round(F.col("score") / F.col("words"), 6).alias("score"))
 
 
 @query("g6_keyword_fallback", f"WITH {_KEY} SELECT item_id, doc_id, score FROM ks")
