@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ledgerline.sources.files import written
 
 BLOCK, START = 512, 4096
+#: Terms are left out up to this share of the threshold: a candidate must have the other part from the terms that are asked, or it is not scored whole.
+LEFT_OUT = 0.4
 #: Scores are rounded to six digits before they are ranked: a threshold is taken that much lower.
 SLACK = 1.1e-6
 
@@ -51,11 +53,14 @@ class Postings:
         worst_first = Window.partitionBy("item_id").orderBy("ub", "term")
         told = q.join(least, "item_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
         told = told.withColumns({"below": F.sum("ub").over(worst_first), "all_": F.sum("ub").over(Window.partitionBy("item_id"))})
-        told = written(told.withColumn("asked", F.col("below") >= F.col("least")))
+        told = written(told.withColumn("asked", F.col("below") >= LEFT_OUT * F.col("least")))
         # what the left-out terms may add
         rest = told.groupBy("item_id").agg(F.max("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("asked"), F.col("ub"))), F.lit(0.0)).alias("rest"))
-        found = self._partial(told.where("asked"), F.col("qw") * F.col("blocks.most") + F.col("all_") - F.col("ub") >= F.col("least"))
-        keep = found.join(rest, "item_id").where(F.col("part") + F.col("rest") >= F.col("least")).select("item_id", "doc_id")
+        found = written(self._partial(told.where("asked"), F.col("qw") * F.col("blocks.most") + F.col("all_") - F.col("ub") >= F.col("least")))
+        # these scores lack the left-out terms only: their kth is a higher threshold
+        again = _ranked(found, k, "part").groupBy("item_id").agg((kth - SLACK).alias("now"))
+        bound = rest.join(again, "item_id", "left").select("item_id", "rest", F.greatest("least", F.coalesce("now", "least")).alias("least"))
+        keep = found.join(bound, "item_id").where(F.col("part") + F.col("rest") >= F.col("least")).select("item_id", "doc_id")
         asked = q.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "qw"))).alias("asked"))  # a question's terms
         whole = keep.join(asked, "item_id").join(self.vectors, "doc_id")
         dot = F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["w"] * F.coalesce(F.col("asked")[e["term"]], F.lit(0.0)))

@@ -61,6 +61,12 @@ _TFIDF = f"""n AS (SELECT count(*) AS n FROM documents), tf AS {_terms("document
     , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s WHERE score > 0), hits AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= {HITS})"""
 
 
+def spread(t: DataFrame) -> DataFrame:
+    """t over all cores, where its files are too few to keep them busy; a large table stays as it is scanned."""
+    cores = t.sparkSession.sparkContext.defaultParallelism
+    return t.repartition(cores) if t.rdd.getNumPartitions() < cores else t
+
+
 _TOKEN = re.compile("[a-z]{2,}")
 
 
@@ -74,19 +80,20 @@ def term_totals(t: DataFrame) -> DataFrame:
     """(term, df, cf): texts that hold a term, and its occurrences. Texts are counted where they are; HELD terms of a task at most wait to be summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, cf = Counter(), Counter()
+        df: dict[str, int] = {}
+        cf: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array([cf[w] for w in df], pa.int64())], names=["term", "df", "cf"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array(cf.values(), pa.int64())], names=["term", "df", "cf"])
             df.clear()
             cf.clear()
             return made
 
         for batch in batches:
             for text in batch.column(0):
-                own = _terms_of(text.as_py())
-                df.update(own.keys())
-                cf.update(own)
+                for w, n in _terms_of(text.as_py()).items():
+                    df[w] = df.get(w, 0) + 1
+                    cf[w] = cf.get(w, 0) + n
                 if len(df) > HELD:
                     yield out()
         yield out()
@@ -121,7 +128,7 @@ _STORED: dict[tuple, tuple[DataFrame, DataFrame, Postings]] = {}
 
 def tfidf_store(spark, d) -> tuple[DataFrame, DataFrame, Postings]:
     """The stored index of a corpus: its vocabulary (term, idf), its norms (doc_id, terms, norm), and the postings of the documents' unit vectors."""
-    docs = read(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     state = tuple(docs.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).first())
     key = (spark.sparkContext.applicationId, d, state)
     if key not in _STORED:
