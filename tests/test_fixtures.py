@@ -1,7 +1,9 @@
 """Rare branches on small fixtures: what the given tables never hold."""
 
+import hashlib
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +27,20 @@ def test_rows_with_errors_stay(spark):
     assert got == {1: (None, False), 2: ("no structure", True), 3: ("invalid", True), 4: ("no structure", True)}
 
 
+def test_counts_that_sum_to_a_whole_number_are_not_cut_below_it(spark, tmp_path):
+    # three acceptors and a uniform number of 0.2: 0.6 * 3 + 0.2, as doubles, is below 2; the second row has twelve and 0.8
+    rows = [(323797, "cone bolt", "SMALL"), (100, "F" * 12, "")]
+    rows[1] = (next(k for k in range(100000) if hashlib.md5(f"{rows[1][1]}|b|{k}".encode()).digest()[3] == 51), rows[1][1], "b")
+    t = spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string")
+    t.write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("c4_descriptors", "c5_qsar_features"):
+        want = {r[0]: r[1] for r in db.execute(f"SELECT p_partkey, hba FROM ({registry.oracle_sql()[name]})").fetchall()}
+        assert {r.p_partkey: r.hba for r in registry.queries()[name](spark, str(tmp_path)).collect()} == want
+    assert want[rows[1][0]] == 8
+
+
 def test_finite_values(spark):
     rows = [(1, float("nan")), (2, float("inf")), (3, float("-inf")), (4, 2.5), (5, None)]
     got = {r.i: r.x for r in spark.createDataFrame(rows, "i int, v double").select("i", models.finite(F.col("v")).alias("x")).collect()}
