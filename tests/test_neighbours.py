@@ -28,6 +28,23 @@ def test_nearest_rows(spark, monkeypatch, n, width, k, grid):
         assert [d for d, _ in got[i]] == pytest.approx(away[best])
 
 
+def test_few_boxes_are_near(spark, monkeypatch):
+    """Columns of very different spread, as in the fused matrix: most queries need one box or two, so their number grows no faster than the rows'."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 1, (3000, 12)) * np.array([2000, 400] + [1.0] * 10)
+    tree = neighbours.grown(x, 50)
+    box = neighbours.fallen(tree, x)
+    sizes = np.bincount(box)
+    assert sizes.sum() == 3000 and 0 < sizes.min() and sizes.max() <= 50
+    low, high = (np.array([f(x[box == b], axis=0) for b in range(len(sizes))]) for f in (np.min, np.max))
+    met = 0
+    for v, b in zip(x[::30], box[::30], strict=True):
+        kth = np.sort(((x[box == b] - v) ** 2).sum(1))[4]
+        met += ((np.maximum(0, np.maximum(low - v, v - high)) ** 2).sum(1) <= kth).sum()
+    assert met / 100 < 10 < len(sizes) / 5  # of more than fifty boxes
+
+
 def test_nearest_without_training_rows(spark):
     empty = spark.createDataFrame([], "id long, x array<double>")
     assert [r.near for r in neighbours.nearest(empty, frame(spark, np.ones((2, 3))), 3).collect()] == [[], []]
