@@ -252,41 +252,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_texts: int = 16_000)
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
 
 
-def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000, 10_000), fit_sentences: int = 12_000, landmarks: int = 192, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
-    """A model from labelled(text, toxic 0/1), a bounded table such as labelled_sample() gives; None without both classes.
-
-    The machine's sample has at most max_sentences sentences (of clean, of toxic texts), whatever their texts' length (of
-    the clean ones fit_sentences meet the hinge loss, all of them say which forms are telling); the curve is fitted to the features of at most curve_rows whole texts, in the classes'
-    own proportions. Both are drawn by hash; their bounds limit what reaches the driver.
-    """
+def _machine(batches: Iterator[pa.RecordBatch], fit_sentences: int, landmarks: int, seed: int) -> ToxicModel | None:
+    """The machine of sentences (said, toxic), clean ones first, each class by hash; None without both classes."""
     rng = np.random.default_rng(seed)
-    known = stage(labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic")))
-    size = {r["toxic"]: r["bytes"] for r in known.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
-    # sentences have about 200 bytes or fewer: a share of the hashes that holds more than enough
-    share = {c: min(1.0, 4 * max_sentences[c] * 200 / max(1, n or 0)) for c, n in size.items()}
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                some, out = batch.slice(a, 64), {}
-                for text, c in zip(some.column("text").to_pylist(), some.column("toxic").to_pylist(), strict=True):
-                    tokens, sizes = sentences(text)
-                    at = 0
-                    for n in sizes:
-                        said = " ".join(tokens[at : at + n])
-                        at += n
-                        h = int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
-                        if h < share[c] * (1 << 56):
-                            out[said, c] = h
-                yield pa.record_batch([pa.array([s for s, _ in out], pa.string()), pa.array([c for _, c in out], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["said", "toxic", "h"])
-
-    drawn = stage(known.mapInArrow(draw, "said string, toxic int, h long").distinct())
-    # sentences become numbers of strings as they come: the driver never holds the sample's words one by one
+    # sentences become numbers of strings as they come: the task never holds the sample's words one by one
     index: dict[str, int] = {}
     bags, y = [], []
-    for c in (0, 1):
-        said = drawn.where(F.col("toxic") == c).orderBy("h", "said").limit(max_sentences[c]).select("said").toArrow().column("said")
-        for text in said:
+    for batch in batches:
+        for text, c in zip(batch.column("said"), batch.column("toxic").to_pylist(), strict=True):
             strings = sorted({p for t in set(text.as_py().split(" ")) for w in forms(t) for p in _pieces(w)})
             if strings:
                 bags.append(np.array([index.setdefault(p, len(index)) for p in strings], np.int32))
@@ -340,6 +313,49 @@ def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000
             hard = np.unique(worst)
             hard = hard[np.argsort(-margin[hard], kind="stable")]
             chosen = np.array([i for i in toxic.tolist() if telling[bags[i]].any() or margin[bags[i]].max() > 0.5], np.int64)
+    return model
+
+
+def train_toxicity(labelled: DataFrame, max_sentences: tuple[int, int] = (50_000, 10_000), fit_sentences: int = 12_000, landmarks: int = 192, curve_rows: int = 6000, seed: int = 5) -> ToxicModel | None:
+    """A model from labelled(text, toxic 0/1), a bounded table such as labelled_sample() gives; None without both classes.
+
+    The machine's sample has at most max_sentences sentences (of clean, of toxic texts), whatever their texts' length (of
+    the clean ones fit_sentences meet the hinge loss, all of them say which forms are telling); the curve is fitted to the features of at most curve_rows whole texts, in the classes'
+    own proportions. Both are drawn by hash; their bounds limit what reaches the driver.
+    """
+    known = stage(labelled.where(F.col("text").isNotNull() & F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic")))
+    size = {r["toxic"]: r["bytes"] for r in known.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    # sentences have about 200 bytes or fewer: a share of the hashes that holds more than enough
+    share = {c: min(1.0, 4 * max_sentences[c] * 200 / max(1, n or 0)) for c, n in size.items()}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                some, out = batch.slice(a, 64), {}
+                for text, c in zip(some.column("text").to_pylist(), some.column("toxic").to_pylist(), strict=True):
+                    tokens, sizes = sentences(text)
+                    at = 0
+                    for n in sizes:
+                        said = " ".join(tokens[at : at + n])
+                        at += n
+                        h = int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+                        if h < share[c] * (1 << 56):
+                            out[said, c] = h
+                yield pa.record_batch([pa.array([s for s, _ in out], pa.string()), pa.array([c for _, c in out], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["said", "toxic", "h"])
+
+    drawn = stage(known.mapInArrow(draw, "said string, toxic int, h long").distinct())
+    lowest = [drawn.where(F.col("toxic") == c).orderBy("h", "said").limit(max_sentences[c]) for c in (0, 1)]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _machine(batches, fit_sentences, landmarks, seed)
+        if model is not None:
+            yield pa.record_batch([pa.array([model.vector.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["vector", "bias"])
+
+    # the sample is bounded: one task fits the machine, and the driver only gets its numbers
+    found = lowest[0].union(lowest[1]).repartition(1).sortWithinPartitions("toxic", "h", "said").select("said", "toxic").mapInArrow(fit, "vector binary, bias double").collect()
+    if not found:
+        return None
+    model = ToxicModel(np.frombuffer(found[0]["vector"]), found[0]["bias"], np.zeros(6))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)

@@ -386,6 +386,16 @@ def test_toxicity_without_both_classes(spark):
     assert [r.toxicity for r in toxicity.score_toxicity(spark.createDataFrame([("idiot",)], "text string"), None).collect()] == [0.0]
 
 
+def test_the_machine_is_fitted_in_a_task(spark, monkeypatch):
+    def here(*_):
+        raise AssertionError("the driver fits the machine")
+
+    monkeypatch.setattr(toxicity, "_fit_machine", here)
+    labelled = [(f"a quiet text of number {i}", 0) for i in range(40)] + [(f"you moron number {i}", 1) for i in range(40)]
+    model = toxicity.train_toxicity(spark.createDataFrame(labelled, "text string, toxic int"))
+    assert model.vector.shape == (toxicity.SLOTS,) and model.vector.any() and np.isfinite(model.curve).all()
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     """Nulls, repeated rows and ids, empty tables and columns with the stages' own names."""
     import corpus_pipeline as p
