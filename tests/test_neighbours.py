@@ -1,7 +1,10 @@
 """Exact neighbour search, the model on it, and the applicability domain, against plain numpy."""
 
+import re
+
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -116,3 +119,23 @@ def test_greatest_products(spark):
         assert [got[i][n + 1][0] for n in range(5)] == best.tolist()
         assert [got[i][n + 1][1] for n in range(5)] == pytest.approx(score[best])
     assert neighbours.greatest_products(frame(spark, x).limit(0), frame(spark, q), 5).count() == 0
+
+
+def test_the_tree_is_grown_in_a_task(spark, monkeypatch):
+    grown = neighbours.grown
+
+    def watched(*given):
+        assert TaskContext.get() is not None, "the driver grows the tree"
+        return grown(*given)
+
+    monkeypatch.setattr(neighbours, "grown", watched)
+    x = np.random.default_rng(8).normal(size=(1500, 4))
+    got = {r.id: [a.id for a in r.near] for r in neighbours.nearest(frame(spark, x), frame(spark, x[:20] + 1e-9), 1).collect()}
+    assert got == {i: [i] for i in range(20)}
+
+
+def test_vectors_of_a_domain_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, float(i % 50), float(i % 7)) for i in range(300)], "id long, a double, b double")
+    plan = domain.domain(rows, rows.where("id % 5 <> 0"), ("a", "b"))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line and re.search(r"\b(x|id|box)#", line)]
+    assert joins and all("SortMergeJoin" in line for line in joins), joins
