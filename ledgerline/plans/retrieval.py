@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.expressions import significant_words
 from ledgerline.functions.neighbours import greatest_products
-from ledgerline.functions.postings import Postings
+from ledgerline.functions.scan import best_documents, set_vectors
 from ledgerline.plans.evidence import _ANS, answers
 from ledgerline.registry import query
 from ledgerline.sources.files import written
@@ -72,28 +72,36 @@ _TOKEN = re.compile("[a-z]{2,}")
 
 def _terms_of(text: str | None) -> Counter[str]:
     """How often a text holds each single word (two letters or more, no stop word) and each pair of neighbouring ones."""
-    w = [x for x in _TOKEN.findall((text or "").lower()) if x not in STOP]
-    return Counter(w + [f"{a} {b}" for a, b in pairwise(w)])
+    w = _words_and_pairs(text)
+    return Counter(w)
+
+
+_LEFT_OUT = frozenset(STOP)
+
+
+def _words_and_pairs(text: str | None) -> list[str]:
+    w = [x for x in _TOKEN.findall((text or "").lower()) if x not in _LEFT_OUT]
+    return w + list(map(" ".join, pairwise(w)))
 
 
 def term_totals(t: DataFrame) -> DataFrame:
     """(term, df, cf): texts that hold a term, and its occurrences. Texts are counted where they are; HELD terms of a task at most wait to be summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: dict[str, int] = {}
-        cf: dict[str, int] = {}
+        df: Counter[str] = Counter()
+        cf: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array(cf.values(), pa.int64())], names=["term", "df", "cf"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(df.values(), pa.int64()), pa.array([cf[w] for w in df], pa.int64())], names=["term", "df", "cf"])
             df.clear()
             cf.clear()
             return made
 
         for batch in batches:
             for text in batch.column(0):
-                for w, n in _terms_of(text.as_py()).items():
-                    df[w] = df.get(w, 0) + 1
-                    cf[w] = cf.get(w, 0) + n
+                w = _words_and_pairs(text.as_py())
+                cf.update(w)
+                df.update(set(w))
                 if len(df) > HELD:
                     yield out()
         yield out()
@@ -122,20 +130,56 @@ def vocabulary_of(docs: DataFrame) -> DataFrame:
     return v.orderBy(F.desc("cf"), "term").limit(VOCABULARY).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def texts_of(docs: DataFrame, value: str = "text") -> DataFrame:
+    """(doc_id, texts): the texts of each id, which are one row's unless an id is repeated. Only ids are shuffled, and the repeated ones' texts."""
+    repeated = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again")))
+    one = docs.select("doc_id", F.array(value).alias("texts"))
+    if repeated.isEmpty():
+        return one
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    more = docs.join(repeated, same).groupBy("doc_id").agg(F.collect_list(value).alias("texts"))
+    return one.join(repeated, same, "left_anti").unionByName(more)
+
+
+def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(doc_id, terms, norm, ids, w): of each document with terms of a vocabulary(number, term, idf), which has VOCABULARY rows at most, their number,
+    the length of their weights, and the unit vector, packed. Every document is read and packed where it is."""
+    rows = vocabulary.collect()
+    known = docs.sparkSession.sparkContext.broadcast(({r["term"]: r["number"] for r in rows}, np.array([r["idf"] for r in sorted(rows, key=lambda r: r["number"])])))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, idf = known.value
+        for batch in batches:
+            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+                keep, terms, norm, ids, weights = [], [], [], [], []
+                for i, texts in enumerate(part.column(1).to_pylist()):
+                    own = [number[w] for text in texts for w in _words_and_pairs(text) if w in number]
+                    if own:
+                        at, f = np.unique(np.array(own, np.int32), return_counts=True)
+                        w = f * idf[at]
+                        keep.append(i)
+                        terms.append(at.size)
+                        norm.append(np.sqrt((w * w).sum()))
+                        ids.append(at.tobytes())
+                        weights.append((w / norm[-1]).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(terms, pa.int64()), pa.array(norm, pa.float64()), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], names=["doc_id", "terms", "norm", "ids", "w"])
+
+    return texts_of(docs).mapInArrow(pack, "doc_id long, terms long, norm double, ids binary, w binary")
+
+
 #: Indexes of this process by application, folder and state of the corpus: built once, read by every query on it.
-_STORED: dict[tuple, tuple[DataFrame, DataFrame, Postings]] = {}
+_STORED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
-def tfidf_store(spark, d) -> tuple[DataFrame, DataFrame, Postings]:
-    """The stored index of a corpus: its vocabulary (term, idf), its norms (doc_id, terms, norm), and the postings of the documents' unit vectors."""
+def tfidf_store(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The stored index of a corpus: its vocabulary (number, term, idf), and its documents' packed unit vectors with their terms and norms."""
     docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     state = tuple(docs.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)"))).first())
     key = (spark.sparkContext.applicationId, d, state)
     if key not in _STORED:
-        v = written(vocabulary_of(docs))
-        w = written(term_counts(docs, "doc_id", v).join(F.broadcast(v), "term").select("doc_id", "term", (F.col("f") * F.col("idf")).alias("w")))  # VOCABULARY rows
-        norms = written(w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")))
-        _STORED[key] = v, norms, Postings.build(w.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w")))
+        terms = sorted((r["term"], r["idf"]) for r in vocabulary_of(docs).collect())  # VOCABULARY rows
+        v = spark.createDataFrame([(i, term, idf) for i, (term, idf) in enumerate(terms)], "number int, term string, idf double")
+        _STORED[key] = v, written(tfidf_vectors(docs, v))
     return _STORED[key]
 
 
@@ -148,10 +192,10 @@ def best_of(scores: DataFrame, key: str, k: int, score: str = "score", tie: str
 @query("g3_tfidf_top", f"WITH {_TFIDF} SELECT * FROM hits")
 def tfidf_top(spark, d):
     """Cosine of TF-IDF vectors: documents and questions in one index, positive scores only."""
-    v, _, index = tfidf_store(spark, d)
-    q = term_counts(read(spark, d, "benchmark").select("item_id", "text"), "item_id", v).join(F.broadcast(v), "term").select("item_id", "term", (F.col("f") * F.col("idf")).alias("w"))  # VOCABULARY rows
+    v, vectors = tfidf_store(spark, d)
+    q = term_counts(read(spark, d, "benchmark").select("item_id", "text"), "item_id", v).join(F.broadcast(v), "term").select("item_id", "number", (F.col("f") * F.col("idf")).alias("w"))  # VOCABULARY rows
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item_id")))  # a question's terms
-    return index.top(q.select("item_id", "term", (F.col("w") / norm).alias("qw")), HITS).select("item_id", "doc_id", "score", "rank")
+    return best_documents(vectors, q.select("item_id", F.col("number").alias("term"), (F.col("w") / norm).alias("qw")), HITS)
 
 
 WORDS = r"[\p{L}\p{N}_]+"
@@ -194,24 +238,41 @@ _KEY = r"""qw AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower
     kd AS (SELECT doc_id, lower(regexp_extract(text, '^[^.]*') || ' ' || text) AS body FROM documents WHERE text IS NOT NULL), ka AS (SELECT item_id, doc_id, round(count(*)::DOUBLE / max(words), 6) AS score FROM qw JOIN kd ON contains(body, word) JOIN qn USING (item_id) GROUP BY 1, 2),
     ks AS (SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM ka) WHERE place <= 20)"""
 GRAM = 3
+#: Tokens that a task remembers.
+KNOWN = 1 << 17
+_BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def keyword_scores(spark, d, k: int = 20) -> DataFrame:
     """Share of a question's words that occur anywhere within a document's title and text; the k best documents of each question.
 
-    A word without a blank is contained in a text if one of the text's tokens contains it. Each distinct token is listed under
-    its runs of up to GRAM characters, each word asks under its first ones: an equi join, with the containment checked on what meets.
-    The documents that contain a word are its postings, so common words are only looked up in documents that rare ones have found.
+    A word without a blank is contained in a text if one of the text's tokens contains it. A word waits under its first GRAM characters; each
+    different token looks at all of its own places there, once in a task as long as it is among the last KNOWN ones.
     """
-    qw = read(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("item_id", "word").agg(F.count("*").alias("times"))
+    qw = written(read(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("item_id", "word").agg(F.count("*").alias("times")))
     body = F.lower(F.concat(F.regexp_extract("text", r"^[^.]*", 0), F.lit(" "), F.col("text")))
-    tokens = written(read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.split(body, r"\s+"))).alias("token")).where("token <> ''"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.when(n <= F.length("token"), F.transform(F.sequence(F.lit(1), F.length("token") - n + 1), lambda i: F.substring(F.col("token"), i, n))).otherwise(F.array().cast("array<string>"))))
-    listed = tokens.select("token").distinct().select("token", F.explode(F.array_distinct(runs)).alias("gram"))
-    asked = qw.select("word").distinct().select("word", F.substring("word", 1, GRAM).alias("gram"))
-    pairs = listed.join(asked, "gram").where(F.contains("token", "word")).select("token", "word")
-    index = Postings.build(tokens.join(pairs, "token").select("doc_id", F.col("word").alias("term")).distinct().withColumn("w", F.lit(1.0)))
-    found = index.top(qw.select("item_id", F.col("word").alias("term"), F.col("times").cast("double").alias("qw")), k)
+    asked = sorted(r["word"] for r in qw.select("word").distinct().collect())  # a batch's words
+    numbers = spark.createDataFrame(list(enumerate(asked)), "term int, word string")
+    given = spark.sparkContext.broadcast(asked)
+
+    def contained():
+        waiting: dict[str, list[tuple[str, int]]] = {}
+        for i, w in enumerate(given.value):
+            waiting.setdefault(w[:GRAM], []).append((w, i))
+        known: dict[str, frozenset[int]] = {}
+
+        def of(token: str) -> frozenset[int]:
+            found = known.get(token)
+            if found is None:
+                if len(known) > KNOWN:
+                    known.clear()
+                found = known[token] = frozenset(n for i in range(len(token)) for g in range(1, min(GRAM, len(token) - i) + 1) for w, n in waiting.get(token[i : i + g], ()) if token.startswith(w, i))
+            return found
+
+        return lambda texts: set().union(*(of(t) for t in {t for x in texts for t in _BLANK.split(x)}))
+
+    docs = spread(read(spark, d, "documents").where("text IS NOT NULL")).select("doc_id", body.alias("body"))
+    found = best_documents(set_vectors(texts_of(docs, "body"), contained), qw.join(F.broadcast(numbers), "word").select("item_id", "term", F.col("times").cast("double").alias("qw")), k)
     words = qw.groupBy("item_id").agg(F.sum("times").alias("words"))
     return found.join(words, "item_id").select("item_id", "doc_id", F.round(F.col("score") / F.col("words"), 6).alias("score"))
 
@@ -391,9 +452,14 @@ def corpus_filters(spark, d, category: str | None = "en", compound: str | None =
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id)::BIGINT AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def word_overlap(spark, d):
     """The five documents that share most distinct words with each question."""
-    words = lambda name, key: read(spark, d, name).select(key, F.explode(words_of(F.col("text"), 0)).alias("term")).distinct()
-    index = Postings.build(words("documents", "doc_id").withColumn("w", F.lit(1.0)))
-    return index.top(words("benchmark", "item_id").withColumn("qw", F.lit(1.0)), 5).select("item_id", "doc_id", F.col("score").cast("long").alias("n"), "rank")
+    q = written(read(spark, d, "benchmark").select("item_id", F.explode(words_of(F.col("text"), 0)).alias("word")).distinct())
+    asked = sorted(r["word"] for r in q.select("word").distinct().collect())  # a batch's words
+    numbers = spark.createDataFrame(list(enumerate(asked)), "term int, word string")
+    given = spark.sparkContext.broadcast({w: i for i, w in enumerate(asked)})
+    docs = spread(read(spark, d, "documents")).select("doc_id", F.filter(words_of(F.col("text"), 0), lambda w: F.length(w) > 0).alias("words"))
+    of = lambda: lambda texts: {given.value[w] for words in texts for w in words or () if w in given.value}
+    found = best_documents(set_vectors(texts_of(docs, "words"), of), q.join(F.broadcast(numbers), "word").select("item_id", "term", F.lit(1.0).alias("qw")), 5)
+    return found.select("item_id", "doc_id", F.col("score").cast("long").alias("n"), "rank")
 
 
 @query("g21_query_table", "WITH c AS (SELECT 'evidence for ' || p_name || ' ' || p_partkey AS question, 2 AS part, p_retailprice, p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 3) SELECT question FROM (SELECT 'mechanism of action' AS question UNION ALL SELECT 'safety profile' UNION ALL SELECT 'binding affinity' UNION ALL SELECT question FROM c)")
