@@ -1,8 +1,13 @@
 """Model fits, which have no SQL twin."""
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 from ledgerline import registry
+from ledgerline.plans import models
+
+D = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize(("rows", "clusters"), [(40, 5), (120, 12), (300, 20)])
@@ -21,3 +26,16 @@ def test_a_small_table_is_split_by_clusters(spark, tmp_path):
     spark.read.parquet(f"{real}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").limit(12).write.parquet(f"{d}/lineitem.parquet")
     got = {r.test: (r.n, r.groups) for r in registry.queries()["e5_group_holdout"](spark, d).collect()}
     assert sum(n for n, _ in got.values()) == 12 and sum(g for _, g in got.values()) == 5  # the five clusters of a small table, not its parts
+
+
+def test_a_fit_reads_its_rows_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_A_FILE", 700)
+    x = models.training(spark, D)
+    each = [r["count"] for r in x.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(each) == 6000 and max(each) <= 700
+
+
+def test_vectors_are_those_of_the_assembler_without_broken_rows(spark):
+    t = spark.createDataFrame([(1, 0.5, 2.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 0.0, float("inf"))], "i int, a double, b double")
+    want = VectorAssembler(inputCols=["a", "b"], outputCol="x", handleInvalid="skip").transform(t).collect()
+    assert [(r.i, list(r.x)) for r in models.assembled(t, ["a", "b"]).collect()] == [(r.i, list(r.x)) for r in want] == [(1, [0.5, 2.0]), (4, [0.0, float("inf")])]
