@@ -39,3 +39,17 @@ def test_vectors_are_those_of_the_assembler_without_broken_rows(spark):
     t = spark.createDataFrame([(1, 0.5, 2.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 0.0, float("inf"))], "i int, a double, b double")
     want = VectorAssembler(inputCols=["a", "b"], outputCol="x", handleInvalid="skip").transform(t).collect()
     assert [(r.i, list(r.x)) for r in models.assembled(t, ["a", "b"]).collect()] == [(r.i, list(r.x)) for r in want] == [(1, [0.5, 2.0]), (4, [0.0, float("inf")])]
+
+
+def test_ridge_folds_of_one_pass_are_those_of_the_fits(spark, monkeypatch):
+    x = models.training(spark, D)
+    got = {r["name"]: r for r in models.ridge_by_moments(x, 5, 1.0).collect()}
+    ridge = lambda: models.scaled(models.regressors()["ridge"])
+    for name, fit, held in (("3", x.where("fold <> 3"), x.where("fold = 3")), ("all", x, x)):
+        want = models.scored(ridge().fit(fit).transform(held)).first()
+        assert got[name]["n"] == want["n"] and got[name]["rmse"] == pytest.approx(want["rmse"], rel=1e-9) and got[name]["r2"] == pytest.approx(want["r2"], abs=1e-9)
+    few = {r["name"]: r["error"] for r in models.ridge_by_moments(x.where("fold <> 3"), 5, 1.0).collect()}
+    assert [k for k, e in few.items() if e] == ["3"]
+    assert {r["error"] for r in models.ridge_by_moments(x.where("fold > 9"), 5, 1.0).collect()} == {"no rows"}
+    monkeypatch.setattr(models, "side_by_side", None)  # the query makes no fit a fold
+    assert registry.queries()["e9_cross_validation"](spark, D).first()["folds"] == 5
