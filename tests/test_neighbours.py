@@ -5,10 +5,11 @@ import re
 import numpy as np
 import pytest
 from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from ledgerline.functions import neighbours
+from ledgerline.functions import neighbour_model, neighbours
 from ledgerline.functions.neighbour_model import NeighbourModel, NeighbourRegressor
 from ledgerline.plans import domain
 
@@ -106,6 +107,38 @@ def test_domain_of_any_columns(spark):
     assert domain.covariance(make(train).select(F.array("a", "b").alias("x")), "x", 2) == pytest.approx(np.cov(train[:, :2], rowvar=False))
 
 
+def test_rows_of_one_number_are_left_out(spark):
+    rng = np.random.default_rng(4)
+    x, q = np.vstack([rng.normal(0, 1, (1400, 3)), np.zeros((30, 3))]), rng.normal(0, 1, (60, 3))
+    only, of = rng.integers(-1, 3, len(x)), rng.integers(-1, 3, len(q))
+    q[:10], of[:10] = 0, 1
+    number = lambda t, v: t.join(spark.createDataFrame([(i, int(a)) for i, a in enumerate(v)], "id long, only int"), "id")
+    got = {r.id: [a.id for a in r.near] for r in neighbours.nearest(number(frame(spark, x), only), number(frame(spark, q), of), 6).collect()}
+    for i, v in enumerate(q):
+        away = np.where((only == of[i]) & (only >= 0), np.inf, np.sqrt(((x - v) ** 2).sum(1)))
+        assert got[i] == np.lexsort((np.arange(len(x)), away))[:6].tolist()
+
+
+def test_means_of_all_groups_from_one_search(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 6, (400, 3)).astype(float)
+    x[:60] = [9, 9, 9]  # more equal rows than neighbours
+    rows = [(i, v.tolist(), None if i % 29 == 0 else float(rng.normal()), int(g)) for i, (v, g) in enumerate(zip(x, rng.integers(0, 4, 400), strict=True))]
+    rows += [(400 + i, [20.0, float(i), 0.0], float(i), 2) for i in range(8)]  # neighbours of one group only
+    t = spark.createDataFrame(rows, "i int, x array<double>, y double, fold int").withColumn("x", array_to_vector("x")).cache()
+    model = NeighbourRegressor(featuresCol="x", labelCol="y", k=5)
+    searched, real = [], neighbours.nearest
+    monkeypatch.setattr(neighbour_model, "nearest", lambda *a: searched.append(a) or real(*a))
+    got = {r.i: r.prediction for r in model.held_out(t, "fold").collect()}
+    assert len(searched) == 1 and set(got) == set(range(408))
+    for k in range(4):
+        for r in model.fit(t.where(F.col("fold") != k)).transform(t.where(F.col("fold") == k)).collect():
+            own = [(np.sqrt(((np.array(v) - r.x.toArray()) ** 2).sum()), y) for _, v, y, g in rows if g != k and y is not None]
+            own.sort()
+            if own[4][0] < own[5][0] or own[4][0] == 0:  # no tie of different rows at the last place
+                assert got[r.i] == pytest.approx(r.prediction, abs=1e-12)
+
+
 def test_greatest_products(spark):
     rng = np.random.default_rng(9)
     x = np.vstack([rng.normal(0, 1, (200, 3)) * rng.uniform(0.1, 4, (200, 1)), np.tile([3.0, 0, 0], (40, 1)), np.zeros((2, 3))])  # forty rows that tie
