@@ -7,12 +7,16 @@ documents times questions, whatever the vectors; what a task holds is a stretch
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.files import written
+
 #: Questions of one scan; numbers that one step multiplies.
 AT_ONCE, STEP = 1024, 1 << 20
 #: A document: its number, its terms' numbers (int32) and weights (double).
@@ -103,3 +107,61 @@ def set_vectors(t: DataFrame, numbers: Callable[[], Callable[[object], set[int]]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array([np.array(own[i], np.int32).tobytes() for i in keep], pa.binary()), pa.array([np.ones(len(own[i])).tobytes() for i in keep], pa.binary())], names=["doc_id", "ids", "w"])
 
     return t.mapInArrow(pack, VECTOR)
+
+
+def greatest_likeness(sets: DataFrame, questions: DataFrame, above: tuple[int, int]) -> DataFrame:
+    """sets(doc_id, terms array<string>), questions(item_id, terms), terms distinct → item_id, most, n: of the documents that share a term with a question the
+    greatest Jaccard similarity, and the number of those over the fraction `above`. Rows of one number are one set. Exact; a batch's questions are broadcast.
+    """
+    numbered = questions.where("item_id IS NOT NULL").select("item_id", F.explode("terms").alias("term")).distinct().toArrow()  # a batch's questions
+    item, term = numbered.column("item_id").to_numpy(), numbered.column("term").combine_chunks()
+    items, number = np.unique(item, return_inverse=True)
+    sets = _whole(sets.where("doc_id IS NOT NULL").select("doc_id", "terms")).select("terms")
+    parts = []
+    for a in range(0, max(1, items.size), AT_ONCE):
+        own = np.flatnonzero((number >= a) & (number < a + AT_ONCE))
+        parts.append(_likest(sets, items[a : a + AT_ONCE], number[own] - a, term.take(pa.array(own)), above))
+    return reduce(DataFrame.unionByName, parts).groupBy("item_id").agg(F.max("most").alias("most"), F.sum("n").alias("n"))
+
+
+def _whole(sets: DataFrame) -> DataFrame:
+    """One row for each doc_id: only rows whose number is repeated are shuffled."""
+    more = written(sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if not more.count():
+        return sets
+    more = more.hint("merge")
+    joined = sets.join(more, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    return sets.join(more, "doc_id", "left_anti").unionByName(joined)
+
+
+def _likest(sets: DataFrame, items: np.ndarray, number: np.ndarray, term: pa.Array, above: tuple[int, int]) -> DataFrame:
+    words = term.unique()
+    known = sets.sparkSession.sparkContext.broadcast((items, number, pc.index_in(term, words).to_numpy(), words))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, number, column, words = known.value
+        matrix = np.zeros((len(words), items.size), np.int32)
+        matrix[column, number] = 1
+        size, most, n = np.bincount(number, minlength=items.size), np.zeros(items.size), np.zeros(items.size, np.int64)
+        rows = max(1, STEP // max(1, items.size))
+        for batch in batches:
+            terms = batch.column(0)
+            sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy()
+            at = pc.index_in(terms.flatten(), words.cast(terms.type.value_type)).fill_null(-1).to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)[at >= 0]
+            at = at[at >= 0]
+            heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if row.size else row
+            ends = np.append(heads[1:], row.size)
+            a = 0
+            while a < heads.size:  # whole documents, about STEP sums
+                b = max(a + 1, int(np.searchsorted(ends, heads[a] + rows, "right")))
+                x, y = heads[a], ends[b - 1]
+                shared = np.add.reduceat(matrix[at[x:y]], heads[a:b] - x, axis=0, dtype=np.int64)
+                either = size + sizes[row[heads[a:b]]][:, None] - shared
+                most = np.maximum(most, (shared / either).max(0))
+                n += (shared * above[1] > either * above[0]).sum(0)
+                a = b
+        some = np.flatnonzero(most > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(items[some], pa.int64()), pa.array(most[some]), pa.array(n[some])], names=["item_id", "most", "n"])
+
+    return sets.mapInArrow(scan, "item_id long, most double, n long")
