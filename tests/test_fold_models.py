@@ -30,7 +30,7 @@ def test_held_out_scores_are_those_of_single_fits(spark):
     shared = {name: fold_models.described(m) for name, m in models.items()}
     cut, ranges = fold_models.cut_rows(x, 32)
     assert len(ranges.cuts[3]) == 0 and len(ranges.cuts[0]) == 8
-    got = {r["l_orderkey"]: r for r in fold_models.held_out(cut.cache(), ranges, shared, 3, ("l_orderkey", "fold")).collect()}
+    got = {r["l_orderkey"]: r for r in fold_models.held_out(cut.cache(), ranges, shared, range(3), ("l_orderkey", "fold")).collect()}
     assert len(got) == 700
     for name, m in models.items():
         field = vector_to_array("probability")[1] if name in ("classes", "logistic") else F.col("prediction")
@@ -45,7 +45,7 @@ def test_forests_draw_rows_and_inputs_and_predict_as_well(spark):
     specs = {"forest": fold_models.described(forest), "classes": fold_models.described(classes)}
     cut, ranges = fold_models.cut_rows(x, 32)
     cut = cut.cache()
-    told = fold_models.held_out(cut, ranges, specs, 3, ("y", "active", "fold")).collect()
+    told = fold_models.held_out(cut, ranges, specs, range(3), ("y", "active", "fold")).collect()
     error = lambda rows, p, y: np.mean([(r[p] - r[y]) ** 2 for r in rows])
     own = {}
     for name, m, y, field in (("forest", forest, "y", F.col("prediction")), ("classes", classes, "active", vector_to_array("probability")[1])):
@@ -81,9 +81,9 @@ def test_empty_folds_and_missing_targets(spark):
     x = table(spark).withColumn("y", F.when(F.col("l_orderkey") > 30, F.col("y")))
     specs = {"tree": fold_models.described(DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=2))}
     cut, ranges = fold_models.cut_rows(x, 32)
-    told = fold_models.held_out(cut, ranges, specs, 5, ("l_orderkey",)).collect()  # folds 3 and 4 have no rows
+    told = fold_models.held_out(cut, ranges, specs, range(5), ("l_orderkey",)).collect()  # folds 3 and 4 have no rows
     assert len(told) == 700 and all(np.isfinite(r["tree"]) for r in told)
-    assert fold_models.held_out(cut.where("fold > 9"), ranges, specs, 5, ("l_orderkey",)).count() == 0
+    assert fold_models.held_out(cut.where("fold > 9"), ranges, specs, range(5), ("l_orderkey",)).count() == 0
 
 
 def test_stacked_classes_are_told_without_a_fit_a_fold(spark, monkeypatch):

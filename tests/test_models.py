@@ -1,5 +1,6 @@
 """Model fits, which have no SQL twin."""
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -61,3 +62,29 @@ def test_the_matrix_of_explained_lines_is_made_once(spark, monkeypatch):
     monkeypatch.setattr(models, "matrix", count)
     monkeypatch.setattr(attribution, "matrix", count)
     assert registry.queries()["f12_model_explain"](spark, D).count() == 5 * len(models.INPUTS) and len(made) == 1
+
+
+def test_linear_models_of_one_pass_are_those_of_the_fits(spark):
+    x = models.training(spark, D).cache()
+    linear = {n: m for n, m in models.regressors().items() if n in ("ridge", "lasso", "elastic_net")}
+    linear["strong"] = models.LinearRegression(featuresCol="x", labelCol="y", regParam=300.0, elasticNetParam=0.7)
+    got = {r[0]: r for r in models._linear_metrics(x, linear)}
+    for name, m in linear.items():
+        exact = m.copy({m.tol: 1e-13, m.maxIter: 3000})  # with the default tolerance the fit stops some 1e-5 earlier
+        want = models.scored(exact.fit(x.where("fold > 0")).transform(x.where("fold = 0"))).first()
+        assert got[name][1] == want["n"] and got[name][2] == pytest.approx(want["rmse"], rel=1e-6) and got[name][3] == pytest.approx(want["r2"], abs=1e-6), name
+
+
+def test_lasso_leaves_out_what_adds_little():
+    like, toward = np.array([[1.0, 0.5], [0.5, 1.0]]), np.array([1.0, 0.55])
+    assert models.shrunk(like, toward, 0.2, 1.0) == pytest.approx([0.8, 0.0])
+    b = models.shrunk(like, toward, 0.01, 0.5)
+    assert like @ b - toward + 0.005 * np.sign(b) + 0.005 * b == pytest.approx([0, 0], abs=1e-9)
+
+
+def test_a_benchmark_makes_no_fit_of_what_shares_passes(spark, monkeypatch):
+    for kind in (models.LinearRegression, models.DecisionTreeRegressor, models.RandomForestRegressor, models.GBTRegressor):
+        monkeypatch.setattr(kind, "fit", lambda *_: pytest.fail("a fit of its own"))
+    got = {r["model"]: r for r in models.model_benchmark(spark, D).collect()}
+    assert set(got) == set(models.regressors()) and not any(r["error"] for r in got.values())
+    assert len({r["n"] for r in got.values()}) == 1 and all(-1 < r["r2"] < 0.1 for r in got.values())
