@@ -172,3 +172,19 @@ def test_vectors_of_a_domain_are_not_broadcast(spark):
     plan = domain.domain(rows, rows.where("id % 5 <> 0"), ("a", "b"))._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line and re.search(r"\b(x|id|box)#", line)]
     assert joins and all("SortMergeJoin" in line for line in joins), joins
+
+
+def test_a_domain_stores_different_vectors_only(spark, monkeypatch):
+    stored, real = [], domain.written
+
+    def watched(t):
+        out = real(t)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(domain, "written", watched)
+    rows = spark.createDataFrame([(i, float(i % 20), float(i % 5)) for i in range(300)], "id long, a double, b double")
+    out = domain.domain(rows, rows.where("id % 7 <> 0"), ("a", "b"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert stored and max(stored) <= 20 and out.count() == 300  # of 300 lines
+    assert not [line for line in plan.splitlines() if "Join " in line and re.search(r"\bx#", line)]
